@@ -13,20 +13,25 @@ from .scratch import Scratch
 SAMPLE_SCHEMA = "sample_id BIGINT, position BIGINT, features ARRAY<DOUBLE>, label BOOLEAN"
 
 
+BAD_SAMPLE = "sample with missing, non-finite or miscounted features"
+
+
+def _finite(value: Column) -> Column:
+    """The value with -0.0 folded to 0.0; fails the job instead of dropping the row."""
+    value = value.cast("double") + F.lit(0.0)
+    bad = value.isNull() | F.isnan(value) | (F.abs(value) == float("inf"))
+    return F.when(bad, F.raise_error(F.lit(BAD_SAMPLE)).cast("double")).otherwise(value)
+
+
 def feature_vector(columns: Sequence[Column]) -> Column:
-    """Doubles with -0.0 folded to 0.0."""
-    return F.array(*[c.cast("double") + F.lit(0.0) for c in columns])
+    """An array of checked doubles; every input expression is evaluated once."""
+    return F.transform(F.array(*[c.cast("double") for c in columns]), _finite)
 
 
-def checked_features(vector: Column, num_features: int) -> Column:
-    """Fail the job on a null, non-finite or wrong-length vector instead of dropping rows."""
-    bad = (
-        vector.isNull()
-        | (F.size(vector) != num_features)
-        | F.exists(vector, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-    )
-    return F.when(bad, F.raise_error(F.lit("sample with missing or non-finite features"))).otherwise(
-        vector
+def checked_array(values: Column, num_features: int) -> Column:
+    complete = values.isNotNull() & (F.size(values) == num_features)
+    return F.when(complete, F.transform(values, _finite)).otherwise(
+        F.raise_error(F.lit(BAD_SAMPLE)).cast("array<double>")
     )
 
 
@@ -39,7 +44,10 @@ def samples_from(
     position: Column | None = None,
 ) -> DataFrame:
     """One narrow projection: sample_id, position, features, label."""
-    vector = features if isinstance(features, Column) else feature_vector(features)
+    if isinstance(features, Column):
+        vector = checked_array(features, num_features)
+    else:
+        vector = feature_vector(features)
     sid = sample_id.cast("bigint")
     return df.select(
         F.when(
@@ -50,7 +58,7 @@ def samples_from(
         (position.cast("bigint") if position is not None else F.lit(None).cast("bigint")).alias(
             "position"
         ),
-        checked_features(vector, num_features).alias("features"),
+        vector.alias("features"),
         label.cast("boolean").alias("label"),
     )
 
@@ -149,7 +157,7 @@ def vector_samples(spark: SparkSession, folder: str) -> DataFrame:
     return samples_from(
         vectors,
         F.col("vec_id"),
-        F.transform("embedding", lambda v: v.cast("double") + F.lit(0.0)),
+        F.col("embedding"),
         F.col("label") >= 5,
         VECTOR_FEATURES,
         F.col("vec_id"),
