@@ -8,8 +8,8 @@ the plan stays short and rows in finished leaves drop out.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-from functools import reduce
+from dataclasses import dataclass, replace
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,6 +46,23 @@ class Forest:
     def spark(self) -> SparkSession:
         return self.scratch.spark
 
+    @cached_property
+    def depth_counts(self) -> dict[int, int]:
+        """Internal nodes per depth: at most max_depth small rows."""
+        internal = self.nodes.where("kind = 'internal'").groupBy("depth").count()
+        return {row["depth"]: row["count"] for row in internal.collect()}
+
+    @cached_property
+    def node_count(self) -> int:
+        return self.nodes.count()
+
+    @cached_property
+    def has_pending(self) -> bool:
+        return not self.nodes.where("tag <> 'clean'").isEmpty()
+
+    def with_(self, **changes: object) -> Forest:
+        return replace(self, **changes)
+
 
 def empty_forest(spark: SparkSession, config: RunConfig, scratch: Scratch | None = None) -> Forest:
     return Forest(
