@@ -36,11 +36,14 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        """Write once, read back with a known schema."""
+    def save(self, df: DataFrame, name: str) -> str:
         path = self.path(name)
         df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        return path
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        """Write once, read back with a known schema."""
+        return self.spark.read.schema(df.schema).parquet(self.save(df, name))
 
     def drop(self, df: DataFrame) -> None:
         """Delete a table this object wrote, once nothing reads it any more."""
