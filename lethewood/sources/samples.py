@@ -125,7 +125,7 @@ def event_samples(spark: SparkSession, folder: str, label: Column | None = None)
             F.dayofweek("ts") - 1,
             F.regexp_extract("props", '"k": ?([0-9]+)', 1),
         ],
-        (F.col("event_type") == "purchase") & (F.col("value") > 50) if label is None else label,
+        (F.col("value") > 40) & F.hour("ts").between(6, 17) if label is None else label,
         EVENT_FEATURES,
         F.col("event_id"),
     )

@@ -46,26 +46,28 @@ def sliced_source(
     return spark.readStream.schema(samples.schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
+EMA_OLD, EMA_NEW, EMA_START = 0.8, 0.2, 0.5
+EMA_REACH = 200  # 0.8 ** 200 is below the precision of a double
+
+
 def class_ratio_ema(batches: DataFrame) -> DataFrame:
     """Moving positive share after every batch, from (batch_id, rows, positives).
 
-    0.8 * old + 0.2 * batch share, starting at 0.5: a weighted sum over earlier batches.
+    0.8 * old + 0.2 * batch share, starting at 0.5. Unrolled, every batch adds a decaying
+    weight to itself and the batches after it, so no task has to fold the whole stream.
+    ``batch_id`` counts from 0 without gaps.
     """
     share = F.col("positives").cast("double") / F.col("rows").cast("double")
-    ordered = batches.agg(
-        F.sort_array(F.collect_list(F.struct("batch_id", share.alias("share")))).alias("b")
-    )
-    folded = F.aggregate(
-        "b",
-        F.array(F.struct(F.lit(-1).cast("bigint").alias("batch_id"), F.lit(0.5).alias("ema"))),
-        lambda acc, x: F.concat(
-            acc,
-            F.array(
-                F.struct(
-                    x["batch_id"].cast("bigint").alias("batch_id"),
-                    (F.lit(0.8) * F.element_at(acc, -1)["ema"] + F.lit(0.2) * x["share"]).alias("ema"),
-                )
-            ),
-        ),
+    last = batches.agg(F.max("batch_id")).scalar()
+    reach = F.sequence(F.lit(0), F.least(F.lit(EMA_REACH), last - F.col("batch_id")).cast("int"))
+    spread = batches.select("batch_id", share.alias("share"), F.explode(reach).alias("later"))
+    start = F.lit(EMA_START) * F.pow(F.lit(EMA_OLD), F.col("batch_id") + 1)
+    return (
+        spread.select(
+            (F.col("batch_id") + F.col("later")).alias("batch_id"),
+            (F.lit(EMA_NEW) * F.pow(F.lit(EMA_OLD), F.col("later")) * F.col("share")).alias("part"),
+        )
+        .groupBy("batch_id")
+        .agg(F.sum("part").alias("total"))
+        .select("batch_id", (F.col("total") + start).alias("ema"))
     )
-    return ordered.select(F.inline(F.slice(folded, 2, F.greatest(F.size("b"), F.lit(1)))))

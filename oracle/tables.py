@@ -16,7 +16,7 @@ event AS (
   SELECT event_id AS sample_id, event_id AS position,
          [value::DOUBLE + 0.0, hour(ts)::DOUBLE + 0.0, dayofweek(ts)::DOUBLE + 0.0,
           regexp_extract(props, '"k": ?([0-9]+)', 1)::DOUBLE + 0.0] AS f,
-         (event_type = 'purchase' AND value > 50) AS label, event_type, user_id
+         (value > 40 AND hour(ts) BETWEEN 6 AND 17) AS label, event_type, user_id, value
   FROM events
 )"""
 
