@@ -183,9 +183,10 @@ def centroid(rows: DataFrame, num_features: int, scratch: Scratch | None = None)
 def feature_distance(rows: DataFrame, num_features: int, scratch: Scratch | None = None) -> DataFrame:
     """Minus the Euclidean distance to the centroid of the newest rows."""
     center = centroid(rows, num_features, scratch).scalar()
-    squares = F.zip_with("features", center, lambda v, c: (v - c) * (v - c))
+    squares = F.zip_with("features", "_center", lambda v, c: (v - c) * (v - c))
     distance = F.sqrt(F.aggregate(squares, F.lit(0.0), lambda total, v: total + v))
-    return rows.select("sample_id", (-distance).alias("influence"))
+    centered = rows.withColumn("_center", center)
+    return centered.select("sample_id", (-distance).alias("influence"))
 
 
 def set_influence(buffer: DataFrame, scores: DataFrame, tracking: bool = True) -> DataFrame:
