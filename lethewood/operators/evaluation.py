@@ -111,7 +111,8 @@ def sliding_counts(
     """Confusion counts over the last ``window`` predictions, after every prediction.
 
     Rows are cut into blocks of consecutive positions; the window - 1 rows before a block
-    are copied into it, so each block is a bounded, independent window group.
+    are copied into it, so each block is a bounded, independent window group. Inside it the
+    count is a difference of two running totals, linear in rows whatever the window.
     """
     ranked = (
         predictions.withColumn("rank", F.col("position"))
@@ -123,9 +124,13 @@ def sliding_counts(
     reaches_next = F.col("rank") % size > size - window
     blocks = F.when(reaches_next, F.array(own, own + 1)).otherwise(F.array(own))
     copied = ranked.select("*", own.alias("_own"), F.explode(blocks).alias("_block"))
-    frame = Window.partitionBy("_block").orderBy("rank").rowsBetween(-(window - 1), 0)
-    counts = {name: F.sum(flag).over(frame) for name, flag in cell_flags().items()}
-    return copied.withColumns(counts).where("_block = _own").drop("_own", "_block", "rank")
+    in_order = Window.partitionBy("_block").orderBy("rank")
+    so_far = in_order.rowsBetween(Window.unboundedPreceding, 0)
+    running = {f"_{name}": F.sum(flag).over(so_far) for name, flag in cell_flags().items()}
+    dropped = {name: F.lag(f"_{name}", window, 0).over(in_order) for name in COUNTS}
+    counts = {name: F.col(f"_{name}") - dropped[name] for name in COUNTS}
+    counted = copied.withColumns(running).withColumns(counts).where("_block = _own")
+    return counted.drop("_own", "_block", "rank", *running)
 
 
 def sliding_metrics(

@@ -63,6 +63,12 @@ class Forest:
     def with_(self, **changes: object) -> Forest:
         return replace(self, **changes)
 
+    def retagged(self, **changes: object) -> Forest:
+        """A copy whose splits are the same, so what is known about depths still holds."""
+        copy = replace(self, **changes)
+        copy.__dict__["depth_counts"] = self.depth_counts
+        return copy
+
 
 def empty_forest(spark: SparkSession, config: RunConfig, scratch: Scratch | None = None) -> Forest:
     return Forest(

@@ -225,21 +225,34 @@ def live_rows(forest: Forest, tree_ids: list[int]) -> DataFrame:
     )
 
 
-def trees_of(nodes: DataFrame) -> list[int]:
-    """At most T tree ids."""
-    return [row["tree_id"] for row in nodes.select("tree_id").distinct().collect()]
+@dataclass(frozen=True)
+class Spread:
+    """Which trees and depths a set of nodes is in: at most one small row per pair."""
+
+    trees: list[int]
+    depths: list[int]
+    count: int
+
+    @classmethod
+    def of(cls, nodes: DataFrame) -> Spread:
+        rows = nodes.groupBy("tree_id", "depth").count().collect()
+        return cls(
+            sorted({r["tree_id"] for r in rows}),
+            sorted({r["depth"] for r in rows}),
+            sum(r["count"] for r in rows),
+        )
 
 
 def review_dirty(forest: Forest, dirty: DataFrame) -> Forest:
     """Recompute candidates of dirty nodes from their rows; tag them clean or rebuild."""
     config, scratch = forest.config, forest.scratch
     dirty = scratch.write(dirty.select(*KEYS, "depth", "n", "n_pos"), "dirty")
-    depths = [row["depth"] for row in dirty.select("depth").distinct().collect()]
-    if not depths:
+    spread = Spread.of(dirty)
+    if spread.count == 0:
         return forest
-    at_leaf = walk(live_rows(forest, trees_of(dirty)), forest.nodes, forest.depth_counts, config)
-    rows = with_path(at_leaf, depths)
-    fresh = scratch.write(level_candidates(rows, dirty, dirty.count(), config), "candidates")
+    at_leaf = walk(live_rows(forest, spread.trees), forest.nodes, forest.depth_counts, config)
+    rows = with_path(at_leaf, spread.depths)
+    fresh = scratch.write(level_candidates(rows, dirty, spread.count, config), "candidates")
     wanted = S.decided_nodes(dirty, fresh, config).select(*KEYS, "kind", "attr", "threshold", "subset")
     verdict = (
         forest.nodes.alias("now")
@@ -252,9 +265,9 @@ def review_dirty(forest: Forest, dirty: DataFrame) -> Forest:
         .select(*CANDIDATE_COLUMNS)
         .unionByName(fresh.select(*CANDIDATE_COLUMNS))
     )
-    return forest.with_(
+    return forest.retagged(
         nodes=scratch.write(nodes.select(*NODE_COLUMNS).coalesce(1), "model-nodes"),
-        candidates=scratch.write(candidates, "model-candidates"),
+        candidates=candidates,
     )
 
 
@@ -262,14 +275,15 @@ def regrow(forest: Forest, tops: DataFrame) -> Forest:
     """Replace everything at and below ``tops`` by freshly grown subtrees."""
     config, scratch = forest.config, forest.scratch
     tops = scratch.write(tops.select(*KEYS, "depth", "n", "n_pos"), "tops")
-    trees = trees_of(tops)
-    if not trees:
-        return forest
+    spread = Spread.of(tops)
+    if spread.count == 0:
+        return forest.retagged(candidates=scratch.write(forest.candidates, "model-candidates"))
     gone = scratch.write(below(forest.nodes, tops), "gone")
     kept = forest.nodes.join(gone, KEYS, "left_anti").select(*NODE_COLUMNS)
     kept_candidates = forest.candidates.join(gone, KEYS, "left_anti").select(*CANDIDATE_COLUMNS)
-    rows = walk(live_rows(forest, trees), kept, forest.depth_counts, config)
-    affected = S.attach(rows, tops.select(*KEYS, "n"), tops.count() * NODE_BYTES, config).drop("n")
+    above = {d: c for d, c in forest.depth_counts.items() if d < max(spread.depths)}
+    rows = walk(live_rows(forest, spread.trees), kept, above, config)
+    affected = S.attach(rows, tops.select(*KEYS, "n"), spread.count * NODE_BYTES, config).drop("n")
     affected = scratch.write(affected, "affected")
     nodes, candidates = grow(affected, tops.where("n > 0"), config, scratch)
     return forest.with_(
