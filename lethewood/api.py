@@ -14,7 +14,7 @@ from .operators import diagnostics, evaluation, influence, lifecycle, selection
 from .operators.assignment import assign_trees
 from .operators.scoring import predict, query_path
 from .plans.growth import ASSIGNED_SCHEMA, CANDIDATES_SCHEMA, NODES_SCHEMA, Forest, fit
-from .plans.maintenance import apply_delta, resolve
+from .plans.maintenance import apply_delta, known_samples, resolve
 from .sources.ordering import with_rank
 from .sources.scratch import Scratch, shared_folder
 from .sources.state import Counters, Manifest, Manifests, SampleParts
@@ -236,13 +236,13 @@ class UnlearningForest:
         """One signed update: new ids in, evicted ids out."""
         scratch, added, removed = self.scratch, None, None
         if assigned is not None:
-            fresh = assigned.join(forest.samples.select("sample_id"), "sample_id", "left_anti")
+            known = known_samples(forest.samples.select("sample_id"), assigned)
+            fresh = assigned.join(scratch.write(known, "known"), "sample_id", "left_anti")
             if evicted is not None:
                 fresh = fresh.join(evicted.select("sample_id"), "sample_id", "left_anti")
             added = scratch.write(fresh.select(*forest.samples.columns), "added")
         if evicted is not None:
-            known = forest.samples.join(evicted.select("sample_id"), "sample_id", "left_semi")
-            removed = scratch.write(known, "removed")
+            removed = scratch.write(known_samples(forest.samples, evicted), "removed")
         delta = apply_delta(forest, added, removed)
         self._set_forest(delta.forest)
         self.parts = self.parts.changed(self.counters.version + 1, scratch, added, removed)
@@ -369,7 +369,9 @@ class UnlearningForest:
     # Metrics and counters
 
     def current_metrics(self) -> DataFrame:
-        return evaluation.current_metrics(self.log("predictions"), self.config.metrics_window)
+        return evaluation.current_metrics(
+            self.log("predictions"), self.config.metrics_window, self.scratch
+        )
 
     def cumulative_metrics(self) -> DataFrame:
         return evaluation.cumulative_metrics(self.log("predictions"))

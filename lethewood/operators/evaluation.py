@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.ordering import with_rank
+from ..sources.ordering import top_n, with_rank
 from ..sources.scratch import Scratch
 
 COUNTS = ("tn", "fp", "fn", "tp")
@@ -142,9 +142,12 @@ def sliding_metrics(
     return with_rates(with_totals(sliding_counts(predictions, window, scratch, dense)))
 
 
-def current_metrics(predictions: DataFrame, window: int) -> DataFrame:
+def current_metrics(
+    predictions: DataFrame, window: int, scratch: Scratch | None = None
+) -> DataFrame:
     """Metrics over the newest ``window`` predictions, else cumulative."""
     recent = predictions
     if window > 0:
-        recent = predictions.orderBy(F.col("position").desc()).limit(window)
+        scratch = scratch or Scratch(predictions.sparkSession)
+        recent = top_n(predictions, [F.col("position").desc()], window, scratch)
     return cumulative_metrics(recent)

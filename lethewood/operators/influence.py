@@ -138,6 +138,9 @@ def mean_influences(
         .groupBy(*masks)
         .agg((F.sum("part").cast("double") / F.lit(float(max(total, 1)))).alias("influence"))
     )
+    scored = scratch.write(scored, "scored")
+    if scored.count() * (16 + 8 * len(masks)) <= config.broadcast_bytes:
+        scored = F.broadcast(scored)  # few tree sets, each shared by many samples
     return masked.join(scored, masks, "left").select("sample_id", "influence")
 
 

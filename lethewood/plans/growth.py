@@ -167,6 +167,8 @@ def grow(
             if previous is not None:
                 scratch.drop(previous)
         frontier = S.children(level)
+    if owned is not None:
+        scratch.drop(owned)
 
     def union(parts: list[DataFrame], columns: list[str], schema: str) -> DataFrame:
         if not parts:

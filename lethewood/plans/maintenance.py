@@ -198,17 +198,24 @@ def apply_delta(
     return Delta(updated, marks)
 
 
+def known_samples(samples: DataFrame, ids: DataFrame) -> DataFrame:
+    """Live rows among ``ids``. The ids are a written table, so Spark sees their real size
+    and sends them to the scan of the samples instead of shuffling the samples."""
+    return samples.join(ids.select("sample_id"), "sample_id", "left_semi")
+
+
 def forget(forest: Forest, ids: DataFrame) -> Delta:
     """Remove known ids; unknown or already forgotten ids are skipped."""
-    wanted = ids.select("sample_id").distinct()
-    removed = forest.samples.join(wanted, "sample_id", "left_semi")
-    return apply_delta(forest, removed=forest.scratch.write(removed, "removed"))
+    wanted = forest.scratch.write(ids.select("sample_id").distinct(), "ids")
+    removed = forest.scratch.write(known_samples(forest.samples, wanted), "removed")
+    return apply_delta(forest, removed=removed)
 
 
 def add(forest: Forest, samples: DataFrame, review: bool = True) -> Delta:
     """Insert new samples into their k trees; known ids and repeats are ignored."""
-    fresh = samples.join(forest.samples.select("sample_id"), "sample_id", "left_anti")
-    fresh = fresh.dropDuplicates(["sample_id"])
+    batch = forest.scratch.write(samples.dropDuplicates(["sample_id"]), "batch")
+    known = forest.scratch.write(known_samples(forest.samples.select("sample_id"), batch), "known")
+    fresh = batch.join(known, "sample_id", "left_anti")
     assigned = assign_trees(fresh, forest.config).select(*forest.samples.columns)
     return apply_delta(forest, added=forest.scratch.write(assigned, "added"), review=review)
 
@@ -286,6 +293,7 @@ def regrow(forest: Forest, tops: DataFrame) -> Forest:
     affected = S.attach(rows, tops.select(*KEYS, "n"), spread.count * NODE_BYTES, config).drop("n")
     affected = scratch.write(affected, "affected")
     nodes, candidates = grow(affected, tops.where("n > 0"), config, scratch)
+    scratch.drop(affected)
     return forest.with_(
         nodes=scratch.write(kept.unionByName(nodes).coalesce(1), "model-nodes"),
         candidates=scratch.write(kept_candidates.unionByName(candidates), "model-candidates"),

@@ -43,22 +43,23 @@ def samples_from(
     num_features: int,
     position: Column | None = None,
 ) -> DataFrame:
-    """One narrow projection: sample_id, position, features, label."""
+    """One narrow projection: sample_id, position, features, label.
+
+    The id stays a plain column, so filters on it reach the scan; its check runs with the
+    features, which every training job reads.
+    """
     if isinstance(features, Column):
         vector = checked_array(features, num_features)
     else:
         vector = feature_vector(features)
     sid = sample_id.cast("bigint")
+    bad_id = F.raise_error(F.lit("sample ids must be non-negative")).cast("array<double>")
     return df.select(
-        F.when(
-            sid.isNull() | (sid < 0), F.raise_error(F.lit("sample ids must be non-negative")).cast("bigint")
-        )
-        .otherwise(sid)
-        .alias("sample_id"),
+        sid.alias("sample_id"),
         (position.cast("bigint") if position is not None else F.lit(None).cast("bigint")).alias(
             "position"
         ),
-        vector.alias("features"),
+        F.when(sid.isNull() | (sid < 0), bad_id).otherwise(vector).alias("features"),
         label.cast("boolean").alias("label"),
     )
 

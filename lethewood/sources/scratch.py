@@ -46,10 +46,10 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(self.save(df, name))
 
     def drop(self, df: DataFrame) -> None:
-        """Delete a table this object wrote, once nothing reads it any more."""
-        for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            if self.root.split("://")[-1] in file:
-                jvm = self.spark._jvm
-                path = jvm.org.apache.hadoop.fs.Path(file)
+        """Delete a table this run wrote, once nothing reads it any more."""
+        own = self.root.rsplit("/", 1)[1]
+        for folder in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+            if f"/{own}/" in folder:
+                path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
                 conf = self.spark._jsc.hadoopConfiguration()
                 path.getFileSystem(conf).delete(path, True)
