@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from .config import RunConfig
+from .config import MEGABYTE, RunConfig
 from .operators import buffer as B
 from .operators import diagnostics, evaluation, influence, lifecycle, selection
 from .operators.assignment import assign_trees
@@ -46,8 +46,8 @@ TABLE_SCHEMAS = {
 class UnlearningForest:
     """Test-then-train learning with exact forgetting over a bounded buffer.
 
-    Batches are DataFrames with ``features`` and ``label``, a unique ``sample_id``, and an
-    optional ``position`` giving the order inside the batch.
+    Batches are DataFrames with ``features`` and ``label``, a unique ``sample_id`` (the stream
+    position is taken when there is none), and an optional ``position`` that orders the batch.
     """
 
     def __init__(self, spark: SparkSession, config: RunConfig, path: str | None = None):
@@ -122,9 +122,16 @@ class UnlearningForest:
     def _positioned(self, batch: DataFrame) -> DataFrame:
         """The batch written once, with dense stream positions after the current one."""
         order = [F.col("position")] if "position" in batch.columns else []
+        numbered = "sample_id" in batch.columns
+        if not numbered:
+            batch = batch.withColumn("sample_id", F.monotonically_increasing_id())
         ranked = with_rank(batch, [*order, F.col("sample_id")], self.scratch, "_at")
+        position = F.col("_at") + self.counters.position
         placed = ranked.select(
-            "sample_id", (F.col("_at") + self.counters.position).alias("position"), "features", "label"
+            (F.col("sample_id") if numbered else position).alias("sample_id"),
+            position.alias("position"),
+            "features",
+            "label",
         )
         return self.scratch.write(placed, "batch")
 
@@ -214,10 +221,12 @@ class UnlearningForest:
             if budget_evicted:
                 evicted_parts.append(("budget", gone))
                 buffer = scratch.write(B.remove(buffer, gone), "buffer")
-        if B.buffer_totals(buffer).first()["bytes"] > config.memory_max_bytes:
-            eviction = B.memory_evict(buffer, config.memory_max_bytes, scratch)
-            evicted_parts.append(("memory", scratch.write(eviction.evicted, "evicted")))
-            buffer = scratch.write(eviction.kept, "buffer")
+        sized = self._sized(buffer)
+        if self._buffer_bytes(sized) > config.memory_max_bytes:
+            eviction = B.memory_evict(sized, config.memory_max_bytes, scratch, F.col("row_bytes"))
+            gone = scratch.write(eviction.evicted.select(*buffer.columns), "evicted")
+            evicted_parts.append(("memory", gone))
+            buffer = scratch.write(eviction.kept.select(*buffer.columns), "buffer")
         self.tables["buffer"] = buffer
         for reason, gone in evicted_parts:
             self._append("evictions", B.eviction_log_rows(gone, reason))
@@ -230,6 +239,31 @@ class UnlearningForest:
             self._update_forest(forest, assigned, None if config.budget_skip_forest_forget else evicted)
         return budget_evicted
 
+    def _sized(self, buffer: DataFrame) -> DataFrame:
+        """Buffer rows with their estimated bytes, histories included."""
+        lengths = []
+        for name in ("influences", "ranks"):
+            if self.logs[name]:
+                held = lifecycle.newest_entries(self._history(name, buffer))
+                counted = held.groupBy("sample_id").agg(F.count(F.lit(1)).alias(f"n_{name}"))
+                buffer = buffer.join(counted, "sample_id", "left")
+                lengths.append(f"coalesce(n_{name}, 0L)")
+            else:
+                lengths.append("0")
+        return buffer.withColumn("row_bytes", B.memory_bytes(*lengths)).drop("n_influences", "n_ranks")
+
+    @staticmethod
+    def _buffer_bytes(sized: DataFrame) -> int:
+        return sized.agg(F.coalesce(F.sum("row_bytes"), F.lit(0))).first()[0]
+
+    def _history(self, name: str, buffer: DataFrame | None = None) -> DataFrame:
+        """Log entries made since each buffered sample was last registered."""
+        held = (self.buffer if buffer is None else buffer).select(
+            "sample_id", F.col("position").alias("_since")
+        )
+        log = self.log(name)
+        return log.join(held, "sample_id").where(F.col("position") > F.col("_since")).drop("_since")
+
     def _update_forest(
         self, forest: Forest, assigned: DataFrame | None, evicted: DataFrame | None
     ) -> None:
@@ -324,7 +358,10 @@ class UnlearningForest:
             self.tables["buffer"] = self.scratch.write(updated, "buffer")
 
     def _record_result(self, batch_id: int, rows: int, evicted: int) -> None:
-        totals = B.buffer_totals(self.buffer).select(F.col("size").alias("registry_size"), "memory_mb")
+        totals = self._sized(self.buffer).agg(
+            F.count(F.lit(1)).alias("registry_size"),
+            (F.coalesce(F.sum("row_bytes"), F.lit(0)) / F.lit(float(MEGABYTE))).alias("memory_mb"),
+        )
         metrics = self.current_metrics().select("tn", "fp", "fn", "tp")
         result = totals.withColumn("_k", F.lit(1)).join(metrics.withColumn("_k", F.lit(1)), "_k")
         self._append(
@@ -369,9 +406,12 @@ class UnlearningForest:
     # Metrics and counters
 
     def current_metrics(self) -> DataFrame:
-        return evaluation.current_metrics(
-            self.log("predictions"), self.config.metrics_window, self.scratch
-        )
+        """Metrics of the newest predictions. Positions are dense, so the window is a filter
+        the scan of the log can use."""
+        predictions, window = self.log("predictions"), self.config.metrics_window
+        if window > 0:
+            predictions = predictions.where(F.col("position") >= self.counters.position - window)
+        return evaluation.cumulative_metrics(predictions)
 
     def cumulative_metrics(self) -> DataFrame:
         return evaluation.cumulative_metrics(self.log("predictions"))
@@ -386,7 +426,7 @@ class UnlearningForest:
         return self.buffer.count()
 
     def memory_mb(self) -> float:
-        return B.buffer_totals(self.buffer).first()["memory_mb"]
+        return self._buffer_bytes(self._sized(self.buffer)) / MEGABYTE
 
     def is_warmed_up(self) -> bool:
         return self.counters.warmed_up
@@ -433,10 +473,11 @@ class UnlearningForest:
         return B.class_balance(self.buffer).first()["imbalance_ratio"]
 
     def get_registry_diagnostics(self) -> DataFrame:
-        return diagnostics.registry_diagnostics(self.buffer, self.counters.position)
-
-    def get_age_influence_spearman(self) -> DataFrame:
-        return diagnostics.age_influence_spearman(self.buffer, self.counters.position, self.scratch)
+        """Sizes, coverage, means and the age-influence rank correlation, as one row."""
+        at = self.counters.position
+        figures = diagnostics.registry_diagnostics(self.buffer, at)
+        correlation = diagnostics.age_influence_spearman(self.buffer, at, self.scratch)
+        return figures.withColumn("age_influence_spearman", correlation.scalar())
 
     # Histories
 
@@ -461,19 +502,19 @@ class UnlearningForest:
         self.counters.log_seq += 1
 
     def get_lifecycle_data(self) -> DataFrame:
-        return lifecycle.lifecycle(self.buffer, self.log("influences"), self.log("ranks"))
+        return lifecycle.lifecycle(self.buffer, self._history("influences"), self._history("ranks"))
 
     def get_core_concept_samples(self, min_history: int, min_average: float) -> DataFrame:
-        return lifecycle.core_concept(self.buffer, self.log("influences"), min_history, min_average)
+        return lifecycle.core_concept(self.buffer, self._history("influences"), min_history, min_average)
 
     def get_declining_samples(self, min_history: int) -> DataFrame:
-        return lifecycle.declining(self.buffer, self.log("influences"), min_history)
+        return lifecycle.declining(self.buffer, self._history("influences"), min_history)
 
     def get_longest_surviving(self, n: int) -> DataFrame:
         return selection.longest_surviving(self.buffer, n, self.counters.position)
 
     def get_high_risk_samples(self, top_n: int, min_count: int) -> DataFrame:
-        return lifecycle.high_risk(self.buffer, self.log("ranks"), top_n, min_count)
+        return lifecycle.high_risk(self.buffer, self._history("ranks"), top_n, min_count)
 
     def get_stable_samples(self, max_variance: float, min_history: int) -> DataFrame:
-        return lifecycle.stable(self.buffer, self.log("influences"), max_variance, min_history)
+        return lifecycle.stable(self.buffer, self._history("influences"), max_variance, min_history)

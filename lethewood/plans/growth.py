@@ -199,7 +199,7 @@ def fit(
     return Forest(
         config,
         assigned,
-        scratch.write(nodes.coalesce(1), "model-nodes"),
+        scratch.write(nodes, "model-nodes"),
         scratch.write(candidates, "model-candidates"),
         scratch,
     )

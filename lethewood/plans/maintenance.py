@@ -192,7 +192,7 @@ def apply_delta(
         samples = samples.unionByName(added.select(*forest.samples.columns))
     updated = forest.with_(
         samples=samples,
-        nodes=scratch.write(nodes.coalesce(1), "model-nodes"),
+        nodes=scratch.write(nodes, "model-nodes"),
         candidates=scratch.write(candidates, "model-candidates"),
     )
     return Delta(updated, marks)
@@ -273,7 +273,7 @@ def review_dirty(forest: Forest, dirty: DataFrame) -> Forest:
         .unionByName(fresh.select(*CANDIDATE_COLUMNS))
     )
     return forest.retagged(
-        nodes=scratch.write(nodes.select(*NODE_COLUMNS).coalesce(1), "model-nodes"),
+        nodes=scratch.write(nodes.select(*NODE_COLUMNS), "model-nodes"),
         candidates=candidates,
     )
 
@@ -295,7 +295,7 @@ def regrow(forest: Forest, tops: DataFrame) -> Forest:
     nodes, candidates = grow(affected, tops.where("n > 0"), config, scratch)
     scratch.drop(affected)
     return forest.with_(
-        nodes=scratch.write(kept.unionByName(nodes).coalesce(1), "model-nodes"),
+        nodes=scratch.write(kept.unionByName(nodes), "model-nodes"),
         candidates=scratch.write(kept_candidates.unionByName(candidates), "model-candidates"),
     )
 

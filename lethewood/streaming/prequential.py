@@ -33,17 +33,25 @@ def run_stream(model: UnlearningForest, stream: DataFrame, checkpoint: str) -> S
     )
 
 
+FILE_ROWS = 1000
+
+
 def sliced_source(
     spark: SparkSession, samples: DataFrame, cuts: list[int], folder: str
 ) -> DataFrame:
     """A file stream whose n-th micro-batch holds the positions of the n-th interval.
 
-    Slices are appended in order, one file each, so modification times follow positions.
+    Slices are appended in order, so modification times follow positions. Every slice is
+    range-partitioned into the same number of files, and a micro-batch takes that many.
     """
+    sizes = [high - low for low, high in zip(cuts[:-1], cuts[1:], strict=True)]
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    files = min(tasks, max(1, min(sizes) // FILE_ROWS))
     for low, high in zip(cuts[:-1], cuts[1:], strict=True):
-        slice_rows = samples.where((F.col("position") >= low) & (F.col("position") < high))
-        slice_rows.coalesce(1).write.mode("append").parquet(folder)
-    return spark.readStream.schema(samples.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        rows = samples.where((F.col("position") >= low) & (F.col("position") < high))
+        rows.repartitionByRange(files, "position").write.mode("append").parquet(folder)
+    reader = spark.readStream.schema(samples.schema).option("maxFilesPerTrigger", files)
+    return reader.parquet(folder)
 
 
 EMA_OLD, EMA_NEW, EMA_START = 0.8, 0.2, 0.5

@@ -168,6 +168,43 @@ def test_stream_with_budget_forgets_what_it_evicts(spark, tmp_path):
     assert reopened.registry_size() == 49
     assert M.node_difference(reopened.forest.nodes, model.forest.nodes).count() == 0
     reopened.record_influence_batch(reopened.buffer.selectExpr("sample_id", "-0.25D AS score"))
-    assert reopened.get_lifecycle_data().count() == 49
+    before = reopened.memory_mb()
+    reopened.counters.position += 1
+    reopened.record_influence_batch(reopened.buffer.selectExpr("sample_id", "0.5D AS score"))
+    assert reopened.memory_mb() * 2**20 == pytest.approx(before * 2**20 + 49 * 16)
+    life = reopened.get_lifecycle_data().first()
+    assert [h.score for h in life.influence_history] == [-0.25, 0.5]
+    assert life.influence_trend == pytest.approx(0.75) and life.rank_history is None
+    figures = reopened.get_registry_diagnostics().first()
+    assert figures.n_with_influence == 49 and figures.mean_influence == pytest.approx(0.5)
     reopened.reset()
     assert reopened.registry_size() == 0 and reopened.position() == 0
+
+
+def test_rebuild_arm_refits_from_the_buffer(spark, tmp_path):
+    """The model stays frozen until the interval, then equals one trained on the buffer."""
+    config = CONFIG.with_(
+        max_depth=2, budget_enabled=True, budget_max_samples=30, budget_rebuild_interval=40,
+        influence_update_interval=0,
+    )
+    model = UnlearningForest(spark, config, str(tmp_path))
+    first, second = make_rows(30, 5), make_rows(20, 6, 500)
+    model.stream_batch(table(spark, first))
+    assert model.forest.nodes.count() == 0
+    model.stream_batch(table(spark, second))
+    kept = {r.sample_id for r in model.buffer.collect()}
+    assert as_dict(model.forest) == brute_fit([r for r in first + second if r[0] in kept], config)
+
+
+def test_distance_scores_need_capacity_and_interval(spark, tmp_path):
+    config = CONFIG.with_(
+        max_depth=1, budget_enabled=True, budget_max_samples=40, budget_use_feature_distance=True,
+        feat_dist_update_interval=30, influence_update_interval=0,
+    )
+    model = UnlearningForest(spark, config, str(tmp_path))
+    model.stream_batch(table(spark, make_rows(25, 5)))
+    assert model.get_influence_coverage().first()["with_influence"] == 0
+    model.stream_batch(table(spark, make_rows(10, 6, 500)))
+    row = model.get_influence_coverage().first()
+    assert (row["with_influence"], row["total"]) == (25, 35)
+    assert model.buffer.where("influence > 0").count() == 0
