@@ -97,7 +97,7 @@ class UnlearningForest:
     def commit(self, version: int | None = None) -> None:
         """Make the current state a version that ``load`` can return to."""
         self.counters.version = self.counters.version + 1 if version is None else version
-        tables = {name: self.scratch.save(df, f"state-{name}") for name, df in self.tables.items()}
+        tables = {name: self.scratch.saved(df, f"state-{name}") for name, df in self.tables.items()}
         self.tables = {
             name: self.spark.read.schema(TABLE_SCHEMAS[name]).parquet(path)
             for name, path in tables.items()

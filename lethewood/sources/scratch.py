@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,6 +33,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, folder: str | None = None):
         self.spark = spark
         self.root = f"{folder or shared_folder(spark)}/run-{uuid.uuid4().hex}"
+        self._paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
@@ -43,7 +45,14 @@ class Scratch:
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         """Write once, read back with a known schema."""
-        return self.spark.read.schema(df.schema).parquet(self.save(df, name))
+        path = self.save(df, name)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        self._paths[table] = path
+        return table
+
+    def saved(self, df: DataFrame, name: str) -> str:
+        """Path of a table; one that ``write`` returned is not written again."""
+        return self._paths.get(df) or self.save(df, name)
 
     def drop(self, df: DataFrame) -> None:
         """Delete a table this run wrote, once nothing reads it any more."""

@@ -48,13 +48,13 @@ class SampleParts:
     def changed(
         self, version: int, scratch: Scratch, added: DataFrame | None, removed: DataFrame | None
     ) -> SampleParts:
+        """Append tables with (at least) the columns of the schema."""
         parts = self
-        columns = [c.split()[0] for c in self.schema.split(", ")]
         if added is not None:
-            path = scratch.save(added.select(*columns), "samples")
+            path = scratch.saved(added, "samples")
             parts = SampleParts(self.schema, (*parts.added, (version, path)), parts.removed)
         if removed is not None:
-            path = scratch.save(removed.select("sample_id"), "removed")
+            path = scratch.saved(removed, "removed")
             parts = SampleParts(self.schema, parts.added, (*parts.removed, (version, path)))
         if len(parts.added) + len(parts.removed) > COMPACT_PARTS:
             path = scratch.save(parts.live(scratch.spark), "samples")
