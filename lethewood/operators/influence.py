@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..config import RunConfig
 from ..plans.growth import Forest
+from ..sources.ordering import top_n
 from ..sources.scratch import Scratch
 from .scoring import predict, tree_votes
 from .selection import newest, uniform_subset
@@ -152,8 +153,11 @@ def all_influences(forest: Forest, tests: DataFrame, loss: bool = False) -> Data
 
 def harmful(influences: DataFrame, k: int | None = None) -> DataFrame:
     """Samples with negative influence, worst first."""
-    worst = influences.where(F.col("influence") < 0).orderBy("influence", "sample_id")
-    return worst if k is None else worst.limit(k)
+    negative = influences.where(F.col("influence") < 0)
+    order = [F.col("influence"), F.col("sample_id")]
+    if k is None:
+        return negative.orderBy(*order)
+    return top_n(negative, order, k, Scratch(influences.sparkSession))
 
 
 # Scores written into the buffer.

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .scratch import Scratch
 
 LOCAL_BITS = 33  # monotonically_increasing_id keeps the row number in the low 33 bits
-SMALL_TOP = 100_000
+SMALL_TOP = 1_000  # every task sends this many rows to the final one
 
 
 def _ranged(df: DataFrame, order: list[Column], scratch: Scratch) -> DataFrame:

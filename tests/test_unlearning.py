@@ -128,6 +128,9 @@ def test_influence_equals_pairs(spark, forest, rows, monkeypatch):
             outside = sum(v for t, v in votes[tid].items() if t not in trees) * 2 > 5 - len(trees)
             total += (inside == label) - (outside == label)
         assert got[sid] == pytest.approx(total / 30)
+    scores = influence.all_influences(forest, tests)
+    worst = [r.sample_id for r in influence.harmful(scores, 4).collect()]
+    assert worst == sorted((s for s in got if got[s] < 0), key=lambda s: (got[s], s))[:4]
 
 
 def test_no_out_of_bag_tree_gives_null(spark, rows):
