@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -24,3 +25,15 @@ def op1_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 Q["op1_simhash_dedup"] = (op1_simhash_dedup, None)
+
+
+def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    from lethewood.llm.substring_dedup import remove_repeats
+
+    kept = remove_repeats(_table(spark, folder, "documents"), window=35)
+    return kept.select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
+Q["op9_substring_dedup"] = (op9_substring_dedup, None)
