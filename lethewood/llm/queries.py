@@ -37,3 +37,142 @@ def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 Q["op9_substring_dedup"] = (op9_substring_dedup, None)
+
+
+def op7_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    from lethewood.llm.chat_format import format_conversations, loss_text, read_turns
+
+    tricky = "\\### Assistant: </turn> ok"
+    extra = spark.range(2).select(
+        F.lit(-7).cast("bigint").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(tricky).alias("text"),
+    )
+    turns = _table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    made = format_conversations(turns.unionByName(extra))
+    back = made.select(
+        "conv_id",
+        "valid",
+        "formatted",
+        read_turns(F.col("formatted")).alias("turns"),
+        loss_text(F.col("segments")).alias("trained"),
+    )
+    plain = F.concat_ws(
+        "", F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    )
+    return back.select(
+        "conv_id",
+        F.size("turns").cast("bigint").alias("n_turns"),
+        F.sha2(plain, 256).alias("turns_sha256"),
+        F.char_length("trained").cast("bigint").alias("loss_chars"),
+        F.sha2("trained", 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("bigint").alias("formatted_chars"),
+        "valid",
+    )
+
+
+Q["op7_chat_format"] = (
+    op7_chat_format,
+    r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+steps AS (
+  SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS before,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) AS from_end,
+    length(role) + length(text) AS chars,
+    length(role || text) - length(replace(replace(replace(replace(role || text, '\', ''), '#', ''), '<', ''), ':', '')) AS escaped
+  FROM turns)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(chars + escaped + 14) AS BIGINT) AS formatted_chars,
+  bool_and(CASE WHEN before IS NULL THEN role IN ('system', 'user')
+    WHEN before IN ('system', 'assistant') THEN role = 'user'
+    ELSE before = 'user' AND role = 'assistant' END)
+  AND bool_or(from_end = 1 AND role = 'assistant') AS valid
+FROM steps GROUP BY conv_id""",
+)
+
+
+_SITE = r"^(?:www|m|blog)\."
+
+
+def _page_captures(pages: DataFrame) -> DataFrame:
+    """The pages table has no fetch times; a page's id gives a day between 2020 and 2023."""
+    return pages.select(
+        "page_id", "url", F.expr("date_add(DATE'2020-01-01', CAST(page_id * 7919 % 1461 AS INT))").alias("fetched")
+    )
+
+
+def _site_entries(pages: DataFrame) -> DataFrame:
+    """A dated list derived from the sites in the pages table: spam and adult sites, and one in
+    five others; most are taken off again, and some of these put back."""
+    from lethewood.llm.url_filters import host
+
+    sites = (
+        pages.select(F.regexp_replace(host(F.col("url")), _SITE, "").alias("domain"))
+        .dropna()
+        .distinct()
+        .withColumn("draw", F.expr("CAST(conv(substr(md5(domain), 1, 8), 16, 10) AS BIGINT)"))
+        .withColumn(
+            "list",
+            F.expr("CASE WHEN domain LIKE '%spam%' THEN 'spam' WHEN domain LIKE '%adult%' THEN 'adult' WHEN draw % 5 = 0 THEN 'complaints' END"),
+        )
+        .where("list IS NOT NULL")
+    )
+    first = "DATE'2020-01-01'"
+    return sites.selectExpr(
+        "list",
+        "domain",
+        f"""inline(array_compact(array(
+            struct('add' AS action, date_add({first}, CAST(draw % 600 AS INT)) AS day),
+            IF(draw % 3 <> 0, struct('remove' AS action, date_add({first}, CAST(draw % 600 + 30 + draw % 301 AS INT)) AS day), NULL),
+            IF(draw % 3 = 1, struct('add' AS action, date_add({first}, CAST(draw % 600 + 230 + draw % 301 AS INT)) AS day), NULL))))""",
+    )
+
+
+def op2_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    from lethewood.llm.url_filters import filter_urls
+
+    pages = _table(spark, folder, "pages").select("page_id", "url")
+    judged = filter_urls(_page_captures(pages), _site_entries(pages))
+    return judged.select(
+        "page_id",
+        "host",
+        F.col("fetched").cast("string").alias("fetched"),
+        "blocked",
+        F.array_join(F.transform("matches", lambda m: F.concat_ws(":", m["list"], m["domain"])), ",").alias("matches"),
+    )
+
+
+Q["op2_url_filters"] = (
+    op2_url_filters,
+    r"""
+WITH captures AS (
+  SELECT page_id, url, DATE '2020-01-01' + CAST(page_id * 7919 % 1461 AS INTEGER) AS fetched,
+    nullif(rtrim(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '.'), '') AS host
+  FROM pages),
+sites AS (
+  SELECT domain, draw, CASE WHEN domain LIKE '%spam%' THEN 'spam' WHEN domain LIKE '%adult%' THEN 'adult'
+    WHEN draw % 5 = 0 THEN 'complaints' END AS list
+  FROM (SELECT domain, CAST('0x' || substr(md5(domain), 1, 8) AS BIGINT) AS draw
+        FROM (SELECT DISTINCT regexp_replace(host, '^(?:www|m|blog)\.', '') AS domain FROM captures WHERE host IS NOT NULL))),
+spans AS (
+  SELECT list, domain, DATE '2020-01-01' + CAST(draw % 600 AS INTEGER) AS since,
+    CASE WHEN draw % 3 <> 0 THEN DATE '2020-01-01' + CAST(draw % 600 + 30 + draw % 301 AS INTEGER) END AS until
+  FROM sites WHERE list IS NOT NULL
+  UNION ALL
+  SELECT list, domain, DATE '2020-01-01' + CAST(draw % 600 + 230 + draw % 301 AS INTEGER), NULL
+  FROM sites WHERE list IS NOT NULL AND draw % 3 = 1),
+found AS (
+  SELECT host, fetched, string_agg(DISTINCT list || ':' || domain, ',' ORDER BY list || ':' || domain) AS matches
+  FROM captures JOIN spans ON (host = domain OR ends_with(host, '.' || domain))
+    AND fetched >= since AND (until IS NULL OR fetched < until)
+  GROUP BY host, fetched)
+SELECT page_id, c.host, CAST(c.fetched AS VARCHAR) AS fetched, matches IS NOT NULL AS blocked, coalesce(matches, '') AS matches
+FROM captures c LEFT JOIN found f ON c.host = f.host AND c.fetched = f.fetched""",
+)
