@@ -176,3 +176,24 @@ found AS (
 SELECT page_id, c.host, CAST(c.fetched AS VARCHAR) AS fetched, matches IS NOT NULL AS blocked, coalesce(matches, '') AS matches
 FROM captures c LEFT JOIN found f ON c.host = f.host AND c.fetched = f.fetched""",
 )
+
+
+# Public vocabulary with log scores; a parameter, never copied into the repository.
+PIECES = "file:///opt/tokenizers/piece_bpe_32k.model"
+
+
+def op6_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    from lethewood.llm.sentencepiece import MARK, decode, encode
+
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    back = decode(encode(docs, PIECES), PIECES)
+    return back.select(
+        "doc_id",
+        F.size("token_ids").alias("n_tokens"),
+        "token_ids",
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.equal_null(F.col("decoded"), F.replace(F.coalesce("text", F.lit("")), F.lit(MARK), F.lit(" "))).alias("exact"),
+    )
+
+
+Q["op6_sentencepiece"] = (op6_sentencepiece, None)
