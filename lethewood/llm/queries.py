@@ -197,3 +197,21 @@ def op6_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
 
 
 Q["op6_sentencepiece"] = (op6_sentencepiece, None)
+
+
+def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    from lethewood.llm import toxicity
+
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    labelled = toxicity.labelled_rows(docs, _table(spark, folder, "labels").where(~held_out))
+    scored = toxicity.score_documents(docs, toxicity.train(labelled), score_col="score")
+    return scored.select(
+        "doc_id",
+        held_out.alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
+Q["op3_toxicity"] = (op3_toxicity, None)
