@@ -215,3 +215,12 @@ def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 Q["op3_toxicity"] = (op3_toxicity, None)
+
+
+def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    from lethewood.llm.leak_search import find_leaks
+
+    return find_leaks(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
+Q["op5_decontamination"] = (op5_decontamination, None)
