@@ -204,8 +204,8 @@ def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
     docs = _table(spark, folder, "documents").select("doc_id", "text")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
-    labelled = toxicity.labelled_rows(docs, _table(spark, folder, "labels").where(~held_out))
-    scored = toxicity.score_documents(docs, toxicity.train(labelled), score_col="score")
+    model = toxicity.train(docs, _table(spark, folder, "labels").where(~held_out))
+    scored = toxicity.score_documents(docs, model, score_col="score")
     return scored.select(
         "doc_id",
         held_out.alias("held_out"),
@@ -224,3 +224,13 @@ def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 
 Q["op5_decontamination"] = (op5_decontamination, None)
+
+
+def op4_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    from lethewood.llm.ann import nearest
+
+    vectors = _table(spark, folder, "embeddings").select("vec_id", "embedding")
+    return nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0))
+
+
+Q["op4_nearest_neighbours"] = (op4_nearest_neighbours, None)

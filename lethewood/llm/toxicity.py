@@ -287,18 +287,33 @@ def _cover(holding: dict[bytes, set[int]], gain: Callable[[bytes, set[int]], flo
     return chosen
 
 
-def train(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """``labelled``: (text, label 0/1). At most ``sample_rows`` rows, in the order of a hash of
-    the text, teach the units and weights; null labels are ignored. Without rows the model has
-    the seed lists and prior weights."""
-    scratch = Scratch(labelled.sparkSession)
-    sample = scratch.write(
-        labelled.where("label IS NOT NULL").select("text", F.col("label").cast("int").alias("label"))
-        .orderBy(F.xxhash64("text"), "label")
+def labelled_sample(docs: DataFrame, labels: DataFrame, sample_rows: int) -> DataFrame:
+    """(text, label) of at most ``sample_rows`` labelled documents, one row per id. The ids are
+    drawn first, in the order of their hash; being few, they go to the documents, so that no
+    other text is moved. Of repeated labels of an id the largest counts, of repeated documents
+    the smallest text. Null ids and labels are left out."""
+    drawn = (
+        labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL")
+        .groupBy("doc_id")
+        .agg(F.max("toxic").cast("int").alias("label"))
+        .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(sample_rows)
-        .repartition(16),
-        "labelled",
     )
+    return (
+        docs.select("doc_id", "text")
+        .join(F.broadcast(drawn), "doc_id")
+        .groupBy("doc_id", "label")
+        .agg(F.min("text").alias("text"))
+        .select("text", "label")
+    )
+
+
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
+    """``docs``: (doc_id, text); ``labels``: (doc_id, toxic 0/1). At most ``sample_rows``
+    labelled rows teach the units and weights. Without any, the model has the seed lists and
+    prior weights."""
+    scratch = Scratch(docs.sparkSession)
+    sample = scratch.write(labelled_sample(docs, labels, sample_rows).repartition(16), "labelled")
     grammar = Grammar(_learn_units(sample))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -331,9 +346,3 @@ def score_documents(
 
     return docs.withColumn(score_col, score(F.coalesce(F.col(text_col), F.lit(""))))
 
-
-def labelled_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, text, label) of the documents that ``labels`` marks; repeated labels of one id
-    count as toxic if one of them does. Ids that are null join nothing."""
-    marks = labels.groupBy("doc_id").agg(F.max("toxic").alias("label"))
-    return docs.select("doc_id", "text").join(marks, "doc_id")
