@@ -234,3 +234,12 @@ def op4_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
 
 
 Q["op4_nearest_neighbours"] = (op4_nearest_neighbours, None)
+
+
+def op8_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    from lethewood.llm.secret_scan import scan
+
+    return scan(_table(spark, folder, "documents")).withColumnRenamed("path", "source")
+
+
+Q["op8_secret_scan"] = (op8_secret_scan, None)
