@@ -5,7 +5,8 @@ any store the cluster reaches. Encoding marks spaces with U+2581, adds one marke
 and takes the segmentation with the largest sum of scores; a character that no piece covers
 is spelled out in byte pieces. No piece has a marker after another character (checked when
 the file is read), so the best segmentation of a text is the concatenation of the best ones of
-its marked words, and a word seen before is not segmented again.
+its marked words. The distinct words of a batch of texts are searched together, position by
+position, in arrays.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
@@ -24,8 +26,10 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNKNOWN_PENALTY = 10.0
 UNKNOWN_SURFACE = " ⁇ "
-CACHED_WORDS = 200_000
-_TERMINAL = 0
+# Words up to these numbers of bytes are searched together; longer ones one by one.
+WIDTHS = (6, 10, 16, 24, 40, 64)
+BATCH_CHARS = 8_000_000
+_END = -1
 # Name of the copied input column on its way to the tasks; it never leaves them.
 _SPARE = "\u2581input"
 
@@ -77,22 +81,25 @@ class Vocabulary:
 
 
 class DoubleArray:
-    """A double-array trie over bytes. The child of node n for code c is ``base[n] + c``, and is
-    n's own if ``check`` there says n; code 0 ends a key, codes 1 to 256 are bytes."""
+    """A double-array trie over bytes. The child of node n for byte b is ``base[n] + b``, and is
+    n's own if ``check`` there says n. ``value`` is the key's number where one ends, else -1."""
 
     def __init__(self, keys: dict[bytes, int]):
         trie: dict = {}
-        for key, value in keys.items():
+        for key, number in keys.items():
             node = trie
             for octet in key:
-                node = node.setdefault(octet + 1, {})
-            node[_TERMINAL] = value
-        self.base, self.check = [0], [0]
+                node = node.setdefault(octet, {})
+            node[_END] = number
+        self.base, self.check, self.value = [0], [-1], [-1]
         taken = {0}
-        free = 1
+        free = 256  # whatever its byte, some node's child can be put here or further on
         queue = [(0, trie)]
         for index, children in queue:
+            self.value[index] = children.pop(_END, -1)
             codes = sorted(children)
+            if not codes:
+                continue
             while free in taken:
                 free += 1
             start = max(1, free - codes[0])
@@ -102,27 +109,14 @@ class DoubleArray:
             if missing > 0:
                 self.base.extend([0] * missing)
                 self.check.extend([-1] * missing)
+                self.value.extend([-1] * missing)
             self.base[index] = start
             for code in codes:
                 taken.add(start + code)
                 self.check[start + code] = index
-                if code == _TERMINAL:
-                    self.base[start] = -children[code] - 1
-                else:
-                    queue.append((start + code, children[code]))
-
-    def prefixes(self, text: bytes, start: int) -> Iterator[tuple[int, int]]:
-        """(end, value) of every key that begins at ``start``, shortest first."""
-        base, check, size = self.base, self.check, len(self.base)
-        node = 0
-        for at in range(start, len(text)):
-            child = base[node] + text[at] + 1
-            if child >= size or check[child] != node:
-                return
-            node = child
-            last = base[node]
-            if last < size and check[last] == node and base[last] < 0:
-                yield at + 1, -base[last] - 1
+                queue.append((start + code, children[code]))
+        # Every look-up of a child stays inside the arrays.
+        self.check.extend([-1] * 256)
 
 
 class Tokenizer:
@@ -148,37 +142,47 @@ class Tokenizer:
             else piece.replace(MARK, " ").encode()
             for piece, kind in zip(vocabulary.pieces, vocabulary.kinds, strict=True)
         ]
-        self._cache: dict[str, bytes] = {}
+        self._numpy: tuple[np.ndarray, ...] | None = None
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_cache": {}}
+        return self.__dict__ | {"_numpy": None}
 
     def segment(self, marked: str) -> list[int]:
         """Ids of the best segmentation of one marked word; of equal ones, the first found
         from left to right."""
         text = marked.encode()
         size = len(text)
+        base, check, value, scores = self.trie.base, self.trie.check, self.trie.value, self.scores
         best: list[float | None] = [None] * (size + 1)
-        back = [(0, -1)] * (size + 1)
+        begin, chosen = [0] * (size + 1), [-1] * (size + 1)
         best[0] = 0.0
         at = 0
-        for char in marked:
-            here, width = best[at], len(char.encode())
+        while at < size:
+            here, lead = best[at], text[at]
+            width = 1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
             single = False
-            for end, piece in self.trie.prefixes(text, at):
-                score = here + self.scores[piece]
-                if best[end] is None or score > best[end]:
-                    best[end], back[end] = score, (at, piece)
-                single |= end == at + width
+            node, end = 0, at
+            while end < size:
+                child = base[node] + text[end]
+                if check[child] != node:
+                    break
+                node = child
+                end += 1
+                piece = value[node]
+                if piece >= 0:
+                    score = here + scores[piece]
+                    if best[end] is None or score > best[end]:
+                        best[end], begin[end], chosen[end] = score, at, piece
+                    single |= end == at + width
             if not single:
                 end, score = at + width, here + self.unknown_score
                 if best[end] is None or score > best[end]:
-                    best[end], back[end] = score, (at, -1)
+                    best[end], begin[end], chosen[end] = score, at, -1
             at += width
         ids: list[int] = []
         end = size
         while end:
-            start, piece = back[end]
+            start, piece = begin[end], chosen[end]
             if piece >= 0:
                 ids.append(piece)
             else:
@@ -187,32 +191,131 @@ class Tokenizer:
             end = start
         return ids[::-1]
 
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian 32-bit integers."""
-        if not text:
-            return b""
-        cache, out, gap = self._cache, [], 0
-        for word in text.replace(" ", MARK).split(MARK):
-            if not word:
-                gap += 1
-                continue
-            if gap:
-                word, gap = MARK * gap + word, 0
-            known = cache.get(word)
-            if known is None:
-                if len(cache) >= CACHED_WORDS:
-                    cache.clear()
-                known = cache[word] = np.array(self.segment(MARK + word), "<i4").tobytes()
-            out.append(known)
-        if gap:
-            out.append(np.array(self.segment(MARK * gap), "<i4").tobytes())
-        return b"".join(out)
+    def segment_all(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """``segment`` for many marked words: (numbers of ids, all ids in word order)."""
+        blobs = [word.encode() for word in words]
+        sizes = np.fromiter(map(len, blobs), np.int64, len(blobs))
+        counts = np.zeros(len(words), np.int64)
+        owners: list[np.ndarray] = []
+        places: list[np.ndarray] = []
+        values: list[np.ndarray] = []
+        low = 0
+        for high in WIDTHS:
+            some = np.flatnonzero((sizes > low) & (sizes <= high))
+            low = high
+            for at in range(0, len(some), 1 << 15):
+                part = some[at : at + (1 << 15)]
+                owner, place, value = self._lockstep([blobs[i] for i in part], sizes[part])
+                owners.append(part[owner])
+                places.append(place)
+                values.append(value)
+        for i in np.flatnonzero(sizes > low):
+            ids = self.segment(words[i])
+            owners.append(np.full(len(ids), i))
+            places.append(np.arange(len(ids)))
+            values.append(np.array(ids, np.int64))
+        if not owners:
+            return counts, np.empty(0, np.int32)
+        owner, place, value = (np.concatenate(part) for part in (owners, places, values))
+        order = np.lexsort((place, owner))
+        return np.bincount(owner, minlength=len(words)), value[order].astype(np.int32)
+
+    def _lockstep(self, blobs: list[bytes], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The search of ``segment`` for words of similar length at once: (word, place, id)."""
+        base, check, value, scores = self._arrays()
+        width = int(sizes.max())
+        text = np.zeros((len(blobs), width), np.int64)
+        text[np.arange(width) < sizes[:, None]] = np.frombuffer(b"".join(blobs), np.uint8)
+        best = np.full((len(blobs), width + 1), -np.inf)
+        best[:, 0] = 0.0
+        begin = np.zeros((len(blobs), width + 1), np.int64)
+        chosen = np.full((len(blobs), width + 1), -1)
+
+        def offer(rows: np.ndarray, end: np.ndarray | int, score: np.ndarray, at: int, piece: np.ndarray | int) -> None:
+            better = score > best[rows, end]
+            rows = rows[better]
+            end = end[better] if isinstance(end, np.ndarray) else end
+            best[rows, end], begin[rows, end] = score[better], at
+            chosen[rows, end] = piece[better] if isinstance(piece, np.ndarray) else piece
+
+        for at in range(width):
+            lead = text[:, at]
+            rows = np.flatnonzero((at < sizes) & ((lead & 0xC0) != 0x80))
+            here, lead = best[rows, at], lead[rows]
+            long = 1 + (lead >= 0xC0) + (lead >= 0xE0) + (lead >= 0xF0)
+            single = np.zeros(len(rows), bool)
+            live, node = np.arange(len(rows)), np.zeros(len(rows), np.int64)
+            for end in range(at, width):
+                child = base[node] + text[rows[live], end]
+                found = (check[child] == node) & (end < sizes[rows[live]])
+                live, node = live[found], child[found]
+                if not len(live):
+                    break
+                piece = value[node]
+                hit = np.flatnonzero(piece >= 0)
+                at_hit, piece = live[hit], piece[hit]
+                offer(rows[at_hit], end + 1, here[at_hit] + scores[piece], at, piece)
+                single[at_hit] |= long[at_hit] == end + 1 - at
+            alone = np.flatnonzero(~single)
+            offer(rows[alone], at + long[alone], here[alone] + self.unknown_score, at, -1)
+
+        rows, end = np.arange(len(blobs)), sizes.copy()
+        steps: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        while len(rows):
+            start, piece = begin[rows, end], chosen[rows, end]
+            known = piece >= 0
+            steps.append((rows[known], start[known], piece[known]))
+            for row, first, last in zip(rows[~known], start[~known], end[~known], strict=True):
+                spelled = [self.byte_ids[b] for b in blobs[row][first:last]]
+                ids = np.array([self.unknown_id] if None in spelled else spelled)
+                steps.append((np.full(len(ids), row), first + np.arange(len(ids)), ids))
+            rows, end = rows[start > 0], start[start > 0]
+        return tuple(np.concatenate(part) for part in zip(*steps, strict=True))
+
+    def _arrays(self) -> tuple[np.ndarray, ...]:
+        if self._numpy is None:
+            trie = self.trie
+            self._numpy = tuple(np.array(a) for a in (trie.base, trie.check, trie.value, self.scores))
+        return self._numpy
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of ids, all ids in text order). Every distinct word is segmented once."""
+        number: dict[str, int] = {}
+        which: list[int] = []
+        sizes: list[int] = []
+        for text in texts:
+            words = (MARK + text).replace(" ", MARK).split(MARK)[1:] if text else []
+            if "" in words:
+                words = _join_gaps(words)
+            which.extend([number.setdefault(word, len(number)) for word in words])
+            sizes.append(len(words))
+        counts, ids = self.segment_all([MARK + word for word in number])
+        index = np.array(which, np.int64)
+        lengths = counts[index]
+        starts = np.cumsum(counts) - counts
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        take = np.repeat(starts[index] - ends[:-1], lengths) + np.arange(ends[-1])
+        borders = ends[np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]).astype(np.int64)]
+        return np.diff(borders), ids[take]
 
     def decode(self, ids: list[int]) -> str:
         text = b"".join(map(self.surfaces.__getitem__, ids)).decode(errors="replace")
         return text[1:] if text.startswith(" ") else text
 
 
+def _join_gaps(words: list[str]) -> list[str]:
+    """Several spaces in a row: all their markers go to the word behind them, or, at the end
+    of the text, stand alone. A word comes without its first marker."""
+    out, gap = [], 0
+    for word in words:
+        if word:
+            out.append(MARK * gap + word)
+            gap = 0
+        else:
+            gap += 1
+    return [*out, MARK * (gap - 1)] if gap else out
+
+
 def _shared(spark: SparkSession, path: str):
     return spark.sparkContext.broadcast(Tokenizer(Vocabulary.load(spark, path)))
 
@@ -224,15 +327,19 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "t
     kept = docs.drop(ids_col)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = [tokenizer.value.encode(t.as_py() or "") for t in batch.column(batch.num_columns - 1)]
-            offsets = np.zeros(len(ids) + 1, np.int32)
-            np.cumsum([len(i) // 4 for i in ids], out=offsets[1:])
-            values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.ListArray.from_arrays(pa.array(offsets), values)],
-                names=[*batch.schema.names[:-1], ids_col],
-            )
+        for whole in batches:
+            texts = whole.column(whole.num_columns - 1)
+            sizes = np.cumsum(pa.compute.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False))
+            cuts = np.searchsorted(sizes, np.arange(BATCH_CHARS, sizes[-1] if len(sizes) else 0, BATCH_CHARS))
+            for low, high in zip([0, *cuts], [*cuts, len(sizes)], strict=True):
+                if low < high:
+                    batch = whole.slice(low, high - low)
+                    counts, ids = tokenizer.value.encode(batch.column(batch.num_columns - 1).to_pylist())
+                    offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+                    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))
+                    yield pa.RecordBatch.from_arrays(
+                        [*batch.columns[:-1], lists], names=[*batch.schema.names[:-1], ids_col]
+                    )
 
     out = StructType([*kept.schema.fields, StructField(ids_col, ArrayType(IntegerType()))])
     return kept.withColumn(_SPARE, F.col(text_col)).mapInArrow(scan, out)
