@@ -243,3 +243,14 @@ def op8_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 Q["op8_secret_scan"] = (op8_secret_scan, None)
+
+
+def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    from lethewood.llm.quality_lm import classify
+
+    docs = _table(spark, folder, "documents").select("doc_id", "lang", "text")
+    trusted = _table(spark, folder, "labels").where("quality = 1").select("doc_id")
+    return classify(docs, trusted)
+
+
+Q["op10_quality_classifier"] = (op10_quality_classifier, None)
