@@ -174,7 +174,7 @@ _RESULT = "doc_id bigint, item_id bigint, similarity double, first_word int, n_w
 
 
 def _pass(docs: DataFrame, items: list[tuple[int, str]], least: float, radius: int) -> DataFrame:
-    index = docs.sparkSession.sparkContext.broadcast(Index(items, least, radius))
+    index = Index(items, least, radius)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int | None, list[bytes]]] = []
@@ -183,7 +183,7 @@ def _pass(docs: DataFrame, items: list[tuple[int, str]], least: float, radius: i
         def settle() -> Iterator[pa.RecordBatch]:
             words = _hashes([w for _, ws in held for w in ws])
             first = np.cumsum([0, *(len(ws) for _, ws in held)])
-            found = index.value.matches(words, first) if len(words) else {}
+            found = index.matches(words, first) if len(words) else {}
             if found:
                 rows = [(held[doc][0], item, *rest) for (doc, item), rest in sorted(found.items())]
                 kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.int32()]
@@ -205,6 +205,20 @@ def _pass(docs: DataFrame, items: list[tuple[int, str]], least: float, radius: i
     return docs.mapInArrow(scan, _RESULT)
 
 
+def _groups(benchmark: DataFrame, group_words: int) -> Iterator[list[tuple[int, str]]]:
+    """The items, group by group; the hash of an item deals them out evenly."""
+    words = benchmark.agg(F.sum(F.length("text") / 4)).first()[0] or 0
+    groups = int(words // group_words) + 1
+    items = benchmark.select(
+        F.col("item_id").cast("bigint").alias("item_id"),
+        "text",
+        F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)).alias("part"),
+    ).dropna(subset=["text"])
+    for part in range(groups):
+        rows = items.where(F.col("part") == part).select("item_id", "text").collect()
+        yield sorted((tuple(r) for r in rows), key=lambda r: (r[0] is None, *map(str, r)))
+
+
 def find_leaks(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -222,18 +236,37 @@ def find_leaks(
     documents and items match each on their own. An empty benchmark gives no rows.
     """
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    # Groups of items hold about ``group_words`` words; the hash deals them out evenly.
-    size = F.length("text") / 4
-    words = benchmark.agg(F.sum(size)).first()[0] or 0
-    groups = int(words // group_words) + 1
-    items = benchmark.select(
-        F.col("item_id").cast("bigint").alias("item_id"),
-        "text",
-        F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)).alias("part"),
-    ).dropna(subset=["text"])
     found: DataFrame | None = None
-    for part in range(groups):
-        rows = items.where(F.col("part") == part).select("item_id", "text").collect()
-        some = _pass(texts, sorted((tuple(r) for r in rows), key=lambda r: (r[0] is None, *map(str, r))), least, radius)
+    for items in _groups(benchmark, group_words):
+        some = _pass(texts, items, least, radius)
         found = some if found is None else found.unionByName(some)
     return found
+
+
+def drop_leaks(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    text_col: str = "text",
+    least: float = SIMILARITY,
+    radius: int = RADIUS,
+    group_words: int = GROUP_WORDS,
+) -> DataFrame:
+    """The rows of ``docs`` whose text matches no benchmark item, in one narrow pass for each
+    group of items. Columns are unchanged; null and empty texts stay."""
+    for items in _groups(benchmark, group_words):
+        index = Index(items, least, radius)
+        at = docs.columns.index(text_col)
+
+        def clean(batches: Iterator[pa.RecordBatch], index=index, at=at) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for low in range(0, whole.num_rows, 1000):
+                    batch = whole.slice(low, 1000)
+                    words = [words_of(text.as_py()) for text in batch.column(at)]
+                    first = np.cumsum([0, *map(len, words)])
+                    found = index.matches(_hashes([w for ws in words for w in ws]), first) if first[-1] else {}
+                    keep = np.ones(batch.num_rows, bool)
+                    keep[[doc for doc, _ in found]] = False
+                    yield batch.filter(pa.array(keep))
+
+        docs = docs.mapInArrow(clean, docs.schema)
+    return docs

@@ -204,20 +204,19 @@ def _shards(levels: list[Level]) -> Iterator[tuple[list, set[int] | None]]:
 def losses(docs: DataFrame, levels: list[Level], order: int) -> DataFrame:
     """(doc_id, lang, n_bytes, loss): negative log likelihood of each text. ``docs`` has doc_id,
     lang and text."""
-    spark = docs.sparkSession
     kinds = dict(docs.dtypes)
     schema = f"doc_id {kinds['doc_id']}, lang {kinds['lang']}, row bigint, n_bytes bigint, loss double"
     passes: list[DataFrame] = []
     for tables, last in _shards(levels):
-        shared = spark.sparkContext.broadcast(Shard(tables, last))
+        shard = Shard(tables, last)
 
-        def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def scan(batches: Iterator[pa.RecordBatch], shard=shard) -> Iterator[pa.RecordBatch]:
             for whole in batches:
                 for at in range(0, whole.num_rows, 500):
                     batch = whole.slice(at, 500)
                     texts = batch.column(3).to_pylist()
                     data, real, owner = _padded(texts, order)
-                    sums = shared.value.log_sums(data, real, owner, len(texts))
+                    sums = shard.log_sums(data, real, owner, len(texts))
                     sizes = np.bincount(owner, real, len(texts)).astype(np.int64)
                     yield pa.RecordBatch.from_arrays(
                         [*batch.columns[:3], pa.array(sizes), pa.array(-sums)],

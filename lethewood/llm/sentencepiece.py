@@ -316,14 +316,10 @@ def _join_gaps(words: list[str]) -> list[str]:
     return [*out, MARK * (gap - 1)] if gap else out
 
 
-def _shared(spark: SparkSession, path: str):
-    return spark.sparkContext.broadcast(Tokenizer(Vocabulary.load(spark, path)))
-
-
 def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "token_ids") -> DataFrame:
     """``docs`` with ``ids_col`` array<int>: the ids of every text. Null and empty texts have no
     ids. Rows keep all their other columns; a column named like ``ids_col`` is replaced."""
-    tokenizer = _shared(docs.sparkSession, path)
+    tokenizer = Tokenizer(Vocabulary.load(docs.sparkSession, path))
     kept = docs.drop(ids_col)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -334,7 +330,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "t
             for low, high in zip([0, *cuts], [*cuts, len(sizes)], strict=True):
                 if low < high:
                     batch = whole.slice(low, high - low)
-                    counts, ids = tokenizer.value.encode(batch.column(batch.num_columns - 1).to_pylist())
+                    counts, ids = tokenizer.encode(batch.column(batch.num_columns - 1).to_pylist())
                     offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
                     lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))
                     yield pa.RecordBatch.from_arrays(
@@ -349,7 +345,7 @@ def decode(tokens: DataFrame, path: str, ids_col: str = "token_ids", text_col: s
     """``tokens`` with ``text_col``: the text its ids stand for. Null or no ids: an empty text.
     Bytes that are not UTF-8 become U+FFFD. Other columns are kept; one named like
     ``text_col`` is replaced."""
-    tokenizer = _shared(tokens.sparkSession, path)
+    tokenizer = Tokenizer(Vocabulary.load(tokens.sparkSession, path))
     kept = tokens.drop(text_col)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -358,7 +354,7 @@ def decode(tokens: DataFrame, path: str, ids_col: str = "token_ids", text_col: s
             flat = lists.flatten().to_numpy(zero_copy_only=False)
             ends = np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
             texts = [
-                tokenizer.value.decode(flat[start:end].tolist())
+                tokenizer.decode(flat[start:end].tolist())
                 for start, end in zip([0, *ends[:-1]], ends, strict=True)
             ]
             yield pa.RecordBatch.from_arrays(

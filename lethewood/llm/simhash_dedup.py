@@ -12,6 +12,7 @@ links are made distinct and their distance is checked again, and components foll
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lethewood.llm.graph import connected_components
+from lethewood.llm.rolling import Rolling, mix
 from lethewood.sources.scratch import Scratch
 
 SEED = 42
@@ -69,18 +71,21 @@ def _flip(value: Column, bit: Column) -> Column:
     return value.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), bit))
 
 
-def close_pairs(fps: DataFrame) -> DataFrame:
-    """Links (u, v) among the distinct fingerprints in ``fp``: enough of the pairs at distance
-    1 or 2 that components of the links are components of all such pairs."""
+def close_pairs(fps: DataFrame, bits: int = BITS) -> DataFrame:
+    """Links (table, u, v) among the distinct fingerprints in (table, fp), of ``bits`` bits:
+    enough of the pairs at distance 1 or 2 within a table that components of the links are
+    components of all such pairs."""
     one = F.lit(1).cast("bigint")
-    variants = fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(BITS))).alias("bit")).select(
-        F.when(F.col("bit") < BITS, _flip(F.col("fp"), F.col("bit"))).otherwise(F.col("fp")).alias("variant"),
-        F.when(F.col("bit") < BITS, F.call_function("shiftleft", one, F.col("bit")))
+    flips = F.explode(F.sequence(F.lit(0), F.lit(bits))).alias("bit")
+    variants = fps.select("table", "fp", flips).select(
+        "table",
+        F.when(F.col("bit") < bits, _flip(F.col("fp"), F.col("bit"))).otherwise(F.col("fp")).alias("variant"),
+        F.when(F.col("bit") < bits, F.call_function("shiftleft", one, F.col("bit")))
         .otherwise(F.lit(0).cast("bigint"))
         .alias("flipped"),
     )
     groups = (
-        variants.groupBy("variant")
+        variants.groupBy("table", "variant")
         .agg(
             F.bit_or("flipped").alias("mask"),
             F.max((F.col("flipped") == 0).cast("int")).alias("itself"),
@@ -88,7 +93,7 @@ def close_pairs(fps: DataFrame) -> DataFrame:
         .where(F.bit_count("mask") + F.col("itself") >= 2)
     )
     flipped = F.filter(
-        F.sequence(F.lit(0), F.lit(BITS - 1)),
+        F.sequence(F.lit(0), F.lit(bits - 1)),
         lambda i: F.call_function("shiftright", F.col("mask"), i).bitwiseAND(one) == 1,
     )
     members = F.concat(
@@ -96,8 +101,8 @@ def close_pairs(fps: DataFrame) -> DataFrame:
         F.when(F.col("itself") == 1, F.array("variant")).otherwise(F.array().cast("array<bigint>")),
     )
     return (
-        groups.select(members.alias("members"))
-        .select(F.array_min("members").alias("u"), F.explode("members").alias("v"))
+        groups.select("table", members.alias("members"))
+        .select("table", F.array_min("members").alias("u"), F.explode("members").alias("v"))
         .where("u <> v")
         .distinct()
         .where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= 2)
@@ -118,7 +123,8 @@ def near_duplicates(
     scratch = Scratch(docs.sparkSession)
     rows = scratch.write(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     distinct = scratch.write(rows.groupBy("fp").agg(F.min("id").alias("first_id")), "distinct")
-    labels = connected_components(close_pairs(distinct), scratch).withColumnRenamed("node", "fp")
+    links = close_pairs(distinct.withColumn("table", F.lit(0)))
+    labels = connected_components(links, scratch).withColumnRenamed("node", "fp")
     smallest = labels.join(distinct, "fp").groupBy("label").agg(F.min("first_id").alias("reach"))
     reach = scratch.write(
         distinct.join(labels.join(smallest, "label").select("fp", "reach"), "fp", "left").select(
@@ -132,3 +138,146 @@ def near_duplicates(
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
         "component_id",
     )
+
+
+# Signatures for similarity: lanes of 64 majority bits, read in slices.
+LANES = 6
+SLICES = 12
+
+
+def signatures(texts: list[str | None], shingle: int) -> np.ndarray:
+    """``LANES`` majority fingerprints of each text (texts x lanes), every lane from its own
+    scrambling of the hashes of the distinct shingles. Words as in ``fingerprint``; a text of fewer words than a
+    shingle has one shingle, one without words has all bits zero."""
+    out = np.zeros((len(texts), LANES), np.uint64)
+    words = [text.encode().lower().split() if text else [] for text in texts]
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    if not sizes.sum():
+        return out
+    hashes = np.fromiter((xxhash.xxh64_intdigest(w) for ws in words for w in ws), np.uint64, sizes.sum())
+    starts = np.cumsum(sizes) - sizes
+    rolling = Rolling(hashes).windows(shingle)
+    owner = np.repeat(np.arange(len(sizes)), sizes)[: len(rolling)]
+    inside = (starts + sizes)[owner] - np.arange(len(rolling)) >= shingle
+    short = np.flatnonzero((sizes > 0) & (sizes < shingle))
+    owner = np.concatenate([owner[inside], short])
+    whole = [Rolling(hashes[starts[i] : starts[i] + sizes[i]]).windows(int(sizes[i]))[0] for i in short]
+    shingles = np.concatenate([rolling[inside], np.array(whole, np.uint64)])
+    order = np.lexsort((shingles, owner))
+    owner, shingles = owner[order], shingles[order]
+    new = np.concatenate([[True], (np.diff(owner) != 0) | (np.diff(shingles) != 0)])
+    owner, shingles = owner[new], shingles[new]
+    first = np.flatnonzero(np.diff(owner, prepend=-1))
+    total = np.diff(np.append(first, len(owner)))
+    for lane in range(LANES):
+        octets = mix(shingles + np.uint64(lane + 1)).view(np.uint8).reshape(-1, 8)
+        bits = np.unpackbits(octets, axis=1, bitorder="little")
+        ones = np.add.reduceat(bits, first, axis=0, dtype=np.int32)
+        packed = np.packbits(ones * 2 > total[:, None], axis=1, bitorder="little")
+        out[owner[first], lane] = packed.view(np.uint64)[:, 0]
+    return out
+
+
+def slice_bits(texts: int) -> int:
+    """Bits of a slice: enough that random texts seldom meet (about one in 2 ** 8 texts does),
+    and 32 at most, the width that fits ``SLICES`` slices into the lanes."""
+    return min(LANES * BITS // SLICES, max(20, math.ceil(math.log2(max(2, texts))) + 8))
+
+
+def most_bits(similarity: float) -> int:
+    """Signature bits in which texts of this shingle similarity may differ: the expected share
+    acos(cosine) / pi and one standard deviation."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    bits = LANES * BITS
+    return int(share * bits + math.sqrt(bits * share * (1 - share)))
+
+
+def similar_groups(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    shingle: int = 5,
+    similarity: float = 0.8,
+) -> DataFrame:
+    """(text_hash, text_size, component): groups of texts with a shingle similarity of about
+    ``similarity`` or more. Distinct texts are compared by slices of a long signature; each
+    slice is searched with ball hashing, and a pair that meets in any slice is verified by its
+    whole signature. ``component`` identifies the group.
+
+    Two texts at the similarity meet with a probability over 0.95 (12 slices of 26 bits), more
+    alike ones nearly always; the signature's error is about 0.02 in similarity. All empty and
+    null texts are one text. Null and repeated ids do not matter here.
+    """
+    scratch = Scratch(docs.sparkSession)
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
+                lanes = signatures(batch.column(2).to_pylist(), shingle).view(np.int64)
+                columns = [pa.array(np.ascontiguousarray(lanes[:, lane])) for lane in range(LANES)]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), batch.column(1), *columns],
+                    names=["text_hash", "text_size", *(f"s{lane}" for lane in range(LANES))],
+                )
+
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    source = docs.select(F.xxhash64(text).alias("text_hash"), F.octet_length(text).alias("text_size"), text.alias("text"))
+    lanes = [f"s{lane}" for lane in range(LANES)]
+    schema = "text_hash bigint, text_size int, " + ", ".join(f"{lane} bigint" for lane in lanes)
+    signed = scratch.write(source.mapInArrow(sign, schema), "signed")
+    # Nodes are texts; one 64-bit number stands for (hash, size).
+    nodes = scratch.write(
+        signed.distinct().withColumn("node", F.xxhash64("text_hash", "text_size")), "nodes"
+    )
+    bits = slice_bits(nodes.count())
+    per_lane = SLICES // LANES
+    mask = F.lit((1 << bits) - 1)
+    slices = F.array(
+        *(
+            F.struct(
+                F.lit(lane * per_lane + part).alias("table"),
+                F.call_function("shiftrightunsigned", F.col(name), F.lit(part * 32)).bitwiseAND(mask).alias("fp"),
+            )
+            for lane, name in enumerate(lanes)
+            for part in range(per_lane)
+        )
+    )
+    cut = nodes.select("node", F.inline(slices))
+    firsts = scratch.write(cut.groupBy("table", "fp").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")), "firsts")
+    # Candidates: texts with one fingerprint, and fingerprints within the radius.
+    equal = cut.join(firsts.where("n > 1"), ["table", "fp"]).select(F.col("first").alias("u"), F.col("node").alias("v"))
+    pairs = close_pairs(firsts.select("table", "fp"), bits)
+    left = firsts.select("table", F.col("fp").alias("u"), F.col("first").alias("a"))
+    right = firsts.select("table", F.col("fp").alias("v"), F.col("first").alias("b"))
+    near = pairs.join(left, ["table", "u"]).join(right, ["table", "v"]).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    candidates = equal.union(near).where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    ends = [nodes.select(F.col("node").alias(end), *(F.col(name).alias(f"{end}_{name}") for name in lanes)) for end in "uv"]
+    apart = sum(F.bit_count(F.col(f"u_{name}").bitwiseXOR(F.col(f"v_{name}"))) for name in lanes)
+    links = candidates.join(ends[0], "u").join(ends[1], "v").where(apart <= most_bits(similarity)).select("u", "v")
+    labels = connected_components(links, scratch)
+    return nodes.join(labels, "node", "left").select(
+        "text_hash", "text_size", F.struct("label", F.when(F.col("label").isNull(), F.col("node")).alias("own")).alias("component")
+    )
+
+
+def keep_one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` with one document of each group of ``similar_groups``: the one with
+    the smallest id (null ids last), of equal ids the one with the smallest text hash, of
+    repeated rows any one. Columns are unchanged."""
+    scratch = Scratch(docs.sparkSession)
+    groups = scratch.write(similar_groups(docs, id_col, text_col, shingle, similarity), "groups")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    keys = {"_hash": F.xxhash64(text), "_size": F.octet_length(text)}
+    rows = docs.withColumns(keys)
+    ids = rows.select(F.col(id_col).alias("_id"), "_hash", "_size").distinct()
+    order = F.struct(F.col("_id").isNull().alias("no_id"), F.col("_id").alias("_id"), "_hash", "_size")
+    chosen = (
+        ids.join(groups.withColumnsRenamed({"text_hash": "_hash", "text_size": "_size"}), ["_hash", "_size"])
+        .groupBy("component")
+        .agg(F.min(order).alias("best"))
+        .select(F.col("best._id").alias("_id"), F.col("best._hash").alias("_hash"), F.col("best._size").alias("_size"))
+    )
+    kept = rows.dropDuplicates([id_col, "_hash", "_size"])
+    same = [kept["_hash"] == chosen["_hash"], kept["_size"] == chosen["_size"], kept[id_col].eqNullSafe(chosen["_id"])]
+    return kept.join(chosen, same, "left_semi").select(*docs.columns)

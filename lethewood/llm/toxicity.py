@@ -338,11 +338,10 @@ def score_documents(
     """``docs`` with ``score_col`` double, from 0 to 1. Null and empty texts get the score of a
     text without events. All rows and other columns are kept; a column named like
     ``score_col`` is replaced."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
     def score(texts):
-        return texts.map(shared.value.score)
+        return texts.map(model.score)
 
     return docs.withColumn(score_col, score(F.coalesce(F.col(text_col), F.lit(""))))
 
