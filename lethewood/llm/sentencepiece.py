@@ -28,7 +28,7 @@ UNKNOWN_PENALTY = 10.0
 UNKNOWN_SURFACE = " ⁇ "
 # Words up to these numbers of bytes are searched together; longer ones one by one.
 WIDTHS = (6, 10, 16, 24, 40, 64)
-BATCH_CHARS = 8_000_000
+BATCH_CHARS = 2_000_000
 _END = -1
 # Name of the copied input column on its way to the tasks; it never leaves them.
 _SPARE = "\u2581input"
