@@ -599,10 +599,14 @@ Q["core_concept"] = Query(
     O.query(STATS, "SELECT sample_id FROM full_st WHERE history_len >= 5 AND average >= 0.1003"),
 )
 Q["declining"] = Query(
-    lambda spark, d: L.declining(buffer(spark, d), influence_log(spark, d), 6)
-    .where("abs(trend) > 1e-9")
-    .select("sample_id", "history_len"),
-    O.query(STATS, "SELECT sample_id, history_len FROM full_st WHERE history_len >= 6 AND trend < 0 AND abs(trend) > 1e-9"),
+    # In whole hundredths, so that equal halves have a trend of exactly zero in both engines.
+    lambda spark, d: L.declining(
+        buffer(spark, d), influence_log(spark, d).withColumn("score", F.round(F.col("score") * 100)), 6
+    ).select("sample_id", "history_len"),
+    O.query(
+        [cte.replace("avg(score)", "avg(round(score * 100))") for cte in STATS],
+        "SELECT sample_id, history_len FROM full_st WHERE history_len >= 6 AND trend < 0",
+    ),
 )
 Q["high_risk"] = Query(
     lambda spark, d: L.high_risk(buffer(spark, d), rank_log(spark, d), 100, 3).select("sample_id", "risk"),

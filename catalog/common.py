@@ -39,11 +39,10 @@ SOURCES: dict[str, tuple[RunConfig, Callable[[SparkSession, str], DataFrame], st
     "vec": (VECTOR, src.vector_samples, T.VECTOR),
 }
 
-# Samples to forget: for events, everything of users with an extreme error; for order
-# lines, large lines at the top tax rate.
+# Samples to forget, some at every scale: for events, everything of one user in eleven; for
+# order lines, large lines at the top tax rate.
 FORGET_SQL = {
-    "event": "forgotten AS (SELECT sample_id FROM event WHERE user_id IN "
-    "(SELECT user_id FROM event WHERE event_type = 'error' AND value > 270))",
+    "event": "forgotten AS (SELECT sample_id FROM event WHERE user_id % 11 = 3)",
     "line": "forgotten AS (SELECT sample_id FROM line WHERE f[4] >= 0.08 AND f[1] > 25)",
 }
 
@@ -51,10 +50,7 @@ FORGET_SQL = {
 def forgotten(name: str, spark: SparkSession, folder: str) -> DataFrame:
     if name == "event":
         events = src.table(spark, folder, "events")
-        users = events.where((F.col("event_type") == "error") & (F.col("value") > 270))
-        return events.join(users.select("user_id"), "user_id", "left_semi").select(
-            F.col("event_id").alias("sample_id")
-        )
+        return events.where(F.col("user_id") % 11 == 3).select(F.col("event_id").alias("sample_id"))
     lines = src.line_samples(spark, folder)
     return lines.where((F.col("features")[3] >= 0.08) & (F.col("features")[0] > 25)).select("sample_id")
 

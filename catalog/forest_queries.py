@@ -450,7 +450,7 @@ def _delta(spark: SparkSession, d: str, name: str = "event") -> tuple[growth.For
 
 
 _ANCESTORS = (
-    "path AS (SELECT l.tree_id, l.sample_id, (l.node_id >> u)::BIGINT AS node_id, s.label, s.f FROM m_leaf l "
+    "path AS MATERIALIZED (SELECT l.tree_id, l.sample_id, (l.node_id >> u)::BIGINT AS node_id, s.label, s.f FROM m_leaf l "
     "JOIN forgotten USING (sample_id) JOIN event s USING (sample_id), range(6) r(u) WHERE (l.node_id >> u) > 0)"
 )
 _OLD = [*fit_ctes("event"), FORGET_SQL["event"], _ANCESTORS]
@@ -473,7 +473,7 @@ def _decremented(spark: SparkSession, d: str) -> DataFrame:
 _LEFT = O.left("f[attr + 1]", EVENT)
 _LEFT_PATH = _LEFT.replace("threshold", "c.threshold").replace("subset", "c.subset").replace("base", "c.base")
 _DECREMENTED = (
-    "dec AS (SELECT c.tree_id, c.node_id, c.attr, c.draw, "
+    "dec AS MATERIALIZED (SELECT c.tree_id, c.node_id, c.attr, c.draw, "
     f"count(*) FILTER ({_LEFT_PATH} AND p.f IS NOT NULL) AS gone, "
     f"count(*) FILTER ({_LEFT_PATH} AND p.label) AS gone_pos, "
     "count(*) FILTER (p.f[attr + 1] = c.lo) AS gone_lo, count(*) FILTER (p.f[attr + 1] = c.hi) AS gone_hi "

@@ -16,12 +16,14 @@ from .operators.scoring import predict, query_path
 from .plans.growth import ASSIGNED_SCHEMA, CANDIDATES_SCHEMA, NODES_SCHEMA, Forest, fit
 from .plans.maintenance import apply_delta, known_samples, resolve
 from .sources.ordering import with_rank
+from .sources.samples import first_of_each_id
 from .sources.scratch import Scratch, shared_folder
 from .sources.state import Counters, Manifest, Manifests, SampleParts
 
 PREDICTION_SCHEMA = "batch_id INT, position BIGINT, sample_id BIGINT, label BOOLEAN, pred BOOLEAN, proba DOUBLE"
 EVICTION_SCHEMA = "sample_id BIGINT, label BOOLEAN, influence DOUBLE, degraded BOOLEAN, reason STRING"
 INFLUENCE_LOG_SCHEMA = "sample_id BIGINT, seq BIGINT, position BIGINT, score DOUBLE"
+FORGET_LOG_SCHEMA = "sample_id BIGINT, version BIGINT"
 RANK_LOG_SCHEMA = "sample_id BIGINT, seq BIGINT, position BIGINT, rank BIGINT"
 RESULT_SCHEMA = (
     "batch_id INT, rows BIGINT, registry_size BIGINT, memory_mb DOUBLE, total_samples BIGINT, "
@@ -33,6 +35,7 @@ LOG_SCHEMAS = {
     "influences": INFLUENCE_LOG_SCHEMA,
     "ranks": RANK_LOG_SCHEMA,
     "results": RESULT_SCHEMA,
+    "forgets": FORGET_LOG_SCHEMA,
 }
 TABLE_SCHEMAS = {
     "nodes": NODES_SCHEMA,
@@ -46,8 +49,9 @@ TABLE_SCHEMAS = {
 class UnlearningForest:
     """Test-then-train learning with exact forgetting over a bounded buffer.
 
-    Batches are DataFrames with ``features`` and ``label``, a unique ``sample_id`` (the stream
-    position is taken when there is none), and an optional ``position`` that orders the batch.
+    Batches are DataFrames with ``features`` and ``label``, a ``sample_id`` (the stream position
+    is taken when there is none), and an optional ``position`` that orders the batch. Of rows
+    with one id in a batch the first by (position, features, label) counts.
     """
 
     def __init__(self, spark: SparkSession, config: RunConfig, path: str | None = None):
@@ -61,6 +65,8 @@ class UnlearningForest:
     def reset(self) -> None:
         """Start over with the same configuration; tables of the old run stay untouched."""
         self.counters = Counters()
+        self._committed = -1
+        self._settled = True
         self.parts = SampleParts(ASSIGNED_SCHEMA)
         self.tables: dict[str, DataFrame] = {
             name: self.spark.createDataFrame([], schema) for name, schema in TABLE_SCHEMAS.items()
@@ -94,9 +100,9 @@ class UnlearningForest:
         columns = [c.split()[0] for c in LOG_SCHEMAS[name].split(", ")]
         self.logs[name] = [*self.logs[name], self.scratch.save(rows.select(*columns), name)]
 
-    def commit(self, version: int | None = None) -> None:
+    def commit(self) -> None:
         """Make the current state a version that ``load`` can return to."""
-        self.counters.version = self.counters.version + 1 if version is None else version
+        self.counters.version += 1
         tables = {name: self.scratch.saved(df, f"state-{name}") for name, df in self.tables.items()}
         self.tables = {
             name: self.spark.read.schema(TABLE_SCHEMAS[name]).parquet(path)
@@ -105,6 +111,7 @@ class UnlearningForest:
         self.manifests.write(
             Manifest(replace(self.counters), self.parts, tables, {k: list(v) for k, v in self.logs.items()})
         )
+        self._committed, self._settled = self.counters.version, True
 
     def load(self, version: int) -> None:
         if version < 0:
@@ -112,6 +119,7 @@ class UnlearningForest:
             return
         manifest = self.manifests.read(version)
         self.counters, self.parts, self.logs = manifest.counters, manifest.samples, manifest.logs
+        self._committed, self._settled = version, True
         self.tables = {
             name: self.spark.read.schema(TABLE_SCHEMAS[name]).parquet(path)
             for name, path in manifest.tables.items()
@@ -123,7 +131,9 @@ class UnlearningForest:
         """The batch written once, with dense stream positions after the current one."""
         order = [F.col("position")] if "position" in batch.columns else []
         numbered = "sample_id" in batch.columns
-        if not numbered:
+        if numbered:
+            batch = first_of_each_id(batch, [*(["position"] if order else []), "features", "label"])
+        else:
             batch = batch.withColumn("sample_id", F.monotonically_increasing_id())
         ranked = with_rank(batch, [*order, F.col("sample_id")], self.scratch, "_at")
         position = F.col("_at") + self.counters.position
@@ -159,15 +169,48 @@ class UnlearningForest:
         self.commit()
         return self.current_metrics()
 
-    def stream_batch(self, batch: DataFrame, batch_id: int | None = None) -> DataFrame:
+    def join_stream(self, stream_id: str) -> None:
+        """Prepare for a batch of a stream. A new object on an old path goes on from the newest
+        version there; what a failed batch left behind is dropped; a stream other than the
+        last one counts its batches anew."""
+        if self.counters.version < 0 and (latest := self.manifests.latest()) >= 0:
+            self.load(latest)
+        elif not self._settled:
+            self.load(self._committed)
+        if self.counters.stream_id != stream_id:
+            self.counters.stream_id, self.counters.last_batch = stream_id, -1
+
+    def replay_batch(self, batch: DataFrame, batch_id: int) -> DataFrame:
+        """Process the last batch again, on the version it started from. Versions keep growing,
+        and ids forgotten since that version are forgotten again in the same commit."""
+        newest, parent, stream_id = self.counters.version, self.counters.batch_parent, self.counters.stream_id
+        forgets = self.logs["forgets"]
+        later = self.log("forgets").where(F.col("version") > parent).select("sample_id").distinct()
+        self.load(parent)
+        self.counters.version, self.counters.stream_id = newest, stream_id
+        self.logs["forgets"] = forgets
+        return self.stream_batch(batch, batch_id, parent, later)
+
+    def stream_batch(
+        self,
+        batch: DataFrame,
+        batch_id: int | None = None,
+        parent: int | None = None,
+        forgets: DataFrame | None = None,
+    ) -> DataFrame:
         """Predict, update metrics, then train. Returns the batch's predictions."""
-        batch_id = self.counters.version + 1 if batch_id is None else batch_id
+        batch_id = self.counters.last_batch + 1 if batch_id is None else batch_id
+        parent = self.counters.version if parent is None else parent
+        self._settled = False
         placed = self._positioned(batch)
         rows, positives = placed.agg(
             F.count(F.lit(1)), F.coalesce(F.sum(F.col("label").cast("bigint")), F.lit(0))
         ).first()
+        self.counters.last_batch, self.counters.batch_parent = batch_id, parent
         if rows == 0:
-            self.commit(batch_id)
+            if forgets is not None:
+                self._forget(forgets)
+            self.commit()
             return self.log("predictions").where("false")
         if self.config.budget_enabled and self.config.influence_update_interval > 0:
             self.tables["last_batch"] = placed.drop("position")
@@ -175,12 +218,14 @@ class UnlearningForest:
         evicted = self.add_batch(placed, rows, positives)
         self._maintain(rows)
         self._record_result(batch_id, rows, evicted)
-        self.commit(batch_id)
+        if forgets is not None:
+            self._forget(forgets)
+        self.commit()
         return scored
 
     def _record_predictions(self, placed: DataFrame, batch_id: int) -> DataFrame:
         self._resolve(placed)
-        scored = predict(self.forest, placed).join(placed.select("sample_id", "position"), "sample_id")
+        scored = predict(self.forest, placed, keep=("position",))
         self._append("predictions", scored.withColumn("batch_id", F.lit(batch_id)))
         return self.log("predictions").where(F.col("batch_id") == batch_id)
 
@@ -391,8 +436,17 @@ class UnlearningForest:
         return self.predict_batch(queries).select("sample_id", "proba")
 
     def forget_samples(self, ids: DataFrame) -> int:
-        """Forget in the model, the buffer and the sample table. Returns samples forgotten."""
+        """Forget in the model, the buffer and the sample table. Returns samples forgotten. The
+        ids are logged, so a replayed batch cannot bring them back."""
+        self._settled = False
         wanted = self.scratch.write(ids.select("sample_id").distinct(), "ids")
+        self._append("forgets", wanted.withColumn("version", F.lit(self.counters.version + 1).cast("bigint")))
+        known = self._forget(wanted)
+        self.commit()
+        return known
+
+    def _forget(self, wanted: DataFrame) -> int:
+        wanted = self.scratch.write(wanted, "ids")
         forest = self.forest
         known = forest.samples.join(wanted, "sample_id", "left_semi").count()
         if known:
@@ -400,7 +454,8 @@ class UnlearningForest:
         self.tables["buffer"] = self.scratch.write(B.remove(self.buffer, wanted), "buffer")
         store = self.tables["store"].join(wanted, "sample_id", "left_anti")
         self.tables["store"] = self.scratch.write(store, "store")
-        self.commit()
+        last = self.tables["last_batch"].join(wanted, "sample_id", "left_anti")
+        self.tables["last_batch"] = self.scratch.write(last, "last_batch")
         return known
 
     # Metrics and counters

@@ -48,16 +48,15 @@ def attach(
 ) -> DataFrame:
     """Join rows to node records on (tree, node).
 
-    Small node tables are broadcast. Larger ones shuffle; nodes holding more than 1/64 of
-    their tree (at most 64 per tree and level, so always small) still go by broadcast,
-    and the rows they serve are spread over dummy keys so no task gets a hot node.
+    Small node tables are broadcast. Larger ones shuffle; nodes holding more than 1/64 of all
+    rows that this table's nodes of their tree hold (fewer than 64 per tree, whatever the
+    table's size) still go by broadcast, and the rows they serve are spread over dummy keys so
+    no task gets a hot node.
     """
     if node_bytes <= config.broadcast_bytes:
         return rows.join(F.broadcast(nodes), NODE_KEYS, how)
     fields = [c for c in nodes.columns if c not in NODE_KEYS]
-    tree_total = nodes.groupBy("tree_id").agg(F.max("n").alias("_tree_n"))
-    sized = nodes.join(F.broadcast(tree_total), "tree_id")
-    is_hot = F.col("n") * HOT_SHARES > F.col("_tree_n")
+    sized, is_hot = with_hot(nodes)
     hot = sized.where(is_hot).select(*NODE_KEYS, F.struct(*fields).alias("_hot"))
     cold = sized.where(~is_hot).select(
         F.col("tree_id").alias("_t"), F.col("node_id").alias("_v"), F.struct(*fields).alias("_cold")
@@ -75,6 +74,14 @@ def attach(
     return joined.select(*rows.columns, *[F.col(f"_got.{f}").alias(f) for f in fields])
 
 
+def with_hot(nodes: DataFrame) -> tuple[DataFrame, Column]:
+    """Nodes with their tree's total, and whether one is hot: it has over 1/64 of the total, so
+    fewer than 64 nodes of a tree are."""
+    tree_total = nodes.groupBy("tree_id").agg(F.sum("n").alias("_tree_n"))
+    sized = nodes.join(F.broadcast(tree_total), "tree_id")
+    return sized, F.col("n") * HOT_SHARES > F.col("_tree_n")
+
+
 ATTR_VALUE = "element_at(features, attr + 1)"
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..operators import splits as S
 from ..operators.assignment import assign_trees
 from ..operators.routing import NODE_BYTES, below, topmost, walk, with_path
+from ..sources.samples import first_of_each_id
 from .growth import CANDIDATE_COLUMNS, NODE_COLUMNS, Forest, cut_bytes, grow, level_candidates
 
 KEYS = S.NODE_KEYS
@@ -212,8 +213,10 @@ def forget(forest: Forest, ids: DataFrame) -> Delta:
 
 
 def add(forest: Forest, samples: DataFrame, review: bool = True) -> Delta:
-    """Insert new samples into their k trees; known ids and repeats are ignored."""
-    batch = forest.scratch.write(samples.dropDuplicates(["sample_id"]), "batch")
+    """Insert new samples into their k trees; known ids are ignored, and of rows with one id the
+    smallest (position, features, label) counts."""
+    order = [c for c in ("position", "features", "label") if c in samples.columns]
+    batch = forest.scratch.write(first_of_each_id(samples, order), "batch")
     known = forest.scratch.write(known_samples(forest.samples.select("sample_id"), batch), "known")
     fresh = batch.join(known, "sample_id", "left_anti")
     assigned = assign_trees(fresh, forest.config).select(*forest.samples.columns)

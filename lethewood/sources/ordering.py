@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from .scratch import Scratch
 
 LOCAL_BITS = 33  # monotonically_increasing_id keeps the row number in the low 33 bits
-SMALL_TOP = 1_000  # every task sends this many rows to the final one
 
 
 def _ranged(df: DataFrame, order: list[Column], scratch: Scratch) -> DataFrame:
@@ -64,7 +63,6 @@ def with_running_total(
 
 
 def top_n(df: DataFrame, order: list[Column], n: int, scratch: Scratch) -> DataFrame:
-    """First ``n`` rows in order: per-task top-k while n is small, else a global rank."""
-    if n <= SMALL_TOP:
-        return df.orderBy(*order).limit(max(n, 0))
-    return with_rank(df, order, scratch, "_rank").where(F.col("_rank") < n).drop("_rank")
+    """First ``n`` rows, in order, whatever ``n`` is: ranked globally, cut, and sorted by rank."""
+    ranked = with_rank(df, order, scratch, "_rank").where(F.col("_rank") < n)
+    return ranked.orderBy("_rank").drop("_rank")

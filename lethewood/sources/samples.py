@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .ordering import with_rank
@@ -72,6 +72,13 @@ def assign_positions(
     return ranked.withColumn("position", F.col("position") + F.lit(start))
 
 
+def first_of_each_id(rows: DataFrame, order: Sequence[str]) -> DataFrame:
+    """One row per sample id, the smallest by ``order``, whatever order the rows come in.
+    Columns beyond the id and ``order`` are dropped."""
+    kept = rows.groupBy("sample_id").agg(F.min(F.struct(*order)).alias("_row"))
+    return kept.select("sample_id", "_row.*")
+
+
 def keep_latest(old: DataFrame, new: DataFrame) -> DataFrame:
     """Register rows by id: a known id is replaced by the newer row."""
     return old.join(new.select("sample_id"), "sample_id", "left_anti").unionByName(new)
@@ -90,24 +97,34 @@ DOC_FEATURES = 4
 VECTOR_FEATURES = 64
 
 
+LINE_KEYS = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+LINES_PER_ORDER = 1 << 20
+ORDER_KEYS = 1 << 43
+
+
 def line_samples(spark: SparkSession, folder: str, label: Column | None = None) -> DataFrame:
-    """Order lines; a repeated id keeps its smallest (price, date, quantity) row."""
+    """Order lines; of rows with equal keys the smallest (price, date, quantity) counts.
+
+    The id is the order's key times 2**20 plus the line's place within its order: different
+    lines never share one, and a key or an order too large for that fails the job. One shuffle
+    on the order serves both steps.
+    """
     lines = table(spark, folder, "lineitem")
-    sid = (
-        F.col("l_orderkey") * 1_000_000_000
-        + F.col("l_partkey") * 10_000
-        + F.col("l_suppkey") * 10
-        + F.col("l_linenumber")
-    )
     learnable = (F.col("l_discount") > 0.05) & (F.col("l_quantity") > 20)
     first = F.min(
         F.struct(
             "l_extendedprice", "l_shipdate", "l_quantity", "l_discount", "l_tax", "l_returnflag"
         )
     )
-    unique = lines.groupBy(sid.alias("sample_id")).agg(first.alias("row")).select("sample_id", "row.*")
+    unique = lines.repartition("l_orderkey").groupBy(*LINE_KEYS).agg(first.alias("row"))
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*LINE_KEYS[1:]))
+    fits = F.col("l_orderkey").between(0, ORDER_KEYS - 1) & (F.col("_place") < LINES_PER_ORDER)
+    sid = F.when(fits, F.col("l_orderkey") * LINES_PER_ORDER + F.col("_place")).otherwise(
+        F.raise_error(F.lit("order key or number of lines out of range")).cast("bigint")
+    )
+    numbered = unique.withColumn("_place", place).select(sid.alias("sample_id"), "row.*")
     return samples_from(
-        unique,
+        numbered,
         F.col("sample_id"),
         [F.col(c) for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")],
         learnable if label is None else label,

@@ -1,8 +1,8 @@
 """Versioned state of a run: immutable tables plus one small manifest per version.
 
 Samples are append-only: a version adds a part with new rows and a part with removed ids.
-Everything a version needs is reachable from its manifest, so a replayed micro-batch
-overwrites its own version and never sees a half-written one.
+Everything a version needs is reachable from its manifest. Versions only grow; which stream
+batch a version belongs to, and the version that batch started from, are kept beside it.
 """
 
 from __future__ import annotations
@@ -79,6 +79,9 @@ class Counters:
     add_marks: int = 0
     forget_marks: int = 0
     log_seq: int = 0
+    stream_id: str = ""
+    last_batch: int = -1
+    batch_parent: int = -1
 
 
 @dataclass
@@ -117,6 +120,15 @@ class Manifests:
         row = self.spark.createDataFrame([(manifest.to_json(),)], "value STRING").coalesce(1)
         row.write.mode("overwrite").text(f"{self.path}/manifest/v={manifest.counters.version}")
 
+    def latest(self) -> int:
+        """The newest version written under this path, -1 if there is none."""
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifest")
+        files = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not files.exists(folder):
+            return -1
+        names = [status.getPath().getName() for status in files.listStatus(folder)]
+        return max((int(name[2:]) for name in names if name.startswith("v=")), default=-1)
+
     def read(self, version: int) -> Manifest:
         rows = self.spark.read.text(f"{self.path}/manifest/v={version}", wholetext=True)
         return Manifest.from_json(rows.first()["value"])

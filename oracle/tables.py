@@ -2,13 +2,12 @@
 
 LINE = """
 line AS (
-  SELECT l_orderkey*1000000000 + l_partkey*10000 + l_suppkey*10 + l_linenumber AS sample_id,
+  SELECT l_orderkey*1048576 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber) AS sample_id,
          [l_quantity::DOUBLE + 0.0, l_extendedprice::DOUBLE + 0.0, l_discount::DOUBLE + 0.0, l_tax::DOUBLE + 0.0] AS f,
          (l_discount > 0.05 AND l_quantity > 20) AS label, l_returnflag, l_shipdate
-  FROM lineitem
-  QUALIFY row_number() OVER (
-    PARTITION BY l_orderkey*1000000000 + l_partkey*10000 + l_suppkey*10 + l_linenumber
-    ORDER BY l_extendedprice, l_shipdate, l_quantity, l_discount, l_tax, l_returnflag) = 1
+  FROM (SELECT * FROM lineitem QUALIFY row_number() OVER (
+    PARTITION BY l_orderkey, l_partkey, l_suppkey, l_linenumber
+    ORDER BY l_extendedprice, l_shipdate, l_quantity, l_discount, l_tax, l_returnflag) = 1)
 )"""
 
 EVENT = """

@@ -170,12 +170,10 @@ def test_global_rank_with_one_heavy_value(spark):
     assert running.where("id = 4999").first().total == sum(range(5000))
 
 
-def test_top_n_beyond_the_small_limit(spark, monkeypatch):
-    from lethewood.sources import ordering
-
-    monkeypatch.setattr(ordering, "SMALL_TOP", 10)
-    rows = top_n(spark.range(100), [F.col("id").desc()], 25, Scratch(spark)).collect()
-    assert sorted(r.id for r in rows) == list(range(75, 100))
+def test_top_n_is_ordered_whatever_n(spark):
+    for n in (0, 25, 1500, 5000):
+        rows = top_n(spark.range(3000), [F.col("id").desc()], n, Scratch(spark)).collect()
+        assert [r.id for r in rows] == list(range(2999, -1, -1))[:n]
 
 
 def test_config_from_dict(spark):
