@@ -217,11 +217,22 @@ def contrast_findings(docs: DataFrame, rows: int, id_col: str = "doc_id", text_c
     documents, in the order of a hash of the id, secrets as they are assigned and, against
     them, checksums, identifiers and placeholders."""
     words = F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), r"\s+"), lambda w: w != "")
-    base = (
-        docs.select(F.col(id_col).cast("string").alias("i"), F.coalesce(F.col(path_col).cast("string"), F.lit("")).alias("path"), F.col(text_col))
+    drawn = (
+        docs.select(F.col(id_col).cast("string").alias("i"))
+        .dropna()
+        .distinct()
         .orderBy(F.xxhash64("i"), "i")
         .limit(rows)
-        .select("path", F.sha2(F.concat_ws("|", "i", "path"), 256).alias("h"), F.slice(words, 1, 4).alias("w"))
+    )
+    # The drawn ids, being few, go to the documents; of repeated ids the smallest row counts.
+    row = F.struct(F.coalesce(F.col(path_col).cast("string"), F.lit("")).alias("path"), F.slice(words, 1, 4).alias("w"))
+    base = (
+        docs.select(F.col(id_col).cast("string").alias("i"), row.alias("row"))
+        .join(F.broadcast(drawn), "i")
+        .groupBy("i")
+        .agg(F.min("row").alias("row"))
+        .select("i", "row.*")
+        .select("path", F.sha2(F.concat_ws("|", "i", "path"), 256).alias("h"), "w")
         .select("path", "h", F.concat_ws(" ", "w").alias("prose"), F.coalesce(F.get("w", F.lit(1)), F.lit("value")).alias("one"))
     )
     kinds = [
