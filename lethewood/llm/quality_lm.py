@@ -125,13 +125,16 @@ class Shard:
     dense rows, and the suffix trie that leads from a context to its longest known suffix."""
 
     def __init__(self, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], last: set[int] | None):
-        seen = levels[0][0]
+        # Code 0 is for bytes that are neither predicted nor a context.
+        known = levels[0][0]
+        leftmost = [contexts >> (8 * k) for k, (_, _, contexts, _) in enumerate(levels[1:])]
+        seen = np.union1d(known, np.concatenate([known[:0], *leftmost]))
         self.codes = np.zeros(256, np.int64)
         self.codes[seen] = np.arange(1, len(seen) + 1)
         width = len(seen) + 1
-        uniform = levels[0][3][0] / 256 if len(levels[0][3]) else 1 / 256
+        uniform = (levels[0][3][0] if len(levels[0][3]) else 1) / 256
         rows = np.full((1, width), uniform)
-        rows[0, self.codes[seen]] = levels[0][1]
+        rows[0, self.codes[known]] = levels[0][1]
         self.last = np.ones(256, bool)
         if last is not None:
             self.last = np.isin(np.arange(256), list(last))
@@ -166,10 +169,12 @@ class Shard:
         best = state.copy()
         alive = np.ones(len(at), bool)
         for back, link in enumerate(self.links, 1):
+            if not len(link):
+                break
             step = link[np.where(alive, best - self.starts[back - 1], 0), codes[at - back]]
             alive &= step >= 0
             best = np.where(alive, step, best)
-        return np.bincount(owner[at], self.table[best, codes[at]], documents)
+        return np.bincount(owner[at], self.table[best, codes[at]], documents).astype(np.float64)
 
 
 def _shards(levels: list[Level]) -> Iterator[tuple[list, set[int] | None]]:
@@ -192,9 +197,10 @@ def _shards(levels: list[Level]) -> Iterator[tuple[list, set[int] | None]]:
     if sum(sizes.values()) <= SHARD_ROWS:
         yield [table(k, None) for k in range(len(levels))], None
         return
-    group: set[int] = set()
+    # Bytes that are no context are looked for in the first shard, and not found.
+    group = set(range(256)) - set(sizes)
     for b, n in sorted(sizes.items(), key=lambda e: (-e[1], e[0])):
-        if group and sum(sizes[x] for x in group) + n > SHARD_ROWS:
+        if group and sum(sizes.get(x, 0) for x in group) + n > SHARD_ROWS:
             yield [table(k, group) for k in range(len(levels))], group
             group = set()
         group = group | {b}
