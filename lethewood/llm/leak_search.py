@@ -259,8 +259,8 @@ def drop_leaks(
 
         def clean(batches: Iterator[pa.RecordBatch], index=index, at=at) -> Iterator[pa.RecordBatch]:
             for whole in batches:
-                for low in range(0, whole.num_rows, 1000):
-                    batch = whole.slice(low, 1000)
+                for low in range(0, whole.num_rows, 200):
+                    batch = whole.slice(low, 200)
                     words = [words_of(text.as_py()) for text in batch.column(at)]
                     first = np.cumsum([0, *map(len, words)])
                     found = index.matches(_hashes([w for ws in words for w in ws]), first) if first[-1] else {}

@@ -77,7 +77,9 @@ def close_pairs(fps: DataFrame, bits: int = BITS) -> DataFrame:
     components of all such pairs."""
     one = F.lit(1).cast("bigint")
     flips = F.explode(F.sequence(F.lit(0), F.lit(bits))).alias("bit")
-    variants = fps.select("table", "fp", flips).select(
+    # Dealt out first: a fingerprint becomes ``bits + 1`` rows, too many for the few files that
+    # distinct fingerprints are read from.
+    variants = fps.repartition("table", "fp").select("table", "fp", flips).select(
         "table",
         F.when(F.col("bit") < bits, _flip(F.col("fp"), F.col("bit"))).otherwise(F.col("fp")).alias("variant"),
         F.when(F.col("bit") < bits, F.call_function("shiftleft", one, F.col("bit")))
@@ -142,6 +144,7 @@ def near_duplicates(
 
 # Signatures for similarity: lanes of 64 majority bits, read in slices.
 LANES = 6
+SLICE_ROWS = 200
 SLICES = 12
 
 
@@ -212,8 +215,8 @@ def similar_groups(
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
+            for at in range(0, whole.num_rows, SLICE_ROWS):
+                batch = whole.slice(at, SLICE_ROWS)
                 lanes = signatures(batch.column(2).to_pylist(), shingle).view(np.int64)
                 columns = [pa.array(np.ascontiguousarray(lanes[:, lane])) for lane in range(LANES)]
                 yield pa.RecordBatch.from_arrays(
@@ -268,16 +271,20 @@ def keep_one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: st
     scratch = Scratch(docs.sparkSession)
     groups = scratch.write(similar_groups(docs, id_col, text_col, shingle, similarity), "groups")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keys = {"_hash": F.xxhash64(text), "_size": F.octet_length(text)}
+    keys = {
+        "_no_id": F.col(id_col).isNull(),
+        "_id": F.coalesce(F.col(id_col).cast("bigint"), F.lit(0)),
+        "_hash": F.xxhash64(text),
+        "_size": F.octet_length(text),
+    }
     rows = docs.withColumns(keys)
-    ids = rows.select(F.col(id_col).alias("_id"), "_hash", "_size").distinct()
-    order = F.struct(F.col("_id").isNull().alias("no_id"), F.col("_id").alias("_id"), "_hash", "_size")
     chosen = (
-        ids.join(groups.withColumnsRenamed({"text_hash": "_hash", "text_size": "_size"}), ["_hash", "_size"])
+        rows.select(*keys)
+        .distinct()
+        .join(groups.withColumnsRenamed({"text_hash": "_hash", "text_size": "_size"}), ["_hash", "_size"])
         .groupBy("component")
-        .agg(F.min(order).alias("best"))
-        .select(F.col("best._id").alias("_id"), F.col("best._hash").alias("_hash"), F.col("best._size").alias("_size"))
+        .agg(F.min(F.struct(*keys)).alias("best"))
+        .select("best.*")
     )
-    kept = rows.dropDuplicates([id_col, "_hash", "_size"])
-    same = [kept["_hash"] == chosen["_hash"], kept["_size"] == chosen["_size"], kept[id_col].eqNullSafe(chosen["_id"])]
-    return kept.join(chosen, same, "left_semi").select(*docs.columns)
+    # Repeated rows and the choice meet on the same keys, so texts are moved once.
+    return rows.dropDuplicates(list(keys)).join(chosen, list(keys), "left_semi").select(*docs.columns)

@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from lethewood.sources.scratch import Scratch
 
@@ -38,6 +39,8 @@ LEAST_ROWS = 8
 MOST_CLEAN = 0.05
 SUSPECT_LIFT = 3.0
 MOST_UNITS = 400
+# Name of the copied text column on its way to the tasks; it never leaves them.
+_SPARE = "\u2581input"
 
 # Fixed word lists; nothing is a suspect before it is learned.
 INSULT, THREAT, SUSPECT, TARGET, NEGATION, REPORT, OTHER = range(7)
@@ -338,10 +341,15 @@ def score_documents(
     """``docs`` with ``score_col`` double, from 0 to 1. Null and empty texts get the score of a
     text without events. All rows and other columns are kept; a column named like
     ``score_col`` is replaced."""
+    kept = docs.drop(score_col)
 
-    @F.pandas_udf("double")
-    def score(texts):
-        return texts.map(model.score)
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = [model.score(text.as_py()) for text in batch.column(batch.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:-1], pa.array(scores, pa.float64())], names=[*batch.schema.names[:-1], score_col]
+            )
 
-    return docs.withColumn(score_col, score(F.coalesce(F.col(text_col), F.lit(""))))
+    out = StructType([*kept.schema.fields, StructField(score_col, DoubleType())])
+    return docs.select(*kept.columns, F.col(text_col).alias(_SPARE)).mapInArrow(scan, out)
 
