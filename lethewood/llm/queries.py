@@ -183,10 +183,10 @@ PIECES = "file:///opt/tokenizers/piece_bpe_32k.model"
 
 
 def op6_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
-    from lethewood.llm.sentencepiece import MARK, decode, encode
+    from lethewood.llm.sentencepiece import MARK, encode
 
     docs = _table(spark, folder, "documents").select("doc_id", "text")
-    back = decode(encode(docs, PIECES), PIECES)
+    back = encode(docs, PIECES, decoded_col="decoded")
     return back.select(
         "doc_id",
         F.size("token_ids").alias("n_tokens"),

@@ -316,11 +316,21 @@ def _join_gaps(words: list[str]) -> list[str]:
     return [*out, MARK * (gap - 1)] if gap else out
 
 
-def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "token_ids") -> DataFrame:
+def encode(
+    docs: DataFrame,
+    path: str,
+    text_col: str = "text",
+    ids_col: str = "token_ids",
+    decoded_col: str | None = None,
+) -> DataFrame:
     """``docs`` with ``ids_col`` array<int>: the ids of every text. Null and empty texts have no
-    ids. Rows keep all their other columns; a column named like ``ids_col`` is replaced."""
+    ids. With ``decoded_col`` the ids are decoded again in the same pass, as ``decode`` does.
+    Rows keep all their other columns; one named like a new column is replaced."""
     tokenizer = Tokenizer(Vocabulary.load(docs.sparkSession, path))
-    kept = docs.drop(ids_col)
+    added = [StructField(ids_col, ArrayType(IntegerType()))]
+    if decoded_col is not None:
+        added.append(StructField(decoded_col, StringType()))
+    kept = docs.drop(*(field.name for field in added))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -332,12 +342,17 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "t
                     batch = whole.slice(low, high - low)
                     counts, ids = tokenizer.encode(batch.column(batch.num_columns - 1).to_pylist())
                     offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-                    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))
+                    made = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))]
+                    if decoded_col is not None:
+                        parts = zip(offsets[:-1], offsets[1:], strict=True)
+                        texts = [tokenizer.decode(ids[a:b].tolist()) for a, b in parts]
+                        made.append(pa.array(texts, pa.string()))
                     yield pa.RecordBatch.from_arrays(
-                        [*batch.columns[:-1], lists], names=[*batch.schema.names[:-1], ids_col]
+                        [*batch.columns[:-1], *made],
+                        names=[*batch.schema.names[:-1], *(field.name for field in added)],
                     )
 
-    out = StructType([*kept.schema.fields, StructField(ids_col, ArrayType(IntegerType()))])
+    out = StructType([*kept.schema.fields, *added])
     return kept.withColumn(_SPARE, F.col(text_col)).mapInArrow(scan, out)
 
 
