@@ -148,6 +148,8 @@ def test_round_trip(spark, tokenizer, monkeypatch):
     assert back.columns == [c for c in table.columns if c != "token_ids"] + ["token_ids", "decoded"]
     got = sorted((str(r.doc_id), r.text or "", r.decoded) for r in back.collect())
     assert got == sorted((str(i), t or "", (t or "").replace(sp.MARK, " ")) for i, t in rows)
+    both = sp.encode(table, PIECES, decoded_col="decoded")
+    assert sorted(map(str, both.collect())) == sorted(map(str, back.collect()))
     assert sp.encode(docs(spark, []), PIECES).count() == 0
 
 
