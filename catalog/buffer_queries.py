@@ -483,19 +483,22 @@ Q["influence_degraded"] = Query(
 TOP = 100
 
 
-def selected(name: str, pick: Callable[[DataFrame, int], DataFrame], where: str, order: str | None, limit: bool = True) -> None:
+def selected(
+    name: str, pick: Callable[[DataFrame, int], DataFrame], where: str, order: str | None, limit: int = TOP
+) -> None:
     """A selection query and its SQL: filter, order, take."""
 
     def run(spark: SparkSession, d: str) -> DataFrame:
         rows = buffer(spark, d)
         return pick(rows, position_now(rows)).select("sample_id")
 
-    tail = f" ORDER BY {order}, sample_id" + (f" LIMIT {TOP}" if limit else "") if order else ""
+    tail = f" ORDER BY {order}, sample_id" + (f" LIMIT {limit}" if limit else "") if order else ""
     Q[name] = Query(run, O.query(BASE, f"SELECT sample_id FROM aged WHERE {where}{tail}"))
 
 
 KNOWN = "influence IS NOT NULL"
 selected("oldest", lambda b, now: X.oldest(b, TOP), "true", "position")
+selected("oldest_many", lambda b, now: X.oldest(b, 2500), "true", "position", 2500)
 selected("newest", lambda b, now: X.newest(b, TOP), "true", "position DESC")
 selected("by_class", lambda b, now: X.of_class(b, True), "label", None)
 selected("oldest_by_class", lambda b, now: X.oldest_of_class(b, True, TOP), "label", "position")
@@ -527,7 +530,7 @@ selected(
 )
 selected("longest_surviving", lambda b, now: X.longest_surviving(b, TOP, now), "true", "age DESC")
 selected(
-    "rapidly_declining", lambda b, now: X.rapidly_declining(b, -0.5), "influence - prev_influence < -0.5::DOUBLE", None, False
+    "rapidly_declining", lambda b, now: X.rapidly_declining(b, -0.5), "influence - prev_influence < -0.5::DOUBLE", None
 )
 
 # J. Histories

@@ -424,25 +424,6 @@ Q["forget_batch_line"] = Query(
 )
 
 
-def _forget_everywhere(spark: SparkSession, d: str) -> DataFrame:
-    updated = forgotten_model("event", spark, d)
-    gone = forgotten("event", spark, d)
-    asked = updated.samples.join(gone, "sample_id", "left_semi").count()
-    return updated.samples.agg(
-        F.count(F.lit(1)).alias("samples_left"), F.lit(asked).cast("bigint").alias("still_known")
-    )
-
-
-Q["forget_samples"] = Query(
-    _forget_everywhere,
-    O.query(
-        [T.EVENT, FORGET_SQL["event"]],
-        "SELECT count(*) AS samples_left, 0::BIGINT AS still_known FROM event "
-        "WHERE sample_id NOT IN (SELECT sample_id FROM forgotten)",
-    ),
-)
-
-
 def _delta(spark: SparkSession, d: str, name: str = "event") -> tuple[growth.Forest, DataFrame]:
     forest = model(name, spark, d)
     removed = forest.samples.join(forgotten(name, spark, d), "sample_id", "left_semi")

@@ -11,12 +11,12 @@ from lethewood.api import UnlearningForest
 from lethewood.config import RunConfig
 from lethewood.plans.maintenance import resolve
 from lethewood.sources.scratch import Scratch
-from lethewood.streaming.prequential import class_ratio_ema, run_stream, sliced_source
+from lethewood.streaming.prequential import batch_handler, class_ratio_ema, run_stream, sliced_source
 from oracle import forest_sql as O
 from oracle import tables as T
 
 from .buffer_queries import BUDGET, CELLS, buffer, budget, rounded, score_sql, sql_rates
-from .common import EVENT, NODE_SQL, Query, node_columns, samples
+from .common import EVENT, FORGET_SQL, NODE_SQL, Query, forgotten, node_columns, samples
 
 Q: dict[str, Query] = {}
 
@@ -107,12 +107,20 @@ Q["prequential_stream"] = Query(
 )
 LIMITS = "lim AS (SELECT batch_id, count(*) AS n, max(position) + 1 AS upto FROM sliced GROUP BY 1)"
 Q["batch_results"] = Query(
-    lambda spark, d: streamed(spark, d).log("results").withColumn("memory_mb", F.round("memory_mb", 9)),
+    lambda spark, d: rounded(streamed(spark, d).log("results").withColumn("memory_mb", F.round("memory_mb", 9))),
     O.query(
-        [*STREAM_CTES, LIMITS],
-        "SELECT l.batch_id, any_value(n) AS rows, any_value(upto) AS registry_size, "
-        "round(any_value(upto) * (84 + 8 * 3)::DOUBLE / 1048576.0::DOUBLE, 9) AS memory_mb, any_value(upto) AS total_samples, "
-        f"0::BIGINT AS budget_evicted, {CELLS} FROM lim l JOIN pr ON position < upto AND position >= upto - 1000 GROUP BY 1",
+        [
+            *STREAM_CTES,
+            LIMITS,
+            "snap AS (SELECT l.batch_id, any_value(n) AS rows, any_value(upto) AS registry_size, "
+            "round(any_value(upto) * (84 + 8 * 3)::DOUBLE / 1048576.0::DOUBLE, 9) AS memory_mb, any_value(upto) AS total_samples, "
+            f"0::BIGINT AS budget_evicted, {CELLS} FROM lim l JOIN pr ON position < upto AND position >= upto - 1000 GROUP BY 1)",
+        ],
+        "SELECT * EXCLUDE (total, actual_positive, actual_negative) FROM ("
+        + sql_rates(
+            "SELECT * FROM snap", "batch_id, rows, registry_size, memory_mb, total_samples, budget_evicted,"
+        )
+        + ")",
     ),
 )
 Q["stream_metrics"] = Query(
@@ -170,7 +178,79 @@ Q["pretrain_buffer"] = Query(
         f"SELECT sample_id, position FROM event QUALIFY row_number() OVER (ORDER BY position DESC) <= {TOTAL} // 2",
     ),
 )
-EMA_BATCH = 500
+
+
+def _forgetting(spark: SparkSession, d: str) -> DataFrame:
+    """Train, then forget through the stateful surface, and look for the ids everywhere."""
+    events = samples("event", spark, d)
+    gone = forgotten("event", spark, d)
+    model = UnlearningForest(spark, STREAM.with_(budget_enabled=True, budget_max_samples=events.count()))
+    model.fit(events)
+    known = model.forget_samples(gone)
+    held = {"in_model": model.forest.samples, "in_buffer": model.buffer, "in_store": model.tables["store"]}
+    left = model.forest.samples.agg(F.count(F.lit(1)).alias("samples_left"))
+    for name, table in held.items():
+        count = table.join(gone, "sample_id", "left_semi").count()
+        left = left.withColumn(name, F.lit(count).cast("bigint"))
+    return left.withColumn("forgotten", F.lit(known).cast("bigint"))
+
+
+Q["forget_samples"] = Query(
+    _forgetting,
+    O.query(
+        [T.EVENT, FORGET_SQL["event"]],
+        "SELECT count(*) FILTER (sample_id NOT IN (SELECT sample_id FROM forgotten)) AS samples_left, 0::BIGINT AS in_model, "
+        "0::BIGINT AS in_buffer, 0::BIGINT AS in_store, count(*) FILTER (sample_id IN (SELECT sample_id FROM forgotten)) AS forgotten FROM event",
+    ),
+)
+
+
+def _pretrained_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Train on the first half, then stream the rest."""
+    events = samples("event", spark, d)
+    cuts = _cuts(events.count())
+    scratch = Scratch(spark)
+    model = UnlearningForest(spark, STREAM)
+    model.fit(events.where(F.col("position") < cuts[1]))
+    stream = sliced_source(spark, events, cuts[1:], scratch.path("slices"))
+    run_stream(model, stream, scratch.path("checkpoint")).awaitTermination()
+    return node_columns(resolve(model.forest).nodes)
+
+
+Q["pretrain_then_stream"] = Query(
+    _pretrained_stream, O.query([T.EVENT, *O.fit(STREAM, "event", "m_")], NODE_SQL.format(p="m_"))
+)
+
+
+def _forget_between(spark: SparkSession, d: str) -> DataFrame:
+    """Two batches, forget, the second batch once more, then the third."""
+    events = samples("event", spark, d)
+    cuts = _cuts(events.count())
+    scratch = Scratch(spark)
+    folder, checkpoint = scratch.path("slices"), scratch.path("checkpoint")
+    model = UnlearningForest(spark, STREAM)
+    run_stream(model, sliced_source(spark, events, cuts[:3], folder), checkpoint).awaitTermination()
+    model.forget_samples(forgotten("event", spark, d))
+    second = events.where((F.col("position") >= cuts[1]) & (F.col("position") < cuts[2]))
+    batch_handler(model, checkpoint)(second, 1)
+    run_stream(model, sliced_source(spark, events, cuts[2:], folder), checkpoint).awaitTermination()
+    return node_columns(resolve(model.forest).nodes)
+
+
+# Ids that come again after they were forgotten are new samples.
+Q["forget_between_batches"] = Query(
+    _forget_between,
+    O.query(
+        [
+            T.EVENT,
+            FORGET_SQL["event"],
+            f"live AS (SELECT * FROM event WHERE position >= {TOTAL} * 3 // 4 OR sample_id NOT IN (SELECT sample_id FROM forgotten))",
+            *O.fit(STREAM, "live", "m_"),
+        ],
+        NODE_SQL.format(p="m_"),
+    ),
+)
+EMA_BATCH = 20
 
 
 def _ema(spark: SparkSession, d: str) -> DataFrame:

@@ -27,7 +27,8 @@ FORGET_LOG_SCHEMA = "sample_id BIGINT, version BIGINT"
 RANK_LOG_SCHEMA = "sample_id BIGINT, seq BIGINT, position BIGINT, rank BIGINT"
 RESULT_SCHEMA = (
     "batch_id INT, rows BIGINT, registry_size BIGINT, memory_mb DOUBLE, total_samples BIGINT, "
-    "budget_evicted BIGINT, tn BIGINT, fp BIGINT, fn BIGINT, tp BIGINT"
+    "budget_evicted BIGINT, tn BIGINT, fp BIGINT, fn BIGINT, tp BIGINT, "
+    + ", ".join(f"{name} DOUBLE" for name in evaluation.METRICS)
 )
 LOG_SCHEMAS = {
     "predictions": PREDICTION_SCHEMA,
@@ -407,7 +408,7 @@ class UnlearningForest:
             F.count(F.lit(1)).alias("registry_size"),
             (F.coalesce(F.sum("row_bytes"), F.lit(0)) / F.lit(float(MEGABYTE))).alias("memory_mb"),
         )
-        metrics = self.current_metrics().select("tn", "fp", "fn", "tp")
+        metrics = self.current_metrics().select("tn", "fp", "fn", "tp", *evaluation.METRICS)
         result = totals.withColumn("_k", F.lit(1)).join(metrics.withColumn("_k", F.lit(1)), "_k")
         self._append(
             "results",
@@ -422,6 +423,7 @@ class UnlearningForest:
                 "fp",
                 "fn",
                 "tp",
+                *evaluation.METRICS,
             ),
         )
 

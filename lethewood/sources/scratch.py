@@ -56,9 +56,7 @@ class Scratch:
 
     def drop(self, df: DataFrame) -> None:
         """Delete a table this run wrote, once nothing reads it any more."""
-        own = self.root.rsplit("/", 1)[1]
-        for folder in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
-            if f"/{own}/" in folder:
-                path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
-                conf = self.spark._jsc.hadoopConfiguration()
-                path.getFileSystem(conf).delete(path, True)
+        folder = self._paths.get(df)
+        if folder is not None:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

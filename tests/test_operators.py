@@ -180,3 +180,31 @@ def test_config_from_dict(spark):
     config = RunConfig.from_dict({"num_trees": 7, "memory_limit_mb": 0, "unknown": 1})
     assert config.num_trees == 7 and config.k == 10 and config.memory_max_bytes == UNLIMITED_BYTES
     assert config.to_table(spark).first()["num_trees"] == 7
+
+
+def test_ema_counts_every_batch(spark):
+    """600 batches in three blocks, only the first with positives: nothing is cut off."""
+    from lethewood.streaming.prequential import class_ratio_ema
+
+    rows = [(b, 10, 10 if b == 0 else 0) for b in range(600)]
+    got = {r.batch_id: r.ema for r in class_ratio_ema(spark.createDataFrame(rows, "batch_id BIGINT, rows BIGINT, positives BIGINT")).collect()}
+    want = 0.5
+    for b, n, p in rows:
+        want = 0.8 * want + 0.2 * p / n
+        assert got[b] == pytest.approx(want, rel=1e-9)
+    assert len(got) == 600 and got[599] > 0
+
+
+def test_line_ids_never_clash(spark, tmp_path):
+    """Keys whose digits would run into each other are different samples."""
+    from lethewood.sources.samples import line_samples
+
+    keys = [(1, 1, 1000, 1), (1, 2, 0, 1), (1, 100_000, 1, 1), (2, 0, 1, 1), (2, 0, 1, 1), (9_000_000_000, 5, 5, 7)]
+    spark.createDataFrame(
+        [(*k, 10.0 + i, 30.0, 0.06, 0.01, "R", "1995-01-01") for i, k in enumerate(keys)],
+        "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, l_extendedprice DOUBLE, "
+        "l_quantity DOUBLE, l_discount DOUBLE, l_tax DOUBLE, l_returnflag STRING, l_shipdate STRING",
+    ).write.parquet(f"{tmp_path}/lineitem.parquet")
+    rows = line_samples(spark, str(tmp_path)).collect()
+    assert len({r.sample_id for r in rows}) == len(rows) == 5
+    assert sorted(r.features[1] for r in rows) == [10.0, 11.0, 12.0, 13.0, 15.0]

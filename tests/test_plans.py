@@ -56,3 +56,30 @@ def test_scan_reads_only_needed_columns(spark, data):
     schema = re.search(r"ReadSchema: struct<([^>]*)>", text).group(1)
     assert "user_id" not in schema and "props" not in schema
     assert "GreaterThan(event_id,5)" in text
+
+
+def test_predictions_need_no_exchange_and_keep_every_row(spark, data):
+    scratch = Scratch(spark)
+    forest = growth.fit(src.document_samples(spark, data), LINE.with_(max_depth=2), scratch)
+    once = scratch.write(src.document_samples(spark, data), "queries")
+    twice = once.unionByName(once)
+    narrow = scoring.predict(forest, twice)
+    assert "Exchange" not in plan(narrow).split("Subquery")[0]
+    assert narrow.count() == 2 * once.count()
+    joined = scoring.predict(forest.with_(config=forest.config.with_(broadcast_bytes=0)), twice)
+    assert sorted(map(tuple, narrow.collect())) == sorted(map(tuple, joined.collect()))
+    picks = scoring.predict_subset(forest, once, [0, 0, 3, 99])
+    votes = scoring.tree_votes(forest, once).where("tree_id IN (0, 3)")
+    want = {}
+    for r in votes.collect():
+        want[r.sample_id] = want.get(r.sample_id, 0) + r.vote * (2 if r.tree_id == 0 else 1)
+    assert {r.sample_id: r.proba for r in picks.collect()} == {s: v / 4 for s, v in want.items()}
+
+
+def test_hot_nodes_stay_few(spark):
+    """Equal nodes are never hot, however many; one large node is."""
+    level = spark.range(1000).selectExpr("CAST(0 AS INT) AS tree_id", "id AS node_id", "10L AS n")
+    sized, is_hot = S.with_hot(level)
+    assert sized.where(is_hot).count() == 0
+    sized, is_hot = S.with_hot(level.selectExpr("tree_id", "node_id", "IF(node_id = 3, 5000L, n) AS n"))
+    assert [r.node_id for r in sized.where(is_hot).collect()] == [3]

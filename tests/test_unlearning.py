@@ -211,3 +211,36 @@ def test_distance_scores_need_capacity_and_interval(spark, tmp_path):
     row = model.get_influence_coverage().first()
     assert (row["with_influence"], row["total"]) == (25, 35)
     assert model.buffer.where("influence > 0").count() == 0
+
+
+def test_forgetting_and_pretraining_survive_the_stream(spark, tmp_path):
+    """Train, stream, forget, replay the batch, stream on, reopen: as if trained on what is left."""
+    from lethewood.streaming.prequential import batch_handler
+
+    config = CONFIG.with_(max_depth=2)
+    first, second, third = make_rows(30), make_rows(20, 3, 100), make_rows(15, 4, 300)
+    model = UnlearningForest(spark, config, str(tmp_path))
+    model.fit(table(spark, first))
+    handle = batch_handler(model, "a")
+    handle(table(spark, second), 0)
+    assert model.total_samples() == 50 and model.is_pretrained()
+    gone = [first[0][0], first[5][0], second[1][0], second[2][0]]
+    assert model.forget_samples(ids(spark, gone)) == 4
+    handle(table(spark, second), 0)
+    assert model.forest.samples.count() == 46 and model.total_samples() == 50
+    other = UnlearningForest(spark, config, str(tmp_path))
+    batch_handler(other, "a")(table(spark, third), 1)
+    live = [r for r in first + second + third if r[0] not in gone]
+    assert as_dict(maintenance.resolve(other.forest)) == brute_fit(live, config)
+    with pytest.raises(ValueError):
+        batch_handler(other, "a")(table(spark, second), 0)
+    batch_handler(other, "b")(table(spark, make_rows(5, 9, 900)), 0)
+    assert other.forest.samples.count() == len(live) + 5
+
+
+def test_repeated_ids_in_a_batch_keep_the_smallest_row(spark, forest):
+    new = [(900, [9.0, 1.0, 1.0], True), (900, [2.0, 1.0, 1.0], False), (901, [5.0, 0.0, 2.0], True)]
+    for rows in (new, new[::-1]):
+        added = maintenance.resolve(maintenance.add(forest, table(spark, rows)).forest)
+        kept = {r.sample_id: r.features[0] for r in added.samples.where("sample_id >= 900").collect()}
+        assert kept == {900: 2.0, 901: 5.0}
