@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from catalog import buffer_queries as BQ  # noqa: E402
-from catalog.common import LINE, forgotten, samples  # noqa: E402
+from catalog.common import EVENT, LINE, forgotten, samples  # noqa: E402
+from lethewood.api import UnlearningForest  # noqa: E402
 from lethewood.operators import evaluation, influence, scoring  # noqa: E402
 from lethewood.operators import model as M  # noqa: E402
 from lethewood.plans import growth, maintenance  # noqa: E402
@@ -64,6 +65,9 @@ def main() -> None:
     timed("samples", lambda: drain(lines))
     forest = timed("forest_fit", lambda: growth.fit(lines, LINE, scratch))
     timed("predict", lambda: drain(scoring.predict(forest, lines)))
+    one = scratch.write(gone.orderBy("sample_id").limit(1), "one")
+    few = timed("forget_one", lambda: maintenance.forget(forest, one))
+    timed("resolve_one", lambda: maintenance.resolve(few.forest))
     delta = timed("forget_batch", lambda: maintenance.forget(forest, gone))
     settled = timed("resolve_all", lambda: maintenance.resolve(delta.forest))
     kept = lines.join(gone, "sample_id", "left_anti")
@@ -76,6 +80,11 @@ def main() -> None:
         "metrics_from_predictions",
         lambda: evaluation.cumulative_metrics(scoring.predict(forest, lines)).collect(),
     )
+    events = samples("event", spark, folder)
+    run = UnlearningForest(spark, EVENT.with_(max_depth=2))
+    run.fit(events.where("position < 20000"))
+    batch = scratch.write(events.where("position >= 20000 AND position < 21000"), "batch")
+    timed("stream_batch_1000", lambda: run.stream_batch(batch))
     for name in HEADLINE:
         timed(name, lambda name=name: drain(BQ.Q[name].run(spark, folder)))
     rows = lines.agg(F.count(F.lit(1))).first()[0]
