@@ -77,9 +77,10 @@ def close_pairs(fps: DataFrame, bits: int = BITS) -> DataFrame:
     components of all such pairs."""
     one = F.lit(1).cast("bigint")
     flips = F.explode(F.sequence(F.lit(0), F.lit(bits))).alias("bit")
-    # Dealt out first: a fingerprint becomes ``bits + 1`` rows, too many for the few files that
-    # distinct fingerprints are read from.
-    variants = fps.repartition("table", "fp").select("table", "fp", flips).select(
+    # Dealt out first, to a fixed number of tasks: a fingerprint becomes ``bits + 1`` rows, too
+    # many for the few tasks that the small table of distinct fingerprints would get.
+    tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    variants = fps.repartition(tasks, "table", "fp").select("table", "fp", flips).select(
         "table",
         F.when(F.col("bit") < bits, _flip(F.col("fp"), F.col("bit"))).otherwise(F.col("fp")).alias("variant"),
         F.when(F.col("bit") < bits, F.call_function("shiftleft", one, F.col("bit")))
