@@ -8,11 +8,13 @@ shuffle on the variant brings all close fingerprints together. A group is descri
 aggregation applies, and no group is ever collected. Members of a group lie within two bits of
 each other by the triangle inequality; they are linked to the group's smallest member, the
 links are made distinct and their distance is checked again, and components follow.
+
+``similar_groups`` finds texts by the similarity of their shingle sets instead: texts meet in
+the groups of their rarest shingles, and pairs are verified exactly.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lethewood.llm.graph import connected_components
-from lethewood.llm.rolling import Rolling, mix
+from lethewood.llm.rolling import Rolling
 from lethewood.sources.scratch import Scratch
 
 SEED = 42
@@ -143,21 +145,21 @@ def near_duplicates(
     )
 
 
-# Signatures for similarity: lanes of 64 majority bits, read in slices.
-LANES = 6
+# Shingle sets: texts of a slice at a time, a sample that shows which shingles are common, and
+# the sizes at which a group of texts is compared as rows or in cells.
 SLICE_ROWS = 200
-SLICES = 12
+SAMPLE_BYTES = 30_000_000
+COMMON = 5
+SMALL_GROUP = 16
+CELL_TEXTS = 1024
+_ROUNDING = 1e-9
 
 
-def signatures(texts: list[str | None], shingle: int) -> np.ndarray:
-    """``LANES`` majority fingerprints of each text (texts x lanes), every lane from its own
-    scrambling of the hashes of the distinct shingles. Words as in ``fingerprint``; a text of fewer words than a
-    shingle has one shingle, one without words has all bits zero."""
-    out = np.zeros((len(texts), LANES), np.uint64)
+def shingle_sets(texts: list[str | None], shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, hash) of the distinct shingles of each text. Words as in ``fingerprint``; a text
+    of fewer words than a shingle has one shingle, one without words has none."""
     words = [text.encode().lower().split() if text else [] for text in texts]
     sizes = np.fromiter(map(len, words), np.int64, len(words))
-    if not sizes.sum():
-        return out
     hashes = np.fromiter((xxhash.xxh64_intdigest(w) for ws in words for w in ws), np.uint64, sizes.sum())
     starts = np.cumsum(sizes) - sizes
     rolling = Rolling(hashes).windows(shingle)
@@ -169,31 +171,88 @@ def signatures(texts: list[str | None], shingle: int) -> np.ndarray:
     shingles = np.concatenate([rolling[inside], np.array(whole, np.uint64)])
     order = np.lexsort((shingles, owner))
     owner, shingles = owner[order], shingles[order]
-    new = np.concatenate([[True], (np.diff(owner) != 0) | (np.diff(shingles) != 0)])
-    owner, shingles = owner[new], shingles[new]
-    first = np.flatnonzero(np.diff(owner, prepend=-1))
-    total = np.diff(np.append(first, len(owner)))
-    for lane in range(LANES):
-        octets = mix(shingles + np.uint64(lane + 1)).view(np.uint8).reshape(-1, 8)
-        bits = np.unpackbits(octets, axis=1, bitorder="little")
-        ones = np.add.reduceat(bits, first, axis=0, dtype=np.int32)
-        packed = np.packbits(ones * 2 > total[:, None], axis=1, bitorder="little")
-        out[owner[first], lane] = packed.view(np.uint64)[:, 0]
-    return out
-
+    new = np.ones(len(owner), bool)
+    new[1:] = (np.diff(owner) != 0) | (np.diff(shingles) != 0)
+    return owner[new], shingles[new]
+
+
+def rare_shingles(
+    texts: list[str | None], shingle: int, similarity: float, common: tuple[np.ndarray, np.ndarray]
+) -> tuple[np.ndarray, pa.Array]:
+    """Number of distinct shingles of each text, and the first of them (eight bytes each) in the
+    order of (``common`` count, hash): so many that a text which shares none of them has less
+    than ``similarity`` of the shingles in common."""
+    owner, shingles = shingle_sets(texts, shingle)
+    known, times = common
+    count = np.zeros(len(shingles), np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, shingles), len(known) - 1)
+        count = np.where(known[at] == shingles, times[at], 0)
+    order = np.lexsort((shingles, count, owner))
+    n = np.bincount(owner, minlength=len(texts))
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+    most = np.where(n > 0, n - np.ceil(similarity * n - _ROUNDING).astype(np.int64) + 1, 0)
+    first = np.ascontiguousarray(shingles[order][place < most[owner]])
+    offsets = np.zeros(len(texts) + 1, np.int32)
+    np.cumsum(most * 8, out=offsets[1:])
+    return n, pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(offsets), pa.py_buffer(first)])
+
+
+def _shingle_set(text: str, shingle: int) -> set[bytes]:
+    words = text.encode().lower().split()
+    if len(words) <= shingle:
+        return {b" ".join(words)} if words else set()
+    return set(map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False)))
 
-def slice_bits(texts: int) -> int:
-    """Bits of a slice: enough that random texts seldom meet (about one in 2 ** 8 texts does),
-    and 32 at most, the width that fits ``SLICES`` slices into the lanes."""
-    return min(LANES * BITS // SLICES, max(20, math.ceil(math.log2(max(2, texts))) + 8))
 
+def _common_shingles(source: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles seen ``COMMON`` times or more in a sample of about ``SAMPLE_BYTES``, sorted, and
+    how often. Only the cost of the search depends on the sample, not what it finds."""
+    total = source.agg(F.sum(F.col("text_size").cast("bigint"))).first()[0] or 0
+    share = int(min(1.0, SAMPLE_BYTES / max(1, total)) * (1 << 20))
 
-def most_bits(similarity: float) -> int:
-    """Signature bits in which texts of this shingle similarity may differ: the expected share
-    acos(cosine) / pi and one standard deviation."""
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    bits = LANES * BITS
-    return int(share * bits + math.sqrt(bits * share * (1 - share)))
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE_ROWS):
+                found = shingle_sets(whole.column(0).slice(at, SLICE_ROWS).to_pylist(), shingle)[1]
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], names=["shingle"])
+
+    seen = (
+        source.where(F.pmod(F.xxhash64("id", "text_hash"), F.lit(1 << 20)) < share)
+        .select("text")
+        .mapInArrow(scan, "shingle bigint")
+        .groupBy("shingle")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .where(F.col("n") >= COMMON)
+        .toArrow()
+    )
+    known, times = seen.column(0).to_numpy().view(np.uint64), seen.column(1).to_numpy()
+    order = np.argsort(known)
+    return known[order], times[order]
+
+
+def _may_be_alike(similarity: float) -> Column:
+    """Whether texts that meet at places ``u_place`` and ``v_place`` (from 0) of their orders
+    have enough shingles left there."""
+    left = 1 + F.least(F.col("u_n") - F.col("u_place") - 1, F.col("v_n") - F.col("v_place") - 1)
+    return left >= similarity / (1 + similarity) * (F.col("u_n") + F.col("v_n")) - _ROUNDING
+
+
+def _cell_pairs(cell: pa.Table, similarity: float) -> pa.Table:
+    """Pairs of one cell that may be alike and are not connected yet."""
+    side = cell.column("side").to_numpy()
+    node, n, place, label = (cell.column(c).to_numpy() for c in ("node", "n", "place", "label"))
+    us, vs = [], []
+    b = np.flatnonzero(side == 1)
+    for a in np.flatnonzero(side == 0):
+        left = 1 + np.minimum(n[a] - place[a] - 1, n[b] - place[b] - 1)
+        fits = left >= similarity / (1 + similarity) * (n[a] + n[b]) - _ROUNDING
+        hit = node[b[fits & (label[b] != label[a])]]
+        us.append(np.minimum(node[a], hit))
+        vs.append(np.maximum(node[a], hit))
+    empty = np.empty(0, np.int64)
+    u, v = np.concatenate([empty, *us]), np.concatenate([empty, *vs])
+    return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
 
 def similar_groups(
@@ -203,62 +262,116 @@ def similar_groups(
     shingle: int = 5,
     similarity: float = 0.8,
 ) -> DataFrame:
-    """(text_hash, text_size, component): groups of texts with a shingle similarity of about
-    ``similarity`` or more. Distinct texts are compared by slices of a long signature; each
-    slice is searched with ball hashing, and a pair that meets in any slice is verified by its
-    whole signature. ``component`` identifies the group.
-
-    Two texts at the similarity meet with a probability over 0.95 (12 slices of 26 bits), more
-    alike ones nearly always; the signature's error is about 0.02 in similarity. All empty and
-    null texts are one text. Null and repeated ids do not matter here.
+    """(text_hash, text_size, component): groups of texts joined by pairs with a shingle
+    similarity of ``similarity`` or more. ``component`` identifies the group.
+
+    Every text lists its rarest shingles, so many that two texts at the similarity share one of
+    them whatever the size of the table; texts that share one meet in its group. Each group's
+    members are compared with its smallest one first. In groups that this leaves in more than
+    one component, all pairs across components are compared too: as rows in small groups, in
+    cells of bounded size in large ones. A pair counts only by the exact similarity of its
+    texts. All empty and null texts are one text. Null and repeated ids do not matter here.
     """
     scratch = Scratch(docs.sparkSession)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    source = docs.select(
+        F.col(id_col).cast("string").alias("id"), F.xxhash64(text).alias("text_hash"), F.octet_length(text).alias("text_size"), text.alias("text")
+    )
+    common = _common_shingles(source, shingle)
 
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def list_rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, SLICE_ROWS):
                 batch = whole.slice(at, SLICE_ROWS)
-                lanes = signatures(batch.column(2).to_pylist(), shingle).view(np.int64)
-                columns = [pa.array(np.ascontiguousarray(lanes[:, lane])) for lane in range(LANES)]
+                n, rare = rare_shingles(batch.column(2).to_pylist(), shingle, similarity, common)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), *columns],
-                    names=["text_hash", "text_size", *(f"s{lane}" for lane in range(LANES))],
+                    [batch.column(0), batch.column(1), pa.array(n, pa.int64()), rare], names=["text_hash", "text_size", "n", "rare"]
                 )
 
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    source = docs.select(F.xxhash64(text).alias("text_hash"), F.octet_length(text).alias("text_size"), text.alias("text"))
-    lanes = [f"s{lane}" for lane in range(LANES)]
-    schema = "text_hash bigint, text_size int, " + ", ".join(f"{lane} bigint" for lane in lanes)
-    signed = scratch.write(source.mapInArrow(sign, schema), "signed")
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE_ROWS):
+                batch = whole.slice(at, SLICE_ROWS)
+                blobs = batch.column(2).to_pylist()
+                sizes = np.array([len(b) // 8 for b in blobs], np.int64)
+                row = np.repeat(np.arange(len(sizes)), sizes)
+                place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                columns = [np.frombuffer(b"".join(blobs), np.int64), *(batch.column(c).to_numpy()[row] for c in (0, 1)), place]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["shingle", "node", "n", "place"])
+
     # Nodes are texts; one 64-bit number stands for (hash, size).
-    nodes = scratch.write(
-        signed.distinct().withColumn("node", F.xxhash64("text_hash", "text_size")), "nodes"
+    node = F.xxhash64("text_hash", "text_size").alias("node")
+    listed = source.select("text_hash", "text_size", "text").mapInArrow(list_rare, "text_hash bigint, text_size int, n bigint, rare binary")
+    nodes = scratch.write(listed.distinct().select("*", node), "nodes")
+    places = nodes.select("node", "n", "rare").mapInArrow(spread, "shingle bigint, node bigint, n bigint, place bigint")
+    groups = scratch.write(
+        places.groupBy("shingle").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("members")).where("members > 1"), "groups"
     )
-    bits = slice_bits(nodes.count())
-    per_lane = SLICES // LANES
-    mask = F.lit((1 << bits) - 1)
-    slices = F.array(
-        *(
-            F.struct(
-                F.lit(lane * per_lane + part).alias("table"),
-                F.call_function("shiftrightunsigned", F.col(name), F.lit(part * 32)).bitwiseAND(mask).alias("fp"),
-            )
-            for lane, name in enumerate(lanes)
-            for part in range(per_lane)
-        )
+    met = scratch.write(places.join(groups, "shingle"), "met")
+
+    def sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep, held = [], (None, set())
+            for u, x, y, a, b in zip(*(batch.column(c).to_pylist() for c in (0, 2, 3, 4, 5)), strict=True):
+                if held[0] != u:
+                    held = (u, set(memoryview(a).cast("q")))
+                most = len(held[1].intersection(memoryview(b).cast("q"))) + max(x - len(a) // 8, y - len(b) // 8)
+                keep.append(most >= similarity / (1 + similarity) * (x + y) - _ROUNDING)
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep, held = [], (None, set())
+            for a, b, one, other in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+                if held[0] != a:
+                    held = (a, _shingle_set(one, shingle))
+                more = _shingle_set(other, shingle)
+                both = len(held[1] & more)
+                keep.append(both >= similarity * (len(held[1]) + len(more) - both) - _ROUNDING)
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        # Texts are moved only for pairs whose rarest shingles leave the similarity possible.
+        lists = [nodes.select(F.col("node").alias(end), F.col("n").alias(f"{end}_n"), F.col("rare").alias(f"{end}_rare")) for end in "uv"]
+        listed = pairs.distinct().join(lists[0], "u").join(lists[1], "v").select("u", "v", "u_n", "v_n", "u_rare", "v_rare")
+        pairs = scratch.write(listed.mapInArrow(sieve, "u bigint, v bigint"), "candidates")
+        wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+        texts = source.select(node, "text").join(wanted, "node", "left_semi").dropDuplicates(["node"])
+        texts = scratch.write(texts, "texts")
+        ends = [texts.select(F.col("node").alias(end), F.col("text").alias(f"{end}_text")) for end in "uv"]
+        rows = pairs.join(ends[0], "u").join(ends[1], "v").select("u", "v", "u_text", "v_text")
+        return scratch.write(rows.mapInArrow(check, "u bigint, v bigint"), "links")
+
+    def side(rows: DataFrame, end: str) -> DataFrame:
+        return rows.select("shingle", *(F.col(c).alias(f"{end}_{c}") for c in rows.columns if c in ("node", "n", "place", "label")))
+
+    ordered = [f("u_node", "v_node").alias(end) for f, end in ((F.least, "u"), (F.greatest, "v"))]
+    alike = _may_be_alike(similarity)
+    stars = side(met.where("node = first"), "u").join(side(met.where("node <> first"), "v"), "shingle").where(alike)
+    links = verified(stars.select(*ordered))
+
+    # Groups of two are settled by their one pair; labels are nodes, so that they never collide.
+    found = connected_components(links, scratch)
+    names = found.groupBy("label").agg(F.min("node").alias("name"))
+    named = scratch.write(found.join(names, "label").select("node", F.col("name").alias("label")), "named")
+    larger = scratch.write(
+        met.where("members > 2").join(named, "node", "left").select("shingle", "node", "n", "place", "members", F.coalesce("label", "node").alias("label")),
+        "larger",
+    )
+    open_groups = larger.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("shingle")
+    unsettled = scratch.write(larger.join(open_groups, "shingle"), "unsettled")
+    small = unsettled.where(F.col("members") <= SMALL_GROUP)
+    rows = side(small, "u").join(side(small, "v"), "shingle").where("u_node < v_node and u_label <> v_label").where(alike)
+    chunks = F.ceil(F.col("members") / CELL_TEXTS).cast("int")
+    large = unsettled.where(F.col("members") > SMALL_GROUP).select("shingle", "node", "n", "place", "label", chunks.alias("chunks"))
+    chunk = F.pmod(F.xxhash64(F.lit(1), F.col("node")), F.col("chunks")).cast("int")
+    dealt = large.withColumn("own", chunk)
+    cell = ["shingle", "node", "n", "place", "label"]
+    cells = dealt.select(*cell, F.lit(0).alias("side"), F.col("own").alias("a"), F.explode(F.sequence(F.col("own"), F.col("chunks") - 1)).alias("b")).unionByName(
+        dealt.select(*cell, F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("own"))).alias("a"), F.col("own").alias("b"))
     )
-    cut = nodes.select("node", F.inline(slices))
-    firsts = scratch.write(cut.groupBy("table", "fp").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")), "firsts")
-    # Candidates: texts with one fingerprint, and fingerprints within the radius.
-    equal = cut.join(firsts.where("n > 1"), ["table", "fp"]).select(F.col("first").alias("u"), F.col("node").alias("v"))
-    pairs = close_pairs(firsts.select("table", "fp"), bits)
-    left = firsts.select("table", F.col("fp").alias("u"), F.col("first").alias("a"))
-    right = firsts.select("table", F.col("fp").alias("v"), F.col("first").alias("b"))
-    near = pairs.join(left, ["table", "u"]).join(right, ["table", "v"]).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    candidates = equal.union(near).where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    ends = [nodes.select(F.col("node").alias(end), *(F.col(name).alias(f"{end}_{name}") for name in lanes)) for end in "uv"]
-    apart = sum(F.bit_count(F.col(f"u_{name}").bitwiseXOR(F.col(f"v_{name}"))) for name in lanes)
-    links = candidates.join(ends[0], "u").join(ends[1], "v").where(apart <= most_bits(similarity)).select("u", "v")
+    across = cells.groupBy("shingle", "a", "b").applyInArrow(lambda table: _cell_pairs(table, similarity), "u bigint, v bigint")
+    links = links.unionByName(verified(rows.select(*ordered).unionByName(across)))
     labels = connected_components(links, scratch)
     return nodes.join(labels, "node", "left").select(
         "text_hash", "text_size", F.struct("label", F.when(F.col("label").isNull(), F.col("node")).alias("own")).alias("component")

@@ -6,6 +6,8 @@ import numpy as np
 import pytest
 import xxhash
 
+from pyspark.sql import functions as F
+
 from lethewood.llm import simhash_dedup
 from lethewood.llm.graph import connected_components
 from lethewood.llm.substring_dedup import remove_repeats
@@ -145,3 +147,47 @@ def test_substring_dedup_in_small_groups(spark, monkeypatch):
     assert remove_repeats(docs(spark, []), window=10).count() == 0
     with pytest.raises(ValueError):
         remove_repeats(docs(spark, rows), window=1)
+
+
+def _set(text, k=5):
+    words = text.encode().lower().split()
+    return {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))}
+
+
+def _alike(a, b):
+    return len(_set(a) & _set(b)) / len(_set(a) | _set(b))
+
+
+def _groups(spark, rows):
+    """Sets of ids that the search puts together."""
+    texts = docs(spark, rows).selectExpr("doc_id", "xxhash64(text) text_hash", "octet_length(text) text_size")
+    found = simhash_dedup.similar_groups(docs(spark, rows)).join(texts, ["text_hash", "text_size"])
+    return {frozenset(r.ids) for r in found.groupBy("component").agg(F.collect_set("doc_id").alias("ids")).collect()}
+
+
+def _brute_groups(rows):
+    pairs = [(a, b) for a, s in rows for b, t in rows if a < b and _alike(s, t) >= 0.8]
+    label = components(pairs, [i for i, _ in rows])
+    return {frozenset(i for i in label if label[i] == at) for at in label.values()}
+
+
+def test_near_copies_meet_beside_an_unrelated_centre(spark):
+    """Many texts of one template: near copies are found whoever is the centre of their groups."""
+    rows = []
+    shared = prose(40, 90)
+    for i in range(60):
+        own = prose(1000 + i, 55)
+        rows += [(2 * i, f"{shared} {own}"), (2 * i + 1, f"{shared} {own} {prose(5000 + i, 8 + i % 20)}")]
+    got = _groups(spark, rows)
+    assert got == _brute_groups(rows)
+    assert sum(len(g) == 2 for g in got) > 30
+    assert simhash_dedup.keep_one_of_each_group(docs(spark, rows)).count() == len(got)
+
+
+def test_large_groups_are_compared_in_cells(spark, monkeypatch):
+    """Texts that hold one long passage, so its shingles are rare ones of all; cells of few texts."""
+    monkeypatch.setattr(simhash_dedup, "CELL_TEXTS", 7)
+    shared = prose(41, 120)
+    rows = [(i, f"{shared} {prose(2000 + i // 3, 12 + i // 3)} {prose(3000 + i, 5 + i % 3 * 4)}") for i in range(60)]
+    got = _groups(spark, rows)
+    assert got == _brute_groups(rows)
