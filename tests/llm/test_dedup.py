@@ -191,3 +191,14 @@ def test_large_groups_are_compared_in_cells(spark, monkeypatch):
     rows = [(i, f"{shared} {prose(2000 + i // 3, 12 + i // 3)} {prose(3000 + i, 5 + i % 3 * 4)}") for i in range(60)]
     got = _groups(spark, rows)
     assert got == _brute_groups(rows)
+
+
+def test_pairs_count_by_their_exact_similarity(spark):
+    """Pairs alike in 0.72 to 0.86: those below 0.8 stay apart, the others are all found."""
+    rows = []
+    for i in range(33):
+        base = prose(7000 + i, 150)
+        rows += [(2 * i, base), (2 * i + 1, f"{base} {prose(8000 + i, 24 + i)}")]
+    got = _groups(spark, rows)
+    assert got == _brute_groups(rows)
+    assert 10 < sum(len(g) == 2 for g in got) < 20
