@@ -6,7 +6,7 @@ import numpy as np
 
 from lethewood.llm import simhash_dedup
 
-from .helpers import prose
+from .helpers import docs, prose
 
 
 def test_alike_texts_meet_whatever_the_table_holds():
@@ -26,3 +26,17 @@ def test_alike_texts_meet_whatever_the_table_holds():
         assert n.tolist() == [len(a), len(b)] and lists[0] <= a and lists[1] <= b
         if len(a & b) >= 0.8 * len(a | b):
             assert lists[0] & lists[1]
+
+
+def test_near_copies_in_a_crowd_of_one_template(spark):
+    """Pairs alike in 0.8 to 0.9 among many texts of one template that are alike in about 0.6."""
+    rows, shared = [], prose(50, 150)
+    for i in range(700):
+        own = f"{shared} {prose(20_000 + i, 40)}"
+        rows += [(2 * i, own), (2 * i + 1, f"{own} {prose(40_000 + i, 30)}")]
+    texts = docs(spark, rows).selectExpr("doc_id", "xxhash64(text) text_hash", "octet_length(text) text_size")
+    found = simhash_dedup.similar_groups(docs(spark, rows)).join(texts, ["text_hash", "text_size"])
+    label = {r.doc_id: r.component for r in found.collect()}
+    assert len(label) == len(rows)
+    assert [i for i in range(700) if label[2 * i] != label[2 * i + 1]] == []
+    assert len(set(label.values())) == 700
