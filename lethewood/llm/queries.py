@@ -254,3 +254,81 @@ def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
 
 
 Q["op10_quality_classifier"] = (op10_quality_classifier, None)
+
+
+_USABLE = """embedding IS NOT NULL AND len(embedding) > 0
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0"""
+
+
+def op12_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    from lethewood.llm.exact_search import top_k
+
+    vectors = _table(spark, folder, "embeddings").select("vec_id", "embedding")
+    return top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0))
+
+
+Q["op12_exact_top_k"] = (
+    op12_exact_top_k,
+    f"""
+WITH v AS (
+  SELECT vec_id, [floor(1024 * CAST(x AS DOUBLE)) FOR x IN embedding] AS y
+  FROM embeddings WHERE {_USABLE}),
+pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.y, c.y) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, CAST(row_number() OVER best AS INTEGER) AS rank, vec_id, score
+FROM pairs WINDOW best AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY rank <= 10""",
+)
+
+
+def op13_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    from lethewood.llm.vector_codes import compress, with_group_sum
+
+    vectors = _table(spark, folder, "embeddings").select("vec_id", "embedding", "label")
+    coded, books = compress(vectors, keep=["label"])
+    digits = F.transform("code", lambda c: F.lpad(F.lower(F.hex(c)), 2, "0"))
+    return with_group_sum(coded, "label", "error", "label_error").select(
+        "vec_id",
+        F.concat_ws("", digits).alias("code"),
+        "error",
+        "label_error",
+        F.lit(books.digest()).alias("codebooks_sha256"),
+    )
+
+
+def _codes_sql(parts: int = 8, size: int = 16, rounds: int = 6) -> str:
+    """The rounds written out one after the other."""
+    found = """
+a{i} AS MATERIALIZED (
+  SELECT vec_id, part, entry, far FROM (
+    SELECT vec_id, p.part, entry, sum((y - c) * (y - c)) AS far
+    FROM p JOIN b{i} USING (part, pos) GROUP BY vec_id, p.part, entry)
+  QUALIFY row_number() OVER (PARTITION BY vec_id, part ORDER BY far, entry) = 1)"""
+    improved = """
+s{i} AS MATERIALIZED (
+  SELECT p.part, entry, pos, sum(y) AS s, count(*) AS n FROM p JOIN a{i} USING (vec_id, part) GROUP BY p.part, entry, pos),
+b{j} AS MATERIALIZED (
+  SELECT part, entry, pos, CASE WHEN n IS NULL THEN c ELSE CAST((s - ((s % n) + n) % n) // n AS BIGINT) END AS c
+  FROM b{i} LEFT JOIN s{i} USING (part, entry, pos))"""
+    steps = [found.format(i=i) + "," + improved.format(i=i, j=i + 1) for i in range(rounds)]
+    steps.append(found.format(i=rounds))
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT vec_id, label, [CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS y
+  FROM embeddings WHERE {_USABLE}),
+p AS MATERIALIZED (
+  SELECT vec_id, (i - 1) // (len(y) // {parts}) AS part, (i - 1) % (len(y) // {parts}) AS pos, y[i] AS y
+  FROM (SELECT vec_id, y, unnest(range(1, len(y) + 1)) AS i FROM v)),
+b0 AS MATERIALIZED (
+  SELECT part, entry, pos, y AS c FROM p JOIN
+    (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM v QUALIFY entry < {size}) USING (vec_id)),
+{",".join(steps)},
+coded AS (
+  SELECT vec_id, label, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(far) AS BIGINT) AS error
+  FROM a{rounds} JOIN v USING (vec_id) GROUP BY vec_id, label),
+books AS (SELECT sha256(string_agg(c, ',' ORDER BY part, entry, pos)) AS codebooks_sha256 FROM b{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM coded, books"""
+
+
+Q["op13_vector_codes"] = (op13_vector_codes, _codes_sql())
