@@ -332,3 +332,27 @@ FROM coded, books"""
 
 
 Q["op13_vector_codes"] = (op13_vector_codes, _codes_sql())
+
+
+# A public byte-level vocabulary; a parameter like PIECES.
+BYTE_LEVEL = "file:///opt/tokenizers/byte_bpe_50k.json"
+
+
+def op11_token_align(spark: SparkSession, folder: str) -> DataFrame:
+    from lethewood.llm.token_align import align
+
+    aligned, _ = align(_table(spark, folder, "documents"), BYTE_LEVEL, PIECES)
+    groups = F.col("groups")
+    return aligned.select(
+        F.col("doc_id").cast("bigint").alias("doc_id"),
+        F.size("a_ids").cast("bigint").alias("n_a"),
+        F.size("b_ids").cast("bigint").alias("n_b"),
+        "n_groups",
+        "n_links",
+        "n_best",
+        "count_sum",
+        F.when(groups == "", "").otherwise(F.sha2(groups, 256)).alias("groups_sha256"),
+    )
+
+
+Q["op11_token_align"] = (op11_token_align, None)
