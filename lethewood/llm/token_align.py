@@ -6,6 +6,10 @@ groups; two tokens are linked where their bytes overlap. Between two neighbourin
 side lies exactly one link, so links are found by merging the two lists of ends, for a whole batch
 of texts at once: a text's last byte ends both sides, so no group crosses texts.
 
+Where both vocabularies allow it, neither has a token that goes on over a single space between
+two words. Then a word's tokens, groups and links do not depend on its neighbours, and a task finds
+them once for each distinct word; a text is the sequence of its words.
+
 Most groups are one token with the same bytes on both sides. An array over A's vocabulary
 holds each id's B id of equal bytes; links between these two are counted in a vector as long as
 the vocabulary, and only other links are counted by pairs that are shuffled.
@@ -14,9 +18,10 @@ the vocabulary, and only other links are counted by pairs that are shuffled.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,18 +29,24 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lethewood.llm.sentencepiece import BYTE, CONTROL, MARK, UNKNOWN, Vocabulary
+from lethewood.llm.sentencepiece import BYTE, CONTROL, MARK, UNKNOWN, Vocabulary, _messages
 from lethewood.sources.scratch import Scratch
 
-# Texts are encoded and links are made for about this many characters or tokens at a time.
-BATCH_CHARS = 1_000_000
-BATCH_TOKENS = 500_000
+# Texts are read about this many bytes at a time.
+BATCH_BYTES = 2_000_000
+# Words, and characters of words, a task remembers before it starts anew.
+KNOWN_WORDS = 200_000
+KNOWN_CHARS = 8_000_000
 # Pairs a task counts before it passes them on.
 TASK_PAIRS = 1_000_000
 # Pair counts sent to every task, 16 bytes each; rarer pairs meet their counts by a join.
 BROADCAST_PAIRS = 4_000_000
 
 
+# What Python takes for white space includes all that a byte-level vocabulary takes for it.
+_BETWEEN_WORDS = re.compile(r"(?<=\S) (?=\S)")
+
+
 def _bytes_of_letters() -> dict[str, int]:
     """The letters by which a byte-level vocabulary writes bytes: printable Latin-1 characters
     stand for themselves, the others for characters from U+0100 on, in order."""
@@ -46,14 +57,16 @@ def _bytes_of_letters() -> dict[str, int]:
 
 @dataclass(frozen=True)
 class Pair:
-    """Two vocabularies: their files' contents, the bytes of every id (None: an id that stands
-    for no bytes), and A's array of B ids of the same bytes (-1: none)."""
+    """Two vocabularies: their files' contents, the bytes of every id (empty: an id that stands
+    for no bytes), A's array of B ids of the same bytes (-1: none), and whether texts may be cut at
+    the spaces between words."""
 
     a_file: bytes
     b_file: bytes
     a_bytes: list[bytes]
-    b_bytes: list[bytes | None]
+    b_bytes: list[bytes]
     same: np.ndarray
+    by_words: bool
 
     @classmethod
     def load(cls, spark: SparkSession, a_path: str, b_path: str) -> Pair:
@@ -65,14 +78,15 @@ class Pair:
 
         a_file, b_file = content(a_path), content(b_path)
         letters = _bytes_of_letters()
-        entries = json.loads(a_file)
-        a_bytes = [b""] * (1 + max(entries["model"]["vocab"].values()))
-        for entry, number in entries["model"]["vocab"].items():
+        whole = json.loads(a_file)
+        entries = whole["model"]["vocab"]
+        a_bytes = [b""] * (1 + max(entries.values()))
+        for entry, number in entries.items():
             known = all(letter in letters for letter in entry)
             a_bytes[number] = bytes(map(letters.__getitem__, entry)) if known else entry.encode()
         pieces = Vocabulary.parse(b_file)
         b_bytes = [
-            None
+            b""
             if kind in (CONTROL, UNKNOWN)
             else bytes([int(piece[3:5], 16)])
             if kind == BYTE
@@ -81,178 +95,222 @@ class Pair:
         ]
         # An ordinary piece goes before a byte piece of the same bytes.
         order = sorted(range(len(b_bytes)), key=lambda i: (pieces.kinds[i] != BYTE, -i))
-        by_bytes = {b_bytes[i]: i for i in order if b_bytes[i] is not None}
+        by_bytes = {b_bytes[i]: i for i in order if b_bytes[i]}
         same = np.array([by_bytes.get(spelled, -1) for spelled in a_bytes], np.int64)
-        return cls(a_file, b_file, a_bytes, b_bytes, same)
-
-    @property
-    def a_sizes(self) -> np.ndarray:
-        return np.array([len(b) for b in self.a_bytes])
-
-    @property
-    def b_sizes(self) -> np.ndarray:
-        return np.array([len(b or b"") for b in self.b_bytes])
-
-
-def _tokenize(pair: Pair, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    import sentencepiece
-    from tokenizers import Tokenizer
-
-    left = Tokenizer.from_str(pair.a_file.decode())
-    left.encode_special_tokens = True
-    right = sentencepiece.SentencePieceProcessor(model_proto=pair.b_file)
-    a_bytes, b_bytes = pair.a_bytes, [spelled or b"" for spelled in pair.b_bytes]
-
-    def both(texts: list[str | None]) -> tuple[list[list[int]], list[list[int]]]:
-        some = [text for text in texts if text]
-        found = iter(left.encode_batch_fast([" " + text for text in some], add_special_tokens=False))
-        pieces = iter(right.encode(some, num_threads=1))
-        a_out: list[list[int]] = []
-        b_out: list[list[int]] = []
-        for text in texts:
-            a, b = (next(found).ids, next(pieces)) if text else ([], [])
-            whole = (" " + text).encode() if text else b""
-            if b"".join(map(a_bytes.__getitem__, a)) != whole or b"".join(map(b_bytes.__getitem__, b)) != whole:
-                a, b = [], []
-            a_out.append(a)
-            b_out.append(b)
-        return a_out, b_out
-
-    def ids(tokens: list[list[int]]) -> pa.ListArray:
-        ends = np.concatenate([[0], np.cumsum([len(t) for t in tokens])]).astype(np.int32)
-        flat = np.fromiter(chain.from_iterable(tokens), np.int32, int(ends[-1]))
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-
-    for whole in batches:
-        sizes = np.cumsum(pa.compute.binary_length(whole.column(1)).fill_null(0).to_numpy(zero_copy_only=False))
-        cuts = np.searchsorted(sizes, np.arange(BATCH_CHARS, sizes[-1] if len(sizes) else 0, BATCH_CHARS))
-        for low, high in zip([0, *cuts], [*cuts, len(sizes)], strict=True):
-            if low < high:
-                batch = whole.slice(low, high - low)
-                a, b = both(batch.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([batch.column(0), ids(a), ids(b)], names=["id", "a_ids", "b_ids"])
-
-
-class Numbers:
-    """Ids in decimal with the mark that follows them, by id."""
-
-    def __init__(self, size: int):
-        self.within, self.before_b, self.at_end = (
-            np.array([f"{i}{mark}" for i in range(size)], object) for mark in ",|;"
-        )
-
-
-@dataclass(frozen=True)
-class Links:
-    """Links and groups of a run of texts."""
-
-    texts: int
-    a: np.ndarray
-    b: np.ndarray
-    # Of every token: its text and group; of every group: the text; of every link: A id, B id, text.
-    a_group: np.ndarray
-    b_group: np.ndarray
-    group_text: np.ndarray
-    link_a: np.ndarray
-    link_b: np.ndarray
-    link_text: np.ndarray
+        by_words = _splits_words(whole) and _keeps_words(b_file, pieces)
+        return cls(a_file, b_file, a_bytes, b_bytes, same, by_words)
+
+
+def _splits_words(a: dict) -> bool:
+    """A byte-level vocabulary whose own pattern cuts texts before a space between two words."""
+    cut = a.get("pre_tokenizer") or {}
+    plain = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space")
+    return plain and not a.get("normalizer")
+
+
+def _keeps_words(b_file: bytes, pieces: Vocabulary) -> bool:
+    """A piece vocabulary that changes no characters, adds a marker in front, and has no piece with a
+    marker behind another character."""
+    settings = next((dict(_messages(value)) for number, value in _messages(b_file) if number == 3), {})
+    unchanged = not settings.get(2) and settings.get(3, 1) == 1 and settings.get(4, 1) == 0
+    return unchanged and not any(MARK in piece.lstrip(MARK) for piece in pieces.pieces)
+
+
+class Ragged:
+    """Lists of numbers, by index."""
+
+    def __init__(self) -> None:
+        self.flat = np.empty(0, np.int64)
+        self.ends = np.zeros(1, np.int64)
+
+    def add(self, flat: np.ndarray, counts: np.ndarray) -> None:
+        self.flat = np.concatenate([self.flat, flat])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(counts)])
+
+    def counts(self, which: np.ndarray) -> np.ndarray:
+        return self.ends[which + 1] - self.ends[which]
+
+    def take(self, which: np.ndarray) -> np.ndarray:
+        """The lists of some indexes, one after the other."""
+        counts = self.counts(which)
+        before = np.cumsum(counts) - counts
+        return self.flat[np.repeat(self.ends[which] - before, counts) + np.arange(counts.sum())]
+
+
+def _links(
+    a: np.ndarray, b: np.ndarray, a_counts: np.ndarray, a_sizes: np.ndarray, b_sizes: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For words in a row: the group of every A and B token, the word of every group, and A id, B id
+    and word of every link."""
+    a_ends, b_ends = np.cumsum(a_sizes[a]), np.cumsum(b_sizes[b])
+    groups = np.intersect1d(a_ends, b_ends, assume_unique=True)
+    steps = np.union1d(a_ends, b_ends)
+    a_word = np.repeat(np.arange(len(a_counts)), a_counts)
+    at_a, at_b = np.searchsorted(a_ends, steps), np.searchsorted(b_ends, steps)
+    return (
+        np.searchsorted(groups, a_ends),
+        np.searchsorted(groups, b_ends),
+        a_word[np.searchsorted(a_ends, groups)],
+        a[at_a],
+        b[at_b],
+        a_word[at_a],
+    )
 
-    @classmethod
-    def of(cls, a_lists: pa.ListArray, b_lists: pa.ListArray, a_sizes: np.ndarray, b_sizes: np.ndarray) -> Links:
-        a = a_lists.flatten().to_numpy(zero_copy_only=False)
-        b = b_lists.flatten().to_numpy(zero_copy_only=False)
-        a_ends, b_ends = np.cumsum(a_sizes[a]), np.cumsum(b_sizes[b])
-        groups = np.intersect1d(a_ends, b_ends, assume_unique=True)
-        steps = np.union1d(a_ends, b_ends)
-        a_counts = a_lists.value_lengths().to_numpy(zero_copy_only=False)
-        a_text = np.repeat(np.arange(len(a_counts)), a_counts)
-        at_a, at_b = np.searchsorted(a_ends, steps), np.searchsorted(b_ends, steps)
-        return cls(
-            len(a_counts),
-            a,
-            b,
-            np.searchsorted(groups, a_ends),
-            np.searchsorted(groups, b_ends),
-            a_text[np.searchsorted(a_ends, groups)],
-            a[at_a].astype(np.int64),
-            b[at_b].astype(np.int64),
-            a_text[at_a],
-        )
 
-    def per_text(self, text: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        """Sums of the weights of every text; ``text`` is in order."""
-        sums = np.concatenate([[0], np.cumsum(weight, dtype=np.int64)])
-        return np.diff(sums[np.searchsorted(text, np.arange(self.texts + 1))])
-
-    def written(self, numbers: Numbers) -> list[str]:
-        """Every text's groups, as ``a1,a2|b1;a3|b2,b3``."""
-        a_count = np.bincount(self.a_group, minlength=len(self.group_text))
-        b_count = np.bincount(self.b_group, minlength=len(self.group_text))
-        pieces = np.empty(len(self.a) + len(self.b), object)
-        # A token stands behind all tokens of the groups before and, if a B token, its group's A tokens.
-        a_place = np.arange(len(self.a)) + (np.cumsum(b_count) - b_count)[self.a_group]
-        b_place = np.arange(len(self.b)) + np.cumsum(a_count)[self.b_group]
-        a_last = np.append(self.a_group[1:] != self.a_group[:-1], True)[: len(self.a)]
-        b_last = np.append(self.b_group[1:] != self.b_group[:-1], True)[: len(self.b)]
-        pieces[a_place] = np.where(a_last, numbers.before_b[self.a], numbers.within[self.a])
-        pieces[b_place] = np.where(b_last, numbers.at_end[self.b], numbers.within[self.b])
-        ends = np.cumsum(self.per_text(self.group_text, a_count + b_count))
-        whole = pieces.tolist()
-        return ["".join(whole[low:high])[:-1] for low, high in zip([0, *ends[:-1]], ends, strict=True)]
-
-
-def _runs(batches: Iterator[pa.RecordBatch], pair: Pair) -> Iterator[tuple[pa.RecordBatch, Links]]:
-    """Pieces of batches, of bounded numbers of tokens (or one text), whose first columns are A ids
-    and B ids."""
-    a_sizes, b_sizes = pair.a_sizes, pair.b_sizes
+def _written(a: np.ndarray, b: np.ndarray, a_group: np.ndarray, b_group: np.ndarray, words: np.ndarray, count: int) -> list[str]:
+    """Every word's groups, as ``a1,a2|b1;a3|b2,b3``; ``words`` has the word of every group."""
+    sides = []
+    for ids, group in ((a, a_group), (b, b_group)):
+        ends = np.searchsorted(group, np.arange(len(words) + 1)).tolist()
+        digits = list(map(str, ids.tolist()))
+        sides.append([",".join(digits[low:high]) for low, high in zip(ends, ends[1:], strict=False)])
+    pairs = list(map("|".join, zip(*sides, strict=True)))
+    ends = np.searchsorted(words, np.arange(count + 1)).tolist()
+    return [";".join(pairs[low:high]) for low, high in zip(ends, ends[1:], strict=False)]
+
+
+def _concatenated(parts: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    counts = np.array([len(part) for part in parts], np.int64)
+    return np.fromiter(chain.from_iterable(parts), np.int64, int(counts.sum())), counts
+
+
+class Words:
+    """Tokens, groups and links of the distinct words a task has met."""
+
+    def __init__(self, pair: Pair):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import sentencepiece
+        from tokenizers import Tokenizer
+
+        self._pair = pair
+        self._left = Tokenizer.from_str(pair.a_file.decode())
+        self._left.encode_special_tokens = True
+        self._right = sentencepiece.SentencePieceProcessor(model_proto=pair.b_file)
+        self._a_sizes = np.array([len(b) for b in pair.a_bytes])
+        self._b_sizes = np.array([len(b) for b in pair.b_bytes])
+        self.clear()
+
+    def clear(self) -> None:
+        self._number: dict[str, int] = {}
+        self._chars = 0
+        self.a, self.b = Ragged(), Ragged()
+        # Keys of the linked pairs.
+        self.links = Ragged()
+        self.groups: list[str] = []
+        self.n_groups = np.empty(0, np.int64)
+        self._exact = np.empty(0, bool)
+
+    def read(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(the numbers of all words in order, how many words each text has)."""
+        if len(self._number) > KNOWN_WORDS or self._chars > KNOWN_CHARS:
+            self.clear()
+        number, known = self._number, len(self._number)
+        which: list[int] = []
+        sizes = np.zeros(len(texts), np.int64)
+        for at, text in enumerate(texts):
+            if text:
+                words = _BETWEEN_WORDS.split(text) if self._pair.by_words else [text]
+                which.extend([number.setdefault(word, len(number)) for word in words])
+                sizes[at] = len(words)
+        if len(number) > known:
+            self._add(list(islice(number, known, None)))
+        numbers = np.array(which, np.int64)
+        spoilt = ~self._exact[numbers]
+        if spoilt.any():
+            text = np.repeat(np.arange(len(texts)), sizes)
+            gone = np.unique(text[spoilt])
+            numbers = numbers[~np.isin(text, gone)]
+            sizes[gone] = 0
+        return numbers, sizes
+
+    def _add(self, words: list[str]) -> None:
+        pair = self._pair
+        self._chars += sum(map(len, words))
+        found = self._left.encode_batch_fast([" " + word for word in words], add_special_tokens=False)
+        a_lists = [encoding.ids for encoding in found]
+        b_lists = self._right.encode(words, num_threads=1)
+        exact = np.ones(len(words), bool)
+        for at, word in enumerate(words):
+            whole = (" " + word).encode()
+            a, b = a_lists[at], b_lists[at]
+            if b"".join(map(pair.a_bytes.__getitem__, a)) != whole or b"".join(map(pair.b_bytes.__getitem__, b)) != whole:
+                exact[at], a_lists[at], b_lists[at] = False, [], []
+        (a, a_counts), (b, b_counts) = _concatenated(a_lists), _concatenated(b_lists)
+        a_group, b_group, group_word, link_a, link_b, link_word = _links(a, b, a_counts, self._a_sizes, self._b_sizes)
+        self.a.add(a, a_counts)
+        self.b.add(b, b_counts)
+        self.links.add(link_a * len(pair.b_bytes) + link_b, np.bincount(link_word, minlength=len(words)))
+        self.groups += _written(a, b, a_group, b_group, group_word, len(words))
+        self.n_groups = np.concatenate([self.n_groups, np.bincount(group_word, minlength=len(words))])
+        self._exact = np.concatenate([self._exact, exact])
+
+
+def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of runs of values, exact."""
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    return np.diff(np.concatenate([[0], np.cumsum(values, dtype=np.int64)])[ends])
+
+
+def _lists(flat: np.ndarray, counts: np.ndarray, kind: type = np.int32) -> pa.ListArray:
+    ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.astype(kind)))
+
+
+def _read(batches: Iterator[pa.RecordBatch], words: Words) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Pieces of batches, of bounded size (or one text), whose first column is the text."""
     for whole in batches:
-        sizes = np.cumsum(whole.column(0).value_lengths().to_numpy(zero_copy_only=False))
-        cuts = np.searchsorted(sizes, np.arange(BATCH_TOKENS, sizes[-1] if len(sizes) else 0, BATCH_TOKENS))
+        sizes = np.cumsum(pa.compute.binary_length(whole.column(0)).fill_null(0).to_numpy(zero_copy_only=False))
+        cuts = np.searchsorted(sizes, np.arange(BATCH_BYTES, sizes[-1] if len(sizes) else 0, BATCH_BYTES))
         for low, high in zip([0, *cuts], [*cuts, len(sizes)], strict=True):
             if low < high:
                 batch = whole.slice(low, high - low)
-                yield batch, Links.of(batch.column(0), batch.column(1), a_sizes, b_sizes)
+                yield batch, *words.read(batch.column(0).to_pylist())
 
 
-def _keys(a: np.ndarray, b: np.ndarray, width: int) -> np.ndarray:
-    return a * width + b
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and the sums of their counts."""
+    keys, place = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    counts = np.bincount(place, np.concatenate([p[1] for p in parts]), len(keys))
+    return keys, counts.astype(np.int64)
 
 
-def pair_counts(tokens: DataFrame, pair: Pair) -> DataFrame:
-    """(a, b, regular, n): in how many rows of ``tokens`` (a_ids, b_ids) an A id and a B id are linked;
+def pair_counts(texts: DataFrame, pair: Pair) -> DataFrame:
+    """(a, b, regular, n): in how many rows of ``texts`` (text) an A id and a B id are linked;
     whether their bytes are the same."""
-    width = len(pair.b_bytes)
-    same = pair.same
+    width, same = len(pair.b_bytes), pair.same
+    room = len(same) * width
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words(pair)
         equal = np.zeros(len(same), np.int64)
-        keys, counts = np.empty(0, np.int64), np.empty(0, np.int64)
+        pending: list[tuple[np.ndarray, np.ndarray]] = []
 
         def rows(a: np.ndarray, b: np.ndarray, n: np.ndarray, regular: bool) -> pa.RecordBatch:
             columns = [a.astype(np.int32), b.astype(np.int32), np.full(len(a), regular), n]
             return pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["a", "b", "regular", "n"])
 
-        for _, links in _runs(batches, pair):
-            regular = same[links.link_a] == links.link_b
-            once = np.unique(links.link_text[regular] * len(same) + links.link_a[regular])
-            equal += np.bincount(once % len(same), minlength=len(same))
-            irregular = _keys(links.link_a[~regular], links.link_b[~regular], width)
-            room = len(same) * width
-            once = np.unique(links.link_text[~regular] * room + irregular) % room
-            merged, place = np.unique(np.concatenate([keys, once]), return_inverse=True)
-            counts = np.bincount(place, np.concatenate([counts, np.ones(len(once))]), len(merged)).astype(np.int64)
-            keys = merged
-            if len(keys) > TASK_PAIRS:
-                yield rows(keys // width, keys % width, counts, False)
-                keys, counts = np.empty(0, np.int64), np.empty(0, np.int64)
-        yield rows(keys // width, keys % width, counts, False)
+        for batch, which, sizes in _read(batches, words):
+            # A row's distinct words first, then their distinct links.
+            known = len(words.groups)
+            row, word = np.divmod(np.unique(np.repeat(np.arange(batch.num_rows), sizes) * known + which), known or 1)
+            held = np.unique(np.repeat(row, words.links.counts(word)) * room + words.links.take(word)) % room
+            regular = same[held // width] == held % width
+            equal += np.bincount(held[regular] // width, minlength=len(same))
+            pending.append(np.unique(held[~regular], return_counts=True))
+            if sum(len(keys) for keys, _ in pending) > TASK_PAIRS:
+                pending = [_summed(pending)]
+                if len(pending[0][0]) > TASK_PAIRS // 2:
+                    keys, n = pending.pop()
+                    yield rows(keys // width, keys % width, n, False)
+        if pending:
+            keys, n = _summed(pending)
+            yield rows(keys // width, keys % width, n, False)
         found = np.flatnonzero(equal)
         yield rows(found, same[found], equal[found], True)
 
-    counted = tokens.select("a_ids", "b_ids").mapInArrow(count, "a int, b int, regular boolean, n bigint")
+    counted = texts.select("text").mapInArrow(count, "a int, b int, regular boolean, n bigint")
     return counted.groupBy("a", "b", "regular").agg(F.sum("n").alias("n"))
 
 
@@ -278,86 +336,90 @@ def align(
     scratch = Scratch(spark)
     pair = Pair.load(spark, a_path, b_path)
     width, same = len(pair.b_bytes), pair.same
-    kind = docs.select(id_col).schema[0].dataType.simpleString()
-    found = f"id {kind}, a_ids array<int>, b_ids array<int>"
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    tokens = texts.mapInArrow(lambda batches: _tokenize(pair, batches), found)
-    tokens = scratch.write(tokens.withColumn("row", F.monotonically_increasing_id()), "tokens")
-    counts = scratch.write(pair_counts(tokens, pair), "pairs")
+    room = len(same) * width
+    texts = docs.select(F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("id"))
+    counts = scratch.write(pair_counts(texts, pair), "pairs")
     most = counts.groupBy("a").agg(F.max("n").alias("most"))  # a row per id of A
     counts = counts.join(F.broadcast(most), "a").select("a", "b", "regular", "n", (F.col("n") == F.col("most")).alias("best"))
     counts = scratch.write(counts, "counts")
 
     # The most frequent pairs, as many as may be sent, by powers of two of their counts.
     power = F.floor(F.log2(F.col("n"))).cast("int")
-    sizes = {r["p"]: r["rows"] for r in counts.groupBy(power.alias("p")).agg(F.count(F.lit(1)).alias("rows")).collect()}
-    low, room = 64, broadcast_pairs - len(same)
-    while low > 0 and sum(rows for p, rows in sizes.items() if p >= low - 1) <= room:
+    levels = {r["p"]: r["rows"] for r in counts.groupBy(power.alias("p")).agg(F.count(F.lit(1)).alias("rows")).collect()}
+    low, left = 64, broadcast_pairs - len(same)
+    while low > 0 and sum(rows for p, rows in levels.items() if p >= low - 1) <= left:
         low -= 1
-    rare = power < low
-    table = counts.where(F.col("regular") | ~rare).select("a", "b", "n", "best").toArrow()
-    keys = _keys(*(table.column(c).to_numpy().astype(np.int64) for c in ("a", "b")), width)
+    table = counts.where(F.col("regular") | (power >= low)).select("a", "b", "n", "best").toArrow()
+    keys = table.column("a").to_numpy().astype(np.int64) * width + table.column("b").to_numpy()
     order = np.argsort(keys)
     # One more entry, for what is not there.
-    keys = np.append(keys[order], len(same) * width)
+    keys = np.append(keys[order], room)
     known_n = np.append(table.column("n").to_numpy()[order], 0)
     known_best = np.append(table.column("best").to_numpy()[order], False)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = Numbers(max(len(same), width))
-        for batch, links in _runs(batches, pair):
-            wanted = _keys(links.link_a, links.link_b, width)
-            at = np.searchsorted(keys, wanted)
-            known = keys[at] == wanted
-            n, best = np.where(known, known_n[at], 0), known & known_best[at]
+        words = Words(pair)
+        for batch, which, sizes in _read(batches, words):
+            # Figures of every distinct word of the batch, then of its texts.
+            met, place = np.unique(which, return_inverse=True)
+            linked, n_links = words.links.take(met), words.links.counts(met)
+            at = np.searchsorted(keys, linked)
+            known = keys[at] == linked
+            figures_of_words = (
+                words.n_groups[met],
+                n_links,
+                _sums(known & known_best[at], n_links),
+                _sums(np.where(known, known_n[at], 0), n_links),
+            )
+            ends = np.cumsum(sizes).tolist()
+            written = list(map(words.groups.__getitem__, which.tolist()))
             made = [
-                links.written(numbers),
-                links.per_text(links.group_text, np.ones(len(links.group_text))),
-                links.per_text(links.link_text, np.ones(len(wanted))),
-                links.per_text(links.link_text, best),
-                links.per_text(links.link_text, n),
+                _lists(words.a.take(which), _sums(words.a.counts(which), sizes)),
+                _lists(words.b.take(which), _sums(words.b.counts(which), sizes)),
+                pa.array([";".join(written[start:end]) for start, end in zip([0, *ends], ends, strict=False)], pa.string()),
+                *(pa.array(_sums(figure[place], sizes)) for figure in figures_of_words),
             ]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, made)], names=names)
-
-    figures = "groups string, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint"
-    form = f"a_ids array<int>, b_ids array<int>, id {kind}, row bigint, {figures}"
-    names = ["a_ids", "b_ids", "id", "row", *(part.split()[0] for part in figures.split(", "))]
-    measured = tokens.select("a_ids", "b_ids", "id", "row").mapInArrow(measure, form)
+            if low:
+                row = np.repeat(np.arange(batch.num_rows), sizes)
+                linked = words.links.take(which)
+                row = np.repeat(row, words.links.counts(which))
+                other = keys[np.searchsorted(keys, linked)] != linked
+                held, times = np.unique(row[other] * room + linked[other], return_counts=True)
+                per_row = np.bincount(held // room, minlength=batch.num_rows)
+                made += [_lists(held % room, per_row, np.int64), _lists(times, per_row, np.int64)]
+            yield pa.RecordBatch.from_arrays([batch.column(1), *made], names=names)
+
+    schema = (
+        f"id {texts.schema['id'].dataType.simpleString()}, a_ids array<int>, b_ids array<int>, "
+        "groups string, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint"
+    )
     if low:
-        measured = _with_rare(measured, tokens, counts.where(rare), pair, keys)
-    given = [name for name in names if name not in ("id", "row")]
+        schema += ", rare array<bigint>, times array<bigint>"
+    names = [part.split()[0] for part in schema.split(", ")]
+    measured = texts.mapInArrow(measure, schema)
+    if low:
+        seldom = counts.where(~F.col("regular") & (power < low))
+        measured = _with_rare(scratch, measured, seldom.withColumn("pair", F.col("a").cast("bigint") * width + F.col("b")))
+    given = [name for name in names[1:] if name not in ("rare", "times")]
     return measured.select(F.col("id").alias(id_col), *given), counts
 
 
-def _with_rare(measured: DataFrame, tokens: DataFrame, rare: DataFrame, pair: Pair, sent: np.ndarray) -> DataFrame:
-    """Add the counts of the links whose pair was not sent: they meet them by a join. Such pairs are
-    rare, so no key is hot; a row's links are added up before the shuffle."""
-    width = len(pair.b_bytes)
-
-    def unknown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, links in _runs(batches, pair):
-            wanted = _keys(links.link_a, links.link_b, width)
-            other = ~np.isin(wanted, sent)
-            room = len(pair.same) * width
-            once, times = np.unique(links.link_text[other] * room + wanted[other], return_counts=True)
-            row = batch.column(2).to_numpy()[once // room]
-            a, b = np.divmod(once % room, width)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(row), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(times)],
-                names=["row", "a", "b", "times"],
-            )
-
+def _with_rare(scratch: Scratch, measured: DataFrame, seldom: DataFrame) -> DataFrame:
+    """Add the counts of the links whose pair was not sent: they meet them by a join. A row has a
+    pair once there, and such pairs are in few rows, so no key is hot."""
+    measured = scratch.write(measured.withColumn("row", F.monotonically_increasing_id()), "measured")
     met = (
-        tokens.select("a_ids", "b_ids", "row")
-        .mapInArrow(unknown, "row bigint, a int, b int, times bigint")
-        .join(rare, ["a", "b"])
+        measured.select("row", F.explode(F.arrays_zip("rare", "times")).alias("held"))
+        .select("row", F.col("held.rare").alias("pair"), F.col("held.times").alias("times"))
+        .join(seldom.select("pair", "n", "best"), "pair")
         .groupBy("row")
         .agg(
             F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("more_best"),
             F.sum(F.col("times") * F.col("n")).alias("more"),
         )
     )
-    joined = measured.join(met, "row", "left")
-    return joined.withColumn("n_best", F.col("n_best") + F.coalesce("more_best", F.lit(0))).withColumn(
-        "count_sum", F.col("count_sum") + F.coalesce("more", F.lit(0))
+    return (
+        measured.join(met, "row", "left")
+        .withColumn("n_best", F.col("n_best") + F.coalesce("more_best", F.lit(0)))
+        .withColumn("count_sum", F.col("count_sum") + F.coalesce("more", F.lit(0)))
     )

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import random
+from dataclasses import replace
+
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
+from lethewood.llm import token_align
 from lethewood.llm.queries import BYTE_LEVEL, PIECES
-from lethewood.llm.token_align import Pair, align
+from lethewood.llm.token_align import Pair, Words, align
 
 from .helpers import LONG, TEXTS, docs
 
@@ -22,6 +26,9 @@ ODD = [
     (27, "▁ mark"),
     (28, " "),
     (28, "x" * 3000),
+    (29, "tab\t after \x1c odd \u3000 wide\u00a0 no\u2028 break \x85 end "),
+    (30, " lead it's  can 't  a'b 12 34,5  \n \n x"),
+    (31, "combining e\u0301 \u0301alone \u200b zero\u200d joiner"),
 ]
 
 
@@ -94,11 +101,37 @@ def test_alignment_equals_brute_force(spark, sent):
 
 def test_same_bytes(spark):
     pair = Pair.load(spark, BYTE_LEVEL, PIECES)
+    assert pair.by_words
     for a, b in enumerate(pair.same.tolist()):
         assert b == -1 or pair.a_bytes[a] == pair.b_bytes[b]
     assert (pair.same >= 0).sum() > 10_000
 
 
+def test_words_are_independent_of_their_neighbours(spark, data):
+    """All documents, and texts of random whitespace and letters, read by words and as wholes."""
+    pair = Pair.load(spark, BYTE_LEVEL, PIECES)
+    random_ = random.Random(5)
+    letters = "ab'sé1,. .  \t\n\u3000\u00a0\x1c日\u0301\U0001f600▁"
+    texts = ["".join(random_.choice(letters) for _ in range(40)) for _ in range(1500)]
+    texts += [r.text for r in spark.read.parquet(f"{data}/documents.parquet").limit(60).collect()]
+    made = []
+    for words in (Words(pair), Words(replace(pair, by_words=False))):
+        which, sizes = words.read(texts)
+        ends = sizes.cumsum().tolist()
+        made.append([";".join(words.groups[i] for i in which[low:high]) for low, high in zip([0, *ends], ends, strict=False)])
+    assert made[0] == made[1] and sum(map(bool, made[0])) > 60
+
+
+def test_a_task_that_forgets_words(spark, monkeypatch):
+    monkeypatch.setattr(token_align, "KNOWN_WORDS", 3)
+    monkeypatch.setattr(token_align, "TASK_PAIRS", 5)
+    monkeypatch.setattr(token_align, "BATCH_BYTES", 50)
+    want, pairs = brute(ODD, Pair.load(spark, BYTE_LEVEL, PIECES))
+    aligned, counts = align(docs(spark, ODD).coalesce(1), BYTE_LEVEL, PIECES)
+    assert order(map(tuple, aligned.collect())) == order(want)
+    assert {(r.a, r.b): (r.n, r.best) for r in counts.collect()} == pairs
+
+
 def test_empty_table(spark):
     aligned, counts = align(docs(spark, []), BYTE_LEVEL, PIECES)
     assert aligned.collect() == [] == counts.collect()
