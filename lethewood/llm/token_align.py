@@ -34,6 +34,7 @@ from lethewood.sources.scratch import Scratch
 
 # Texts are read about this many bytes at a time.
 BATCH_BYTES = 2_000_000
+BATCH_TOKENS = 500_000
 # Words, and characters of words, a task remembers before it starts anew.
 KNOWN_WORDS = 200_000
 KNOWN_CHARS = 8_000_000
@@ -41,6 +42,8 @@ KNOWN_CHARS = 8_000_000
 TASK_PAIRS = 1_000_000
 # Pair counts sent to every task, 16 bytes each; rarer pairs meet their counts by a join.
 BROADCAST_PAIRS = 4_000_000
+# Where a link ends, both its tokens end, or only one does.
+BOTH_END, A_ENDS, B_ENDS = 0, 1, 2
 
 
 # What Python takes for white space includes all that a byte-level vocabulary takes for it.
@@ -137,36 +140,45 @@ class Ragged:
         return self.flat[np.repeat(self.ends[which] - before, counts) + np.arange(counts.sum())]
 
 
-def _links(
+def _steps(
     a: np.ndarray, b: np.ndarray, a_counts: np.ndarray, a_sizes: np.ndarray, b_sizes: np.ndarray
-) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For words in a row: the group of every A and B token, the word of every group, and A id, B id
-    and word of every link."""
+) -> tuple[np.ndarray, np.ndarray]:
+    """For words in a row: the step after every link, and how many links each word has."""
     a_ends, b_ends = np.cumsum(a_sizes[a]), np.cumsum(b_sizes[b])
-    groups = np.intersect1d(a_ends, b_ends, assume_unique=True)
-    steps = np.union1d(a_ends, b_ends)
-    a_word = np.repeat(np.arange(len(a_counts)), a_counts)
-    at_a, at_b = np.searchsorted(a_ends, steps), np.searchsorted(b_ends, steps)
-    return (
-        np.searchsorted(groups, a_ends),
-        np.searchsorted(groups, b_ends),
-        a_word[np.searchsorted(a_ends, groups)],
-        a[at_a],
-        b[at_b],
-        a_word[at_a],
-    )
+    ends = np.union1d(a_ends, b_ends)
+    at_a = np.searchsorted(a_ends, ends)
+    steps = np.where(a_ends[at_a] == ends, A_ENDS, B_ENDS) if len(ends) else ends
+    steps[np.searchsorted(ends, np.intersect1d(a_ends, b_ends, assume_unique=True))] = BOTH_END
+    word = np.repeat(np.arange(len(a_counts)), a_counts)
+    return steps, np.bincount(word[at_a], minlength=len(a_counts))
+
+
+def _linked(a: np.ndarray, b: np.ndarray, steps: np.ndarray, width: int) -> np.ndarray:
+    """The key of every link's pair of ids."""
+    a_at, b_at = np.cumsum(steps != B_ENDS), np.cumsum(steps != A_ENDS)
+    return a[a_at - (steps != B_ENDS)].astype(np.int64) * width + b[b_at - (steps != A_ENDS)]
+
 
+class Numbers:
+    """Ids in decimal with the mark that follows them, by id."""
 
-def _written(a: np.ndarray, b: np.ndarray, a_group: np.ndarray, b_group: np.ndarray, words: np.ndarray, count: int) -> list[str]:
-    """Every word's groups, as ``a1,a2|b1;a3|b2,b3``; ``words`` has the word of every group."""
-    sides = []
-    for ids, group in ((a, a_group), (b, b_group)):
-        ends = np.searchsorted(group, np.arange(len(words) + 1)).tolist()
-        digits = list(map(str, ids.tolist()))
-        sides.append([",".join(digits[low:high]) for low, high in zip(ends, ends[1:], strict=False)])
-    pairs = list(map("|".join, zip(*sides, strict=True)))
-    ends = np.searchsorted(words, np.arange(count + 1)).tolist()
-    return [";".join(pairs[low:high]) for low, high in zip(ends, ends[1:], strict=False)]
+    def __init__(self, size: int):
+        self.within, self.before_b, self.at_end = (
+            np.array([f"{i}{mark}" for i in range(size)], object) for mark in ",|;"
+        )
+
+    def written(self, a: np.ndarray, b: np.ndarray, steps: np.ndarray, sizes: np.ndarray) -> list[str]:
+        """Groups as ``a1,a2|b1;a3|b2,b3``, for runs of ``sizes`` tokens of both sides."""
+        a_last, b_last = steps[steps != B_ENDS] == BOTH_END, steps[steps != A_ENDS] == BOTH_END
+        a_group, b_group = np.cumsum(a_last) - a_last, np.cumsum(b_last) - b_last
+        # A token stands behind all tokens of the groups before and, if of B, its group's A tokens.
+        b_before = np.concatenate([[0], np.flatnonzero(b_last) + 1])
+        a_until = np.flatnonzero(a_last) + 1
+        pieces = np.empty(len(a) + len(b), object)
+        pieces[np.arange(len(a)) + b_before[a_group]] = np.where(a_last, self.before_b[a], self.within[a])
+        pieces[np.arange(len(b)) + a_until[b_group]] = np.where(b_last, self.at_end[b], self.within[b])
+        whole, ends = pieces.tolist(), np.cumsum(sizes).tolist()
+        return ["".join(whole[low:high])[:-1] for low, high in zip([0, *ends], ends, strict=False)]
 
 
 def _concatenated(parts: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
@@ -192,14 +204,15 @@ class Words:
         self._b_sizes = np.array([len(b) for b in pair.b_bytes])
         self.clear()
 
+    def __len__(self) -> int:
+        return len(self._number)
+
     def clear(self) -> None:
         self._number: dict[str, int] = {}
         self._chars = 0
         self.a, self.b = Ragged(), Ragged()
-        # Keys of the linked pairs.
-        self.links = Ragged()
-        self.groups: list[str] = []
-        self.n_groups = np.empty(0, np.int64)
+        # The step after every link, and the key of its pair.
+        self.steps, self.links = Ragged(), Ragged()
         self._exact = np.empty(0, bool)
 
     def read(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -231,28 +244,45 @@ class Words:
         found = self._left.encode_batch_fast([" " + word for word in words], add_special_tokens=False)
         a_lists = [encoding.ids for encoding in found]
         b_lists = self._right.encode(words, num_threads=1)
-        exact = np.ones(len(words), bool)
-        for at, word in enumerate(words):
-            whole = (" " + word).encode()
-            a, b = a_lists[at], b_lists[at]
-            if b"".join(map(pair.a_bytes.__getitem__, a)) != whole or b"".join(map(pair.b_bytes.__getitem__, b)) != whole:
-                exact[at], a_lists[at], b_lists[at] = False, [], []
         (a, a_counts), (b, b_counts) = _concatenated(a_lists), _concatenated(b_lists)
-        a_group, b_group, group_word, link_a, link_b, link_word = _links(a, b, a_counts, self._a_sizes, self._b_sizes)
+        spelled = [" " + word for word in words]
+        lengths = np.array([len(word.encode()) for word in spelled])
+        exact = (_sums(self._a_sizes[a], a_counts) == lengths) & (_sums(self._b_sizes[b], b_counts) == lengths)
+        whole = "".join(spelled).encode()
+        if not exact.all() or _spell(pair.a_bytes, a) != whole or _spell(pair.b_bytes, b) != whole:
+            for at, word in enumerate(spelled):
+                sides = _spell(pair.a_bytes, a_lists[at]), _spell(pair.b_bytes, b_lists[at])
+                if sides != (word.encode(), word.encode()):
+                    exact[at], a_lists[at], b_lists[at] = False, [], []
+            (a, a_counts), (b, b_counts) = _concatenated(a_lists), _concatenated(b_lists)
+        steps, counts = _steps(a, b, a_counts, self._a_sizes, self._b_sizes)
         self.a.add(a, a_counts)
         self.b.add(b, b_counts)
-        self.links.add(link_a * len(pair.b_bytes) + link_b, np.bincount(link_word, minlength=len(words)))
-        self.groups += _written(a, b, a_group, b_group, group_word, len(words))
-        self.n_groups = np.concatenate([self.n_groups, np.bincount(group_word, minlength=len(words))])
+        self.steps.add(steps, counts)
+        self.links.add(_linked(a, b, steps, len(pair.b_bytes)), counts)
         self._exact = np.concatenate([self._exact, exact])
 
 
+def _spell(spelled: list[bytes], ids: np.ndarray | list[int]) -> bytes:
+    return b"".join(map(spelled.__getitem__, ids))
+
+
 def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Sums of runs of values, exact."""
     ends = np.concatenate([[0], np.cumsum(sizes)])
     return np.diff(np.concatenate([[0], np.cumsum(values, dtype=np.int64)])[ends])
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of bounded numbers of tokens (or one text), whose first column is a list of tokens."""
+    for whole in batches:
+        sizes = np.cumsum(whole.column(0).value_lengths().to_numpy(zero_copy_only=False))
+        cuts = np.searchsorted(sizes, np.arange(BATCH_TOKENS, sizes[-1] if len(sizes) else 0, BATCH_TOKENS))
+        for low, high in zip([0, *cuts], [*cuts, len(sizes)], strict=True):
+            if low < high:
+                yield whole.slice(low, high - low)
+
+
 def _lists(flat: np.ndarray, counts: np.ndarray, kind: type = np.int32) -> pa.ListArray:
     ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.astype(kind)))
@@ -276,25 +306,43 @@ def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return keys, counts.astype(np.int64)
 
 
-def pair_counts(texts: DataFrame, pair: Pair) -> DataFrame:
-    """(a, b, regular, n): in how many rows of ``texts`` (text) an A id and a B id are linked;
-    whether their bytes are the same."""
+def _tokenized(texts: DataFrame, pair: Pair) -> DataFrame:
+    """Two kinds of rows, so that the texts are read once: (id, a_ids, b_ids, steps) of every text, and
+    (a, b, regular, n) of a task's linked pairs: how many texts hold them, and whether their bytes are
+    the same."""
     width, same = len(pair.b_bytes), pair.same
     room = len(same) * width
+    kind = texts.schema["id"].dataType.simpleString()
+    schema = f"id {kind}, a_ids array<int>, b_ids array<int>, steps array<tinyint>, a int, b int, regular boolean, n bigint"
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words(pair)
         equal = np.zeros(len(same), np.int64)
         pending: list[tuple[np.ndarray, np.ndarray]] = []
+        form: pa.Schema | None = None
 
-        def rows(a: np.ndarray, b: np.ndarray, n: np.ndarray, regular: bool) -> pa.RecordBatch:
-            columns = [a.astype(np.int32), b.astype(np.int32), np.full(len(a), regular), n]
-            return pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["a", "b", "regular", "n"])
+        def made(columns: list[pa.Array], first: int) -> pa.RecordBatch:
+            rest = [pa.nulls(len(columns[0]), field.type) for field in form]
+            return pa.RecordBatch.from_arrays([*rest[:first], *columns, *rest[first + len(columns) :]], schema=form)
+
+        def pairs(keys: np.ndarray, n: np.ndarray, regular: bool) -> pa.RecordBatch:
+            a, b = np.divmod(keys, width)
+            columns = [a.astype(np.int32), b.astype(np.int32), np.full(len(keys), regular), n]
+            return made(list(map(pa.array, columns)), 4)
 
         for batch, which, sizes in _read(batches, words):
-            # A row's distinct words first, then their distinct links.
-            known = len(words.groups)
-            row, word = np.divmod(np.unique(np.repeat(np.arange(batch.num_rows), sizes) * known + which), known or 1)
+            if form is None:
+                lists_of = [("a_ids", pa.int32()), ("b_ids", pa.int32()), ("steps", pa.int8())]
+                plain = [("a", pa.int32()), ("b", pa.int32()), ("regular", pa.bool_()), ("n", pa.int64())]
+                form = pa.schema([("id", batch.column(1).type), *((n, pa.list_(t)) for n, t in lists_of), *plain])
+            sides = [
+                _lists(side.take(which), _sums(side.counts(which), sizes), dtype)
+                for side, dtype in ((words.a, np.int32), (words.b, np.int32), (words.steps, np.int8))
+            ]
+            yield made([batch.column(1), *sides], 0)
+            # A text's distinct words first, then their distinct links.
+            known = max(1, len(words))
+            row, word = np.divmod(np.unique(np.repeat(np.arange(batch.num_rows), sizes) * known + which), known)
             held = np.unique(np.repeat(row, words.links.counts(word)) * room + words.links.take(word)) % room
             regular = same[held // width] == held % width
             equal += np.bincount(held[regular] // width, minlength=len(same))
@@ -302,16 +350,13 @@ def pair_counts(texts: DataFrame, pair: Pair) -> DataFrame:
             if sum(len(keys) for keys, _ in pending) > TASK_PAIRS:
                 pending = [_summed(pending)]
                 if len(pending[0][0]) > TASK_PAIRS // 2:
-                    keys, n = pending.pop()
-                    yield rows(keys // width, keys % width, n, False)
-        if pending:
-            keys, n = _summed(pending)
-            yield rows(keys // width, keys % width, n, False)
-        found = np.flatnonzero(equal)
-        yield rows(found, same[found], equal[found], True)
+                    yield pairs(*pending.pop(), False)
+        if form is not None:
+            yield pairs(*_summed([(np.empty(0, np.int64),) * 2, *pending]), False)
+            found = np.flatnonzero(equal)
+            yield pairs(found * width + same[found], equal[found], True)
 
-    counted = texts.select("text").mapInArrow(count, "a int, b int, regular boolean, n bigint")
-    return counted.groupBy("a", "b", "regular").agg(F.sum("n").alias("n"))
+    return texts.select("text", "id").mapInArrow(scan, schema)
 
 
 def align(
@@ -322,9 +367,13 @@ def align(
     text_col: str = "text",
     broadcast_pairs: int = BROADCAST_PAIRS,
 ) -> tuple[DataFrame, DataFrame]:
-    """Per row of ``docs`` (``id_col``, ``a_ids``, ``b_ids``, ``groups`` as ``a1,a2|b1;a3|b2,b3``,
-    ``n_groups``, ``n_links``, ``n_best``, ``count_sum``), and (a, b, regular, n, best): in how many
-    rows two ids are linked, and whether that is the most for the A id (ties included).
+    """Per row of ``docs`` (``id_col``, ``a_ids``, ``b_ids``, ``steps``, ``groups`` as
+    ``a1,a2|b1;a3|b2,b3``, ``n_groups``, ``n_links``, ``n_best``, ``count_sum``), and (a, b, regular, n,
+    best): in how many rows two ids are linked, whether their bytes are the same, and whether that is
+    the most for the A id (ties included).
+
+    ``steps`` has a number per link, from left to right: what ends where it ends (0 both tokens, 1 the
+    A token, 2 the B token); with the ids it is the whole alignment.
 
     ``n_best`` counts a row's links whose pair is a best one, ``count_sum`` adds up the pairs' n over
     its links. Texts that are null, empty, or that either vocabulary does not give back byte
@@ -338,7 +387,10 @@ def align(
     width, same = len(pair.b_bytes), pair.same
     room = len(same) * width
     texts = docs.select(F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("id"))
-    counts = scratch.write(pair_counts(texts, pair), "pairs")
+    both = scratch.write(_tokenized(texts, pair), "tokens")
+    tokens = both.where("a IS NULL").select("a_ids", "b_ids", "steps", "id")
+    counts = both.where("a IS NOT NULL").groupBy("a", "b", "regular").agg(F.sum("n").alias("n"))
+    counts = scratch.write(counts, "pairs")
     most = counts.groupBy("a").agg(F.max("n").alias("most"))  # a row per id of A
     counts = counts.join(F.broadcast(most), "a").select("a", "b", "regular", "n", (F.col("n") == F.col("most")).alias("best"))
     counts = scratch.write(counts, "counts")
@@ -358,45 +410,35 @@ def align(
     known_best = np.append(table.column("best").to_numpy()[order], False)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(pair)
-        for batch, which, sizes in _read(batches, words):
-            # Figures of every distinct word of the batch, then of its texts.
-            met, place = np.unique(which, return_inverse=True)
-            linked, n_links = words.links.take(met), words.links.counts(met)
+        numbers = Numbers(max(len(same), width))
+        for batch in _pieces(batches):
+            a, b, steps = (batch.column(i).flatten().to_numpy(zero_copy_only=False) for i in range(3))
+            n_a, n_b, n_links = (batch.column(i).value_lengths().to_numpy(zero_copy_only=False) for i in range(3))
+            linked = _linked(a, b, steps, width)
             at = np.searchsorted(keys, linked)
             known = keys[at] == linked
-            figures_of_words = (
-                words.n_groups[met],
-                n_links,
-                _sums(known & known_best[at], n_links),
-                _sums(np.where(known, known_n[at], 0), n_links),
-            )
-            ends = np.cumsum(sizes).tolist()
-            written = list(map(words.groups.__getitem__, which.tolist()))
             made = [
-                _lists(words.a.take(which), _sums(words.a.counts(which), sizes)),
-                _lists(words.b.take(which), _sums(words.b.counts(which), sizes)),
-                pa.array([";".join(written[start:end]) for start, end in zip([0, *ends], ends, strict=False)], pa.string()),
-                *(pa.array(_sums(figure[place], sizes)) for figure in figures_of_words),
+                pa.array(numbers.written(a, b, steps, n_a + n_b), pa.string()),
+                pa.array(_sums(steps == BOTH_END, n_links)),
+                pa.array(n_links.astype(np.int64)),
+                pa.array(_sums(known & known_best[at], n_links)),
+                pa.array(_sums(np.where(known, known_n[at], 0), n_links)),
             ]
             if low:
-                row = np.repeat(np.arange(batch.num_rows), sizes)
-                linked = words.links.take(which)
-                row = np.repeat(row, words.links.counts(which))
-                other = keys[np.searchsorted(keys, linked)] != linked
-                held, times = np.unique(row[other] * room + linked[other], return_counts=True)
+                row = np.repeat(np.arange(batch.num_rows), n_links)
+                held, times = np.unique(row[~known] * room + linked[~known], return_counts=True)
                 per_row = np.bincount(held // room, minlength=batch.num_rows)
                 made += [_lists(held % room, per_row, np.int64), _lists(times, per_row, np.int64)]
-            yield pa.RecordBatch.from_arrays([batch.column(1), *made], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(3), *batch.columns[:3], *made], names=names)
 
     schema = (
         f"id {texts.schema['id'].dataType.simpleString()}, a_ids array<int>, b_ids array<int>, "
-        "groups string, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint"
+        "steps array<tinyint>, groups string, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint"
     )
     if low:
         schema += ", rare array<bigint>, times array<bigint>"
     names = [part.split()[0] for part in schema.split(", ")]
-    measured = texts.mapInArrow(measure, schema)
+    measured = tokens.mapInArrow(measure, schema)
     if low:
         seldom = counts.where(~F.col("regular") & (power < low))
         measured = _with_rare(scratch, measured, seldom.withColumn("pair", F.col("a").cast("bigint") * width + F.col("b")))

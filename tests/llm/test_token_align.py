@@ -30,6 +30,7 @@ ODD = [
     (30, " lead it's  can 't  a'b 12 34,5  \n \n x"),
     (31, "combining e\u0301 \u0301alone \u200b zero\u200d joiner"),
 ]
+NAMES = ["doc_id", "a_ids", "b_ids", "groups", "n_groups", "n_links", "n_best", "count_sum"]
 
 
 def brute(rows, pair):
@@ -92,9 +93,9 @@ def test_alignment_equals_brute_force(spark, sent):
     pair = Pair.load(spark, BYTE_LEVEL, PIECES)
     want, pairs = brute(rows, pair)
     aligned, counts = align(docs(spark, rows).repartition(3), BYTE_LEVEL, PIECES, broadcast_pairs=sent)
-    names = ["doc_id", "a_ids", "b_ids", "groups", "n_groups", "n_links", "n_best", "count_sum"]
-    assert aligned.columns == names
-    assert order(map(tuple, aligned.collect())) == order(want)
+    assert aligned.columns == ["doc_id", "a_ids", "b_ids", "steps", *NAMES[3:]]
+    assert all(len(r.steps) == r.n_links and r.steps.count(0) == r.n_groups for r in aligned.collect())
+    assert order(map(tuple, aligned.select(*NAMES).collect())) == order(want)
     assert {(r.a, r.b): (r.n, r.best) for r in counts.collect()} == pairs
     assert {r.regular for r in counts.collect()} == {True, False}
 
@@ -118,8 +119,9 @@ def test_words_are_independent_of_their_neighbours(spark, data):
     for words in (Words(pair), Words(replace(pair, by_words=False))):
         which, sizes = words.read(texts)
         ends = sizes.cumsum().tolist()
-        made.append([";".join(words.groups[i] for i in which[low:high]) for low, high in zip([0, *ends], ends, strict=False)])
-    assert made[0] == made[1] and sum(map(bool, made[0])) > 60
+        texts_words = [which[low:high] for low, high in zip([0, *ends], ends, strict=False)]
+        made.append([[side.take(w).tolist() for side in (words.a, words.b, words.steps)] for w in texts_words])
+    assert made[0] == made[1] and sum(map(any, made[0])) > 60
 
 
 def test_a_task_that_forgets_words(spark, monkeypatch):
@@ -128,7 +130,7 @@ def test_a_task_that_forgets_words(spark, monkeypatch):
     monkeypatch.setattr(token_align, "BATCH_BYTES", 50)
     want, pairs = brute(ODD, Pair.load(spark, BYTE_LEVEL, PIECES))
     aligned, counts = align(docs(spark, ODD).coalesce(1), BYTE_LEVEL, PIECES)
-    assert order(map(tuple, aligned.collect())) == order(want)
+    assert order(map(tuple, aligned.select(*NAMES).collect())) == order(want)
     assert {(r.a, r.b): (r.n, r.best) for r in counts.collect()} == pairs
 
 
