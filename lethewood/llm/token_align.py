@@ -8,7 +8,7 @@ of texts at once: a text's last byte ends both sides, so no group crosses texts.
 
 Where both vocabularies allow it, neither has a token that goes on over a single space between
 two words. Then a word's tokens, groups and links do not depend on its neighbours, and a task finds
-them once for each distinct word; a text is the sequence of its words.
+them once for each distinct word of some megabytes of texts; a text is the sequence of its words.
 
 Most groups are one token with the same bytes on both sides. An array over A's vocabulary
 holds each id's B id of equal bytes; links between these two are counted in a vector as long as
@@ -19,9 +19,9 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import chain, islice
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +33,11 @@ from lethewood.llm.sentencepiece import BYTE, CONTROL, MARK, UNKNOWN, Vocabulary
 from lethewood.sources.scratch import Scratch
 
 # Texts are read about this many bytes at a time.
-BATCH_BYTES = 2_000_000
+BATCH_BYTES = 4_000_000
 BATCH_TOKENS = 500_000
-# Words, and characters of words, a task remembers before it starts anew.
-KNOWN_WORDS = 200_000
-KNOWN_CHARS = 8_000_000
+# So many words go to the byte-level vocabulary as one text, and so many texts at once.
+JOINED_WORDS = 500
+JOINED_TEXTS = 20
 # Pairs a task counts before it passes them on.
 TASK_PAIRS = 1_000_000
 # Pair counts sent to every task, 16 bytes each; rarer pairs meet their counts by a join.
@@ -48,6 +48,9 @@ BOTH_END, A_ENDS, B_ENDS = 0, 1, 2
 
 # What Python takes for white space includes all that a byte-level vocabulary takes for it.
 _BETWEEN_WORDS = re.compile(r"(?<=\S) (?=\S)")
+# The same white space for the expressions of Arrow; a space beside it is not between words.
+_SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_OTHER_SPACES = f"(^|{_SPACE}) | ({_SPACE}|$)"
 
 
 def _bytes_of_letters() -> dict[str, int]:
@@ -119,16 +122,16 @@ def _keeps_words(b_file: bytes, pieces: Vocabulary) -> bool:
     return unchanged and not any(MARK in piece.lstrip(MARK) for piece in pieces.pieces)
 
 
+@dataclass(frozen=True)
 class Ragged:
     """Lists of numbers, by index."""
 
-    def __init__(self) -> None:
-        self.flat = np.empty(0, np.int64)
-        self.ends = np.zeros(1, np.int64)
+    flat: np.ndarray
+    ends: np.ndarray
 
-    def add(self, flat: np.ndarray, counts: np.ndarray) -> None:
-        self.flat = np.concatenate([self.flat, flat])
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(counts)])
+    @classmethod
+    def of(cls, flat: np.ndarray, counts: np.ndarray) -> Ragged:
+        return cls(flat, np.concatenate([[0], np.cumsum(counts)]))
 
     def counts(self, which: np.ndarray) -> np.ndarray:
         return self.ends[which + 1] - self.ends[which]
@@ -145,10 +148,13 @@ def _steps(
 ) -> tuple[np.ndarray, np.ndarray]:
     """For words in a row: the step after every link, and how many links each word has."""
     a_ends, b_ends = np.cumsum(a_sizes[a]), np.cumsum(b_sizes[b])
-    ends = np.union1d(a_ends, b_ends)
+    ends = np.sort(np.concatenate([a_ends, b_ends]))
+    # Every end once, and whether it is there twice.
+    last = np.append(ends[1:] != ends[:-1], True)[: len(ends)]
+    twice = np.append(False, ~last)[: len(ends)][last]
+    ends = ends[last]
     at_a = np.searchsorted(a_ends, ends)
-    steps = np.where(a_ends[at_a] == ends, A_ENDS, B_ENDS) if len(ends) else ends
-    steps[np.searchsorted(ends, np.intersect1d(a_ends, b_ends, assume_unique=True))] = BOTH_END
+    steps = np.where(twice, BOTH_END, np.where(a_ends[at_a] == ends, A_ENDS, B_ENDS))
     word = np.repeat(np.arange(len(a_counts)), a_counts)
     return steps, np.bincount(word[at_a], minlength=len(a_counts))
 
@@ -186,8 +192,20 @@ def _concatenated(parts: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter(chain.from_iterable(parts), np.int64, int(counts.sum())), counts
 
 
+@dataclass(frozen=True)
 class Words:
-    """Tokens, groups and links of the distinct words a task has met."""
+    """Of distinct words: both sides' ids, the step after every link, the key of its pair, and whether
+    both sides give the word's bytes back (if not, the lists are empty)."""
+
+    a: Ragged
+    b: Ragged
+    steps: Ragged
+    links: Ragged
+    exact: np.ndarray
+
+
+class Encoder:
+    """The two tokenizers in a task."""
 
     def __init__(self, pair: Pair):
         import os
@@ -202,68 +220,58 @@ class Words:
         self._right = sentencepiece.SentencePieceProcessor(model_proto=pair.b_file)
         self._a_sizes = np.array([len(b) for b in pair.a_bytes])
         self._b_sizes = np.array([len(b) for b in pair.b_bytes])
-        self.clear()
-
-    def __len__(self) -> int:
-        return len(self._number)
-
-    def clear(self) -> None:
-        self._number: dict[str, int] = {}
-        self._chars = 0
-        self.a, self.b = Ragged(), Ragged()
-        # The step after every link, and the key of its pair.
-        self.steps, self.links = Ragged(), Ragged()
-        self._exact = np.empty(0, bool)
-
-    def read(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(the numbers of all words in order, how many words each text has)."""
-        if len(self._number) > KNOWN_WORDS or self._chars > KNOWN_CHARS:
-            self.clear()
-        number, known = self._number, len(self._number)
-        which: list[int] = []
-        sizes = np.zeros(len(texts), np.int64)
-        for at, text in enumerate(texts):
-            if text:
-                words = _BETWEEN_WORDS.split(text) if self._pair.by_words else [text]
-                which.extend([number.setdefault(word, len(number)) for word in words])
-                sizes[at] = len(words)
-        if len(number) > known:
-            self._add(list(islice(number, known, None)))
-        numbers = np.array(which, np.int64)
-        spoilt = ~self._exact[numbers]
-        if spoilt.any():
-            text = np.repeat(np.arange(len(texts)), sizes)
-            gone = np.unique(text[spoilt])
-            numbers = numbers[~np.isin(text, gone)]
-            sizes[gone] = 0
-        return numbers, sizes
-
-    def _add(self, words: list[str]) -> None:
+
+    def words(self, words: list[str]) -> Words:
+        """Words (or whole texts), each with a space in front."""
         pair = self._pair
-        self._chars += sum(map(len, words))
-        found = self._left.encode_batch_fast([" " + word for word in words], add_special_tokens=False)
-        a_lists = [encoding.ids for encoding in found]
-        b_lists = self._right.encode(words, num_threads=1)
-        (a, a_counts), (b, b_counts) = _concatenated(a_lists), _concatenated(b_lists)
         spelled = [" " + word for word in words]
-        lengths = np.array([len(word.encode()) for word in spelled])
+        lengths = np.array([len(word.encode()) for word in spelled], np.int64)
+        a_lists, b_lists = self._byte_level(spelled, lengths), self._right.encode(words, num_threads=1)
+        (a, a_counts), (b, b_counts) = _concatenated(a_lists), _concatenated(b_lists)
         exact = (_sums(self._a_sizes[a], a_counts) == lengths) & (_sums(self._b_sizes[b], b_counts) == lengths)
         whole = "".join(spelled).encode()
-        if not exact.all() or _spell(pair.a_bytes, a) != whole or _spell(pair.b_bytes, b) != whole:
+        same = all(_spell(t, chain.from_iterable(ids)) == whole for t, ids in ((pair.a_bytes, a_lists), (pair.b_bytes, b_lists)))
+        if not (same and exact.all()):
             for at, word in enumerate(spelled):
                 sides = _spell(pair.a_bytes, a_lists[at]), _spell(pair.b_bytes, b_lists[at])
                 if sides != (word.encode(), word.encode()):
                     exact[at], a_lists[at], b_lists[at] = False, [], []
             (a, a_counts), (b, b_counts) = _concatenated(a_lists), _concatenated(b_lists)
         steps, counts = _steps(a, b, a_counts, self._a_sizes, self._b_sizes)
-        self.a.add(a, a_counts)
-        self.b.add(b, b_counts)
-        self.steps.add(steps, counts)
-        self.links.add(_linked(a, b, steps, len(pair.b_bytes)), counts)
-        self._exact = np.concatenate([self._exact, exact])
-
-
-def _spell(spelled: list[bytes], ids: np.ndarray | list[int]) -> bytes:
+        links = _linked(a, b, steps, len(pair.b_bytes))
+        return Words(*map(Ragged.of, (a, b, steps, links), (a_counts, b_counts, counts, counts)), exact)
+
+    def _byte_level(self, spelled: list[str], lengths: np.ndarray) -> list[list[int]]:
+        """A ids of words with a space in front. Words without other white space at their ends are encoded
+        many at a time, and cut apart again where they end."""
+
+        def encode(texts: list[str]) -> list[list[int]]:
+            out: list[list[int]] = []
+            for at in range(0, len(texts), JOINED_TEXTS):
+                found = self._left.encode_batch_fast(texts[at : at + JOINED_TEXTS], add_special_tokens=False)
+                out += [encoding.ids for encoding in found]
+            return out
+
+        out: list[list[int]] = [[]] * len(spelled)
+        plain = [self._pair.by_words and word[1:] == word.strip() for word in spelled]
+        joined = np.flatnonzero(plain)
+        alone = np.flatnonzero(~np.array(plain, bool)).tolist()
+        runs = [joined[at : at + JOINED_WORDS] for at in range(0, len(joined), JOINED_WORDS)]
+        for run, ids in zip(runs, encode(["".join(spelled[i] for i in run) for run in runs]), strict=True):
+            token_ends, word_ends = np.cumsum(self._a_sizes[ids]), np.cumsum(lengths[run])
+            cuts = np.searchsorted(token_ends, word_ends)
+            if cuts[-1] >= len(ids) or (token_ends[cuts] != word_ends).any():
+                alone.extend(run.tolist())
+                continue
+            ends = (cuts + 1).tolist()
+            for word, low, high in zip(run.tolist(), [0, *ends], ends, strict=False):
+                out[word] = ids[low:high]
+        for word, ids in zip(alone, encode([spelled[i] for i in alone]), strict=True):
+            out[word] = ids
+        return out
+
+
+def _spell(spelled: list[bytes], ids: Iterable[int]) -> bytes:
     return b"".join(map(spelled.__getitem__, ids))
 
 
@@ -273,14 +281,10 @@ def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.diff(np.concatenate([[0], np.cumsum(values, dtype=np.int64)])[ends])
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of bounded numbers of tokens (or one text), whose first column is a list of tokens."""
+def _token_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches whose first column is a list of tokens, in pieces."""
     for whole in batches:
-        sizes = np.cumsum(whole.column(0).value_lengths().to_numpy(zero_copy_only=False))
-        cuts = np.searchsorted(sizes, np.arange(BATCH_TOKENS, sizes[-1] if len(sizes) else 0, BATCH_TOKENS))
-        for low, high in zip([0, *cuts], [*cuts, len(sizes)], strict=True):
-            if low < high:
-                yield whole.slice(low, high - low)
+        yield from _cut(whole, whole.column(0).value_lengths().to_numpy(zero_copy_only=False), BATCH_TOKENS)
 
 
 def _lists(flat: np.ndarray, counts: np.ndarray, kind: type = np.int32) -> pa.ListArray:
@@ -288,15 +292,67 @@ def _lists(flat: np.ndarray, counts: np.ndarray, kind: type = np.int32) -> pa.Li
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.astype(kind)))
 
 
-def _read(batches: Iterator[pa.RecordBatch], words: Words) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Pieces of batches, of bounded size (or one text), whose first column is the text."""
+def _cut(whole: pa.RecordBatch, sizes: np.ndarray, most: int) -> Iterator[pa.RecordBatch]:
+    """Slices of rows that add up to about ``most``, or of one row."""
+    ends = np.cumsum(sizes)
+    cuts = np.searchsorted(ends, np.arange(most, ends[-1] if len(ends) else 0, most))
+    for low, high in zip([0, *cuts], [*cuts, len(ends)], strict=True):
+        if low < high:
+            yield whole.slice(low, high - low)
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])[: len(x)]]
+
+
+def _as_words(lists: pa.ListArray) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Of lists of words: (distinct words, their numbers in order, how many words each list has)."""
+    coded = lists.flatten().dictionary_encode()
+    numbers = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return coded.dictionary.to_pylist(), numbers, sizes
+
+
+def _in_words(batch: pa.RecordBatch, by_words: bool) -> Iterator[tuple[pa.RecordBatch, pa.ListArray]]:
+    """The rows of a batch in up to two parts, with the words of their texts: those whose every space is
+    between two words, and the others."""
+    compute, texts = pa.compute, batch.column(0)
+    odd = compute.or_kleene(compute.match_substring_regex(texts, _OTHER_SPACES), compute.equal(texts, ""))
+    odd = compute.fill_null(odd, True) if by_words else pa.array([True] * len(texts))
+    plain, other = batch.filter(compute.invert(odd)), batch.filter(odd)
+    if plain.num_rows:
+        yield plain, compute.split_pattern(plain.column(0), " ")
+    if other.num_rows:
+        split = _BETWEEN_WORDS.split if by_words else lambda text: [text]
+        yield other, pa.array([split(t) if t else None for t in other.column(0).to_pylist()], pa.list_(pa.string()))
+
+
+def _read(
+    batches: Iterator[pa.RecordBatch], encoder: Encoder, by_words: bool
+) -> Iterator[tuple[pa.Array, Words, np.ndarray, np.ndarray]]:
+    """From batches of (text, id), a piece at a time: ids, distinct words, the numbers of all words in
+    order, and how many words each text has; none if a word does not come back exactly."""
     for whole in batches:
-        sizes = np.cumsum(pa.compute.binary_length(whole.column(0)).fill_null(0).to_numpy(zero_copy_only=False))
-        cuts = np.searchsorted(sizes, np.arange(BATCH_BYTES, sizes[-1] if len(sizes) else 0, BATCH_BYTES))
-        for low, high in zip([0, *cuts], [*cuts, len(sizes)], strict=True):
-            if low < high:
-                batch = whole.slice(low, high - low)
-                yield batch, *words.read(batch.column(0).to_pylist())
+        lengths = pa.compute.binary_length(whole.column(0)).fill_null(0).to_numpy(zero_copy_only=False)
+        for piece in _cut(whole, lengths, BATCH_BYTES):
+            for batch, lists in _in_words(piece, by_words):
+                distinct, numbers, sizes = _as_words(lists)
+                words = encoder.words(distinct)
+                spoilt = ~words.exact[numbers]
+                if spoilt.any():
+                    text = np.repeat(np.arange(batch.num_rows), sizes)
+                    gone = np.unique(text[spoilt])
+                    numbers = numbers[~np.isin(text, gone)]
+                    sizes[gone] = 0
+                yield batch.column(1), words, numbers, sizes
+
+
+def _counted(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct numbers and how often each occurs."""
+    x = np.sort(x)
+    starts = np.flatnonzero(np.append(True, x[1:] != x[:-1])[: len(x)])
+    return x[starts], np.diff(np.append(starts, len(x)))
 
 
 def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -316,7 +372,7 @@ def _tokenized(texts: DataFrame, pair: Pair) -> DataFrame:
     schema = f"id {kind}, a_ids array<int>, b_ids array<int>, steps array<tinyint>, a int, b int, regular boolean, n bigint"
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(pair)
+        encoder = Encoder(pair)
         equal = np.zeros(len(same), np.int64)
         pending: list[tuple[np.ndarray, np.ndarray]] = []
         form: pa.Schema | None = None
@@ -330,23 +386,23 @@ def _tokenized(texts: DataFrame, pair: Pair) -> DataFrame:
             columns = [a.astype(np.int32), b.astype(np.int32), np.full(len(keys), regular), n]
             return made(list(map(pa.array, columns)), 4)
 
-        for batch, which, sizes in _read(batches, words):
+        for ids, words, which, sizes in _read(batches, encoder, pair.by_words):
             if form is None:
                 lists_of = [("a_ids", pa.int32()), ("b_ids", pa.int32()), ("steps", pa.int8())]
                 plain = [("a", pa.int32()), ("b", pa.int32()), ("regular", pa.bool_()), ("n", pa.int64())]
-                form = pa.schema([("id", batch.column(1).type), *((n, pa.list_(t)) for n, t in lists_of), *plain])
+                form = pa.schema([("id", ids.type), *((n, pa.list_(t)) for n, t in lists_of), *plain])
             sides = [
                 _lists(side.take(which), _sums(side.counts(which), sizes), dtype)
                 for side, dtype in ((words.a, np.int32), (words.b, np.int32), (words.steps, np.int8))
             ]
-            yield made([batch.column(1), *sides], 0)
+            yield made([ids, *sides], 0)
             # A text's distinct words first, then their distinct links.
-            known = max(1, len(words))
-            row, word = np.divmod(np.unique(np.repeat(np.arange(batch.num_rows), sizes) * known + which), known)
-            held = np.unique(np.repeat(row, words.links.counts(word)) * room + words.links.take(word)) % room
+            known = max(1, len(words.exact))
+            row, word = np.divmod(_distinct(np.repeat(np.arange(len(ids)), sizes) * known + which), known)
+            held = _distinct(np.repeat(row, words.links.counts(word)) * room + words.links.take(word)) % room
             regular = same[held // width] == held % width
             equal += np.bincount(held[regular] // width, minlength=len(same))
-            pending.append(np.unique(held[~regular], return_counts=True))
+            pending.append(_counted(held[~regular]))
             if sum(len(keys) for keys, _ in pending) > TASK_PAIRS:
                 pending = [_summed(pending)]
                 if len(pending[0][0]) > TASK_PAIRS // 2:
@@ -411,7 +467,7 @@ def align(
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers = Numbers(max(len(same), width))
-        for batch in _pieces(batches):
+        for batch in _token_pieces(batches):
             a, b, steps = (batch.column(i).flatten().to_numpy(zero_copy_only=False) for i in range(3))
             n_a, n_b, n_links = (batch.column(i).value_lengths().to_numpy(zero_copy_only=False) for i in range(3))
             linked = _linked(a, b, steps, width)
@@ -426,7 +482,7 @@ def align(
             ]
             if low:
                 row = np.repeat(np.arange(batch.num_rows), n_links)
-                held, times = np.unique(row[~known] * room + linked[~known], return_counts=True)
+                held, times = _counted(row[~known] * room + linked[~known])
                 per_row = np.bincount(held // room, minlength=batch.num_rows)
                 made += [_lists(held % room, per_row, np.int64), _lists(times, per_row, np.int64)]
             yield pa.RecordBatch.from_arrays([batch.column(3), *batch.columns[:3], *made], names=names)

@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import random
-from dataclasses import replace
 
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
 from lethewood.llm import token_align
 from lethewood.llm.queries import BYTE_LEVEL, PIECES
-from lethewood.llm.token_align import Pair, Words, align
+from lethewood.llm.token_align import Encoder, Pair, _read, align
 
 from .helpers import LONG, TEXTS, docs
 
@@ -115,17 +115,21 @@ def test_words_are_independent_of_their_neighbours(spark, data):
     letters = "ab'sé1,. .  \t\n\u3000\u00a0\x1c日\u0301\U0001f600▁"
     texts = ["".join(random_.choice(letters) for _ in range(40)) for _ in range(1500)]
     texts += [r.text for r in spark.read.parquet(f"{data}/documents.parquet").limit(60).collect()]
+    encoder = Encoder(pair)
+    batch = pa.record_batch([pa.array(texts), pa.array(range(len(texts)))], names=["text", "id"])
     made = []
-    for words in (Words(pair), Words(replace(pair, by_words=False))):
-        which, sizes = words.read(texts)
-        ends = sizes.cumsum().tolist()
-        texts_words = [which[low:high] for low, high in zip([0, *ends], ends, strict=False)]
-        made.append([[side.take(w).tolist() for side in (words.a, words.b, words.steps)] for w in texts_words])
-    assert made[0] == made[1] and sum(map(any, made[0])) > 60
-
-
-def test_a_task_that_forgets_words(spark, monkeypatch):
-    monkeypatch.setattr(token_align, "KNOWN_WORDS", 3)
+    for by_words in (True, False):
+        found = {}
+        for ids, words, which, sizes in _read([batch], encoder, by_words):
+            ends = sizes.cumsum().tolist()
+            for i, low, high in zip(ids.to_pylist(), [0, *ends], ends, strict=False):
+                found[i] = [side.take(which[low:high]).tolist() for side in (words.a, words.b, words.steps)]
+        made.append(found)
+    assert made[0] == made[1] and len(made[0]) == len(texts) and sum(map(any, made[0].values())) > 60
+
+
+def test_small_pieces(spark, monkeypatch):
+    monkeypatch.setattr(token_align, "JOINED_WORDS", 3)
     monkeypatch.setattr(token_align, "TASK_PAIRS", 5)
     monkeypatch.setattr(token_align, "BATCH_BYTES", 50)
     want, pairs = brute(ODD, Pair.load(spark, BYTE_LEVEL, PIECES))
