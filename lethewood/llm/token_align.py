@@ -33,8 +33,8 @@ from lethewood.llm.sentencepiece import BYTE, CONTROL, MARK, UNKNOWN, Vocabulary
 from lethewood.sources.scratch import Scratch
 
 # Texts are read about this many bytes at a time.
-BATCH_BYTES = 4_000_000
-BATCH_TOKENS = 500_000
+BATCH_BYTES = 2_000_000
+BATCH_TOKENS = 300_000
 # So many words go to the byte-level vocabulary as one text, and so many texts at once.
 JOINED_WORDS = 500
 JOINED_TEXTS = 20
