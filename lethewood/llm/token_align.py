@@ -284,7 +284,25 @@ def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 def _token_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Batches whose first column is a list of tokens, in pieces."""
     for whole in batches:
-        yield from _cut(whole, whole.column(0).value_lengths().to_numpy(zero_copy_only=False), BATCH_TOKENS)
+        yield from _cut(whole, pa.compute.binary_length(whole.column(0)).to_numpy(zero_copy_only=False), BATCH_TOKENS)
+
+
+def _id_type(size: int) -> type:
+    """The shortest of the types that numbers below ``size`` are written in."""
+    return np.uint16 if size <= 1 << 16 else np.int32
+
+
+def _packed(flat: np.ndarray, counts: np.ndarray, kind: type) -> pa.BinaryArray:
+    """Lists of numbers as bytes, which Spark carries as they are."""
+    flat = flat.astype(kind)
+    ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32) * np.int32(flat.itemsize)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends), pa.py_buffer(flat)])
+
+
+def _unpacked(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """What ``_packed`` was given."""
+    flat = np.frombuffer(b"".join(column.to_pylist()), kind)
+    return flat, pa.compute.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64) // flat.itemsize
 
 
 def _lists(flat: np.ndarray, counts: np.ndarray, kind: type = np.int32) -> pa.ListArray:
@@ -363,13 +381,14 @@ def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
 
 
 def _tokenized(texts: DataFrame, pair: Pair) -> DataFrame:
-    """Two kinds of rows, so that the texts are read once: (id, a_ids, b_ids, steps) of every text, and
+    """Two kinds of rows, so that the texts are read once: (id, a_ids, b_ids, steps), packed, of every text, and
     (a, b, regular, n) of a task's linked pairs: how many texts hold them, and whether their bytes are
     the same."""
     width, same = len(pair.b_bytes), pair.same
     room = len(same) * width
     kind = texts.schema["id"].dataType.simpleString()
-    schema = f"id {kind}, a_ids array<int>, b_ids array<int>, steps array<tinyint>, a int, b int, regular boolean, n bigint"
+    types = _id_type(len(same)), _id_type(width), np.uint8
+    schema = f"id {kind}, a_ids binary, b_ids binary, steps binary, a int, b int, regular boolean, n bigint"
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(pair)
@@ -388,12 +407,11 @@ def _tokenized(texts: DataFrame, pair: Pair) -> DataFrame:
 
         for ids, words, which, sizes in _read(batches, encoder, pair.by_words):
             if form is None:
-                lists_of = [("a_ids", pa.int32()), ("b_ids", pa.int32()), ("steps", pa.int8())]
                 plain = [("a", pa.int32()), ("b", pa.int32()), ("regular", pa.bool_()), ("n", pa.int64())]
-                form = pa.schema([("id", ids.type), *((n, pa.list_(t)) for n, t in lists_of), *plain])
+                form = pa.schema([("id", ids.type), *((n, pa.binary()) for n in ("a_ids", "b_ids", "steps")), *plain])
             sides = [
-                _lists(side.take(which), _sums(side.counts(which), sizes), dtype)
-                for side, dtype in ((words.a, np.int32), (words.b, np.int32), (words.steps, np.int8))
+                _packed(side.take(which), _sums(side.counts(which), sizes), dtype)
+                for side, dtype in zip((words.a, words.b, words.steps), types, strict=True)
             ]
             yield made([ids, *sides], 0)
             # A text's distinct words first, then their distinct links.
@@ -423,8 +441,8 @@ def align(
     text_col: str = "text",
     broadcast_pairs: int = BROADCAST_PAIRS,
 ) -> tuple[DataFrame, DataFrame]:
-    """Per row of ``docs`` (``id_col``, ``a_ids``, ``b_ids``, ``steps``, ``groups`` as
-    ``a1,a2|b1;a3|b2,b3``, ``n_groups``, ``n_links``, ``n_best``, ``count_sum``), and (a, b, regular, n,
+    """Per row of ``docs`` (``id_col``, ``a_ids``, ``b_ids``, ``steps``, ``n_a``, ``n_b``, ``groups``
+    as ``a1,a2|b1;a3|b2,b3``, ``n_groups``, ``n_links``, ``n_best``, ``count_sum``), and (a, b, regular, n,
     best): in how many rows two ids are linked, whether their bytes are the same, and whether that is
     the most for the A id (ties included).
 
@@ -442,6 +460,7 @@ def align(
     pair = Pair.load(spark, a_path, b_path)
     width, same = len(pair.b_bytes), pair.same
     room = len(same) * width
+    types = _id_type(len(same)), _id_type(width), np.uint8
     texts = docs.select(F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("id"))
     both = scratch.write(_tokenized(texts, pair), "tokens")
     tokens = both.where("a IS NULL").select("a_ids", "b_ids", "steps", "id")
@@ -468,15 +487,19 @@ def align(
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers = Numbers(max(len(same), width))
         for batch in _token_pieces(batches):
-            a, b, steps = (batch.column(i).flatten().to_numpy(zero_copy_only=False) for i in range(3))
-            n_a, n_b, n_links = (batch.column(i).value_lengths().to_numpy(zero_copy_only=False) for i in range(3))
+            (a, n_a), (b, n_b), (steps, n_links) = map(_unpacked, batch.columns[:3], types)
             linked = _linked(a, b, steps, width)
             at = np.searchsorted(keys, linked)
             known = keys[at] == linked
             made = [
+                _lists(a, n_a),
+                _lists(b, n_b),
+                _lists(steps, n_links, np.int8),
+                pa.array(n_a),
+                pa.array(n_b),
                 pa.array(numbers.written(a, b, steps, n_a + n_b), pa.string()),
                 pa.array(_sums(steps == BOTH_END, n_links)),
-                pa.array(n_links.astype(np.int64)),
+                pa.array(n_links),
                 pa.array(_sums(known & known_best[at], n_links)),
                 pa.array(_sums(np.where(known, known_n[at], 0), n_links)),
             ]
@@ -485,11 +508,11 @@ def align(
                 held, times = _counted(row[~known] * room + linked[~known])
                 per_row = np.bincount(held // room, minlength=batch.num_rows)
                 made += [_lists(held % room, per_row, np.int64), _lists(times, per_row, np.int64)]
-            yield pa.RecordBatch.from_arrays([batch.column(3), *batch.columns[:3], *made], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(3), *made], names=names)
 
     schema = (
         f"id {texts.schema['id'].dataType.simpleString()}, a_ids array<int>, b_ids array<int>, "
-        "steps array<tinyint>, groups string, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint"
+        "steps array<tinyint>, n_a bigint, n_b bigint, groups string, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint"
     )
     if low:
         schema += ", rare array<bigint>, times array<bigint>"

@@ -93,7 +93,8 @@ def test_alignment_equals_brute_force(spark, sent):
     pair = Pair.load(spark, BYTE_LEVEL, PIECES)
     want, pairs = brute(rows, pair)
     aligned, counts = align(docs(spark, rows).repartition(3), BYTE_LEVEL, PIECES, broadcast_pairs=sent)
-    assert aligned.columns == ["doc_id", "a_ids", "b_ids", "steps", *NAMES[3:]]
+    assert aligned.columns == ["doc_id", "a_ids", "b_ids", "steps", "n_a", "n_b", *NAMES[3:]]
+    assert all((len(r.a_ids), len(r.b_ids)) == (r.n_a, r.n_b) for r in aligned.collect())
     assert all(len(r.steps) == r.n_links and r.steps.count(0) == r.n_groups for r in aligned.collect())
     assert order(map(tuple, aligned.select(*NAMES).collect())) == order(want)
     assert {(r.a, r.b): (r.n, r.best) for r in counts.collect()} == pairs
