@@ -17,11 +17,14 @@ the vocabulary, and only other links are counted by pairs that are shuffled.
 
 from __future__ import annotations
 
+import gc
 import json
 import re
+import sys
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import chain
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -204,20 +207,30 @@ class Words:
     exact: np.ndarray
 
 
+def _tokenizers(a_file: bytes, b_file: bytes) -> tuple:
+    """The two tokenizers. A worker process serves many tasks; it loads them once and keeps the last
+    pair in a module of its own."""
+    import os
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    kept = sys.modules.setdefault("lethewood_loaded_tokenizers", ModuleType("lethewood_loaded_tokenizers"))
+    if getattr(kept, "files", None) != (a_file, b_file):
+        left = Tokenizer.from_str(a_file.decode())
+        left.encode_special_tokens = True
+        kept.pair = left, sentencepiece.SentencePieceProcessor(model_proto=b_file)
+        kept.files = a_file, b_file
+    return kept.pair
+
+
 class Encoder:
     """The two tokenizers in a task."""
 
     def __init__(self, pair: Pair):
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import sentencepiece
-        from tokenizers import Tokenizer
-
         self._pair = pair
-        self._left = Tokenizer.from_str(pair.a_file.decode())
-        self._left.encode_special_tokens = True
-        self._right = sentencepiece.SentencePieceProcessor(model_proto=pair.b_file)
+        self._left, self._right = _tokenizers(pair.a_file, pair.b_file)
         self._a_sizes = np.array([len(b) for b in pair.a_bytes])
         self._b_sizes = np.array([len(b) for b in pair.b_bytes])
 
@@ -391,6 +404,7 @@ def _tokenized(texts: DataFrame, pair: Pair) -> DataFrame:
     schema = f"id {kind}, a_ids binary, b_ids binary, steps binary, a int, b int, regular boolean, n bigint"
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.collect()  # what tasks before left in this worker
         encoder = Encoder(pair)
         equal = np.zeros(len(same), np.int64)
         pending: list[tuple[np.ndarray, np.ndarray]] = []
@@ -485,6 +499,7 @@ def align(
     known_best = np.append(table.column("best").to_numpy()[order], False)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.collect()
         numbers = Numbers(max(len(same), width))
         for batch in _token_pieces(batches):
             (a, n_a), (b, n_b), (steps, n_links) = map(_unpacked, batch.columns[:3], types)
