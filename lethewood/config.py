@@ -67,6 +67,9 @@ class RunConfig:
     # Execution
     broadcast_bytes: int = 64 * MEGABYTE
     rewrite_every: int = 6
+    # A node with at most so many rows, holding at most so many values, is finished in one task.
+    finish_rows: int = 65536
+    finish_values: int = 1 << 21
 
     def __post_init__(self) -> None:
         if self.max_depth > 61:
@@ -104,6 +107,10 @@ class RunConfig:
             wanted = math.ceil(math.sqrt(self.num_features))
         return min(wanted, self.num_features)
 
+    @property
+    def finish_limit(self) -> int:
+        return min(self.finish_rows, self.finish_values // max(1, self.num_features))
+
     def to_table(self, spark: SparkSession) -> DataFrame:
         """The configuration as one row, one column per field."""
         values = asdict(self)

@@ -1,9 +1,10 @@
-"""Level-wise tree growth.
+"""Level-wise tree growth, down to nodes that one task can finish.
 
-Rows never move: each level scans the assigned samples, walks them down the splits found
+While nodes are large, rows never move: each level scans the assigned samples, walks them down the splits found
 so far through broadcast joins, and shuffles only per-node counters. Every level writes
 two small tables (candidates and nodes); the walk is written out once every few levels so
-the plan stays short and rows in finished leaves drop out.
+the plan stays short and rows in finished leaves drop out. Nodes with few rows are set aside; in
+the end their rows are read once more, walked down to them, and ``subtree`` grows what is below.
 """
 
 from __future__ import annotations
@@ -17,7 +18,9 @@ from pyspark.sql import functions as F
 from ..config import RunConfig
 from ..operators import splits as S
 from ..operators.assignment import assign_trees
+from ..operators.routing import walk
 from ..sources.scratch import Scratch
+from .subtree import finish, finished_candidates
 
 NODES_SCHEMA = (
     "tree_id INT, node_id BIGINT, depth INT, kind STRING, attr INT, threshold DOUBLE, "
@@ -129,16 +132,28 @@ def grow(
     node, so the result does not depend on when or with what else a node is grown.
     """
     spark = scratch.spark
+    start = rows
     node_parts: list[DataFrame] = []
     candidate_parts: list[DataFrame] = []
+    aside: list[DataFrame] = []
+    aside_count = 0
+    split_counts: dict[int, int] = {}
     steps_since_write = 0
     owned: DataFrame | None = None
     frontier = scratch.write(frontier, "frontier")
+    is_open = ~S.stop_rule(config)
+    is_small = is_open & (F.col("n") <= config.finish_limit)
     while True:
-        is_open = ~S.stop_rule(config)
-        open_count, total = frontier.agg(
-            F.coalesce(F.sum(is_open.cast("bigint")), F.lit(0)), F.count(F.lit(1))
+        open_count, small_count, total = frontier.agg(
+            F.coalesce(F.sum(is_open.cast("bigint")), F.lit(0)),
+            F.coalesce(F.sum(is_small.cast("bigint")), F.lit(0)),
+            F.count(F.lit(1)),
         ).first()
+        if small_count:
+            aside.append(frontier.where(is_small))
+            aside_count += small_count
+            frontier = frontier.where(~is_small)
+            open_count, total = open_count - small_count, total - small_count
         if total == 0:
             break
         if open_count == 0:
@@ -153,9 +168,8 @@ def grow(
         node_parts.append(level)
         candidate_parts.append(candidates)
 
-        splits = level.where(F.col("kind") == "internal").select(
-            *S.NODE_KEYS, "n", "attr", "threshold", "subset", "base"
-        )
+        inner = level.where(F.col("kind") == "internal")
+        splits = inner.select(*S.NODE_KEYS, "n", "attr", "threshold", "subset", "base")
         stepped = S.attach(rows, splits, open_count * 80, config)
         rows = stepped.withColumn("node_id", S.step_down(config)).select(
             *S.NODE_KEYS, "sample_id", "label", "features"
@@ -166,9 +180,20 @@ def grow(
             rows, steps_since_write = owned, 0
             if previous is not None:
                 scratch.drop(previous)
+        for row in inner.groupBy("depth").count().collect():
+            split_counts[row["depth"]] = split_counts.get(row["depth"], 0) + row["count"]
         frontier = S.children(level)
     if owned is not None:
         scratch.drop(owned)
+    if aside:
+        tops = reduce(DataFrame.unionByName, aside)
+        at_top = start
+        if split_counts:
+            grown = reduce(DataFrame.unionByName, [p.select(*NODE_COLUMNS) for p in node_parts])
+            at_top = walk(start, grown, split_counts, config)
+        finished = scratch.write(finish(at_top, tops, aside_count, config), "finished")
+        node_parts.append(finished)
+        candidate_parts.append(finished_candidates(finished))
 
     def union(parts: list[DataFrame], columns: list[str], schema: str) -> DataFrame:
         if not parts:

@@ -244,3 +244,17 @@ def test_repeated_ids_in_a_batch_keep_the_smallest_row(spark, forest):
         added = maintenance.resolve(maintenance.add(forest, table(spark, rows)).forest)
         kept = {r.sample_id: r.features[0] for r in added.samples.where("sample_id >= 900").collect()}
         assert kept == {900: 2.0, 901: 5.0}
+
+
+@pytest.mark.parametrize("finish_rows", [0, 7, 40])
+def test_finished_subtrees_equal_the_level_loop(spark, finish_rows):
+    """Nodes, candidates and all, however many rows one task may finish."""
+    rows = make_rows(300, 4)
+    config = CONFIG.with_(max_depth=9, min_samples_leaf=2, max_features=2)
+    whole = growth.fit(table(spark, rows), config.with_(finish_rows=finish_rows), Scratch(spark))
+    other = growth.fit(table(spark, rows), config, Scratch(spark))
+    assert as_dict(whole) == as_dict(other) == brute_fit(rows, config)
+    for name in ("nodes", "candidates"):
+        left, right = getattr(whole, name), getattr(other, name)
+        assert left.columns == right.columns
+        assert sorted(map(str, left.collect())) == sorted(map(str, right.collect()))
