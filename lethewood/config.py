@@ -68,8 +68,12 @@ class RunConfig:
     broadcast_bytes: int = 64 * MEGABYTE
     rewrite_every: int = 6
     # A node with at most so many rows, holding at most so many values, is finished in one task.
-    finish_rows: int = 65536
+    finish_rows: int = 1 << 19
     finish_values: int = 1 << 21
+    # Change tables kept over a model table or a leaf map before they are folded into a new one.
+    fold_after: int = 8
+    # Whether the stateful surface stores a leaf map (a copy of a sample per tree that holds it).
+    leaf_map: bool = False
 
     def __post_init__(self) -> None:
         if self.max_depth > 61:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.growth import Forest, rows_at_roots
+from ..plans.leaves import PLACE
 from . import splits as S
 from .routing import NODE_BYTES, at_every_root, walk, with_path
 
@@ -136,7 +137,11 @@ def predict_subset(forest: Forest, queries: DataFrame, tree_ids: Sequence[int])
 
 
 def leaf_map(forest: Forest) -> DataFrame:
-    """tree_id, sample_id, node_id of every assigned sample; derived, never stored."""
+    """tree_id, sample_id, node_id of every assigned sample: read where it is stored, else derived."""
+    if forest.leaves is not None:
+        at = forest.nodes.where("kind = 'leaf'").selectExpr("tree_id", "node_id", f"{PLACE} AS place")
+        stored = forest.leaves.rows(forest.spark).select("tree_id", "place", "sample_id")
+        return stored.join(at, ["tree_id", "place"]).select("tree_id", "sample_id", "node_id")
     rows = rows_at_roots(forest.samples)
     return walk(rows, forest.nodes, forest.depth_counts, forest.config).select(
         "tree_id", "sample_id", "node_id"

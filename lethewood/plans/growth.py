@@ -19,7 +19,9 @@ from ..config import RunConfig
 from ..operators import splits as S
 from ..operators.assignment import assign_trees
 from ..operators.routing import walk
+from ..sources.layers import Layered
 from ..sources.scratch import Scratch
+from .leaves import LeafMap
 from .subtree import finish, finished_candidates
 
 NODES_SCHEMA = (
@@ -37,13 +39,18 @@ CANDIDATE_COLUMNS = ["tree_id", "node_id", "attr", "lo", "hi", "lo_n", "hi_n", "
 
 @dataclass(frozen=True)
 class Forest:
-    """A model: its live samples, node table and candidate statistics."""
+    """A model: its live samples, node table and candidate statistics; a stored leaf map if it has
+    one. ``node_layers`` and ``candidate_layers`` say how the tables are stored when changes lie
+    over them."""
 
     config: RunConfig
     samples: DataFrame
     nodes: DataFrame
     candidates: DataFrame
     scratch: Scratch
+    leaves: LeafMap | None = None
+    node_layers: Layered | None = None
+    candidate_layers: Layered | None = None
 
     @property
     def spark(self) -> SparkSession:
@@ -64,14 +71,26 @@ class Forest:
         return not self.nodes.where("tag <> 'clean'").isEmpty()
 
     def with_(self, **changes: object) -> Forest:
+        if "nodes" in changes:
+            changes = {"node_layers": None} | changes
+        if "candidates" in changes:
+            changes = {"candidate_layers": None} | changes
         return replace(self, **changes)
 
     def retagged(self, **changes: object) -> Forest:
         """A copy whose splits are the same, so what is known about depths still holds."""
-        copy = replace(self, **changes)
+        copy = self.with_(**changes)
         copy.__dict__["depth_counts"] = self.depth_counts
+        copy.__dict__["node_count"] = self.node_count
         return copy
 
+    def layered(self) -> tuple[Layered, Layered]:
+        """How the two model tables are stored."""
+        return (
+            self.node_layers or Layered(self.nodes, tuple(S.NODE_KEYS)),
+            self.candidate_layers or Layered(self.candidates, (*S.NODE_KEYS, "attr")),
+        )
+
 
 def empty_forest(spark: SparkSession, config: RunConfig, scratch: Scratch | None = None) -> Forest:
     return Forest(

@@ -1,24 +1,27 @@
 """Adding and forgetting samples, with deferred rebuilds.
 
 Both directions are one signed update of counts along the touched paths, so a batch may
-mix them. The update reads only the changed samples and the two model tables. A node whose
+mix them. The update reads only the changed samples and the two model tables, and writes only the
+rows of the touched nodes, as changes over the tables. A node whose
 stored value range is no longer certain is tagged ``dirty``; one whose best split provably
-changed is tagged ``rebuild``. Resolving reads live samples of the affected trees once,
-re-scores dirty nodes, and regrows the topmost changed ones with the growth plan.
+changed is tagged ``rebuild``. Resolving regrows the topmost such nodes from their live samples;
+dirty ones with too many for one task are re-scored first. A stored leaf map gives just the rows
+below these nodes; without one the affected trees' samples are scanned and walked down.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import splits as S
 from ..operators.assignment import assign_trees
 from ..operators.routing import NODE_BYTES, below, topmost, walk, with_path
 from ..sources.samples import first_of_each_id
-from .growth import CANDIDATE_COLUMNS, NODE_COLUMNS, Forest, cut_bytes, grow, level_candidates
+from .growth import CANDIDATE_COLUMNS, NODE_COLUMNS, Forest, cut_bytes, grow, level_candidates, rows_at_roots
+from .leaves import LeafMap, moves, signed
 
 KEYS = S.NODE_KEYS
 
@@ -62,9 +65,10 @@ def path_deltas(at_leaves: DataFrame) -> DataFrame:
     )
 
 
-def updated_nodes(nodes: DataFrame, deltas: DataFrame) -> DataFrame:
-    """Nodes with new counts. A tree's first rows create its root as a leaf."""
-    joined = nodes.join(deltas, KEYS, "full")
+def updated_nodes(nodes: DataFrame, deltas: DataFrame, how: str = "full") -> DataFrame:
+    """Nodes with new counts, with ``how`` "right" only those that change. A tree's first rows create
+    its root as a leaf."""
+    joined = nodes.join(deltas, KEYS, how)
     return joined.select(
         *KEYS,
         F.coalesce("depth", F.lit(0)).alias("depth"),
@@ -90,11 +94,14 @@ def candidate_deltas(forest: Forest, at_leaves: DataFrame) -> DataFrame:
     return S.count_cuts(with_path(at_leaves), cuts, size, config, weight="w")
 
 
-def updated_candidates(candidates: DataFrame, deltas: DataFrame, forest: Forest) -> DataFrame:
-    """Candidates with new counts; ``invalid`` when the value range may have moved."""
+def updated_candidates(
+    candidates: DataFrame, deltas: DataFrame, forest: Forest, how: str = "left"
+) -> DataFrame:
+    """Candidates with new counts, with ``how`` "inner" only those that change; ``invalid`` when the
+    value range may have moved."""
     draws = S.draws(forest.config)
     changes = deltas.drop("lo", "hi").withColumnsRenamed({"lo_n": "d_lo", "hi_n": "d_hi"})
-    joined = candidates.join(changes, [*KEYS, "attr"], "left")
+    joined = candidates.join(changes, [*KEYS, "attr"], how)
     moved = ", ".join(
         f"struct(cuts[{j}].threshold AS threshold, cuts[{j}].subset AS subset, "
         f"cuts[{j}].n_left + l{j} AS n_left, cuts[{j}].n_left_pos + p{j} AS n_left_pos)"
@@ -118,7 +125,7 @@ def same_split(left: str, right: str) -> str:
 
 
 def reviewed_nodes(nodes: DataFrame, candidates: DataFrame, forest: Forest) -> DataFrame:
-    """Touched nodes with their new tag, from the updated counts alone."""
+    """Touched nodes with ``new_tag``, from the updated counts alone, and whether they must stay leaves."""
     config = forest.config
     touched = nodes.where("touched")
     per_node = candidates.groupBy(*KEYS).agg(F.max("invalid").alias("invalid"))
@@ -137,7 +144,8 @@ def reviewed_nodes(nodes: DataFrame, candidates: DataFrame, forest: Forest) -> D
         "WHEN invalid OR now.tag = 'dirty' THEN 'dirty' "
         f"WHEN {same_split('now', 'new')} THEN 'clean' ELSE 'rebuild' END"
     )
-    return joined.selectExpr(*KEYS, f"{tag} AS new_tag", "stopped", "now.kind AS kind")
+    own = [f"now.{c} AS {c}" for c in NODE_COLUMNS if c not in KEYS]
+    return joined.selectExpr(*KEYS, *own, f"{tag} AS new_tag", "stopped")
 
 
 def stale_marks(at_leaves: DataFrame, stale: DataFrame) -> DataFrame:
@@ -164,37 +172,53 @@ def apply_delta(
     delta = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     scratch = forest.scratch
     at_leaves = scratch.write(delta_at_leaves(forest, delta), "delta")
-    nodes = updated_nodes(forest.nodes, path_deltas(at_leaves))
-    candidates = scratch.write(
-        updated_candidates(forest.candidates, candidate_deltas(forest, at_leaves), forest),
-        "candidates",
-    )
+    touched = updated_nodes(forest.nodes, path_deltas(at_leaves), "right")
+    deltas = candidate_deltas(forest, at_leaves)
+    candidates = scratch.write(updated_candidates(forest.candidates, deltas, forest, "inner"), "counted")
+    no, yes = F.lit(False).alias("gone"), F.lit(True).alias("gone")
     if review:
-        nodes = scratch.write(nodes, "nodes")
-        reviewed = scratch.write(reviewed_nodes(nodes, candidates, forest), "reviewed")
+        reviewed = scratch.write(reviewed_nodes(touched, candidates, forest), "reviewed")
         stale = reviewed.where("new_tag <> 'clean'")
         kept = topmost(stale, stale.where("new_tag = 'rebuild'")).select(*KEYS, "new_tag")
-        tags = reviewed.select(*KEYS, F.lit(True).alias("seen")).join(kept, KEYS, "left")
-        nodes = nodes.join(tags, KEYS, "left").withColumn(
-            "tag", F.expr("CASE WHEN seen THEN coalesce(new_tag, 'clean') ELSE tag END")
-        )
-        settled = reviewed.where("stopped AND kind = 'leaf'").select(*KEYS)
-        candidates = candidates.join(settled, KEYS, "left_anti")
+        nodes = reviewed.drop("tag", "new_tag").join(kept, KEYS, "left")
+        nodes = nodes.withColumn("tag", F.coalesce("new_tag", F.lit("clean")))
+        settled = nodes.where("stopped AND kind = 'leaf'").select(*KEYS)
+        changed = candidates.join(settled, KEYS, "left_anti").select(*CANDIDATE_COLUMNS, no)
+        changed = changed.unionByName(candidates.join(settled, KEYS, "left_semi").select(*CANDIDATE_COLUMNS, yes))
         marks = stale_marks(at_leaves, stale)
     else:
-        marks = stale_marks(at_leaves, nodes.where("false"))
+        nodes, changed = touched, candidates.select(*CANDIDATE_COLUMNS, no)
+        marks = stale_marks(at_leaves, touched.where("false"))
+    # Trees without samples have no nodes.
     emptied = nodes.where("node_id = 1 AND n = 0").select("tree_id")
-    nodes = nodes.join(emptied, "tree_id", "left_anti").select(*NODE_COLUMNS)
-    candidates = candidates.join(emptied, "tree_id", "left_anti").select(*CANDIDATE_COLUMNS)
+    changes = [
+        rows.join(emptied, "tree_id", "left_anti").select(*columns, "gone").unionByName(
+            old.join(emptied, "tree_id", "left_semi").select(*columns, yes)
+        )
+        for rows, old, columns in (
+            (nodes.select(*NODE_COLUMNS, no), forest.nodes, NODE_COLUMNS),
+            (changed, forest.candidates, CANDIDATE_COLUMNS),
+        )
+    ]
+    layers = [
+        layer.changed(rows, scratch, name, forest.config.fold_after)
+        for layer, rows, name in zip(forest.layered(), changes, ("nodes", "candidates"), strict=True)
+    ]
+    leaves = forest.leaves
+    if leaves is not None:
+        leaves = leaves.changed(signed(at_leaves), scratch, forest.config.fold_after)
     samples = forest.samples
     if removed is not None:
         samples = samples.join(removed.select("sample_id"), "sample_id", "left_anti")
     if added is not None:
         samples = samples.unionByName(added.select(*forest.samples.columns))
-    updated = forest.with_(
+    updated = forest.retagged(
         samples=samples,
-        nodes=scratch.write(nodes, "model-nodes"),
-        candidates=scratch.write(candidates, "model-candidates"),
+        nodes=layers[0].view,
+        candidates=layers[1].view,
+        node_layers=layers[0],
+        candidate_layers=layers[1],
+        leaves=leaves,
     )
     return Delta(updated, marks)
 
@@ -260,8 +284,11 @@ def review_dirty(forest: Forest, dirty: DataFrame) -> Forest:
     spread = Spread.of(dirty)
     if spread.count == 0:
         return forest
-    at_leaf = walk(live_rows(forest, spread.trees), forest.nodes, forest.depth_counts, config)
-    rows = with_path(at_leaf, spread.depths)
+    if forest.leaves is not None:
+        rows = forest.leaves.below(forest.spark, dirty, spread.depths)
+    else:
+        at_leaf = walk(live_rows(forest, spread.trees), forest.nodes, forest.depth_counts, config)
+        rows = with_path(at_leaf, spread.depths)
     fresh = scratch.write(level_candidates(rows, dirty, spread.count, config), "candidates")
     wanted = S.decided_nodes(dirty, fresh, config).select(*KEYS, "kind", "attr", "threshold", "subset")
     verdict = (
@@ -291,16 +318,30 @@ def regrow(forest: Forest, tops: DataFrame) -> Forest:
     gone = scratch.write(below(forest.nodes, tops), "gone")
     kept = forest.nodes.join(gone, KEYS, "left_anti").select(*NODE_COLUMNS)
     kept_candidates = forest.candidates.join(gone, KEYS, "left_anti").select(*CANDIDATE_COLUMNS)
-    above = {d: c for d, c in forest.depth_counts.items() if d < max(spread.depths)}
-    rows = walk(live_rows(forest, spread.trees), kept, above, config)
+    if forest.leaves is not None:
+        rows = forest.leaves.below(forest.spark, tops, spread.depths)
+    else:
+        above = {d: c for d, c in forest.depth_counts.items() if d < max(spread.depths)}
+        rows = walk(live_rows(forest, spread.trees), kept, above, config)
     affected = S.attach(rows, tops.select(*KEYS, "n"), spread.count * NODE_BYTES, config).drop("n")
     affected = scratch.write(affected, "affected")
     nodes, candidates = grow(affected, tops.where("n > 0"), config, scratch)
-    scratch.drop(affected)
-    return forest.with_(
+    updated = forest.with_(
         nodes=scratch.write(kept.unionByName(nodes), "model-nodes"),
         candidates=scratch.write(kept_candidates.unionByName(candidates), "model-candidates"),
     )
+    if forest.leaves is not None:
+        below_tops = {d: c for d, c in updated.depth_counts.items() if d >= min(spread.depths)}
+        changes = moves(walk(affected, updated.nodes, below_tops, config))
+        updated = updated.with_(leaves=forest.leaves.changed(changes, scratch, config.fold_after))
+    scratch.drop(affected)
+    return updated
+
+
+def with_leaves(forest: Forest) -> Forest:
+    """The model with a stored leaf map, made by one walk of all samples."""
+    rows = walk(rows_at_roots(forest.samples), forest.nodes, forest.depth_counts, forest.config)
+    return forest.retagged(leaves=LeafMap.build(rows, forest.scratch))
 
 
 def resolve(forest: Forest, on_path: DataFrame | None = None) -> Forest:
@@ -312,11 +353,12 @@ def resolve(forest: Forest, on_path: DataFrame | None = None) -> Forest:
     if not forest.has_pending:
         return forest
     on_path = None if on_path is None else forest.scratch.write(on_path, "path")
+    in_one_task = F.col("n") <= forest.config.finish_limit
 
-    def selected(model: Forest, tag: str) -> DataFrame:
-        nodes = model.nodes.where(F.col("tag") == tag)
+    def selected(model: Forest, condition: Column) -> DataFrame:
+        nodes = model.nodes.where(condition)
         return nodes if on_path is None else nodes.join(on_path, KEYS, "left_semi")
 
-    rebuilds = forest.nodes.where("tag = 'rebuild'")
-    forest = review_dirty(forest, topmost(selected(forest, "dirty"), rebuilds))
-    return regrow(forest, topmost(selected(forest, "rebuild")))
+    dirty, rebuild = F.col("tag") == "dirty", F.col("tag") == "rebuild"
+    forest = review_dirty(forest, topmost(selected(forest, dirty & ~in_one_task), forest.nodes.where(rebuild)))
+    return regrow(forest, topmost(selected(forest, rebuild | (dirty & in_one_task))))

@@ -28,22 +28,20 @@ from ..operators.routing import NODE_BYTES
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 CANDIDATE_FIELDS = f"attr:int,lo:double,hi:double,lo_n:bigint,hi_n:bigint,cuts:{S.CUTS_TYPE}"
-MEMBER_FIELDS = "sample_id:bigint,label:boolean,features:array<double>,pos:bigint"
 FINISHED_SCHEMA = (
     "tree_id INT, node_id BIGINT, depth INT, kind STRING, attr INT, threshold DOUBLE, subset BIGINT, "
     "base DOUBLE, n BIGINT, n_pos BIGINT, tag STRING, "
-    f"candidates array<struct<{CANDIDATE_FIELDS}>>, members array<struct<{MEMBER_FIELDS}>>"
+    f"candidates array<struct<{CANDIDATE_FIELDS}>>"
 )
 _CUT = pa.struct([("threshold", pa.float64()), ("subset", pa.int64()), ("n_left", pa.int64()), ("n_left_pos", pa.int64())])
 _CANDIDATE = pa.struct(
     [("attr", pa.int32()), ("lo", pa.float64()), ("hi", pa.float64()), ("lo_n", pa.int64()), ("hi_n", pa.int64()), ("cuts", pa.list_(_CUT))]
 )
-_MEMBER = pa.struct([("sample_id", pa.int64()), ("label", pa.bool_()), ("features", pa.list_(pa.float64())), ("pos", pa.int64())])
 _NODE = pa.schema(
     [
         ("tree_id", pa.int32()), ("node_id", pa.int64()), ("depth", pa.int32()), ("kind", pa.string()), ("attr", pa.int32()),
         ("threshold", pa.float64()), ("subset", pa.int64()), ("base", pa.float64()), ("n", pa.int64()), ("n_pos", pa.int64()),
-        ("tag", pa.string()), ("candidates", pa.list_(_CANDIDATE)), ("members", pa.list_(_MEMBER)),
+        ("tag", pa.string()), ("candidates", pa.list_(_CANDIDATE)),
     ]
 )
 
@@ -122,8 +120,8 @@ def _goes_left(values: np.ndarray, threshold: float | None, subset: int | None,
     return inside & ((np.int64(subset) >> np.where(inside, offset, 0)) & 1 == 1)
 
 
-def _grown(rules: Rules, tree: int, top: int, x: np.ndarray, label: np.ndarray) -> Iterator[tuple[dict, np.ndarray]]:
-    """Every node at and below ``top``, with the rows standing at it."""
+def _grown(rules: Rules, tree: int, top: int, x: np.ndarray, label: np.ndarray) -> Iterator[dict]:
+    """Every node at and below ``top``."""
     stack = [(top, np.arange(len(x)))]
     while stack:
         node, rows = stack.pop()
@@ -153,23 +151,22 @@ def _grown(rules: Rules, tree: int, top: int, x: np.ndarray, label: np.ndarray)
                 counts = int((values == lo).sum()), int((values == hi).sum())
                 out["candidates"].append(dict(attr=attr, lo=lo, hi=hi, lo_n=counts[0], hi_n=counts[1], cuts=cuts))
         if best is None or min(best[5], n - best[5]) < rules.min_leaf:
-            yield out, rows
+            yield out
             continue
         _, attr, threshold, subset, lo, _ = best
         out |= dict(kind="internal", attr=attr, threshold=threshold, subset=subset, base=None if subset is None else lo)
         goes = _goes_left(x[rows, attr], threshold, subset, lo)
         stack += [(node * 2, rows[goes]), (node * 2 + 1, rows[~goes])]
-        yield out, rows[:0]
+        yield out
 
 
 def _flat(column: pa.ChunkedArray) -> pa.Array:
     return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
 
 
-def finish(rows: DataFrame, tops: DataFrame, top_count: int, config: RunConfig, members: bool = False) -> DataFrame:
+def finish(rows: DataFrame, tops: DataFrame, top_count: int, config: RunConfig) -> DataFrame:
     """Nodes at and below ``tops`` (tree_id, node_id, n), each with its candidates. ``rows`` stand at
-    their node; rows elsewhere are ignored. With ``members`` a leaf carries its rows; ``rows`` then have
-    a column ``pos`` that is carried along."""
+    their node; rows elsewhere are ignored."""
     rules = Rules.of(config)
 
     def grow(group: pa.Table) -> pa.Table:
@@ -177,19 +174,11 @@ def finish(rows: DataFrame, tops: DataFrame, top_count: int, config: RunConfig,
         features = _flat(group.column("features"))
         x = features.flatten().to_numpy(zero_copy_only=False).reshape(group.num_rows, rules.num_features)
         label = _flat(group.column("label")).fill_null(False).to_numpy(zero_copy_only=False)
-        nodes, held = zip(*_grown(rules, tree, top, x, label), strict=True)
-        table = pa.Table.from_pylist([node | {"members": None} for node in nodes], _NODE)
-        if not members:
-            return table
-        order = pa.array(np.concatenate(held))
-        ends = np.concatenate([[0], np.cumsum([len(part) for part in held])]).astype(np.int32)
-        columns = [_flat(group.column(name)).take(order) for name in ("sample_id", "label", "features", "pos")]
-        carried = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(columns, fields=list(_MEMBER)))
-        return table.set_column(table.num_columns - 1, _NODE.field("members"), carried.cast(pa.list_(_MEMBER)))
-
-    wanted = [*S.NODE_KEYS, "sample_id", "label", "features", *(["pos"] if members else [])]
-    standing = S.attach(rows.select(*wanted), tops.select(*S.NODE_KEYS, "n"), top_count * NODE_BYTES, config)
-    return standing.drop("n").groupBy(*S.NODE_KEYS).applyInArrow(grow, FINISHED_SCHEMA)
+        return pa.Table.from_pylist(list(_grown(rules, tree, top, x, label)), _NODE)
+
+    own = rows.select(*S.NODE_KEYS, "label", "features", "sample_id")
+    standing = S.attach(own, tops.select(*S.NODE_KEYS, "n"), top_count * NODE_BYTES, config)
+    return standing.drop("n", "sample_id").groupBy(*S.NODE_KEYS).applyInArrow(grow, FINISHED_SCHEMA)
 
 
 def finished_candidates(finished: DataFrame) -> DataFrame:
