@@ -14,11 +14,13 @@ from .operators import diagnostics, evaluation, influence, lifecycle, selection
 from .operators.assignment import assign_trees
 from .operators.scoring import predict, query_path
 from .plans.growth import ASSIGNED_SCHEMA, CANDIDATES_SCHEMA, NODES_SCHEMA, Forest, fit
-from .plans.maintenance import apply_delta, known_samples, resolve
+from .plans.leaves import LeafMap
+from .plans.maintenance import apply_delta, known_samples, resolve, with_leaves
+from .sources.layers import Layered
 from .sources.ordering import with_rank
 from .sources.samples import first_of_each_id
 from .sources.scratch import Scratch, shared_folder
-from .sources.state import Counters, Manifest, Manifests, SampleParts
+from .sources.state import ERASED, Counters, Manifest, Manifests, SampleParts
 
 PREDICTION_SCHEMA = "batch_id INT, position BIGINT, sample_id BIGINT, label BOOLEAN, pred BOOLEAN, proba DOUBLE"
 EVICTION_SCHEMA = "sample_id BIGINT, label BOOLEAN, influence DOUBLE, degraded BOOLEAN, reason STRING"
@@ -45,6 +47,7 @@ TABLE_SCHEMAS = {
     "store": ASSIGNED_SCHEMA,
     "last_batch": "sample_id BIGINT, features ARRAY<DOUBLE>, label BOOLEAN",
 }
+MODEL_KEYS = {"nodes": ("tree_id", "node_id"), "candidates": ("tree_id", "node_id", "attr")}
 
 
 class UnlearningForest:
@@ -72,6 +75,8 @@ class UnlearningForest:
         self.tables: dict[str, DataFrame] = {
             name: self.spark.createDataFrame([], schema) for name, schema in TABLE_SCHEMAS.items()
         }
+        self.layers = {name: Layered(self.tables[name], keys) for name, keys in MODEL_KEYS.items()}
+        self.leaves = LeafMap(()) if self.config.leaf_map else None
         self.logs: dict[str, list[str]] = {name: [] for name in LOG_SCHEMAS}
 
     @property
@@ -79,9 +84,12 @@ class UnlearningForest:
         return Forest(
             self.config,
             self.parts.live(self.spark),
-            self.tables["nodes"],
-            self.tables["candidates"],
+            self.layers["nodes"].view,
+            self.layers["candidates"].view,
             self.scratch,
+            self.leaves,
+            self.layers["nodes"],
+            self.layers["candidates"],
         )
 
     @property
@@ -89,7 +97,8 @@ class UnlearningForest:
         return self.tables["buffer"]
 
     def _set_forest(self, forest: Forest) -> None:
-        self.tables["nodes"], self.tables["candidates"] = forest.nodes, forest.candidates
+        self.layers = dict(zip(MODEL_KEYS, forest.layered(), strict=True))
+        self.leaves = forest.leaves
 
     def log(self, name: str) -> DataFrame:
         paths = self.logs[name]
@@ -104,27 +113,38 @@ class UnlearningForest:
     def commit(self) -> None:
         """Make the current state a version that ``load`` can return to."""
         self.counters.version += 1
-        tables = {name: self.scratch.saved(df, f"state-{name}") for name, df in self.tables.items()}
-        self.tables = {
-            name: self.spark.read.schema(TABLE_SCHEMAS[name]).parquet(path)
-            for name, path in tables.items()
+        stored = self.tables | {name: layered.base for name, layered in self.layers.items()}
+        tables = {name: self.scratch.saved(df, f"state-{name}") for name, df in stored.items()}
+        changes = {
+            name: [self.scratch.saved(df, f"{name}-changes") for df in layered.changes]
+            for name, layered in self.layers.items()
         }
-        self.manifests.write(
-            Manifest(replace(self.counters), self.parts, tables, {k: list(v) for k, v in self.logs.items()})
-        )
+        self._open(tables, changes)
+        leaves = None if self.leaves is None else list(self.leaves.parts)
+        logs = {name: list(paths) for name, paths in self.logs.items()}
+        self.manifests.write(Manifest(replace(self.counters), self.parts, tables, logs, changes, leaves))
         self._committed, self._settled = self.counters.version, True
 
+    def _open(self, tables: dict[str, str], changes: dict[str, list[str]]) -> None:
+        self.tables = {name: self.scratch.open(path, TABLE_SCHEMAS[name]) for name, path in tables.items()}
+        self.layers = {
+            name: Layered(
+                self.tables[name],
+                keys,
+                tuple(self.scratch.open(path, f"{TABLE_SCHEMAS[name]}, gone BOOLEAN") for path in changes[name]),
+            )
+            for name, keys in MODEL_KEYS.items()
+        }
+
     def load(self, version: int) -> None:
         if version < 0:
             self.reset()
             return
         manifest = self.manifests.read(version)
         self.counters, self.parts, self.logs = manifest.counters, manifest.samples, manifest.logs
+        self.leaves = None if manifest.leaves is None else LeafMap(tuple(manifest.leaves))
         self._committed, self._settled = version, True
-        self.tables = {
-            name: self.spark.read.schema(TABLE_SCHEMAS[name]).parquet(path)
-            for name, path in manifest.tables.items()
-        }
+        self._open(manifest.tables, manifest.changes)
 
     # Learning
 
@@ -152,10 +172,7 @@ class UnlearningForest:
         rows = placed.count()
         if rows == 0:
             return self.current_metrics()
-        forest = fit(placed, self.config, self.scratch)
-        self.parts = SampleParts(ASSIGNED_SCHEMA).changed(
-            self.counters.version + 1, self.scratch, forest.samples, None
-        )
+        forest = self._fitted(placed)
         self._set_forest(forest)
         held = assign_trees(placed, self.config)
         buffer = B.insert(self.buffer, B.entries(held))
@@ -170,6 +187,14 @@ class UnlearningForest:
         self.commit()
         return self.current_metrics()
 
+    def _fitted(self, samples: DataFrame) -> Forest:
+        """A model trained from scratch, whose samples are the only ones from now on."""
+        forest = fit(samples, self.config, self.scratch)
+        self.parts = SampleParts(ASSIGNED_SCHEMA).changed(
+            self.counters.version + 1, self.scratch, forest.samples, None
+        )
+        return with_leaves(forest) if self.config.leaf_map else forest
+
     def join_stream(self, stream_id: str) -> None:
         """Prepare for a batch of a stream. A new object on an old path goes on from the newest
         version there; what a failed batch left behind is dropped; a stream other than the
@@ -183,7 +208,10 @@ class UnlearningForest:
 
     def replay_batch(self, batch: DataFrame, batch_id: int) -> DataFrame:
         """Process the last batch again, on the version it started from. Versions keep growing,
-        and ids forgotten since that version are forgotten again in the same commit."""
+        and ids forgotten since that version are forgotten again in the same commit. Where that
+        version was erased, the batch is in the state already and nothing is left to do."""
+        if self.counters.batch_parent == ERASED:
+            return self.log("predictions").where(F.col("batch_id") == batch_id)
         newest, parent, stream_id = self.counters.version, self.counters.batch_parent, self.counters.stream_id
         forgets = self.logs["forgets"]
         later = self.log("forgets").where(F.col("version") > parent).select("sample_id").distinct()
@@ -341,10 +369,7 @@ class UnlearningForest:
         known = self.forest.samples.join(self.tables["store"].select("sample_id"), "sample_id", "left_anti")
         everything = self.tables["store"].unionByName(known)
         kept = everything.join(self.buffer.select("sample_id"), "sample_id", "left_semi")
-        forest = fit(kept.drop("tree_ids"), self.config, self.scratch)
-        self.parts = SampleParts(ASSIGNED_SCHEMA).changed(
-            self.counters.version + 1, self.scratch, forest.samples, None
-        )
+        forest = self._fitted(kept.drop("tree_ids"))
         self._set_forest(forest)
         held = forest.samples.select("sample_id", F.col("tree_ids").alias("_trees"))
         refreshed = self.buffer.join(held, "sample_id", "left").withColumn(
@@ -460,6 +485,54 @@ class UnlearningForest:
         self.tables["last_batch"] = self.scratch.write(last, "last_batch")
         return known
 
+    def erase(self) -> int:
+        """Take what was forgotten out of the storage: afterwards no file of the run holds a row of it.
+
+        The model is settled, so that no value range remembers a forgotten sample. Sample files that
+        hold removed rows are written anew, the leaf map is folded, and log rows of forgotten ids
+        lose their id (predictions and evictions, which metrics and totals count) or go
+        (histories). Older versions go, with every file only they need; the last batch of a stream is
+        settled then, and a replay of it changes nothing. Returns how many tables and files were
+        deleted."""
+        self._set_forest(resolve(self.forest))
+        gone = self.scratch.write(self.log("forgets").select("sample_id").distinct(), "forgotten")
+        back = self.scratch.write(known_samples(self.forest.samples.select("sample_id"), gone), "back")
+        gone = self.scratch.write(gone.join(back, "sample_id", "left_anti"), "forgotten")
+        self.parts = self.parts.without_removed(self.scratch)
+        if self.leaves is not None:
+            self.leaves = self.leaves.folded(self.scratch)
+        for name in ("predictions", "evictions"):
+            self._rewrite_log(name, self._nameless(self.log(name), gone))
+        for name in ("influences", "ranks"):
+            self._rewrite_log(name, self.log(name).join(gone, "sample_id", "left_anti"))
+        self.logs["forgets"] = []
+        self.layers = {name: Layered(layered.view, layered.keys) for name, layered in self.layers.items()}
+        self.counters.batch_parent = ERASED
+        self.commit()
+        return self.retain(1)
+
+    def _nameless(self, log: DataFrame, gone: DataFrame) -> DataFrame:
+        marked = log.join(gone.withColumn("_gone", F.lit(True)), "sample_id", "left")
+        return marked.withColumn("sample_id", F.when(F.col("_gone").isNull(), F.col("sample_id"))).drop("_gone")
+
+    def _rewrite_log(self, name: str, rows: DataFrame) -> None:
+        if self.logs[name]:
+            columns = [c.split()[0] for c in LOG_SCHEMAS[name].split(", ")]
+            self.logs[name] = [self.scratch.save(rows.select(*columns), name)]
+
+    def retain(self, versions: int) -> int:
+        """Keep the newest versions; delete the others, what only they need, and what unfinished work
+        left behind."""
+        if not self._settled:
+            self.load(self._committed)
+        return self.manifests.retain(versions, self.run_folders())
+
+    def run_folders(self) -> list[str]:
+        """The folders of all runs on this path."""
+        if self.manifests.path == self.scratch.root:
+            return [self.scratch.root]
+        return [path for path in self.manifests._children(self.manifests.path) if path.rsplit("/", 1)[1].startswith("run-")]
+
     # Metrics and counters
 
     def current_metrics(self) -> DataFrame:

@@ -84,9 +84,11 @@ class LeafMap:
     def changed(self, changes: DataFrame, scratch: Scratch, fold_after: int) -> LeafMap:
         """With one more part: rows like those of ``build``, with their weight."""
         kept = LeafMap((*self.parts, _write(changes, scratch)))
-        if len(kept.parts) <= fold_after:
-            return kept
-        rows = kept.rows(scratch.spark).withColumn("w", F.lit(1))
+        return kept if len(kept.parts) <= fold_after else kept.folded(scratch)
+
+    def folded(self, scratch: Scratch) -> LeafMap:
+        """The rows that count, in one part."""
+        rows = self.rows(scratch.spark).withColumn("w", F.lit(1))
         return LeafMap((_write_places(rows, scratch),))
 
     def rows(self, spark: SparkSession, ranges: Ranges | None = None) -> DataFrame:

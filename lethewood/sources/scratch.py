@@ -11,6 +11,7 @@ import uuid
 from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 SETTING = "spark.checkpoint.dir"
 
@@ -45,13 +46,16 @@ class Scratch:
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         """Write once, read back with a known schema."""
-        path = self.save(df, name)
-        table = self.spark.read.schema(df.schema).parquet(path)
+        return self.open(self.save(df, name), df.schema)
+
+    def open(self, path: str, schema: StructType | str) -> DataFrame:
+        """A table written before; ``saved`` knows where it is."""
+        table = self.spark.read.schema(schema).parquet(path)
         self._paths[table] = path
         return table
 
     def saved(self, df: DataFrame, name: str) -> str:
-        """Path of a table; one that ``write`` returned is not written again."""
+        """Path of a table; one that ``write`` or ``open`` returned is not written again."""
         return self._paths.get(df) or self.save(df, name)
 
     def drop(self, df: DataFrame) -> None:

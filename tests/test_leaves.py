@@ -7,10 +7,12 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from lethewood.api import UnlearningForest
 from lethewood.operators import scoring
 from lethewood.plans import growth, maintenance
 from lethewood.sources.layers import Layered
 from lethewood.sources.scratch import Scratch
+from lethewood.streaming.prequential import batch_handler
 
 from .brute_force import fit as brute_fit
 from .test_unlearning import CONFIG, as_dict, ids, make_rows, table
@@ -87,3 +89,60 @@ def test_layers(spark):
         layer = layer.changed(spark.createDataFrame(step, f"{schema}, gone BOOLEAN"), scratch, "t", fold_after=3)
         assert {r.k: r.v for r in layer.view.collect()} == want
     assert layer.changes == ()
+
+
+def held(spark, model):
+    """(file, sample id) of every file of the run that has sample ids."""
+    files = spark.read.schema("sample_id BIGINT").option("recursiveFileLookup", True).parquet(*model.run_folders())
+    return files.where("sample_id IS NOT NULL").select("sample_id").distinct()
+
+
+def test_erased_rows_are_in_no_file(spark, tmp_path):
+    """Pre-train, stream, forget, erase; replay the batch, stream on, reopen."""
+    config = CONFIG.with_(
+        max_depth=3, leaf_map=True, budget_enabled=True, budget_max_samples=70, budget_eviction_batch=5,
+        influence_update_interval=0,
+    )
+    first, second, third = make_rows(60), make_rows(20, 3, 100), make_rows(10, 4, 300)
+    model = UnlearningForest(spark, config, str(tmp_path))
+    model.fit(table(spark, first))
+    handle = batch_handler(model, "a")
+    handle(table(spark, second), 0)
+    kept = {r.sample_id for r in model.buffer.collect()}
+    gone = sorted(kept)[::9]
+    assert model.forget_samples(ids(spark, gone)) == len(gone)
+    before = model.cumulative_metrics().first()
+    assert held(spark, model).join(ids(spark, gone), "sample_id").count() == len(gone)
+    assert model.erase() > 0
+    assert held(spark, model).join(ids(spark, gone), "sample_id").count() == 0
+    assert model.cumulative_metrics().first() == before and model.total_budget_evicted() == 10
+    assert len(model.manifests.versions()) == 1
+    handle(table(spark, second), 0)
+    assert model.forest.samples.count() == len(kept) - len(gone)
+    other = UnlearningForest(spark, config, str(tmp_path))
+    batch_handler(other, "a")(table(spark, third), 1)
+    now = {r.sample_id for r in other.buffer.collect()}
+    assert not now & set(gone)
+    live = [r for r in first + second + third if r[0] in now]
+    settled = maintenance.resolve(other.forest)
+    assert as_dict(settled) == brute_fit(live, config)
+    assert placed(settled) == placed(settled.with_(leaves=None))
+    assert other.retain(1) > 0 and other.forest.samples.count() == len(live)
+    assert UnlearningForest(spark, config, str(tmp_path)).erase() >= 0
+
+
+def test_only_files_with_removed_rows_are_written_anew(spark, tmp_path):
+    from lethewood.sources.state import SampleParts
+
+    scratch = Scratch(spark, str(tmp_path))
+    schema = "sample_id BIGINT, v INT"
+    rows = scratch.write(spark.range(100).selectExpr("id AS sample_id", "1 AS v").repartitionByRange(4, "sample_id"), "samples")
+    parts = SampleParts(schema).changed(0, scratch, rows, None)
+    parts = parts.changed(1, scratch, None, ids(spark, [3, 5, 99]))
+    parts = parts.changed(2, scratch, spark.createDataFrame([(5, 2)], schema), None)
+    old = {path.rsplit("/", 1)[1] for path in rows.inputFiles()}
+    clean = parts.without_removed(scratch)
+    assert clean.removed == () and sorted(map(tuple, clean.live(spark).collect())) == sorted(map(tuple, parts.live(spark).collect()))
+    same = {path.rsplit("/", 1)[1] for path in clean.added[0][1]} & old
+    assert len(old) == 4 and len(same) == 2
+    assert clean.without_removed(scratch) is clean
