@@ -535,9 +535,31 @@ selected(
 
 # J. Histories
 
+
+
+def _append_influences(spark: SparkSession, d: str) -> DataFrame:
+    """Record today's known influences, and one of an id that is not buffered, on top of the log."""
+    rows = buffer(spark, d)
+    scores = rows.where("influence IS NOT NULL").select("sample_id", F.col("influence").alias("score"))
+    scores = scores.unionByName(spark.range(1).select((F.col("id") - 1).alias("sample_id"), F.lit(0.5).alias("score")))
+    now = position_now(rows)
+    return L.newest_entries(L.record_influence(influence_log(spark, d), rows, scores, now * 100, 99)).select(
+        "sample_id", "position", "score"
+    )
+
+
 Q["record_influence"] = Query(
-    lambda spark, d: L.newest_entries(influence_log(spark, d)).select("sample_id", "position", "score"),
-    O.query([BUF, HIST], f"SELECT sample_id, position, score FROM ({newest_sql('hist')})"),
+    _append_influences,
+    O.query(
+        [
+            *BASE,
+            HIST,
+            "more AS (SELECT sample_id, 99 AS seq, (SELECT now * 100 FROM cur) AS position, influence AS score "
+            "FROM buf WHERE influence IS NOT NULL)",
+            "every AS (SELECT sample_id, seq, position, score FROM hist UNION ALL SELECT sample_id, seq, position, score FROM more)",
+        ],
+        f"SELECT sample_id, position, score FROM ({newest_sql('every')})",
+    ),
 )
 
 

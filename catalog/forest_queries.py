@@ -453,18 +453,24 @@ def _decremented(spark: SparkSession, d: str) -> DataFrame:
 
 _LEFT = O.left("f[attr + 1]", EVENT)
 _LEFT_PATH = _LEFT.replace("threshold", "c.threshold").replace("subset", "c.subset").replace("base", "c.base")
+# What goes, per node, attribute and value; a candidate meets a handful of values of its own node.
+_GONE_VALUES = (
+    "gone_values AS MATERIALIZED (SELECT tree_id, node_id, attr::INTEGER AS attr, f[attr + 1] AS value, count(*) AS c, "
+    "sum(label::INT)::BIGINT AS cp FROM path, range(4) a(attr) GROUP BY 1, 2, 3, 4)"
+)
+_VALUE_LEFT = O.left("value", EVENT)
 _DECREMENTED = (
     "dec AS MATERIALIZED (SELECT c.tree_id, c.node_id, c.attr, c.draw, "
-    f"count(*) FILTER ({_LEFT_PATH} AND p.f IS NOT NULL) AS gone, "
-    f"count(*) FILTER ({_LEFT_PATH} AND p.label) AS gone_pos, "
-    "count(*) FILTER (p.f[attr + 1] = c.lo) AS gone_lo, count(*) FILTER (p.f[attr + 1] = c.hi) AS gone_hi "
-    "FROM m_cands c LEFT JOIN path p USING (tree_id, node_id) GROUP BY 1, 2, 3, 4)"
+    f"coalesce(sum(g.c) FILTER ({_VALUE_LEFT}), 0)::BIGINT AS gone, "
+    f"coalesce(sum(g.cp) FILTER ({_VALUE_LEFT}), 0)::BIGINT AS gone_pos, "
+    "coalesce(sum(g.c) FILTER (value = c.lo), 0)::BIGINT AS gone_lo, coalesce(sum(g.c) FILTER (value = c.hi), 0)::BIGINT AS gone_hi "
+    "FROM m_cands c LEFT JOIN gone_values g USING (tree_id, node_id, attr) GROUP BY 1, 2, 3, 4)"
 )
 Q["candidate_decrement"] = Query(
     lambda spark, d: _decremented(spark, d).selectExpr(*KEYS, "attr", "posexplode(cuts) AS (draw, cut)", "lo_n", "hi_n", "invalid")
     .selectExpr(*KEYS, "attr", "draw", "cut.n_left AS n_left", "cut.n_left_pos AS n_left_pos", "lo_n", "hi_n", "invalid"),
     O.query(
-        [*_OLD, _DECREMENTED],
+        [*_OLD, _GONE_VALUES, _DECREMENTED],
         "SELECT tree_id, node_id, attr, draw, n_left - gone AS n_left, n_left_pos - gone_pos AS n_left_pos, "
         "lo_n - gone_lo AS lo_n, hi_n - gone_hi AS hi_n, (gone_lo + gone_hi > 0 AND (lo_n = gone_lo OR hi_n = gone_hi)) AS invalid "
         "FROM m_cands JOIN dec USING (tree_id, node_id, attr, draw)",
@@ -496,6 +502,7 @@ Q["split_changed"] = Query(
     O.query(
         [
             *_OLD,
+            _GONE_VALUES,
             _DECREMENTED,
             _RESCORED,
             f"best AS (SELECT * FROM (SELECT *, {O.score('n', 'n_pos', 'n_left', 'n_left_pos')} AS s FROM resc) WHERE s > 0 "
@@ -518,17 +525,36 @@ Q["candidate_quality"] = Query(
 )
 
 
-def _pending_is_sound(spark: SparkSession, d: str) -> DataFrame:
-    """Nodes outside pending subtrees that a retrained model would not have: must be none."""
-    pending = pending_model("event", spark, d).nodes
-    stale = pending.where("tag <> 'clean'")
-    settled = node_columns(pending.join(routing.below(pending, stale), KEYS, "left_anti"))
-    return settled.exceptAll(node_columns(forgotten_model("event", spark, d).nodes)).agg(
-        F.count(F.lit(1)).alias("unsound")
-    )
-
-
-Q["mark_pending"] = Query(_pending_is_sound, "SELECT 0::BIGINT AS unsound")
+# Which nodes an update makes stale, worked out from the counts that are left: ``raw`` before nodes
+# under a rebuild are passed over, ``tagged`` after.
+_STAY = f"(g.n < {EVENT.min_samples_split} OR g.n_pos = 0 OR g.n_pos = g.n OR g.depth >= {EVENT.max_depth})"
+_TAGS = [
+    *_OLD,
+    _GONE_VALUES,
+    _DECREMENTED,
+    _RESCORED,
+    "left_over AS (SELECT m.tree_id, m.node_id, m.depth, m.kind, m.attr, m.threshold, m.subset, m.n - dn AS n, m.n_pos - dp AS n_pos "
+    "FROM m_nodes m JOIN (SELECT tree_id, node_id, count(*) AS dn, sum(label::INT)::BIGINT AS dp FROM path GROUP BY 1, 2) USING (tree_id, node_id))",
+    "moved AS (SELECT tree_id, node_id, bool_or(gone_lo > 0 AND lo_n = gone_lo OR gone_hi > 0 AND hi_n = gone_hi) AS moved "
+    "FROM m_cands JOIN dec USING (tree_id, node_id, attr, draw) GROUP BY 1, 2)",
+    f"chosen AS (SELECT r.tree_id, r.node_id, c.attr, c.threshold, c.subset FROM (SELECT *, {O.score('n', 'n_pos', 'n_left', 'n_left_pos')} AS s FROM resc) r "
+    "JOIN m_cands c USING (tree_id, node_id, attr, draw) WHERE s > 0 QUALIFY row_number() OVER (PARTITION BY r.tree_id, r.node_id ORDER BY s DESC, c.attr, c.draw) = 1)",
+    f"raw AS (SELECT g.tree_id, g.node_id, CASE WHEN {_STAY} THEN CASE WHEN g.kind = 'internal' THEN 'rebuild' ELSE 'clean' END "
+    "WHEN coalesce(moved, false) THEN 'dirty' WHEN c.attr IS NOT DISTINCT FROM g.attr AND c.threshold IS NOT DISTINCT FROM g.threshold "
+    "AND c.subset IS NOT DISTINCT FROM g.subset THEN 'clean' ELSE 'rebuild' END AS tag "
+    "FROM left_over g LEFT JOIN moved USING (tree_id, node_id) LEFT JOIN chosen c USING (tree_id, node_id))",
+    "shadowed AS (SELECT DISTINCT r.tree_id, r.node_id FROM raw r, range(1, 6) up(u) "
+    "WHERE (r.tree_id, r.node_id >> u) IN (SELECT tree_id, node_id FROM raw WHERE tag = 'rebuild'))",
+    "tagged AS (SELECT tree_id, node_id, tag FROM raw WHERE (tree_id, node_id) NOT IN (SELECT tree_id, node_id FROM shadowed))",
+]
+Q["mark_pending"] = Query(
+    lambda spark, d: pending_model("event", spark, d).nodes.select(*KEYS, "n", "tag"),
+    O.query(
+        _TAGS,
+        "SELECT m.tree_id, m.node_id, coalesce(g.n, m.n) AS n, coalesce(t.tag, 'clean') AS tag FROM m_nodes m "
+        "LEFT JOIN left_over g USING (tree_id, node_id) LEFT JOIN tagged t USING (tree_id, node_id)",
+    ),
+)
 
 
 def _on_path(spark: SparkSession, d: str) -> DataFrame:
@@ -551,16 +577,37 @@ Q["rebuild_subtree"] = Query(
 )
 
 
-def _marks(spark: SparkSession, d: str) -> DataFrame:
-    delta = maintenance.forget(model("event", spark, d), forgotten("event", spark, d))
-    stale = delta.forest.nodes.where("tag <> 'clean'")
-    _, at_leaves = _delta(spark, d)
-    direct = maintenance.stale_marks(at_leaves, stale).select(F.col("forget_marks").alias("expected"))
-    both = delta.marks.withColumn("_k", F.lit(1)).join(direct.withColumn("_k", F.lit(1)), "_k")
-    return both.select("add_marks", (F.col("forget_marks") - F.col("expected")).alias("off_by"))
+Q["rebuild_marks"] = Query(
+    lambda spark, d: maintenance.forget(model("event", spark, d), forgotten("event", spark, d)).marks,
+    O.query(
+        _TAGS,
+        "SELECT 0::BIGINT AS add_marks, count(DISTINCT (tree_id, sample_id)) AS forget_marks FROM path "
+        "WHERE (tree_id, node_id) IN (SELECT tree_id, node_id FROM raw WHERE tag <> 'clean')",
+    ),
+)
+
+
+def _mapped(spark: SparkSession, d: str) -> DataFrame:
+    """The stored leaf map after forgetting half on a path, settling, and adding some back."""
+    forest = maintenance.with_leaves(model("event", spark, d))
+    gone = forgotten("event", spark, d)
+    forest = maintenance.forget(forest, gone).forest
+    probe = samples("event", spark, d).join(gone, "sample_id", "left_semi")
+    forest = maintenance.resolve(forest, scoring.query_path(forest, probe))
+    back = probe.where("sample_id % 2 = 0").drop("position")
+    return scoring.leaf_map(maintenance.resolve(maintenance.add(forest, back).forest))
 
 
-Q["rebuild_marks"] = Query(_marks, "SELECT 0::BIGINT AS add_marks, 0::BIGINT AS off_by")
+_PARTLY = (
+    "live AS (SELECT * FROM event WHERE sample_id % 2 = 0 OR sample_id NOT IN (SELECT sample_id FROM forgotten))"
+)
+Q["leaf_map_kept"] = Query(
+    _mapped,
+    O.query(
+        [SOURCES["event"][2], FORGET_SQL["event"], _PARTLY, *O.fit(EVENT, "live", "m_")],
+        "SELECT tree_id, sample_id, node_id FROM m_leaf",
+    ),
+)
 
 
 def retrain_equivalence(spark: SparkSession, d: str, name: str) -> DataFrame:

@@ -250,6 +250,70 @@ Q["forget_between_batches"] = Query(
         NODE_SQL.format(p="m_"),
     ),
 )
+
+
+def _rebuilt(spark: SparkSession, d: str) -> DataFrame:
+    """The frozen-model arm through the stateful surface: nodes after the first batch (none: the interval
+    is not over), then a model refitted on the all that the buffer holds by then."""
+    events = samples("event", spark, d)
+    size = events.count()
+    config = EVENT.with_(
+        budget_enabled=True, budget_max_samples=size, budget_rebuild_interval=size, influence_update_interval=0
+    )
+    model = UnlearningForest(spark, config)
+    model.stream_batch(events.where(F.col("position") < size // 2))
+    before = model.forest.nodes.count()
+    model.stream_batch(events.where(F.col("position") >= size // 2))
+    return node_columns(model.forest.nodes).withColumn("nodes_before", F.lit(before).cast("bigint"))
+
+
+Q["rebuild_arm"] = Query(
+    _rebuilt,
+    O.query(
+        [T.EVENT, *O.fit(EVENT, "event", "m_")],
+        f"SELECT *, 0::BIGINT AS nodes_before FROM ({NODE_SQL.format(p='m_')})",
+    ),
+)
+
+
+def _erased(spark: SparkSession, d: str) -> DataFrame:
+    """Pre-train, stream the rest, forget, erase: then read every file of the run. Ids met there, with
+    the forgotten among them, before and after; and the model's live samples."""
+    events = samples("event", spark, d)
+    size = events.count()
+    model = UnlearningForest(spark, EVENT.with_(max_depth=2, leaf_map=True, influence_update_interval=0))
+    model.fit(events.where(F.col("position") < size // 2))
+    model.stream_batch(events.where(F.col("position") >= size // 2))
+    gone = forgotten("event", spark, d)
+    model.forget_samples(gone)
+
+    def met(name: str) -> DataFrame:
+        reader = spark.read.schema("sample_id BIGINT").option("recursiveFileLookup", True)
+        files = reader.option("pathGlobFilter", "*.parquet").parquet(*model.run_folders())
+        ids = files.where("sample_id IS NOT NULL").distinct().join(gone.withColumn("gone", F.lit(1)), "sample_id", "left")
+        return ids.agg(F.count("sample_id").alias(f"ids_{name}"), F.count("gone").alias(f"forgotten_{name}"))
+
+    before = model.scratch.write(met("before"), "before")
+    figures = before.first()
+    model.erase()
+    return met("after").select(
+        F.lit(figures["ids_before"]).alias("ids_before"),
+        F.lit(figures["forgotten_before"]).alias("forgotten_before"),
+        "ids_after",
+        "forgotten_after",
+        F.lit(model.forest.samples.count()).cast("bigint").alias("live"),
+    )
+
+
+Q["erase_forgotten"] = Query(
+    _erased,
+    O.query(
+        [T.EVENT, FORGET_SQL["event"]],
+        "SELECT count(*) AS ids_before, count(*) FILTER (sample_id IN (FROM forgotten)) AS forgotten_before, "
+        "count(*) FILTER (sample_id NOT IN (FROM forgotten)) AS ids_after, 0::BIGINT AS forgotten_after, "
+        "count(*) FILTER (sample_id NOT IN (FROM forgotten)) AS live FROM event",
+    ),
+)
 EMA_BATCH = 20
 
 

@@ -92,8 +92,9 @@ def test_layers(spark):
 
 
 def held(spark, model):
-    """(file, sample id) of every file of the run that has sample ids."""
-    files = spark.read.schema("sample_id BIGINT").option("recursiveFileLookup", True).parquet(*model.run_folders())
+    """Sample ids met in any file of the run."""
+    reader = spark.read.schema("sample_id BIGINT").option("recursiveFileLookup", True)
+    files = reader.option("pathGlobFilter", "*.parquet").parquet(*model.run_folders())
     return files.where("sample_id IS NOT NULL").select("sample_id").distinct()
 
 
