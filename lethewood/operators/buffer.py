@@ -157,7 +157,7 @@ def eviction_order(
         keyed = buffer.withColumn("score", random_rank(config, current_position))
         return keyed, [F.col("score"), F.col("sample_id")]
     scored = eviction_scores(buffer, config, current_position)
-    return scored, [F.col("score").desc(), F.col("sample_id")]
+    return scored, [-F.col("score"), F.col("sample_id")]
 
 
 def overflow(size: int, config: RunConfig) -> int:

@@ -149,5 +149,5 @@ def current_metrics(
     recent = predictions
     if window > 0:
         scratch = scratch or Scratch(predictions.sparkSession)
-        recent = top_n(predictions, [F.col("position").desc()], window, scratch)
+        recent = top_n(predictions, [-F.col("position")], window, scratch)
     return cumulative_metrics(recent)

@@ -28,7 +28,7 @@ def oldest(buffer: DataFrame, n: int, scratch: Scratch | None = None) -> DataFra
 
 
 def newest(buffer: DataFrame, n: int, scratch: Scratch | None = None) -> DataFrame:
-    return _take(buffer, [F.col("position").desc()], n, scratch)
+    return _take(buffer, [-F.col("position")], n, scratch)
 
 
 def oldest_of_class(buffer: DataFrame, label: bool, n: int) -> DataFrame:
@@ -73,11 +73,11 @@ def age_prioritized(
     bracketed = with_age(buffer, current_position).withColumn(
         "bracket", F.expr(f"age div {max(bracket_size, 1)}")
     )
-    return _take(bracketed, [F.col("bracket").desc(), F.coalesce("influence", F.lit(0.0))], n)
+    return _take(bracketed, [-F.col("bracket"), F.coalesce("influence", F.lit(0.0))], n)
 
 
 def longest_surviving(buffer: DataFrame, n: int | None, current_position: int) -> DataFrame:
-    return _take(with_age(buffer, current_position), [F.col("age").desc()], n)
+    return _take(with_age(buffer, current_position), [-F.col("age")], n)
 
 
 def influence_delta() -> Column:

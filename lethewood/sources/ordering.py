@@ -7,6 +7,8 @@ Only one row per partition is then needed to turn local numbers into global ones
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,7 +64,63 @@ def with_running_total(
     )
 
 
+# A pool of so many rows is sorted by one task.
+LOCAL_ROWS = 1 << 16
+ACCURACY = 10_000
+
+
+@dataclass(frozen=True)
+class Cut:
+    """Rows surely among the first n; and a pool, after them all, that gives the first ``missing`` of
+    its own."""
+
+    taken: Column
+    pool: Column
+    missing: int
+
+
+def find_cut(df: DataFrame, keys: list[Column], n: int) -> Cut:
+    """Where the first ``n`` rows end. ``keys`` ascend and the last one is unique.
+
+    Every round splits the pool at a value near the wanted rank, found by a mergeable sketch, into the
+    rows before it, at it and after it, counts the three exactly, and goes on with the one the cut is
+    in. Equal values are told apart by the next key. No row moves.
+    """
+    taken, pool = F.lit(False), F.lit(True)
+    for key in keys:
+        while n > 0:
+            rows = df.where(pool)
+            total, low, high = rows.agg(F.count(F.lit(1)), F.min(key), F.max(key)).first()
+            if total <= n:
+                return Cut(taken | pool, F.lit(False), 0)
+            if total <= LOCAL_ROWS:
+                return Cut(taken, pool, n)
+            if low == high:
+                break
+            at = F.lit(rows.agg(F.percentile_approx(key, n / total, ACCURACY)).first()[0])
+            before, equal = rows.agg(F.count(F.when(key < at, 1)), F.count(F.when(key == at, 1))).first()
+            if n <= before:
+                pool = pool & (key < at)
+            elif n <= before + equal:
+                taken, pool, n = taken | (pool & (key < at)), pool & (key == at), n - before
+            else:
+                taken, pool, n = taken | (pool & (key <= at)), pool & (key > at), n - before - equal
+    return Cut(taken, pool, n)
+
+
 def top_n(df: DataFrame, order: list[Column], n: int, scratch: Scratch) -> DataFrame:
-    """First ``n`` rows, in order, whatever ``n`` is: ranked globally, cut, and sorted by rank."""
-    ranked = with_rank(df, order, scratch, "_rank").where(F.col("_rank") < n)
-    return ranked.orderBy("_rank").drop("_rank")
+    """First ``n`` rows, in order, whatever ``n`` is. ``order`` holds ascending keys that are never null
+    (a falling one is negated), the last of them unique.
+
+    The rows are written as they come, the cut is found by counting, and only what is returned is
+    sorted: nothing is exchanged for the rest."""
+    if n <= 0:
+        return df.limit(0)
+    keys = [column.alias(f"_key{i}") for i, column in enumerate(order)]
+    keyed = scratch.write(df.select("*", *keys), "rows")
+    names = [F.col(f"_key{i}") for i in range(len(order))]
+    cut = find_cut(keyed, names, n)
+    first = keyed.where(cut.taken)
+    if cut.missing:
+        first = first.unionByName(keyed.where(cut.pool).orderBy(*names).limit(cut.missing))
+    return first.orderBy(*names).select(*df.columns)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from catalog.buffer_queries import influence_log
@@ -12,6 +13,7 @@ from lethewood.operators import lifecycle, scoring
 from lethewood.operators import splits as S
 from lethewood.operators.evaluation import sliding_counts
 from lethewood.plans import growth
+from lethewood.sources import ordering
 from lethewood.sources import samples as src
 from lethewood.sources.scratch import Scratch
 
@@ -83,3 +85,23 @@ def test_hot_nodes_stay_few(spark):
     assert sized.where(is_hot).count() == 0
     sized, is_hot = S.with_hot(level.selectExpr("tree_id", "node_id", "IF(node_id = 3, 5000L, n) AS n"))
     assert [r.node_id for r in sized.where(is_hot).collect()] == [3]
+
+
+@pytest.mark.parametrize("n", [0, 1, 10, 700, 2000, 2999, 3000, 5000])
+def test_selection_equals_sorting(spark, monkeypatch, n):
+    """Ties, a skewed key and a falling key, in several rounds."""
+    monkeypatch.setattr(ordering, "LOCAL_ROWS", 50)
+    rows = spark.range(3000).selectExpr("id AS sample_id", "CAST(floor(pow(1.01, (id * 7919) % 1500)) AS DOUBLE) AS v", "id % 3 AS c")
+    rows = rows.repartition(5)
+    order = [-F.col("c"), F.col("v"), F.col("sample_id")]
+    got = ordering.top_n(rows, order, n, Scratch(spark))
+    want = sorted(map(tuple, rows.collect()), key=lambda r: (-r[2], r[1], r[0]))[:n]
+    assert [tuple(r) for r in got.collect()] == want
+
+
+def test_selection_sorts_few_rows(spark):
+    rows = Scratch(spark).write(spark.range(200000).selectExpr("id AS sample_id", "id % 97 AS v"), "rows")
+    got = ordering.top_n(rows, [F.col("v"), F.col("sample_id")], 100, Scratch(spark))
+    text = plan(got)
+    assert text.count("rangepartitioning") == 1 and "TakeOrderedAndProject" in text
+    assert [r.v for r in got.collect()] == [0] * 100
