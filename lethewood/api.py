@@ -20,7 +20,7 @@ from .sources.layers import Layered
 from .sources.ordering import with_rank
 from .sources.samples import first_of_each_id
 from .sources.scratch import Scratch, shared_folder
-from .sources.state import ERASED, Counters, Manifest, Manifests, SampleParts
+from .sources.state import ERASED, Counters, LogPart, Manifest, Manifests, SampleParts, merged
 
 PREDICTION_SCHEMA = "batch_id INT, position BIGINT, sample_id BIGINT, label BOOLEAN, pred BOOLEAN, proba DOUBLE"
 EVICTION_SCHEMA = "sample_id BIGINT, label BOOLEAN, influence DOUBLE, degraded BOOLEAN, reason STRING"
@@ -77,7 +77,7 @@ class UnlearningForest:
         }
         self.layers = {name: Layered(self.tables[name], keys) for name, keys in MODEL_KEYS.items()}
         self.leaves = LeafMap(()) if self.config.leaf_map else None
-        self.logs: dict[str, list[str]] = {name: [] for name in LOG_SCHEMAS}
+        self.logs: dict[str, list[LogPart]] = {name: [] for name in LOG_SCHEMAS}
 
     @property
     def forest(self) -> Forest:
@@ -100,15 +100,27 @@ class UnlearningForest:
         self.layers = dict(zip(MODEL_KEYS, forest.layered(), strict=True))
         self.leaves = forest.leaves
 
-    def log(self, name: str) -> DataFrame:
-        paths = self.logs[name]
+    def log(self, name: str, since: int | None = None) -> DataFrame:
+        """A log; with ``since`` only parts that reach that stream position."""
+        parts = [part for part in self.logs[name] if since is None or part.high >= since]
+        return self._read_log(name, [part.path for part in parts])
+
+    def _read_log(self, name: str, paths: list[str]) -> DataFrame:
         if not paths:
             return self.spark.createDataFrame([], LOG_SCHEMAS[name])
         return self.spark.read.schema(LOG_SCHEMAS[name]).parquet(*paths)
 
-    def _append(self, name: str, rows: DataFrame) -> None:
+    def _append(self, name: str, rows: DataFrame, low: int = 0, high: int = 0) -> None:
+        """One more part, which spans some stream positions; now and then parts are merged, in order."""
         columns = [c.split()[0] for c in LOG_SCHEMAS[name].split(", ")]
-        self.logs[name] = [*self.logs[name], self.scratch.save(rows.select(*columns), name)]
+        order = next(c for c in ("position", "batch_id", "sample_id") if c in columns)
+
+        def merge(paths: list[str]) -> str:
+            rows = self._read_log(name, paths).repartitionByRange(order).sortWithinPartitions(order)
+            return self.scratch.save(rows, name)
+
+        part = LogPart(self.scratch.save(rows.select(*columns), name), 0, low, high)
+        self.logs[name] = merged([*self.logs[name], part], merge)
 
     def commit(self) -> None:
         """Make the current state a version that ``load`` can return to."""
@@ -183,7 +195,7 @@ class UnlearningForest:
         self.counters.total_registered += rows
         self.counters.total_samples = rows
         self.counters.warmed_up = self.counters.pretrained = True
-        self._record_predictions(placed, -1)
+        self._record_predictions(placed, -1, self.counters.position - rows, rows)
         self.commit()
         return self.current_metrics()
 
@@ -243,7 +255,7 @@ class UnlearningForest:
             return self.log("predictions").where("false")
         if self.config.budget_enabled and self.config.influence_update_interval > 0:
             self.tables["last_batch"] = placed.drop("position")
-        scored = self._record_predictions(placed, batch_id)
+        scored = self._record_predictions(placed, batch_id, self.counters.position, rows)
         evicted = self.add_batch(placed, rows, positives)
         self._maintain(rows)
         self._record_result(batch_id, rows, evicted)
@@ -252,11 +264,15 @@ class UnlearningForest:
         self.commit()
         return scored
 
-    def _record_predictions(self, placed: DataFrame, batch_id: int) -> DataFrame:
+    def _record_predictions(self, placed: DataFrame, batch_id: int, start: int, rows: int) -> DataFrame:
+        """Score rows at the positions from ``start`` on, log them, and count them in."""
         self._resolve(placed)
-        scored = predict(self.forest, placed, keep=("position",))
-        self._append("predictions", scored.withColumn("batch_id", F.lit(batch_id)))
-        return self.log("predictions").where(F.col("batch_id") == batch_id)
+        scored = self.scratch.write(predict(self.forest, placed, keep=("position",)), "scored")
+        cells = evaluation.confusion(scored).first()
+        for name in evaluation.COUNTS:
+            setattr(self.counters, name, getattr(self.counters, name) + cells[name])
+        self._append("predictions", scored.withColumn("batch_id", F.lit(batch_id)), start, start + rows - 1)
+        return self.log("predictions", start).where(F.col("batch_id") == batch_id)
 
     def _resolve(self, queries: DataFrame) -> None:
         """Settle only the pending nodes these queries meet."""
@@ -518,7 +534,9 @@ class UnlearningForest:
     def _rewrite_log(self, name: str, rows: DataFrame) -> None:
         if self.logs[name]:
             columns = [c.split()[0] for c in LOG_SCHEMAS[name].split(", ")]
-            self.logs[name] = [self.scratch.save(rows.select(*columns), name)]
+            parts = self.logs[name]
+            tier, low, high = max(p.tier for p in parts), min(p.low for p in parts), max(p.high for p in parts)
+            self.logs[name] = [LogPart(self.scratch.save(rows.select(*columns), name), tier, low, high)]
 
     def retain(self, versions: int) -> int:
         """Keep the newest versions; delete the others, what only they need, and what unfinished work
@@ -536,15 +554,19 @@ class UnlearningForest:
     # Metrics and counters
 
     def current_metrics(self) -> DataFrame:
-        """Metrics of the newest predictions. Positions are dense, so the window is a filter
-        the scan of the log can use."""
-        predictions, window = self.log("predictions"), self.config.metrics_window
-        if window > 0:
-            predictions = predictions.where(F.col("position") >= self.counters.position - window)
-        return evaluation.cumulative_metrics(predictions)
+        """Metrics of the newest predictions. Positions are dense, so the window says which parts of
+        the log to read, and is a filter their scan can use."""
+        window = self.config.metrics_window
+        if window <= 0:
+            return self.cumulative_metrics()
+        since = self.counters.position - window
+        return evaluation.cumulative_metrics(self.log("predictions", since).where(F.col("position") >= since))
 
     def cumulative_metrics(self) -> DataFrame:
-        return evaluation.cumulative_metrics(self.log("predictions"))
+        """Metrics of all predictions, from the counts kept with the state."""
+        cells = tuple(getattr(self.counters, name) for name in evaluation.COUNTS)
+        schema = ", ".join(f"{name} BIGINT" for name in evaluation.COUNTS)
+        return evaluation.with_rates(evaluation.with_totals(self.spark.createDataFrame([cells], schema)))
 
     def total_samples(self) -> int:
         return self.counters.total_samples

@@ -11,6 +11,7 @@ and a retention pass deletes what no kept manifest reaches.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 from functools import reduce
 from urllib.parse import unquote, urlparse
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 from .scratch import Scratch
 
 COMPACT_PARTS = 16
+MERGE_PARTS = 8
 # The version a batch started from, when that was erased after the batch.
 ERASED = -2
 Part = tuple[int, tuple[str, ...]]
@@ -99,9 +101,30 @@ def _union(spark: SparkSession, parts: tuple[Part, ...], schema: str) -> DataFra
     return reduce(DataFrame.unionByName, tables)
 
 
+@dataclass(frozen=True)
+class LogPart:
+    """A part of a log: how often it was merged, and the stream positions it spans."""
+
+    path: str
+    tier: int = 0
+    low: int = 0
+    high: int = 0
+
+
+def merged(parts: list[LogPart], merge: Callable[[list[str]], str]) -> list[LogPart]:
+    """Whenever the last ``MERGE_PARTS`` are of one tier, ``merge`` makes them one part of the next. A
+    log of n entries has some ``MERGE_PARTS`` * log n parts, and an entry is rewritten log n times."""
+    while len(parts) >= MERGE_PARTS and len({part.tier for part in parts[-MERGE_PARTS:]}) == 1:
+        last = parts[-MERGE_PARTS:]
+        path = merge([part.path for part in last])
+        whole = LogPart(path, last[0].tier + 1, min(p.low for p in last), max(p.high for p in last))
+        parts = [*parts[:-MERGE_PARTS], whole]
+    return parts
+
+
 @dataclass
 class Counters:
-    """Scalars of a run; a new run starts all of them at zero."""
+    """Scalars of a run; a new run starts all of them at zero. The last four count predictions."""
 
     version: int = -1
     position: int = 0
@@ -119,6 +142,10 @@ class Counters:
     stream_id: str = ""
     last_batch: int = -1
     batch_parent: int = -1
+    tn: int = 0
+    fp: int = 0
+    fn: int = 0
+    tp: int = 0
 
 
 @dataclass
@@ -126,7 +153,7 @@ class Manifest:
     counters: Counters
     samples: SampleParts
     tables: dict[str, str]
-    logs: dict[str, list[str]] = field(default_factory=dict)
+    logs: dict[str, list[LogPart]] = field(default_factory=dict)
     # Change tables over some of ``tables``, and the parts of the leaf map if there is one.
     changes: dict[str, list[str]] = field(default_factory=dict)
     leaves: list[str] | None = None
@@ -134,8 +161,9 @@ class Manifest:
     def paths(self) -> set[str]:
         """Every folder and file the version needs."""
         parts = (*self.samples.added, *self.samples.removed)
-        lists = [paths for _, paths in parts] + [*self.logs.values(), *self.changes.values(), self.leaves or []]
-        return {*self.tables.values(), *(path for paths in lists for path in paths)}
+        lists = [paths for _, paths in parts] + [*self.changes.values(), self.leaves or []]
+        logs = [part.path for log in self.logs.values() for part in log]
+        return {*self.tables.values(), *logs, *(path for paths in lists for path in paths)}
 
     def to_json(self) -> str:
         return json.dumps(asdict(self))
@@ -152,7 +180,7 @@ class Manifest:
                 tuple((v, tuple(p)) for v, p in parts["removed"]),
             ),
             raw["tables"],
-            raw["logs"],
+            {name: [LogPart(**part) for part in log] for name, log in raw["logs"].items()},
             raw["changes"],
             raw["leaves"],
         )

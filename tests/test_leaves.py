@@ -147,3 +147,16 @@ def test_only_files_with_removed_rows_are_written_anew(spark, tmp_path):
     same = {path.rsplit("/", 1)[1] for path in clean.added[0][1]} & old
     assert len(old) == 4 and len(same) == 2
     assert clean.without_removed(scratch) is clean
+
+
+def test_logs_stay_few_parts(spark, tmp_path):
+    """Sixty batches: parts grow with the logarithm, the window reads those that reach it."""
+    model = UnlearningForest(spark, CONFIG, str(tmp_path))
+    names = "sample_id BIGINT, position BIGINT, label BOOLEAN, pred BOOLEAN, proba DOUBLE, batch_id INT"
+    for batch in range(60):
+        rows = [(i, i, i % 2 == 0, i % 3 == 0, 0.5, batch) for i in range(batch * 3, batch * 3 + 3)]
+        model._append("predictions", spark.createDataFrame(rows, names).coalesce(1), batch * 3, batch * 3 + 2)
+    assert [part.tier for part in model.logs["predictions"]] == [1] * 7 + [0] * 4
+    assert sorted(r.position for r in model.log("predictions").collect()) == list(range(180))
+    read = {r.position for r in model.log("predictions", 170).collect()}
+    assert set(range(170, 180)) <= read and len(read) <= 12
