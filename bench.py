@@ -73,6 +73,10 @@ def main() -> None:
     kept = lines.join(gone, "sample_id", "left_anti")
     retrained = timed("retrain", lambda: growth.fit(kept, LINE, scratch))
     differences = M.node_difference(settled.nodes, retrained.nodes).count()
+    mapped = timed("with_leaves", lambda: maintenance.with_leaves(forest))
+    under = mapped.nodes.where("depth = 3").orderBy("tree_id", "node_id").limit(1)
+    stale = scratch.write(under.select("tree_id", "node_id", "depth"), "stale")
+    timed("rows_below_one_node", lambda: drain(mapped.leaves.below(spark, stale, [3])))
     added = timed("add_samples", lambda: maintenance.add(settled, lines.drop("position")))
     timed("resolve_after_add", lambda: maintenance.resolve(added.forest))
     timed("all_influences", lambda: drain(influence.all_influences(forest, lines)))
