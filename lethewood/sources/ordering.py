@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
@@ -108,15 +108,25 @@ def find_cut(df: DataFrame, keys: list[Column], n: int) -> Cut:
     return Cut(taken, pool, n)
 
 
+def ascending(order: Column) -> Column:
+    """A numeric sort order as a key that ascends: a falling one is negated."""
+    node = order._jc.node()
+    if node.getClass().getSimpleName() != "SortOrder":
+        return order
+    jvm = SparkSession.active()._jvm
+    key = type(order)(jvm.org.apache.spark.sql.Column(node.child()))
+    return -key if "Descending" in node.sortDirection().toString() else key
+
+
 def top_n(df: DataFrame, order: list[Column], n: int, scratch: Scratch) -> DataFrame:
-    """First ``n`` rows, in order, whatever ``n`` is. ``order`` holds ascending keys that are never null
-    (a falling one is negated), the last of them unique.
+    """First ``n`` rows, in order, whatever ``n`` is. ``order`` holds numeric keys that are never null, the
+    last of them unique.
 
     The rows are written as they come, the cut is found by counting, and only what is returned is
     sorted: nothing is exchanged for the rest."""
     if n <= 0:
         return df.limit(0)
-    keys = [column.alias(f"_key{i}") for i, column in enumerate(order)]
+    keys = [ascending(column).alias(f"_key{i}") for i, column in enumerate(order)]
     keyed = scratch.write(df.select("*", *keys), "rows")
     names = [F.col(f"_key{i}") for i in range(len(order))]
     cut = find_cut(keyed, names, n)
