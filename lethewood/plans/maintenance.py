@@ -24,6 +24,7 @@ from .growth import CANDIDATE_COLUMNS, NODE_COLUMNS, Forest, cut_bytes, grow, le
 from .leaves import LeafMap, moves, signed
 
 KEYS = S.NODE_KEYS
+EMPTIED = "CASE WHEN node_id = 1 AND n = 0 THEN tree_id END"
 
 
 @dataclass(frozen=True)
@@ -175,31 +176,33 @@ def apply_delta(
     touched = updated_nodes(forest.nodes, path_deltas(at_leaves), "right")
     deltas = candidate_deltas(forest, at_leaves)
     candidates = scratch.write(updated_candidates(forest.candidates, deltas, forest, "inner"), "counted")
-    no, yes = F.lit(False).alias("gone"), F.lit(True).alias("gone")
     if review:
         reviewed = scratch.write(reviewed_nodes(touched, candidates, forest), "reviewed")
         stale = reviewed.where("new_tag <> 'clean'")
-        kept = topmost(stale, stale.where("new_tag = 'rebuild'")).select(*KEYS, "new_tag")
-        nodes = reviewed.drop("tag", "new_tag").join(kept, KEYS, "left")
+        emptied, rebuilds = reviewed.agg(F.collect_set(F.expr(EMPTIED)), F.count(F.when(F.col("new_tag") == "rebuild", 1))).first()
+        nodes = reviewed.drop("tag")
+        if rebuilds:
+            # What lies below a node to rebuild is settled with it.
+            kept = topmost(stale, stale.where("new_tag = 'rebuild'")).select(*KEYS, "new_tag")
+            nodes = nodes.drop("new_tag").join(kept, KEYS, "left")
         nodes = nodes.withColumn("tag", F.coalesce("new_tag", F.lit("clean")))
-        settled = nodes.where("stopped AND kind = 'leaf'").select(*KEYS)
-        changed = candidates.join(settled, KEYS, "left_anti").select(*CANDIDATE_COLUMNS, no)
-        changed = changed.unionByName(candidates.join(settled, KEYS, "left_semi").select(*CANDIDATE_COLUMNS, yes))
+        settled = reviewed.where("stopped AND kind = 'leaf'").select(*KEYS, F.lit(True).alias("gone"))
+        changed = candidates.join(settled, KEYS, "left").withColumn("gone", F.coalesce("gone", F.lit(False)))
         marks = stale_marks(at_leaves, stale)
     else:
-        nodes, changed = touched, candidates.select(*CANDIDATE_COLUMNS, no)
+        emptied = touched.agg(F.collect_set(F.expr(EMPTIED))).first()[0]
+        nodes, changed = touched, candidates.withColumn("gone", F.lit(False))
         marks = stale_marks(at_leaves, touched.where("false"))
-    # Trees without samples have no nodes.
-    emptied = nodes.where("node_id = 1 AND n = 0").select("tree_id")
-    changes = [
-        rows.join(emptied, "tree_id", "left_anti").select(*columns, "gone").unionByName(
-            old.join(emptied, "tree_id", "left_semi").select(*columns, yes)
-        )
-        for rows, old, columns in (
-            (nodes.select(*NODE_COLUMNS, no), forest.nodes, NODE_COLUMNS),
-            (changed, forest.candidates, CANDIDATE_COLUMNS),
-        )
-    ]
+    changes = [nodes.select(*NODE_COLUMNS, F.lit(False).alias("gone")), changed.select(*CANDIDATE_COLUMNS, "gone")]
+    if emptied:
+        # Trees without samples have no nodes.
+        there = F.col("tree_id").isin(emptied)
+        changes = [
+            rows.where(~there).unionByName(old.where(there).select(*columns, F.lit(True).alias("gone")))
+            for rows, old, columns in zip(
+                changes, (forest.nodes, forest.candidates), (NODE_COLUMNS, CANDIDATE_COLUMNS), strict=True
+            )
+        ]
     layers = [
         layer.changed(rows, scratch, name, forest.config.fold_after)
         for layer, rows, name in zip(forest.layered(), changes, ("nodes", "candidates"), strict=True)
