@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 
 import pyarrow as pa
@@ -10,7 +11,7 @@ import sentencepiece
 from tokenizers import Tokenizer
 
 from lethewood.llm import token_align
-from lethewood.llm.queries import BYTE_LEVEL, PIECES
+from lethewood.llm.queries import BYTE_LEVEL, PIECES, Q
 from lethewood.llm.token_align import Encoder, Pair, _read, align
 
 from .helpers import LONG, TEXTS, docs
@@ -142,3 +143,15 @@ def test_small_pieces(spark, monkeypatch):
 def test_empty_table(spark):
     aligned, counts = align(docs(spark, []), BYTE_LEVEL, PIECES)
     assert aligned.collect() == [] == counts.collect()
+
+
+def test_op11(spark, data):
+    """The registered query on all documents of the small tables."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{data}/documents.parquet").collect()]
+    made, _ = brute(rows, Pair.load(spark, BYTE_LEVEL, PIECES))
+    digest = lambda groups: hashlib.sha256(groups.encode()).hexdigest() if groups else ""
+    want = {
+        doc: (len(a), len(b), n, links, best, total, digest(groups)) for doc, a, b, groups, n, links, best, total in made
+    }
+    got = {r.doc_id: tuple(r)[1:] for r in Q["op11_token_align"][0](spark, data).collect()}
+    assert got == want
