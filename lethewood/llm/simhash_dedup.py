@@ -145,13 +145,17 @@ def near_duplicates(
     )
 
 
-# Shingle sets: texts of a slice at a time, a sample that shows which shingles are common, and
-# the sizes at which a group of texts is compared as rows or in cells.
+# Shingle sets: texts of a slice at a time; the shingles a task adds up before it sends them on,
+# the text bytes whose shingles are counted in one group, and how many counts go to the tasks.
 SLICE_ROWS = 200
-SAMPLE_BYTES = 30_000_000
-COMMON = 5
-SMALL_GROUP = 16
+FLUSH_SHINGLES = 1 << 21
+COUNT_BYTES = 16_000_000
+KNOWN = 1 << 20
+# Counts are told apart in so many steps per doubling.
+STEPS = 8
+# A cell's side: so many texts and, on average, so many shingles.
 CELL_TEXTS = 1024
+CELL_SHINGLES = 1 << 18
 _ROUNDING = 1e-9
 
 
@@ -177,17 +181,18 @@ def shingle_sets(texts: list[str | None], shingle: int) -> tuple[np.ndarray, np.
 
 
 def rare_shingles(
-    texts: list[str | None], shingle: int, similarity: float, common: tuple[np.ndarray, np.ndarray]
+    texts: list[str | None], shingle: int, similarity: float, common: tuple[np.ndarray, np.ndarray], mask: int = (1 << 64) - 1
 ) -> tuple[np.ndarray, pa.Array]:
     """Number of distinct shingles of each text, and the first of them (eight bytes each) in the
     order of (``common`` count, hash): so many that a text which shares none of them has less
-    than ``similarity`` of the shingles in common."""
+    than ``similarity`` of the shingles in common. ``common`` knows the bits in ``mask``."""
     owner, shingles = shingle_sets(texts, shingle)
     known, times = common
     count = np.zeros(len(shingles), np.int64)
     if len(known):
-        at = np.minimum(np.searchsorted(known, shingles), len(known) - 1)
-        count = np.where(known[at] == shingles, times[at], 0)
+        asked = shingles & np.uint64(mask)
+        at = np.minimum(np.searchsorted(known, asked), len(known) - 1)
+        count = np.where(known[at] == asked, times[at], 0)
     order = np.lexsort((shingles, count, owner))
     n = np.bincount(owner, minlength=len(texts))
     place = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
@@ -205,30 +210,65 @@ def _shingle_set(text: str, shingle: int) -> set[bytes]:
     return set(map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False)))
 
 
-def _common_shingles(source: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles seen ``COMMON`` times or more in a sample of about ``SAMPLE_BYTES``, sorted, and
-    how often. Only the cost of the search depends on the sample, not what it finds."""
+def _common_shingles(source: DataFrame, shingle: int, scratch: Scratch) -> tuple[np.ndarray, np.ndarray, int]:
+    """Shingles that several texts hold, sorted, with the step of their count, and the bits of a
+    shingle that are kept. All texts are counted: tasks add up what they read and send on packed
+    arrays, by the shingle's upper bits, so that a group stays at ``COUNT_BYTES`` of text. At
+    most ``KNOWN`` are returned, the most frequent ones, cut between two steps. Only the cost of
+    the search depends on these counts, not what it finds."""
     total = source.agg(F.sum(F.col("text_size").cast("bigint"))).first()[0] or 0
-    share = int(min(1.0, SAMPLE_BYTES / max(1, total)) * (1 << 20))
+    bits = min(31, int(total // COUNT_BYTES).bit_length())
+    mask = ((1 << bits) - 1) << (64 - bits) | 0xFFFFFFFF
+
+    def packed(held: list[np.ndarray]) -> pa.RecordBatch:
+        found, times = np.unique(np.concatenate(held), return_counts=True)
+        part = found >> np.uint64(64 - bits) if bits else np.zeros(len(found), np.uint64)
+        parts, starts = np.unique(part, return_index=True)
+        ends = np.append(starts[1:], len(found))
+        low, times = found.astype(np.uint32), times.astype(np.uint32)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(parts.astype(np.int64)),
+                *(pa.array([x[i:j].tobytes() for i, j in zip(starts, ends, strict=True)], pa.binary()) for x in (low, times)),
+            ],
+            names=["part", "low", "times"],
+        )
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for whole in batches:
             for at in range(0, whole.num_rows, SLICE_ROWS):
-                found = shingle_sets(whole.column(0).slice(at, SLICE_ROWS).to_pylist(), shingle)[1]
-                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], names=["shingle"])
-
-    seen = (
-        source.where(F.pmod(F.xxhash64("id", "text_hash"), F.lit(1 << 20)) < share)
-        .select("text")
-        .mapInArrow(scan, "shingle bigint")
-        .groupBy("shingle")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .where(F.col("n") >= COMMON)
-        .toArrow()
-    )
-    known, times = seen.column(0).to_numpy().view(np.uint64), seen.column(1).to_numpy()
+                held.append(shingle_sets(whole.column(0).slice(at, SLICE_ROWS).to_pylist(), shingle)[1])
+                size += len(held[-1])
+                if size >= FLUSH_SHINGLES:
+                    yield packed(held)
+                    held, size = [], 0
+        if size:
+            yield packed(held)
+
+    def add_up(rows: pa.Table) -> pa.Table:
+        low, times = (np.frombuffer(b"".join(rows.column(c).to_pylist()), np.uint32) for c in ("low", "times"))
+        order = np.argsort(low)
+        low, times = low[order], times[order]
+        starts = np.flatnonzero(np.append(True, np.diff(low) != 0))
+        n = np.add.reduceat(times.astype(np.int64), starts)
+        upper = np.uint64(rows.column("part")[0].as_py() << (64 - bits) if bits else 0)
+        found = (low[starts[n > 1]].astype(np.uint64) | upper).view(np.int64)
+        step = np.floor(STEPS * np.log2(n[n > 1])).astype(np.int32)
+        return pa.table({"shingle": pa.array(found), "step": pa.array(step)})
+
+    parts = source.select("text").mapInArrow(count, "part bigint, low binary, times binary")
+    counts = scratch.write(parts.groupBy("part").applyInArrow(add_up, "shingle bigint, step int"), "counts")
+    left, least = KNOWN, 1 << 30
+    for row in counts.groupBy("step").count().orderBy(F.desc("step")).collect():
+        left -= row["count"]
+        if left < 0:
+            break
+        least = row["step"]
+    seen = counts.where(F.col("step") >= least).toArrow()
+    known, steps = seen.column(0).to_numpy().view(np.uint64), seen.column(1).to_numpy().astype(np.int16)
     order = np.argsort(known)
-    return known[order], times[order]
+    return known[order], steps[order], mask
 
 
 def _may_be_alike(similarity: float) -> Column:
@@ -238,21 +278,38 @@ def _may_be_alike(similarity: float) -> Column:
     return left >= similarity / (1 + similarity) * (F.col("u_n") + F.col("v_n")) - _ROUNDING
 
 
-def _cell_pairs(cell: pa.Table, similarity: float) -> pa.Table:
-    """Pairs of one cell that may be alike and are not connected yet."""
+def _cell_links(cell: pa.Table, similarity: float) -> pa.Table:
+    """Links between alike texts of one cell: as many as join the components that alike texts
+    bring together, not all pairs. A cell without a second side is compared with itself."""
     side = cell.column("side").to_numpy()
-    node, n, place, label = (cell.column(c).to_numpy() for c in ("node", "n", "place", "label"))
+    node, label = cell.column("node").to_numpy(), cell.column("label").to_numpy().copy()
+    sets = [np.frombuffer(blob, np.uint64) for blob in cell.column("shingles").to_pylist()]
+    n = np.fromiter(map(len, sets), np.int64, len(sets))
+    own, other = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    other = other if len(other) else own
+    # Where each shingle occurs on the second side: places start[i] to start[i + 1] of ``holder``.
+    held = np.concatenate([sets[i] for i in other])
+    order = np.argsort(held, kind="stable")
+    holder = np.repeat(np.arange(len(other)), n[other])[order]
+    known, start = np.unique(held[order], return_index=True)
+    start = np.append(start, len(held))
     us, vs = [], []
-    b = np.flatnonzero(side == 1)
-    for a in np.flatnonzero(side == 0):
-        left = 1 + np.minimum(n[a] - place[a] - 1, n[b] - place[b] - 1)
-        fits = left >= similarity / (1 + similarity) * (n[a] + n[b]) - _ROUNDING
-        hit = node[b[fits & (label[b] != label[a])]]
-        us.append(np.minimum(node[a], hit))
-        vs.append(np.maximum(node[a], hit))
-    empty = np.empty(0, np.int64)
-    u, v = np.concatenate([empty, *us]), np.concatenate([empty, *vs])
-    return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+    for a in own:
+        mine = sets[a]
+        at = np.minimum(np.searchsorted(known, mine), max(0, len(known) - 1))
+        at = at[known[at] == mine] if len(known) else at[:0]
+        times = start[at + 1] - start[at]
+        steps = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        both = np.bincount(holder[np.repeat(start[at], times) + steps], minlength=len(other))
+        alike = both >= similarity * (n[a] + n[other] - both) - _ROUNDING
+        hits = other[alike & (label[other] != label[a])]
+        # One link to each component is enough; what it joins has one label from then on.
+        joined, first = np.unique(label[hits], return_index=True)
+        us += np.minimum(node[a], node[hits[first]]).tolist()
+        vs += np.maximum(node[a], node[hits[first]]).tolist()
+        if len(joined):
+            label[np.isin(label, joined)] = label[a]
+    return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
 
 
 def similar_groups(
@@ -267,9 +324,9 @@ def similar_groups(
 
     Every text lists its rarest shingles, so many that two texts at the similarity share one of
     them whatever the size of the table; texts that share one meet in its group. Each group's
-    members are compared with its smallest one first. In groups that this leaves in more than
-    one component, all pairs across components are compared too: as rows in small groups, in
-    cells of bounded size in large ones. A pair counts only by the exact similarity of its
+    members are compared with its smallest one first. Where this leaves a group in more than one
+    component, all its pairs across components are compared, in cells of bounded size that hold
+    the shingle sets and answer with the links that join components; pairs are never rows. A pair counts only by the exact similarity of its
     texts. All empty and null texts are one text. Null and repeated ids do not matter here.
     """
     scratch = Scratch(docs.sparkSession)
@@ -277,13 +334,13 @@ def similar_groups(
     source = docs.select(
         F.col(id_col).cast("string").alias("id"), F.xxhash64(text).alias("text_hash"), F.octet_length(text).alias("text_size"), text.alias("text")
     )
-    common = _common_shingles(source, shingle)
+    known, steps, mask = _common_shingles(source, shingle, scratch)
 
     def list_rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, SLICE_ROWS):
                 batch = whole.slice(at, SLICE_ROWS)
-                n, rare = rare_shingles(batch.column(2).to_pylist(), shingle, similarity, common)
+                n, rare = rare_shingles(batch.column(2).to_pylist(), shingle, similarity, (known, steps), mask)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), batch.column(1), pa.array(n, pa.int64()), rare], names=["text_hash", "text_size", "n", "rare"]
                 )
@@ -358,20 +415,40 @@ def similar_groups(
         met.where("members > 2").join(named, "node", "left").select("shingle", "node", "n", "place", "members", F.coalesce("label", "node").alias("label")),
         "larger",
     )
-    open_groups = larger.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("shingle")
-    unsettled = scratch.write(larger.join(open_groups, "shingle"), "unsettled")
-    small = unsettled.where(F.col("members") <= SMALL_GROUP)
-    rows = side(small, "u").join(side(small, "v"), "shingle").where("u_node < v_node and u_label <> v_label").where(alike)
-    chunks = F.ceil(F.col("members") / CELL_TEXTS).cast("int")
-    large = unsettled.where(F.col("members") > SMALL_GROUP).select("shingle", "node", "n", "place", "label", chunks.alias("chunks"))
-    chunk = F.pmod(F.xxhash64(F.lit(1), F.col("node")), F.col("chunks")).cast("int")
-    dealt = large.withColumn("own", chunk)
-    cell = ["shingle", "node", "n", "place", "label"]
+    # The shingles of one passage bring the same texts together: the first of them stands for all.
+    traits = [F.bit_xor(F.xxhash64("node")), F.bit_xor(F.xxhash64("node", "n")), F.sum("n")]
+    same = [name.alias(f"trait_{i}") for i, name in enumerate(traits)]
+    open_groups = larger.groupBy("shingle", "members").agg(
+        F.min("label").alias("low"), F.max("label").alias("high"), F.min_by("place", "node").alias("first_place"), *same
+    )
+    chunks = F.ceil(F.greatest(F.col("members") / CELL_TEXTS, F.col("trait_2") / CELL_SHINGLES)).cast("int")
+    chosen = (
+        open_groups.where("low <> high")
+        .groupBy("members", "trait_0", "trait_1", "trait_2")
+        .agg(F.min_by("shingle", F.struct("first_place", "shingle")).alias("shingle"))
+        .select("shingle", F.greatest(chunks, F.lit(1)).alias("chunks"))
+    )
+    unsettled = scratch.write(larger.join(chosen, "shingle").select("shingle", "node", "label", "chunks"), "unsettled")
+
+    def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE_ROWS):
+                batch = whole.slice(at, SLICE_ROWS)
+                owner, shingles = shingle_sets(batch.column(1).to_pylist(), shingle)
+                ends = np.searchsorted(owner, np.arange(batch.num_rows + 1))
+                blobs = [shingles[i:j].tobytes() for i, j in zip(ends[:-1], ends[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary())], names=["node", "shingles"])
+
+    texts = source.select(node, "text").join(unsettled.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    sets = scratch.write(texts.mapInArrow(whole_sets, "node bigint, shingles binary"), "sets")
+    own = F.pmod(F.xxhash64(F.lit(1), F.col("node")), F.col("chunks")).cast("int")
+    dealt = unsettled.withColumn("own", own).join(sets, "node")
+    cell = ["shingle", "node", "label", "shingles"]
     cells = dealt.select(*cell, F.lit(0).alias("side"), F.col("own").alias("a"), F.explode(F.sequence(F.col("own"), F.col("chunks") - 1)).alias("b")).unionByName(
-        dealt.select(*cell, F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("own"))).alias("a"), F.col("own").alias("b"))
+        dealt.where("own > 0").select(*cell, F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("own") - 1)).alias("a"), F.col("own").alias("b"))
     )
-    across = cells.groupBy("shingle", "a", "b").applyInArrow(lambda table: _cell_pairs(table, similarity), "u bigint, v bigint")
-    links = links.unionByName(verified(rows.select(*ordered).unionByName(across)))
+    joining = cells.groupBy("shingle", "a", "b").applyInArrow(lambda table: _cell_links(table, similarity), "u bigint, v bigint")
+    links = links.unionByName(verified(joining))
     labels = connected_components(links, scratch)
     return nodes.join(labels, "node", "left").select(
         "text_hash", "text_size", F.struct("label", F.when(F.col("label").isNull(), F.col("node")).alias("own")).alias("component")
@@ -381,24 +458,24 @@ def similar_groups(
 def keep_one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs`` with one document of each group of ``similar_groups``: the one with
     the smallest id (null ids last), of equal ids the one with the smallest text hash, of
-    repeated rows any one. Columns are unchanged."""
+    repeated rows any one. Columns are unchanged, whatever their names."""
     scratch = Scratch(docs.sparkSession)
     groups = scratch.write(similar_groups(docs, id_col, text_col, shingle, similarity), "groups")
     text = F.coalesce(F.col(text_col), F.lit(""))
     keys = {
-        "_no_id": F.col(id_col).isNull(),
-        "_id": F.coalesce(F.col(id_col).cast("bigint"), F.lit(0)),
-        "_hash": F.xxhash64(text),
-        "_size": F.octet_length(text),
+        "no_id": F.col(id_col).isNull(),
+        "id": F.coalesce(F.col(id_col).cast("bigint"), F.lit(0)),
+        "text_hash": F.xxhash64(text),
+        "text_size": F.octet_length(text),
     }
-    rows = docs.withColumns(keys)
+    rows = docs.select(F.struct("*").alias("row"), *(key.alias(name) for name, key in keys.items()))
     chosen = (
         rows.select(*keys)
         .distinct()
-        .join(groups.withColumnsRenamed({"text_hash": "_hash", "text_size": "_size"}), ["_hash", "_size"])
+        .join(groups, ["text_hash", "text_size"])
         .groupBy("component")
         .agg(F.min(F.struct(*keys)).alias("best"))
         .select("best.*")
     )
     # Repeated rows and the choice meet on the same keys, so texts are moved once.
-    return rows.dropDuplicates(list(keys)).join(chosen, list(keys), "left_semi").select(*docs.columns)
+    return rows.dropDuplicates(list(keys)).join(chosen, list(keys), "left_semi").select("row.*")
