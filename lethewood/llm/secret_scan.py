@@ -307,17 +307,20 @@ def scan(
 def redact(docs: DataFrame, findings: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with the secrets among ``findings`` (of the same rows) replaced by ``mark``.
     Texts without a proposal are not moved. Rows of one id are told apart by their text: a
-    value found to be a secret in one row of an id is replaced in all rows of that id."""
-    text = F.col(text_col)
-    own = F.size(F.coalesce(F.regexp_extract_all(text, F.lit(PROPOSAL), 0), F.array())) > 0
-    touched = docs.where(F.coalesce(text.rlike(_ANY), F.lit(False)))
-    rest = docs.where(~F.coalesce(text.rlike(_ANY), F.lit(False)))
+    value found to be a secret in one row of an id is replaced in all rows of that id. All other
+    columns are unchanged, whatever their names."""
+    found = F.coalesce(F.col(text_col).rlike(_ANY), F.lit(False))
+    rest = docs.where(~found)
+    # A row travels as one struct, so its columns may have any name.
+    touched = docs.where(found).select(F.struct("*").alias("row"), F.col(id_col).alias("key"), F.col(text_col).alias("text"))
     secrets = (
         findings.where("is_secret")
-        .groupBy(F.col("doc_id").alias("_id"))
-        .agg(F.collect_set("value").alias("_secrets"))
+        .groupBy(F.col("doc_id").alias("found_key"))
+        .agg(F.collect_set("value").alias("secrets"))
     )
+    text = F.col("text")
     values = F.regexp_extract_all(text, F.lit(PROPOSAL), 0)
+    own = F.size(F.coalesce(values, F.array())) > 0
     pieces = F.split(text, PROPOSAL, -1)
     clean = F.concat_ws(
         "",
@@ -326,13 +329,14 @@ def redact(docs: DataFrame, findings: DataFrame, id_col: str = "doc_id", text_co
             lambda p, i: F.concat(
                 p,
                 F.coalesce(
-                    F.when(F.array_contains("_secrets", F.get(values, i)), mark).otherwise(F.get(values, i)),
+                    F.when(F.array_contains("secrets", F.get(values, i)), mark).otherwise(F.get(values, i)),
                     F.lit(""),
                 ),
             ),
         ),
     )
-    changed = touched.join(secrets, F.col(id_col).eqNullSafe(F.col("_id")), "left").withColumn(
-        text_col, F.when(F.col("_secrets").isNotNull() & own, clean).otherwise(text)
+    changed = touched.join(secrets, F.col("key").eqNullSafe(F.col("found_key")), "left").select(
+        "row", F.when(F.col("secrets").isNotNull() & own, clean).otherwise(text).alias("text")
     )
-    return changed.drop("_id", "_secrets").unionByName(rest)
+    columns = [text if c.lower() == text_col.lower() else F.col("row").getField(c) for c in docs.columns]
+    return changed.select(*(c.alias(name) for c, name in zip(columns, docs.columns, strict=True))).unionByName(rest)

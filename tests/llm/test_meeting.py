@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 
 from lethewood.llm import simhash_dedup
 
 from .helpers import docs, prose
+from .test_dedup import components
 
 
 def test_alike_texts_meet_whatever_the_table_holds():
@@ -40,3 +42,30 @@ def test_near_copies_in_a_crowd_of_one_template(spark):
     assert len(label) == len(rows)
     assert [i for i in range(700) if label[2 * i] != label[2 * i + 1]] == []
     assert len(set(label.values())) == 700
+
+
+def test_cells_answer_with_joining_links_only():
+    """A crowd of chained near copies: links join what alike pairs join, and are fewer than texts."""
+    random = np.random.default_rng(5)
+    sets = []
+    for i in range(120):
+        old = sets[random.integers(len(sets))] if sets and i % 5 else random.integers(0, 1 << 40, 60, dtype=np.uint64)
+        new = old.copy()
+        new[random.choice(60, random.integers(0, 9), replace=False)] = random.integers(1 << 41, 1 << 42, dtype=np.uint64)
+        sets.append(np.unique(new))
+    pairs = [(a, b) for a in range(120) for b in range(a) if len(both := np.intersect1d(sets[a], sets[b])) >= 0.8 * (len(sets[a]) + len(sets[b]) - len(both))]
+
+    def cell(side):
+        return pa.table({"node": list(range(120)), "label": list(range(120)), "side": side, "shingles": [s.tobytes() for s in sets]})
+
+    whole = simhash_dedup._cell_links(cell([0] * 120), 0.8)
+    links = list(zip(whole["u"].to_pylist(), whole["v"].to_pylist(), strict=True))
+    assert groups(links) == groups(pairs) and len(links) < 120 < len(pairs)
+    half = simhash_dedup._cell_links(cell([i % 2 for i in range(120)]), 0.8)
+    links = list(zip(half["u"].to_pylist(), half["v"].to_pylist(), strict=True))
+    assert groups(links) == groups([(a, b) for a, b in pairs if (a - b) % 2]) and len(links) < 120
+
+
+def groups(links):
+    label = components(links, range(120))
+    return {frozenset(i for i in label if label[i] == at) for at in label.values()}
