@@ -51,7 +51,8 @@ def test_cells_answer_with_joining_links_only():
     for i in range(120):
         old = sets[random.integers(len(sets))] if sets and i % 5 else random.integers(0, 1 << 40, 60, dtype=np.uint64)
         new = old.copy()
-        new[random.choice(60, random.integers(0, 9), replace=False)] = random.integers(1 << 41, 1 << 42, dtype=np.uint64)
+        spots = random.choice(60, random.integers(0, 9), replace=False)
+        new[spots] = random.integers(1 << 41, 1 << 42, len(spots), dtype=np.uint64)
         sets.append(np.unique(new))
     pairs = [(a, b) for a in range(120) for b in range(a) if len(both := np.intersect1d(sets[a], sets[b])) >= 0.8 * (len(sets[a]) + len(sets[b]) - len(both))]
 
