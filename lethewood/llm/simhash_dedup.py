@@ -267,6 +267,7 @@ def _common_shingles(source: DataFrame, shingle: int, scratch: Scratch) -> tuple
         least = row["step"]
     seen = counts.where(F.col("step") >= least).toArrow()
     known, steps = seen.column(0).to_numpy().view(np.uint64), seen.column(1).to_numpy().astype(np.int16)
+    scratch.drop(counts)
     order = np.argsort(known)
     return known[order], steps[order], mask
 
@@ -439,14 +440,15 @@ def similar_groups(
                 blobs = [shingles[i:j].tobytes() for i, j in zip(ends[:-1], ends[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary())], names=["node", "shingles"])
 
-    texts = source.select(node, "text").join(unsettled.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    # Written first, so that its size is known before texts are moved to meet it.
+    wanted = scratch.write(unsettled.select("node").distinct(), "wanted")
+    texts = source.select(node, "text").join(wanted, "node", "left_semi").dropDuplicates(["node"])
     sets = scratch.write(texts.mapInArrow(whole_sets, "node bigint, shingles binary"), "sets")
     own = F.pmod(F.xxhash64(F.lit(1), F.col("node")), F.col("chunks")).cast("int")
-    dealt = unsettled.withColumn("own", own).join(sets, "node")
-    cell = ["shingle", "node", "label", "shingles"]
-    cells = dealt.select(*cell, F.lit(0).alias("side"), F.col("own").alias("a"), F.explode(F.sequence(F.col("own"), F.col("chunks") - 1)).alias("b")).unionByName(
-        dealt.where("own > 0").select(*cell, F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("own") - 1)).alias("a"), F.col("own").alias("b"))
-    )
+    first = F.transform(F.sequence(F.col("own"), F.col("chunks") - 1), lambda i: F.struct(F.lit(0).alias("side"), F.col("own").alias("a"), i.alias("b")))
+    second = F.transform(F.sequence(F.lit(0), F.col("own") - 1), lambda i: F.struct(F.lit(1).alias("side"), i.alias("a"), F.col("own").alias("b")))
+    dealt = unsettled.withColumn("own", own).withColumn("cell", F.explode(F.when(F.col("own") > 0, F.concat(first, second)).otherwise(first)))
+    cells = dealt.select("shingle", "node", "label", "cell.*").join(sets, "node")
     joining = cells.groupBy("shingle", "a", "b").applyInArrow(lambda table: _cell_links(table, similarity), "u bigint, v bigint")
     links = links.unionByName(verified(joining))
     labels = connected_components(links, scratch)
