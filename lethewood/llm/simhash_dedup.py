@@ -422,14 +422,25 @@ def similar_groups(
     open_groups = larger.groupBy("shingle", "members").agg(
         F.min("label").alias("low"), F.max("label").alias("high"), F.min_by("place", "node").alias("first_place"), *same
     )
-    chunks = F.ceil(F.greatest(F.col("members") / CELL_TEXTS, F.col("trait_2") / CELL_SHINGLES)).cast("int")
     chosen = (
         open_groups.where("low <> high")
         .groupBy("members", "trait_0", "trait_1", "trait_2")
         .agg(F.min_by("shingle", F.struct("first_place", "shingle")).alias("shingle"))
-        .select("shingle", F.greatest(chunks, F.lit(1)).alias("chunks"))
+        .select("shingle")
     )
-    unsettled = scratch.write(larger.join(chosen, "shingle").select("shingle", "node", "label", "chunks"), "unsettled")
+    # Alike texts lie in one size class or in two neighbouring ones; a band holds a class and the
+    # next. Bands without a member of their own class repeat pairs of the next band.
+    size_class = F.floor(F.log("n") / (np.log(1 / similarity) + 1e-6)).cast("int").alias("size_class")
+    banded = larger.join(chosen, "shingle").select("shingle", "node", "n", "label", size_class)
+    banded = banded.withColumn("band", F.explode(F.array(F.col("size_class"), F.col("size_class") - 1)))
+    chunks = F.ceil(F.greatest(F.count(F.lit(1)) / CELL_TEXTS, F.sum("n") / CELL_SHINGLES)).cast("int").alias("chunks")
+    bands = (
+        banded.groupBy("shingle", "band")
+        .agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("size_class").alias("least"), chunks)
+        .where("low <> high and least = band")
+        .select("shingle", "band", "chunks")
+    )
+    unsettled = scratch.write(banded.join(bands, ["shingle", "band"]).select("shingle", "band", "node", "label", "chunks"), "unsettled")
 
     def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -448,8 +459,8 @@ def similar_groups(
     first = F.transform(F.sequence(F.col("own"), F.col("chunks") - 1), lambda i: F.struct(F.lit(0).alias("side"), F.col("own").alias("a"), i.alias("b")))
     second = F.transform(F.sequence(F.lit(0), F.col("own") - 1), lambda i: F.struct(F.lit(1).alias("side"), i.alias("a"), F.col("own").alias("b")))
     dealt = unsettled.withColumn("own", own).withColumn("cell", F.explode(F.when(F.col("own") > 0, F.concat(first, second)).otherwise(first)))
-    cells = dealt.select("shingle", "node", "label", "cell.*").join(sets, "node")
-    joining = cells.groupBy("shingle", "a", "b").applyInArrow(lambda table: _cell_links(table, similarity), "u bigint, v bigint")
+    cells = dealt.select("shingle", "band", "node", "label", "cell.*").join(sets, "node")
+    joining = cells.groupBy("shingle", "band", "a", "b").applyInArrow(lambda table: _cell_links(table, similarity), "u bigint, v bigint")
     links = links.unionByName(verified(joining))
     labels = connected_components(links, scratch)
     return nodes.join(labels, "node", "left").select(
