@@ -8,6 +8,7 @@ Only one row per partition is then needed to turn local numbers into global ones
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -82,32 +83,73 @@ class Cut:
 def find_cut(df: DataFrame, keys: list[Column], n: int) -> Cut:
     """Where the first ``n`` rows end. ``keys`` ascend and the last one is unique.
 
-    Every round splits the pool at a value near the wanted rank, found by a mergeable sketch, into the
-    rows before it, at it and after it, counts the three exactly, and goes on with the one the cut is
-    in. Equal values are told apart by the next key. No row moves.
+    Every round takes three values of the pool from a mergeable sketch: one near the wanted rank and one
+    surely on either side of it, counts exactly what lies before, at and between them, and goes on
+    with the part the cut is in. A part is a few thousandths of the pool or one value; rows of one value
+    are told apart by the next key. Conditions hold a key's two bounds, however many rounds it takes. No
+    row moves.
     """
     taken, pool = F.lit(False), F.lit(True)
     for key in keys:
-        while n > 0:
-            rows = df.where(pool)
-            total, low, high = rows.agg(F.count(F.lit(1)), F.min(key), F.max(key)).first()
-            if total <= n:
-                return Cut(taken | pool, F.lit(False), 0)
-            if total <= LOCAL_ROWS:
-                return Cut(taken, pool, n)
-            if low == high:
-                break
-            at = F.lit(rows.agg(F.percentile_approx(key, n / total, ACCURACY)).first()[0])
-            before, equal = rows.agg(F.count(F.when(key < at, 1)), F.count(F.when(key == at, 1))).first()
-            if n <= before:
-                pool = pool & (key < at)
-            elif n <= before + equal:
-                taken, pool, n = taken | (pool & (key < at)), pool & (key == at), n - before
-            else:
-                taken, pool, n = taken | (pool & (key <= at)), pool & (key > at), n - before - equal
+        before, held = taken, pool
+        if n <= 0:
+            break
+        total, low, high = df.where(pool).agg(F.count(F.lit(1)), F.min(key), F.max(key)).first()
+        if total <= n:
+            return Cut(taken | pool, F.lit(False), 0)
+        above, under = F.lit(True), F.lit(True)
+        while total > LOCAL_ROWS and low != high:
+            marks = _marks(df.where(pool), key, n / total)
+            parts = _parts(key, marks)
+            counts = df.where(pool).agg(*[F.count(F.when(part.inside, 1)) for part in parts]).first()
+            if max(counts) == total:  # a key's values may be too close for the sketch's doubles
+                parts = _parts(key, [low + (high - low) // 2])
+                counts = df.where(pool).agg(*[F.count(F.when(part.inside, 1)) for part in parts]).first()
+            at = 0
+            while n > counts[at]:
+                n, at = n - counts[at], at + 1
+            total = counts[at]
+            above = above if parts[at].above is None else parts[at].above
+            under = under if parts[at].under is None else parts[at].under
+            taken, pool = before | (held & ~above), held & above & under
+            if total > LOCAL_ROWS:
+                low, high = df.where(pool).agg(F.min(key), F.max(key)).first()
+        if total <= n:
+            return Cut(taken | pool, F.lit(False), 0)
+        if total <= LOCAL_ROWS:
+            return Cut(taken, pool, n)
     return Cut(taken, pool, n)
 
 
+@dataclass(frozen=True)
+class Part:
+    """A range of a key between two neighbouring marks, or one mark: its bounds, where it has some."""
+
+    above: Column | None
+    under: Column | None
+
+    @property
+    def inside(self) -> Column:
+        bounds = [bound for bound in (self.above, self.under) if bound is not None]
+        return reduce(Column.__and__, bounds)
+
+
+def _marks(rows: DataFrame, key: Column, share: float) -> list:
+    """Values at and on both sides of a share of the rows. The sketch errs by one in ``ACCURACY`` of
+    the rows, and gives the smallest or largest value for a share nearer than that to an end."""
+    shares = [max(0.0, share - 2 / ACCURACY), share, min(1.0, share + 2 / ACCURACY)]
+    return sorted(set(rows.agg(F.percentile_approx(key, shares, ACCURACY)).first()[0]))
+
+
+def _parts(key: Column, marks: list) -> list[Part]:
+    """The ranges before, at, between and after ``marks``, in order."""
+    parts = [Part(None, key < marks[0])]
+    for mark, following in zip(marks, [*marks[1:], None], strict=True):
+        parts.append(Part(key >= mark, key <= mark))
+        parts.append(Part(key > mark, None if following is None else key < following))
+    return parts
+
+
 def ascending(order: Column) -> Column:
     """A numeric sort order as a key that ascends: a falling one is negated."""
     node = order._jc.node()

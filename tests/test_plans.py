@@ -105,3 +105,19 @@ def test_selection_sorts_few_rows(spark):
     text = plan(got)
     assert text.count("rangepartitioning") == 1 and "TakeOrderedAndProject" in text
     assert [r.v for r in got.collect()] == [0] * 100
+
+
+@pytest.mark.parametrize("n", [1, 30, 900, 39000])
+@pytest.mark.parametrize("value", ["CAST((id * 7919) % 40009 AS DOUBLE)", "9007199254740993L + (id * 7919) % 40009"])
+def test_selection_takes_few_rounds(spark, monkeypatch, n, value):
+    """A cut nearer to an end of the pool than the sketch can tell, and values too close for doubles,
+    do not lead to a round for every row."""
+    monkeypatch.setattr(ordering, "LOCAL_ROWS", 20)
+    monkeypatch.setattr(ordering, "ACCURACY", 100)
+    rounds = []
+    sketch = ordering.F.percentile_approx
+    monkeypatch.setattr(ordering.F, "percentile_approx", lambda *args: rounds.append(1) or sketch(*args))
+    rows = Scratch(spark).write(spark.range(40000).selectExpr("id AS sample_id", f"{value} AS v"), "rows")
+    got = [r.v for r in ordering.top_n(rows, [F.col("v"), F.col("sample_id")], n, Scratch(spark)).collect()]
+    assert got == sorted(r.v for r in rows.select("v").collect())[:n]
+    assert len(rounds) <= 20
