@@ -199,7 +199,9 @@ Q["tree_sizes"] = Query(
 
 
 def _root(spark: SparkSession, d: str, name: str) -> tuple[DataFrame, DataFrame]:
-    rows = growth.rows_at_roots(assigned(name, spark, d))
+    """Rows and open nodes of the first level. The samples are written once, as both read them."""
+    held = assigned(name, spark, d).select("sample_id", "features", "label", "tree_ids")
+    rows = growth.rows_at_roots(Scratch(spark).write(held, "samples"))
     config = SOURCES[name][0]
     frontier = growth.root_frontier(rows)
     return rows, frontier.where(~S.stop_rule(config))

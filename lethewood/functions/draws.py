@@ -29,6 +29,8 @@ def bits63(seed: int, kind: str, *keys: str | int) -> str:
 
 
 TREES_PER_DIGEST = 4
+# Up to so many trees the ranks are written out, so that they are computed in generated code.
+WRITTEN_OUT = 64
 
 
 def tree_ranks(seed: int, sample_id: str, num_trees: int) -> str:
@@ -39,6 +41,14 @@ def tree_ranks(seed: int, sample_id: str, num_trees: int) -> str:
     """
     blocks = range((num_trees + TREES_PER_DIGEST - 1) // TREES_PER_DIGEST)
     digests = ", ".join(digest(seed, "tree", sample_id, block) for block in blocks)
+    if num_trees <= WRITTEN_OUT:
+        texts = [digest(seed, "tree", sample_id, block) for block in blocks]
+        ranks = [
+            f"struct(substring({texts[tree // TREES_PER_DIGEST]}, {8 * (tree % TREES_PER_DIGEST) + 1}, 8) AS rank, "
+            f"{tree} AS tree_id)"
+            for tree in range(num_trees)
+        ]
+        return f"array({', '.join(ranks)})"
     slots = ", ".join(
         f"struct(substring(text, {8 * slot + 1}, 8) AS rank, "
         f"CAST(block * {TREES_PER_DIGEST} + {slot} AS INT) AS tree_id)"

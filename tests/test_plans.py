@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from catalog.buffer_queries import influence_log
 from catalog.common import LINE, assigned
+from lethewood.config import RunConfig
 from lethewood.operators import lifecycle, scoring
 from lethewood.operators import splits as S
+from lethewood.operators.assignment import assign_trees
 from lethewood.operators.evaluation import sliding_counts
 from lethewood.plans import growth
 from lethewood.sources import ordering
@@ -121,3 +123,28 @@ def test_selection_takes_few_rounds(spark, monkeypatch, n, value):
     got = [r.v for r in ordering.top_n(rows, [F.col("v"), F.col("sample_id")], n, Scratch(spark)).collect()]
     assert got == sorted(r.v for r in rows.select("v").collect())[:n]
     assert len(rounds) <= 20
+
+
+def test_tree_ranks_are_generated_code(spark):
+    """Ranks written out choose the same trees as those made by lambdas, which are interpreted."""
+    from lethewood.functions import draws
+
+    ids = spark.range(500).selectExpr("id * 1000003 AS sample_id", "id % 2 = 0 AS label")
+    for trees, k in ((1, 1), (8, 3), (13, 13), (64, 5)):
+        config = RunConfig(num_trees=trees, k=k, num_features=4)
+        assigned = assign_trees(ids, config)
+        written = {r.sample_id: r.tree_ids for r in assigned.collect()}
+        assert "lambda" not in plan(assigned)
+        most, draws.WRITTEN_OUT = draws.WRITTEN_OUT, 0
+        try:
+            assert {r.sample_id: r.tree_ids for r in assign_trees(ids, config).collect()} == written
+        finally:
+            draws.WRITTEN_OUT = most
+
+
+def test_first_level_prepares_samples_once(spark, data):
+    """The rows and the open nodes of a level read one table, not the raw rows twice."""
+    from catalog import forest_queries
+
+    text = plan(forest_queries.Q["node_ranges"].run(spark, data))
+    assert "lineitem" not in text
