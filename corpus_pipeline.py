@@ -39,7 +39,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document stays of each group of texts alike in 0.8 of their five-word shingles."""
+    """One document stays of each group of texts whose fingerprints differ in at most two bits, or that
+    are alike in 0.8 of their five-word shingles."""
     _small_batches(spark)
     return simhash_dedup.keep_one_of_each_group(docs)
 

@@ -9,8 +9,8 @@ aggregation applies, and no group is ever collected. Members of a group lie with
 each other by the triangle inequality; they are linked to the group's smallest member, the
 links are made distinct and their distance is checked again, and components follow.
 
-``similar_groups`` finds texts by the similarity of their shingle sets instead: texts meet in
-the groups of their rarest shingles, and pairs are verified exactly.
+``similar_groups`` starts from these components and adds pairs by the similarity of their shingle
+sets: texts meet in the groups of their rarest shingles, and pairs are verified exactly.
 """
 
 from __future__ import annotations
@@ -320,15 +320,16 @@ def similar_groups(
     shingle: int = 5,
     similarity: float = 0.8,
 ) -> DataFrame:
-    """(text_hash, text_size, component): groups of texts joined by pairs with a shingle
-    similarity of ``similarity`` or more. ``component`` identifies the group.
+    """(text_hash, text_size, component): groups of texts joined by fingerprints within two bits, as
+    ``near_duplicates`` finds them, and by pairs with a shingle similarity of ``similarity`` or
+    more. ``component`` identifies the group.
 
-    Every text lists its rarest shingles, so many that two texts at the similarity share one of
+    The components of the fingerprints come first. Then every text lists its rarest shingles, so many that two texts at the similarity share one of
     them whatever the size of the table; texts that share one meet in its group. Each group's
     members are compared with its smallest one first. Where this leaves a group in more than one
     component, all its pairs across components are compared, in cells of bounded size that hold
-    the shingle sets and answer with the links that join components; pairs are never rows. A pair counts only by the exact similarity of its
-    texts. All empty and null texts are one text. Null and repeated ids do not matter here.
+    the shingle sets and answer with the links that join components; pairs are never rows. Such a pair
+    counts only by the exact similarity of its texts. All empty and null texts are one text. Null and repeated ids do not matter here.
     """
     scratch = Scratch(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -406,7 +407,9 @@ def similar_groups(
     ordered = [f("u_node", "v_node").alias(end) for f, end in ((F.least, "u"), (F.greatest, "v"))]
     alike = _may_be_alike(similarity)
     stars = side(met.where("node = first"), "u").join(side(met.where("node <> first"), "v"), "shingle").where(alike)
-    links = verified(stars.select(*ordered))
+    prints = near_duplicates(source.select(node, "text"), "node", "text")
+    bound = prints.select(F.col("component_id").alias("u"), F.col("doc_id").alias("v")).where("u <> v").distinct()
+    links = scratch.write(bound, "bound").unionByName(verified(stars.select(*ordered)))
 
     # Groups of two are settled by their one pair; labels are nodes, so that they never collide.
     found = connected_components(links, scratch)
