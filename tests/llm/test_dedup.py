@@ -202,3 +202,12 @@ def test_pairs_count_by_their_exact_similarity(spark):
     got = _groups(spark, rows)
     assert got == _brute_groups(rows)
     assert 10 < sum(len(g) == 2 for g in got) < 20
+
+
+def test_fingerprints_join_groups_of_the_stage(spark):
+    """Texts of one repeated line have close fingerprints, though few of their distinct shingles agree."""
+    line = prose(90, 11)
+    rows = [(i, f"{' '.join([line] * 60)} {prose(91 + i, 9)}") for i in range(2)] + [(2, prose(95, 80))]
+    assert (brute_fingerprint(rows[0][1]) ^ brute_fingerprint(rows[1][1])).bit_count() <= 2
+    assert _alike(rows[0][1], rows[1][1]) < 0.8
+    assert _groups(spark, rows) == {frozenset({0, 1}), frozenset({2})}
