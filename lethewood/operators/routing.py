@@ -1,4 +1,4 @@
-"""Walking samples down the node table, one broadcast join per depth."""
+"""Walking samples down the node table: in one step where it fits a broadcast, else one join per depth."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import RunConfig
 from . import splits as S
+from .descent import Tables, node_reached
 
 NODE_BYTES = 80
 NODE_DEPTH = "CAST(length(bin(node_id)) - 1 AS INT)"
@@ -20,6 +21,11 @@ def walk(
     """Move every row to the deepest node its path reaches. Extra columns pass through."""
     kept = rows.columns
     internal = nodes.where("kind = 'internal'")
+    if not depth_counts:
+        return rows
+    if sum(depth_counts.values()) * NODE_BYTES <= config.broadcast_bytes:
+        splits = internal.where(F.col("depth").isin(list(depth_counts)))
+        return rows.withColumn("node_id", node_reached(Tables.of(splits, S.MAX_CATEGORIES)))
     for depth in sorted(depth_counts):
         splits = internal.where(F.col("depth") == depth).select(
             *S.NODE_KEYS, "n", "attr", "threshold", "subset", "base"

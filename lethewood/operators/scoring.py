@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.growth import Forest, rows_at_roots
 from ..plans.leaves import PLACE
 from . import splits as S
+from .descent import Tables, vote_count
 from .routing import NODE_BYTES, at_every_root, walk, with_path
 
 
@@ -39,54 +40,25 @@ def tree_votes(forest: Forest, queries: DataFrame) -> DataFrame:
     )
 
 
-def compiled(forest: Forest) -> DataFrame:
-    """The whole model as one value: per tree its nodes in an array, children by their index.
-    ``seat`` is a node's place in its tree's array; trees are bounded by their depth."""
-    seat = F.row_number().over(Window.partitionBy("tree_id").orderBy("node_id")).cast("int")
+def compiled(forest: Forest) -> Tables:
+    """The whole model as arrays, with the vote of every node."""
     fields = ["attr", "threshold", "subset", "base"]
     vote = F.coalesce(F.col("n_pos") * 2 > F.col("n"), F.lit(False)).alias("vote")
     inner = F.col("kind") == "internal"
     nodes = forest.nodes.select(
-        "tree_id", "node_id", seat.alias("seat"), *[F.when(inner, F.col(f)).alias(f) for f in fields], vote
+        "tree_id", "node_id", *[F.when(inner, F.col(f)).alias(f) for f in fields], vote
     )
-    child = nodes.select("tree_id", F.col("node_id").alias("_child"), F.col("seat").alias("_seat"))
-
-    def with_child(table: DataFrame, name: str, node: Column) -> DataFrame:
-        return table.withColumn("_child", node).join(child, ["tree_id", "_child"], "left").select(
-            *table.columns, F.coalesce("_seat", "seat").alias(name)
-        )
-
-    nodes = with_child(nodes, "left", F.col("node_id") * 2)
-    nodes = with_child(nodes, "right", F.col("node_id") * 2 + 1)
-    entry = F.struct("seat", *fields, "left", "right", "vote")
-    trees = nodes.groupBy("tree_id").agg(F.sort_array(F.collect_list(entry)).alias("nodes"))
-    return trees.agg(F.collect_list(F.struct("tree_id", "nodes")).alias("trees"))
-
-
-def _tree_vote(forest: Forest) -> str:
-    """SQL for the vote of tree ``t`` on ``features``: a fold down the levels."""
-    left = S.goes_left("element_at(features, n.attr + 1)", "n.threshold", "n.subset", "n.base", forest.config)
-    step = f"CASE WHEN n.attr IS NULL THEN n.seat WHEN {left} THEN n.left ELSE n.right END"
-    down = f"transform(array(element_at(t.nodes, i)), n -> {step})[0]"
-    depth = max(forest.depth_counts, default=-1) + 1
-    levels = f"sequence(1, {depth})" if depth else "CAST(array() AS array<int>)"
-    return f"CASE WHEN element_at(t.nodes, aggregate({levels}, 1, (i, _) -> {down})).vote THEN 1L ELSE 0L END"
+    return Tables.of(nodes, S.MAX_CATEGORIES)
 
 
 def _voted(forest: Forest, queries: DataFrame, keep: Sequence[str], weights: dict[int, int] | None) -> DataFrame:
     """Queries with ``votes``: positive votes, each counted as often as ``weights`` says (once
-    without it). A model that fits one broadcast value is folded over in place: one row in,
-    one row out, no exchange. A larger one is walked by joins; the rows are then numbered and
+    without it). A model that fits a broadcast goes to the tasks as arrays: one row in, one row
+    out, no exchange. A larger one is walked by joins; the rows are then numbered and
     written first, so that equal rows stay apart."""
     columns = ["sample_id", "label", *keep]
     if forest.node_count * NODE_BYTES <= forest.config.broadcast_bytes:
-        vote = _tree_vote(forest)
-        if weights is not None:
-            times = ", ".join(f"{t}, {n}L" for t, n in sorted(weights.items()))
-            vote = f"({vote}) * coalesce(try_element_at(map({times}), t.tree_id), 0L)"
-        folded = F.expr(f"aggregate(coalesce(_trees, array()), 0L, (acc, t) -> acc + {vote})")
-        with_trees = queries.withColumn("_trees", compiled(forest).scalar())
-        return with_trees.select(*columns, folded.alias("votes"))
+        return queries.select(*columns, vote_count(compiled(forest), weights).alias("votes"))
     numbered = forest.scratch.write(queries.withColumn("_row", F.monotonically_increasing_id()), "queries")
     votes = tree_votes(forest, numbered.withColumn("sample_id", F.col("_row")))
     weight = F.lit(1)

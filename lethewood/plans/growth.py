@@ -32,6 +32,8 @@ CANDIDATES_SCHEMA = (
     "tree_id INT, node_id BIGINT, attr INT, lo DOUBLE, hi DOUBLE, lo_n BIGINT, hi_n BIGINT, "
     f"cuts {S.CUTS_TYPE}"
 )
+# The JVM does not compile the method that more joins in a row are generated as.
+JOINED_STEPS = 2
 ASSIGNED_SCHEMA = "sample_id BIGINT, features ARRAY<DOUBLE>, label BOOLEAN, tree_ids ARRAY<INT>"
 NODE_COLUMNS = [part.split()[0] for part in NODES_SCHEMA.split(", ")]
 CANDIDATE_COLUMNS = ["tree_id", "node_id", "attr", "lo", "hi", "lo_n", "hi_n", "cuts"]
@@ -157,7 +159,9 @@ def grow(
     aside: list[DataFrame] = []
     aside_count = 0
     split_counts: dict[int, int] = {}
-    steps_since_write = 0
+    steps_since_write = steps_joined = 0
+    # What the rows were last written as, and the nodes decided since then, with their splits per depth.
+    base, since, since_counts = rows, [], {}
     owned: DataFrame | None = None
     frontier = scratch.write(frontier, "frontier")
     is_open = ~S.stop_rule(config)
@@ -194,13 +198,19 @@ def grow(
             *S.NODE_KEYS, "sample_id", "label", "features"
         )
         steps_since_write += 1
+        steps_joined += 1
+        since.append(level.select(*NODE_COLUMNS))
+        for row in inner.groupBy("depth").count().collect():
+            for found in (split_counts, since_counts):
+                found[row["depth"]] = found.get(row["depth"], 0) + row["count"]
         if steps_since_write >= config.rewrite_every or open_count * 80 > config.broadcast_bytes:
             previous, owned = owned, scratch.write(rows, "rows")
-            rows, steps_since_write = owned, 0
+            base = rows = owned
+            since, since_counts, steps_since_write, steps_joined = [], {}, 0, 0
             if previous is not None:
                 scratch.drop(previous)
-        for row in inner.groupBy("depth").count().collect():
-            split_counts[row["depth"]] = split_counts.get(row["depth"], 0) + row["count"]
+        elif steps_joined >= JOINED_STEPS:
+            rows, steps_joined = walk(base, reduce(DataFrame.unionByName, since), since_counts, config), 0
         frontier = S.children(level)
     if owned is not None:
         scratch.drop(owned)
