@@ -36,7 +36,7 @@ from lethewood.llm.sentencepiece import BYTE, CONTROL, MARK, UNKNOWN, Vocabulary
 from lethewood.sources.scratch import Scratch
 
 # Texts are read about this many bytes at a time.
-BATCH_BYTES = 2_000_000
+BATCH_BYTES = 1_000_000
 BATCH_TOKENS = 300_000
 # So many words go to the byte-level vocabulary as one text, and so many texts at once.
 JOINED_WORDS = 500
@@ -207,6 +207,15 @@ class Words:
     exact: np.ndarray
 
 
+KEPT = "lethewood_loaded_tokenizers"
+
+
+def _released() -> None:
+    """Give up what tasks before left in this worker, the tokenizers too."""
+    sys.modules.pop(KEPT, None)
+    gc.collect()
+
+
 def _tokenizers(a_file: bytes, b_file: bytes) -> tuple:
     """The two tokenizers. A worker process serves many tasks; it loads them once and keeps the last
     pair in a module of its own."""
@@ -216,7 +225,7 @@ def _tokenizers(a_file: bytes, b_file: bytes) -> tuple:
     import sentencepiece
     from tokenizers import Tokenizer
 
-    kept = sys.modules.setdefault("lethewood_loaded_tokenizers", ModuleType("lethewood_loaded_tokenizers"))
+    kept = sys.modules.setdefault(KEPT, ModuleType(KEPT))
     if getattr(kept, "files", None) != (a_file, b_file):
         left = Tokenizer.from_str(a_file.decode())
         left.encode_special_tokens = True
@@ -499,7 +508,7 @@ def align(
     known_best = np.append(table.column("best").to_numpy()[order], False)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.collect()
+        _released()
         numbers = Numbers(max(len(same), width))
         for batch in _token_pieces(batches):
             (a, n_a), (b, n_b), (steps, n_links) = map(_unpacked, batch.columns[:3], types)

@@ -155,3 +155,15 @@ def test_op11(spark, data):
     }
     got = {r.doc_id: tuple(r)[1:] for r in Q["op11_token_align"][0](spark, data).collect()}
     assert got == want
+
+
+def test_later_tasks_do_not_keep_the_tokenizers():
+    """A worker that goes on to measure no longer needs them."""
+    import sys
+    from types import ModuleType
+
+    from lethewood.llm import token_align
+
+    sys.modules[token_align.KEPT] = ModuleType(token_align.KEPT)
+    token_align._released()
+    assert token_align.KEPT not in sys.modules
