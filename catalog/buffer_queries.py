@@ -109,8 +109,8 @@ def _registered(spark: SparkSession, d: str) -> B.Eviction:
     now = position_now(rows)
     again = src.table(spark, d, "events").where("event_type = 'signup'").select(F.col("event_id").alias("sample_id"))
     new = B.entries(rows.join(again, "sample_id", "left_semi").withColumn("position", F.col("position") + now))
-    everything = B.insert(rows, new)
     scratch = Scratch(spark)
+    everything = scratch.write(B.insert(rows, new), "buffer")
     return B.budget_evict(everything, budget(everything), position_now(everything), scratch)
 
 

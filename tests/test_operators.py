@@ -208,3 +208,15 @@ def test_line_ids_never_clash(spark, tmp_path):
     rows = line_samples(spark, str(tmp_path)).collect()
     assert len({r.sample_id for r in rows}) == len(rows) == 5
     assert sorted(r.features[1] for r in rows) == [10.0, 11.0, 12.0, 13.0, 15.0]
+
+
+def test_registered_rows_are_joined_once(spark, tmp_path):
+    """Eviction reads the buffer it was given as written, instead of joining it anew in every pass."""
+    from catalog.buffer_queries import _registered
+
+    kinds = "CASE WHEN id % 5 = 0 THEN 'signup' ELSE 'view' END AS event_type"
+    events = spark.range(400).selectExpr("id AS event_id", kinds, "CAST(id % 90 AS DOUBLE) AS value")
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    kept = _registered(spark, str(tmp_path)).kept
+    assert kept.count() == 240
+    assert not any("events.parquet" in file for file in kept.inputFiles())
