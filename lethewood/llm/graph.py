@@ -6,7 +6,8 @@ disappears each round, whatever the shape of the graph. The random order is ``xx
 the id, which is one-to-one on 64-bit integers, so nodes never merge by accident.
 
 A node with very many edges costs one partially aggregated minimum; the two joins that rewrite
-edges are plain equi-joins, which adaptive execution splits when one key is hot.
+edges are plain equi-joins, which adaptive execution splits when one key is hot. No round
+broadcasts a table: every broadcast is built by a thread of the driver, whose memory stays taken.
 """
 
 from __future__ import annotations
@@ -31,8 +32,8 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
             both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("to")),
             "adopted",
         )
-        left = adopted.select("u", F.col("to").alias("new_u"))
-        right = adopted.select(F.col("u").alias("v"), F.col("to").alias("new_v"))
+        left = adopted.select("u", F.col("to").alias("new_u")).hint("merge")
+        right = adopted.select(F.col("u").alias("v"), F.col("to").alias("new_v")).hint("merge")
         current = scratch.write(
             mixed.join(left, "u")
             .join(right, "v")
@@ -43,7 +44,7 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         )
         labels = scratch.write(
             labels.withColumn("label", F.xxhash64("label"))
-            .join(adopted.select(F.col("u").alias("label"), "to"), "label", "left")
+            .join(adopted.select(F.col("u").alias("label"), "to").hint("merge"), "label", "left")
             .select("node", F.coalesce("to", "label").alias("label")),
             "labels",
         )

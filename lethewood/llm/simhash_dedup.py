@@ -409,12 +409,25 @@ def similar_groups(
     stars = side(met.where("node = first"), "u").join(side(met.where("node <> first"), "v"), "shingle").where(alike)
     prints = near_duplicates(source.select(node, "text"), "node", "text")
     bound = prints.select(F.col("component_id").alias("u"), F.col("doc_id").alias("v")).where("u <> v").distinct()
-    links = scratch.write(bound, "bound").unionByName(verified(stars.select(*ordered)))
+    bound = scratch.write(bound, "bound").select(F.col("v").alias("node"), F.col("u").alias("label"))
+
+    def joined(names: DataFrame, links: DataFrame) -> DataFrame:
+        """``names`` (node, label) when its groups are joined by ``links`` (u, v) as well. A group's label is one
+        of its nodes; a node without a row is a group of its own. Only links between groups are followed."""
+        ends = [names.select(F.col("node").alias(end), F.col("label").alias(f"{end}_label")).hint("merge") for end in "uv"]
+        sides = [F.coalesce(f"{end}_label", end).alias(end) for end in "uv"]
+        between = scratch.write(links.join(ends[0], "u", "left").join(ends[1], "v", "left").select(*sides).where("u <> v"), "between")
+        if between.isEmpty():
+            return names
+        found = connected_components(between, scratch)
+        first = found.groupBy("label").agg(F.min("node").alias("name"))
+        renamed = scratch.write(found.join(first.hint("merge"), "label").select(F.col("node").alias("label"), "name"), "renamed")
+        moved = names.join(renamed.hint("merge"), "label", "left").select("node", F.coalesce("name", "label").alias("label"))
+        alone = renamed.select(F.col("label").alias("node"), F.col("name").alias("label"))
+        return scratch.write(moved.unionByName(alone).where("node <> label").distinct(), "named")
 
     # Groups of two are settled by their one pair; labels are nodes, so that they never collide.
-    found = connected_components(links, scratch)
-    names = found.groupBy("label").agg(F.min("node").alias("name"))
-    named = scratch.write(found.join(names, "label").select("node", F.col("name").alias("label")), "named")
+    named = joined(bound, verified(stars.select(*ordered)))
     larger = scratch.write(
         met.where("members > 2").join(named, "node", "left").select("shingle", "node", "n", "place", "members", F.coalesce("label", "node").alias("label")),
         "larger",
@@ -464,11 +477,8 @@ def similar_groups(
     dealt = unsettled.withColumn("own", own).withColumn("cell", F.explode(F.when(F.col("own") > 0, F.concat(first, second)).otherwise(first)))
     cells = dealt.select("shingle", "band", "node", "label", "cell.*").join(sets, "node")
     joining = cells.groupBy("shingle", "band", "a", "b").applyInArrow(lambda table: _cell_links(table, similarity), "u bigint, v bigint")
-    links = links.unionByName(verified(joining))
-    labels = connected_components(links, scratch)
-    return nodes.join(labels, "node", "left").select(
-        "text_hash", "text_size", F.struct("label", F.when(F.col("label").isNull(), F.col("node")).alias("own")).alias("component")
-    )
+    named = joined(named, verified(joining))
+    return nodes.join(named, "node", "left").select("text_hash", "text_size", F.coalesce("label", "node").alias("component"))
 
 
 def keep_one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:

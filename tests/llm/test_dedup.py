@@ -211,3 +211,18 @@ def test_fingerprints_join_groups_of_the_stage(spark):
     assert (brute_fingerprint(rows[0][1]) ^ brute_fingerprint(rows[1][1])).bit_count() <= 2
     assert _alike(rows[0][1], rows[1][1]) < 0.8
     assert _groups(spark, rows) == {frozenset({0, 1}), frozenset({2})}
+
+
+def test_groups_that_are_joined_already_are_not_walked_again(spark, monkeypatch):
+    """Components are sought among the fingerprints; after that only among links between groups."""
+    calls = []
+
+    def counted(edges, scratch):
+        calls.append(edges.count())
+        return connected_components(edges, scratch)
+
+    monkeypatch.setattr(simhash_dedup, "connected_components", counted)
+    texts = [prose(90 + i, 120) for i in range(6)]
+    rows = [(i, text) for i, text in enumerate(texts)] + [(10 + i, text + " ") for i, text in enumerate(texts)]
+    assert _groups(spark, rows) == {frozenset((i, 10 + i)) for i in range(6)}
+    assert len(calls) == 1
