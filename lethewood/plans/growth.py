@@ -1,7 +1,8 @@
 """Level-wise tree growth, down to nodes that one task can finish.
 
-While nodes are large, rows never move: each level scans the assigned samples, walks them down the splits found
-so far through broadcast joins, and shuffles only per-node counters. Every level writes
+While nodes are large, rows never move: the assigned samples are written as blocks, and each level scans these,
+walks the rows down the splits found so far, and shuffles only per-node counters. With many nodes
+the samples themselves are scanned and walked down through broadcast joins. Every level writes
 two small tables (candidates and nodes); the walk is written out once every few levels so
 the plan stays short and rows in finished leaves drop out. Nodes with few rows are set aside; in
 the end their rows are read once more, walked down to them, and ``subtree`` grows what is below.
@@ -17,12 +18,13 @@ from pyspark.sql import functions as F
 
 from ..config import RunConfig
 from ..operators import splits as S
+from ..operators import tally
 from ..operators.assignment import assign_trees
-from ..operators.routing import walk
+from ..operators.routing import NODE_BYTES, walk
 from ..sources.layers import Layered
 from ..sources.scratch import Scratch
 from .leaves import LeafMap
-from .subtree import finish, finished_candidates
+from .subtree import at_tops, finish, finished_candidates
 
 NODES_SCHEMA = (
     "tree_id INT, node_id BIGINT, depth INT, kind STRING, attr INT, threshold DOUBLE, "
@@ -144,16 +146,34 @@ def level_candidates(
     return S.pack_candidates(counted, config)
 
 
+def tallied_candidates(
+    blocked: DataFrame, splits: tally.Splits, open_nodes: DataFrame, config: RunConfig
+) -> DataFrame:
+    """The same for blocks of rows, which still have to walk down the splits."""
+    ranges = tally.node_ranges(blocked, splits, S.with_attrs(open_nodes, config), config)
+    return S.pack_candidates(tally.count_cuts(blocked, splits, ranges, config), config)
+
+
+def few_enough(open_count: int, split_count: int, config: RunConfig) -> bool:
+    """Whether a level's nodes can go to the tasks and be visited one by one for every block."""
+    fits = max(cut_bytes(open_count, config), split_count * NODE_BYTES) <= config.broadcast_bytes
+    return fits and open_count + split_count <= tally.MOST_NODES
+
+
 def grow(
-    rows: DataFrame, frontier: DataFrame, config: RunConfig, scratch: Scratch
+    rows: DataFrame, frontier: DataFrame, config: RunConfig, scratch: Scratch, assigned: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Grow below every frontier node. Returns the new nodes and candidates.
 
     ``rows`` stand at their frontier node; rows elsewhere are ignored. Draws are keyed by
-    node, so the result does not depend on when or with what else a node is grown.
+    node, so the result does not depend on when or with what else a node is grown. ``assigned``
+    holds the same rows with a list of trees, if all stand at the roots.
     """
     spark = scratch.spark
     start = rows
+    blocked: DataFrame | None = None
+    splits: tally.Splits = {}
+    tallying = True
     node_parts: list[DataFrame] = []
     candidate_parts: list[DataFrame] = []
     aside: list[DataFrame] = []
@@ -166,6 +186,10 @@ def grow(
     frontier = scratch.write(frontier, "frontier")
     is_open = ~S.stop_rule(config)
     is_small = is_open & (F.col("n") <= config.finish_limit)
+
+    def all_nodes() -> DataFrame:
+        return reduce(DataFrame.unionByName, [part.select(*NODE_COLUMNS) for part in node_parts])
+
     while True:
         open_count, small_count, total = frontier.agg(
             F.coalesce(F.sum(is_open.cast("bigint")), F.lit(0)),
@@ -184,16 +208,32 @@ def grow(
             node_parts.append(S.decided_nodes(frontier, no_candidates, config))
             break
         open_nodes = frontier.where(is_open)
-        candidates = scratch.write(
-            level_candidates(rows, open_nodes, open_count, config), "candidates"
-        )
+        if tallying and not few_enough(open_count, sum(split_counts.values()), config):
+            tallying = False
+            if split_counts:
+                base = rows = walk(start, all_nodes(), split_counts, config)
+        if tallying:
+            if blocked is None:
+                blocked = scratch.write(tally.blocks(start if assigned is None else assigned, config), "blocks")
+            found = tallied_candidates(blocked, splits, open_nodes, config)
+        else:
+            found = level_candidates(rows, open_nodes, open_count, config)
+        candidates = scratch.write(found, "candidates")
         level = scratch.write(S.decided_nodes(frontier, candidates, config), "nodes")
         node_parts.append(level)
         candidate_parts.append(candidates)
 
         inner = level.where(F.col("kind") == "internal")
-        splits = inner.select(*S.NODE_KEYS, "n", "attr", "threshold", "subset", "base")
-        stepped = S.attach(rows, splits, open_count * 80, config)
+        if tallying:
+            for tree, found_splits in tally.splits_of(inner).items():
+                splits.setdefault(tree, {}).update(found_splits)
+                for node in found_splits:
+                    depth = node.bit_length() - 1
+                    split_counts[depth] = split_counts.get(depth, 0) + 1
+            frontier = S.children(level)
+            continue
+        steps = inner.select(*S.NODE_KEYS, "n", "attr", "threshold", "subset", "base")
+        stepped = S.attach(rows, steps, open_count * 80, config)
         rows = stepped.withColumn("node_id", S.step_down(config)).select(
             *S.NODE_KEYS, "sample_id", "label", "features"
         )
@@ -216,14 +256,18 @@ def grow(
         scratch.drop(owned)
     if aside:
         tops = reduce(DataFrame.unionByName, aside)
-        at_top = start
-        if split_counts:
-            grown = reduce(DataFrame.unionByName, [p.select(*NODE_COLUMNS) for p in node_parts])
-            at_top = walk(start, grown, split_counts, config)
-        finished = scratch.write(finish(at_top, tops, aside_count, config), "finished")
+        if tallying and blocked is not None and few_enough(aside_count, sum(split_counts.values()), config):
+            standing = tally.rows_at(blocked, splits, tops, config)
+        else:
+            at_top = walk(start, all_nodes(), split_counts, config) if split_counts else start
+            standing = at_tops(at_top, tops, aside_count, config)
+        finished = scratch.write(finish(standing, config), "finished")
         node_parts.append(finished)
         candidate_parts.append(finished_candidates(finished))
 
+    if blocked is not None:
+        scratch.drop(blocked)
+
     def union(parts: list[DataFrame], columns: list[str], schema: str) -> DataFrame:
         if not parts:
             return spark.createDataFrame([], schema)
@@ -249,7 +293,7 @@ def fit(
         assigned.select("sample_id", "features", "label", "tree_ids"), "samples"
     )
     rows = rows_at_roots(assigned)
-    nodes, candidates = grow(rows, root_frontier(rows), config, scratch)
+    nodes, candidates = grow(rows, root_frontier(rows), config, scratch, assigned)
     return Forest(
         config,
         assigned,

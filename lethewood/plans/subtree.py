@@ -164,9 +164,16 @@ def _flat(column: pa.ChunkedArray) -> pa.Array:
     return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
 
 
-def finish(rows: DataFrame, tops: DataFrame, top_count: int, config: RunConfig) -> DataFrame:
-    """Nodes at and below ``tops`` (tree_id, node_id, n), each with its candidates. ``rows`` stand at
-    their node; rows elsewhere are ignored."""
+def at_tops(rows: DataFrame, tops: DataFrame, top_count: int, config: RunConfig) -> DataFrame:
+    """tree_id, node_id, label, features: of rows that stand at their node, those at ``tops`` (tree_id,
+    node_id, n)."""
+    own = rows.select(*S.NODE_KEYS, "label", "features", "sample_id")
+    standing = S.attach(own, tops.select(*S.NODE_KEYS, "n"), top_count * NODE_BYTES, config)
+    return standing.drop("n", "sample_id")
+
+
+def finish(standing: DataFrame, config: RunConfig) -> DataFrame:
+    """The nodes that rows stand at and all below them, each with its candidates."""
     rules = Rules.of(config)
 
     def grow(group: pa.Table) -> pa.Table:
@@ -176,9 +183,7 @@ def finish(rows: DataFrame, tops: DataFrame, top_count: int, config: RunConfig)
         label = _flat(group.column("label")).fill_null(False).to_numpy(zero_copy_only=False)
         return pa.Table.from_pylist(list(_grown(rules, tree, top, x, label)), _NODE)
 
-    own = rows.select(*S.NODE_KEYS, "label", "features", "sample_id")
-    standing = S.attach(own, tops.select(*S.NODE_KEYS, "n"), top_count * NODE_BYTES, config)
-    return standing.drop("n", "sample_id").groupBy(*S.NODE_KEYS).applyInArrow(grow, FINISHED_SCHEMA)
+    return standing.groupBy(*S.NODE_KEYS).applyInArrow(grow, FINISHED_SCHEMA)
 
 
 def finished_candidates(finished: DataFrame) -> DataFrame:
