@@ -16,6 +16,7 @@ sets: texts meet in the groups of their rarest shingles, and pairs are verified
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -125,7 +126,7 @@ def near_duplicates(
     nobody's smallest id: a component of null ids only has a null component_id. Repeated rows
     are kept. Other columns, whatever their names, are not read.
     """
-    scratch = Scratch(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession, free_shuffles=True)
     rows = scratch.write(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     distinct = scratch.write(rows.groupBy("fp").agg(F.min("id").alias("first_id")), "distinct")
     links = close_pairs(distinct.withColumn("table", F.lit(0)))
@@ -156,6 +157,10 @@ STEPS = 8
 # A cell's side: so many texts and, on average, so many shingles.
 CELL_TEXTS = 1024
 CELL_SHINGLES = 1 << 18
+# Cells are compared in rounds; those of one round hold so many bytes of shingles for each byte of text,
+# and this many in any case.
+ROUND_SHARE = 0.5
+ROUND_BYTES = 64_000_000
 _ROUNDING = 1e-9
 
 
@@ -296,6 +301,8 @@ def _cell_links(cell: pa.Table, similarity: float) -> pa.Table:
     start = np.append(start, len(held))
     us, vs = [], []
     for a in own:
+        if not (label[other] != label[a]).any():
+            continue
         mine = sets[a]
         at = np.minimum(np.searchsorted(known, mine), max(0, len(known) - 1))
         at = at[known[at] == mine] if len(known) else at[:0]
@@ -331,7 +338,7 @@ def similar_groups(
     the shingle sets and answer with the links that join components; pairs are never rows. Such a pair
     counts only by the exact similarity of its texts. All empty and null texts are one text. Null and repeated ids do not matter here.
     """
-    scratch = Scratch(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession, free_shuffles=True)
     text = F.coalesce(F.col(text_col), F.lit(""))
     source = docs.select(
         F.col(id_col).cast("string").alias("id"), F.xxhash64(text).alias("text_hash"), F.octet_length(text).alias("text_size"), text.alias("text")
@@ -399,7 +406,9 @@ def similar_groups(
         texts = scratch.write(texts, "texts")
         ends = [texts.select(F.col("node").alias(end), F.col("text").alias(f"{end}_text")) for end in "uv"]
         rows = pairs.join(ends[0], "u").join(ends[1], "v").select("u", "v", "u_text", "v_text")
-        return scratch.write(rows.mapInArrow(check, "u bigint, v bigint"), "links")
+        links = scratch.write(rows.mapInArrow(check, "u bigint, v bigint"), "links")
+        scratch.drop(texts)
+        return links
 
     def side(rows: DataFrame, end: str) -> DataFrame:
         return rows.select("shingle", *(F.col(c).alias(f"{end}_{c}") for c in rows.columns if c in ("node", "n", "place", "label")))
@@ -432,6 +441,7 @@ def similar_groups(
         met.where("members > 2").join(named, "node", "left").select("shingle", "node", "n", "place", "members", F.coalesce("label", "node").alias("label")),
         "larger",
     )
+    scratch.drop(met)
     # The shingles of one passage bring the same texts together: the first of them stands for all.
     traits = [F.bit_xor(F.xxhash64("node")), F.bit_xor(F.xxhash64("node", "n")), F.sum("n")]
     same = [name.alias(f"trait_{i}") for i, name in enumerate(traits)]
@@ -447,8 +457,14 @@ def similar_groups(
     # Alike texts lie in one size class or in two neighbouring ones; a band holds a class and the
     # next. Bands without a member of their own class repeat pairs of the next band.
     size_class = F.floor(F.log("n") / (np.log(1 / similarity) + 1e-6)).cast("int").alias("size_class")
-    banded = larger.join(chosen, "shingle").select("shingle", "node", "n", "label", size_class)
-    banded = banded.withColumn("band", F.explode(F.array(F.col("size_class"), F.col("size_class") - 1)))
+    banded = larger.join(chosen, "shingle").select("shingle", "node", "n", "place", "label", size_class)
+    banded = scratch.write(banded.withColumn("band", F.explode(F.array(F.col("size_class"), F.col("size_class") - 1))), "banded")
+    # A pair is compared where its first common shingle is; a member that comes too late in its own
+    # order to be alike even to the smallest text it meets there has its pairs in other groups.
+    smallest = banded.groupBy("shingle", "band").agg(F.min("n").alias("smallest"))
+    partner = F.greatest(F.col("smallest").cast("double"), similarity * F.col("n"))
+    early = F.col("n") - F.col("place") >= similarity / (1 + similarity) * (F.col("n") + partner) - _ROUNDING
+    banded = scratch.write(banded.join(smallest, ["shingle", "band"]).where(early).drop("smallest", "place"), "early")
     chunks = F.ceil(F.greatest(F.count(F.lit(1)) / CELL_TEXTS, F.sum("n") / CELL_SHINGLES)).cast("int").alias("chunks")
     bands = (
         banded.groupBy("shingle", "band")
@@ -456,7 +472,7 @@ def similar_groups(
         .where("low <> high and least = band")
         .select("shingle", "band", "chunks")
     )
-    unsettled = scratch.write(banded.join(bands, ["shingle", "band"]).select("shingle", "band", "node", "label", "chunks"), "unsettled")
+    unsettled = scratch.write(banded.join(bands, ["shingle", "band"]).select("shingle", "band", "node", "n", "label", "chunks"), "unsettled")
 
     def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -475,18 +491,32 @@ def similar_groups(
     first = F.transform(F.sequence(F.col("own"), F.col("chunks") - 1), lambda i: F.struct(F.lit(0).alias("side"), F.col("own").alias("a"), i.alias("b")))
     second = F.transform(F.sequence(F.lit(0), F.col("own") - 1), lambda i: F.struct(F.lit(1).alias("side"), i.alias("a"), F.col("own").alias("b")))
     dealt = unsettled.withColumn("own", own).withColumn("cell", F.explode(F.when(F.col("own") > 0, F.concat(first, second)).otherwise(first)))
-    cells = dealt.select("shingle", "band", "node", "label", "cell.*").join(sets, "node")
-    joining = cells.groupBy("shingle", "band", "a", "b").applyInArrow(lambda table: _cell_links(table, similarity), "u bigint, v bigint")
+    dealt = dealt.select("shingle", "band", "node", "label", "cell.*")
+    # A text goes to as many cells as its group has chunks, so all cells together may be far larger than
+    # the input: they are dealt out to rounds, and the next one starts when the last one's files are gone.
+    moved = unsettled.agg(F.sum(8 * F.col("n") * F.col("chunks"))).first()[0] or 0
+    room = max(ROUND_BYTES, ROUND_SHARE * (nodes.agg(F.sum(F.col("text_size").cast("bigint"))).first()[0] or 0))
+    rounds = max(1, ceil(moved / room))
+    round_ = F.pmod(F.xxhash64("shingle", "band", "a", "b"), F.lit(rounds))
+    joining = None
+    for i in range(rounds):
+        cells = dealt.where(round_ == i).join(sets, "node")
+        found = cells.groupBy("shingle", "band", "a", "b").applyInArrow(lambda table: _cell_links(table, similarity), "u bigint, v bigint")
+        found = scratch.write(found.distinct(), "joining")
+        joining = found if joining is None else joining.unionByName(found)
+    scratch.drop(sets)
     named = joined(named, verified(joining))
-    return nodes.join(named, "node", "left").select("text_hash", "text_size", F.coalesce("label", "node").alias("component"))
+    groups = nodes.join(named, "node", "left").select("text_hash", "text_size", F.coalesce("label", "node").alias("component"))
+    groups = scratch.write(groups, "components")
+    scratch.drop(nodes)
+    return groups
 
 
 def keep_one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs`` with one document of each group of ``similar_groups``: the one with
     the smallest id (null ids last), of equal ids the one with the smallest text hash, of
     repeated rows any one. Columns are unchanged, whatever their names."""
-    scratch = Scratch(docs.sparkSession)
-    groups = scratch.write(similar_groups(docs, id_col, text_col, shingle, similarity), "groups")
+    groups = similar_groups(docs, id_col, text_col, shingle, similarity)
     text = F.coalesce(F.col(text_col), F.lit(""))
     keys = {
         "no_id": F.col(id_col).isNull(),

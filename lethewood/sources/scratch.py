@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 SETTING = "spark.checkpoint.dir"
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -29,10 +30,12 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """A private sub-folder for the tables of one run."""
+    """A private sub-folder for the tables of one run. ``free_shuffles``: the shuffle files of a write go
+    with its end; else they stay until the driver happens to collect its garbage."""
 
-    def __init__(self, spark: SparkSession, folder: str | None = None):
+    def __init__(self, spark: SparkSession, folder: str | None = None, free_shuffles: bool = False):
         self.spark = spark
+        self.free_shuffles = free_shuffles
         self.root = f"{folder or shared_folder(spark)}/run-{uuid.uuid4().hex}"
         self._paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
@@ -41,7 +44,18 @@ class Scratch:
 
     def save(self, df: DataFrame, name: str) -> str:
         path = self.path(name)
-        df.write.parquet(path)
+        if not self.free_shuffles:
+            df.write.parquet(path)
+            return path
+        before = self.spark.conf.get(FREE_SHUFFLES, None)
+        self.spark.conf.set(FREE_SHUFFLES, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            if before is None:
+                self.spark.conf.unset(FREE_SHUFFLES)
+            else:
+                self.spark.conf.set(FREE_SHUFFLES, before)
         return path
 
     def write(self, df: DataFrame, name: str) -> DataFrame:

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import time
 from collections import Counter
 
 import numpy as np
@@ -8,10 +9,10 @@ import xxhash
 
 from pyspark.sql import functions as F
 
-from lethewood.llm import simhash_dedup
+from lethewood.llm import graph, simhash_dedup
 from lethewood.llm.graph import connected_components
 from lethewood.llm.substring_dedup import remove_repeats
-from lethewood.sources.scratch import Scratch
+from lethewood.sources.scratch import FREE_SHUFFLES, Scratch
 
 from .helpers import TEXTS, docs, prose
 
@@ -226,3 +227,54 @@ def test_groups_that_are_joined_already_are_not_walked_again(spark, monkeypatch)
     rows = [(i, text) for i, text in enumerate(texts)] + [(10 + i, text + " ") for i, text in enumerate(texts)]
     assert _groups(spark, rows) == {frozenset((i, 10 + i)) for i in range(6)}
     assert len(calls) == 1
+
+
+@pytest.mark.parametrize("few", [0, 5])
+def test_components_of_many_edges_come_by_rounds(spark, monkeypatch, few):
+    """Rounds down to no edges, and down to so few that one task joins them."""
+    monkeypatch.setattr(graph, "FEW", few)
+    edges = [(i, (i * 7) % 90) for i in range(90)] + [(200 + i, 201 + i) for i in range(30)] + [(300, 301), (301, 302)]
+    got = {r.node: r.label for r in connected_components(spark.createDataFrame(edges, "u BIGINT, v BIGINT"), Scratch(spark)).collect()}
+    want = components([e for e in edges if e[0] != e[1]], {n for e in edges if e[0] != e[1] for n in e})
+    assert set(got) == set(want) and len(set(got.values())) == len(set(want.values()))
+    assert all(got[a] == got[b] for a, b in edges if a != b)
+
+
+def test_cells_are_compared_in_rounds(spark, monkeypatch):
+    """Cells that hold several times the texts do not lie on disk at once; the groups stay the same."""
+    monkeypatch.setattr(simhash_dedup, "CELL_TEXTS", 7)
+    monkeypatch.setattr(simhash_dedup, "ROUND_BYTES", 700_000)
+    written = []
+    write = Scratch.write
+    monkeypatch.setattr(Scratch, "write", lambda self, df, name: written.append(name) or write(self, df, name))
+    base, rows = prose(43, 150).split(), []
+    for i in range(60):
+        spots = {5 + (i * 37 + k * 53 + i * i) % 140 for k in range(2 + i % 2)}
+        rows.append((i, " ".join(f"own{i}x{at}" if at in spots else word for at, word in enumerate(base))))
+    prints = {i: brute_fingerprint(text) for i, text in rows}
+    pairs = [(a, b) for a, s in rows for b, t in rows if a < b and (_alike(s, t) >= 0.8 or (prints[a] ^ prints[b]).bit_count() <= 2)]
+    label = components(pairs, [i for i, _ in rows])
+    assert _groups(spark, rows) == {frozenset(i for i in label if label[i] == at) for at in label.values()}
+    assert written.count("joining") > 1
+
+
+def test_shuffle_files_go_with_the_tables_they_made(spark):
+    """What the search has shuffled does not add up on disk until the driver collects its garbage."""
+
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        found = [files.apply(i) for i in range(files.size())]
+        return {f.getPath(): f.length() for f in found if f.getName().startswith("shuffle_")}
+
+    rows = [(i, prose(6000 + i // 2, 400)) for i in range(200)]
+    setting = spark.conf.get(FREE_SHUFFLES, None)
+    before = shuffled()
+    simhash_dedup.similar_groups(docs(spark, rows))
+    for _ in range(20):
+        left = sum(size for path, size in shuffled().items() if path not in before)
+        if left < sum(len(text) for _, text in rows) / 10:
+            break
+        time.sleep(0.5)
+    else:
+        pytest.fail(f"{left} bytes are left")
+    assert spark.conf.get(FREE_SHUFFLES, None) == setting
